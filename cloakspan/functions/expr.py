@@ -1,41 +1,106 @@
-"""Small Column helpers shared by all operators."""
+"""Spark SQL expression text.
+
+The operators describe a text's work as one Spark SQL expression.  They are
+written as SQL fragments (``str``) and reach a DataFrame through ``F.expr``:
+Spark parses a whole fragment in one go, where the same tree built from Column
+calls costs thousands of round trips to the JVM.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Sql = str
+
+_names = count()
+
+
+def text_literal(value: str) -> Sql:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def text_list(values: Iterable[str]) -> Sql:
+    return ", ".join(text_literal(v) for v in values)
+
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
+def fn(body: Callable[..., Sql], arity: int = 1) -> Sql:
+    """A lambda with fresh variable names."""
+    names = [f"v{next(_names)}" for _ in range(arity)]
+    head = names[0] if arity == 1 else f"({', '.join(names)})"
+    return f"{head} -> {body(*names)}"
+
+
+def let(value: Sql, body: Callable[[Sql], Sql]) -> Sql:
     """Evaluate ``value`` once per row and hand it to ``body``.
 
     An expression that is named twice inside a higher-order function is
     otherwise computed again for every array element.
     """
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return f"element_at(transform(array({value}), {fn(body)}), 1)"
 
 
-def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns behind a generator, so later filters and projections read
-    the finished values instead of pulling the expressions in a second time."""
-    packed = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select("*", F.inline(F.array(packed)))
+def struct(**fields: Sql) -> Sql:
+    inside = ", ".join(f"'{name}', {value}" for name, value in fields.items())
+    return f"named_struct({inside})"
+
+
+def transform(array: Sql, body: Callable[..., Sql], arity: int = 1) -> Sql:
+    return f"transform({array}, {fn(body, arity)})"
+
 
+def keep(array: Sql, body: Callable[..., Sql], arity: int = 1) -> Sql:
+    return f"filter({array}, {fn(body, arity)})"
 
-def empty_array(ddl: str) -> Column:
-    return F.array().cast(ddl)
 
+def exists(array: Sql, body: Callable[[Sql], Sql]) -> Sql:
+    return f"exists({array}, {fn(body)})"
 
-def flat(arrays: list[Column]) -> Column:
-    return arrays[0] if len(arrays) == 1 else F.concat(*arrays)
+
+def fold(
+    array: Sql,
+    start: Sql,
+    step: Callable[[Sql, Sql], Sql],
+    finish: Callable[[Sql], Sql] | None = None,
+) -> Sql:
+    tail = f", {fn(finish)}" if finish else ""
+    return f"aggregate({array}, {start}, {fn(step, 2)}{tail})"
+
+
+def empty(ddl: str) -> Sql:
+    return f"cast(array() AS {ddl})"
+
+
+def concat(arrays: list[Sql]) -> Sql:
+    return arrays[0] if len(arrays) == 1 else f"concat({', '.join(arrays)})"
+
+
+def case(subject: Sql, values: dict[str, Sql], default: Sql = "NULL") -> Sql:
+    arms = " ".join(
+        f"WHEN {text_literal(name)} THEN {value}" for name, value in values.items()
+    )
+    return f"CASE {subject} {arms} ELSE {default} END"
+
+
+def column(value: Sql) -> Column:
+    return F.expr(value)
+
+
+def compute_once(df: DataFrame, **columns: Sql) -> DataFrame:
+    """Add columns behind a generator, so later filters and projections read
+    the finished values instead of pulling the expressions in a second time."""
+    return df.select("*", F.expr(f"inline(array({struct(**columns)}))"))
 
 
-def is_blank(text: Column) -> Column:
+def is_blank(text: Sql) -> Sql:
     """True where the text holds nothing but white space."""
-    return ~text.rlike(r"(?U)[^\s\x1c-\x1f]")
+    pattern = text_literal(r"(?U)[^\s\x1c-\x1f]")
+    return f"NOT {text} RLIKE {pattern}"
 
 
-def python_strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+def strip(text: Sql) -> Sql:
+    pattern = text_literal(r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z")
+    return f"regexp_replace({text}, {pattern}, '')"

@@ -5,10 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..rules import PLACEHOLDER_LISTS, PLACEHOLDER_TEMPLATES
+from .expr import Sql, case, keep, let, struct, text_list, text_literal, transform
 
 _FIELD = re.compile(r"\{n(?::0(\d)d)?\}")
 
@@ -17,16 +15,16 @@ def _printf(template: str) -> str:
     return _FIELD.sub(lambda m: f"%0{m[1]}d" if m[1] else "%d", template)
 
 
-def render_placeholder(pii_type: Column, n: Column) -> Column:
+def render_placeholder(pii_type: Sql, n: Sql) -> Sql:
     """Placeholder of the ``n``-th value (from 1) of a type."""
-    out = F.format_string(_printf(PLACEHOLDER_TEMPLATES["custom"]), n)
+    texts = {}
     for name, template in PLACEHOLDER_TEMPLATES.items():
-        text = F.format_string(_printf(template), n)
+        text = f"format_string({text_literal(_printf(template))}, {n})"
         if name in PLACEHOLDER_LISTS:
-            words = F.array(*[F.lit(w) for w in PLACEHOLDER_LISTS[name]])
-            text = F.coalesce(F.get(words, (n - 1).cast("int")), text)
-        out = F.when(pii_type == name, text).otherwise(out)
-    return out
+            words = f"array({text_list(PLACEHOLDER_LISTS[name])})"
+            text = f"coalesce(get({words}, cast({n} - 1 AS int)), {text})"
+        texts[name] = text
+    return case(pii_type, texts, texts["custom"])
 
 
 def placeholder_regex(custom: Iterable[str] = ()) -> str:
@@ -51,53 +49,59 @@ def placeholder_regex(custom: Iterable[str] = ()) -> str:
     return "|".join(parts)
 
 
-def number_in_row(ordered: Column) -> Column:
+def number_in_row(ordered: Sql) -> Sql:
     """Number the values of one text's spans, given in numbering order.
 
     Equal (type, lower-cased text) share a number; every type counts from 1.
     Returns the spans with ``value_lc``, ``n`` and ``placeholder`` added.
     """
-    from .expr import let
-
-    def key(span: Column) -> Column:
-        return F.struct(
-            span["pii_type"].alias("pii_type"), F.lower(span["text"]).alias("value")
-        )
 
-    def lists(keys: Column) -> Column:
-        kinds = F.array_distinct(F.transform(keys, lambda k: k["pii_type"]))
-        return F.map_from_arrays(
-            kinds,
-            F.transform(
+    def values_by_type(keys: Sql) -> Sql:
+        def lists(kinds: Sql) -> Sql:
+            of_kind = transform(
                 kinds,
-                lambda kind: F.transform(
-                    F.filter(keys, lambda k: k["pii_type"] == kind),
-                    lambda k: k["value"],
-                ),
-            ),
-        )
-
-    def number(values: Column) -> Column:
-        def one(span: Column) -> Column:
-            return let(
-                F.array_position(
-                    F.element_at(values, span["pii_type"]), F.lower(span["text"])
-                ),
-                lambda n: F.struct(
-                    span["start"].alias("start"),
-                    span["end"].alias("end"),
-                    span["text"].alias("text"),
-                    span["pii_type"].alias("pii_type"),
-                    F.lower(span["text"]).alias("value_lc"),
-                    n.alias("n"),
-                    render_placeholder(span["pii_type"], n).alias("placeholder"),
-                    span["status"].alias("status"),
+                lambda kind: transform(
+                    keep(keys, lambda k: f"{k}.pii_type = {kind}"),
+                    lambda k: f"{k}.value",
                 ),
             )
+            return f"map_from_arrays({kinds}, {of_kind})"
+
+        kinds = transform(keys, lambda k: f"{k}.pii_type")
+        return let(f"array_distinct({kinds})", lists)
+
+    def number(values: Sql) -> Sql:
+        def one(span: Sql) -> Sql:
+            def numbered(n: Sql) -> Sql:
+                return struct(
+                    start=f"{span}.start",
+                    end=f"{span}.end",
+                    text=f"{span}.text",
+                    pii_type=f"{span}.pii_type",
+                    value_lc=f"lower({span}.text)",
+                    n=n,
+                    placeholder=render_placeholder(f"{span}.pii_type", n),
+                    status=f"{span}.status",
+                )
+
+            position = (
+                f"array_position(element_at({values}, {span}.pii_type), "
+                f"lower({span}.text))"
+            )
+            return let(position, numbered)
+
+        return transform(spans_name, one)
 
-        return F.transform(ordered, one)
+    def body(spans: Sql) -> Sql:
+        nonlocal spans_name
+        spans_name = spans
+        keys = transform(
+            spans,
+            lambda s: struct(pii_type=f"{s}.pii_type", value=f"lower({s}.text)"),
+        )
+        return let(
+            f"array_distinct({keys})", lambda k: let(values_by_type(k), number)
+        )
 
-    return let(
-        F.array_distinct(F.transform(ordered, key)),
-        lambda keys: let(lists(keys), number),
-    )
+    spans_name = ordered
+    return let(ordered, body)

@@ -1,16 +1,23 @@
-"""Offsets, context and splicing as pure Column expressions."""
+"""Offsets, context and splicing as pure Spark SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..rules import CONTEXT_CHARS, TYPE_PRIORITY
 from ..schemas import HIT_ARRAY, SPAN_ARRAY
-from .expr import empty_array, let
-
-
-def regex_hits(text: Column, regex: Column, group: int = 0) -> Column:
+from .expr import (
+    Sql,
+    case,
+    empty,
+    fold,
+    keep,
+    let,
+    struct,
+    text_literal,
+    transform,
+)
+
+
+def regex_hits(text: Sql, regex: Sql, group: int = 0) -> Sql:
     """All non-overlapping hits of ``regex`` with code-point offsets.
 
     The hits and the gaps between them interleave, so a running sum of their
@@ -19,163 +26,153 @@ def regex_hits(text: Column, regex: Column, group: int = 0) -> Column:
     group, which has to sit at the end of the hit.
     """
 
-    def place(found: Column) -> Column:
-        def walk(gaps: Column, parts: Column) -> Column:
-            def step(acc: Column, i: Column) -> Column:
-                def add(end: Column) -> Column:
-                    part = F.get(parts, i)
-                    hit = F.struct(
-                        (end - F.length(part)).alias("start"),
-                        end.alias("end"),
-                        part.alias("text"),
-                    )
-                    return F.struct(
-                        end.alias("pos"),
-                        F.concat(acc["hits"], F.array(hit)).alias("hits"),
-                    )
-
-                width = F.length(F.get(gaps, i)) + F.length(F.get(found, i))
-                return let(acc["pos"] + width, add)
-
-            start = F.struct(
-                F.lit(0).alias("pos"), empty_array(HIT_ARRAY).alias("hits")
-            )
-            return F.when(
-                F.size(gaps) == F.size(found) + 1,
-                F.aggregate(
-                    F.sequence(F.lit(0), F.size(found) - 1),
-                    start,
-                    step,
-                    lambda acc: acc["hits"],
-                ),
-            ).otherwise(
-                F.raise_error(F.lit("a pattern matches the empty string")).cast(
-                    HIT_ARRAY
+    def walk(found: Sql, gaps: Sql, parts: Sql) -> Sql:
+        def step(acc: Sql, i: Sql) -> Sql:
+            def add(end: Sql) -> Sql:
+                hit = struct(
+                    start=f"{end} - length(get({parts}, {i}))",
+                    end=end,
+                    text=f"get({parts}, {i})",
                 )
-            )
+                return struct(pos=end, hits=f"concat({acc}.hits, array({hit}))")
+
+            width = f"length(get({gaps}, {i})) + length(get({found}, {i}))"
+            return let(f"{acc}.pos + {width}", add)
+
+        start = struct(pos="0", hits=empty(HIT_ARRAY))
+        placed = fold(
+            f"sequence(0, size({found}) - 1)", start, step, lambda acc: f"{acc}.hits"
+        )
+        failed = "raise_error('a pattern matches the empty string')"
+        return (
+            f"CASE WHEN size({gaps}) = size({found}) + 1 THEN {placed} "
+            f"ELSE cast({failed} AS {HIT_ARRAY}) END"
+        )
 
-        gaps = F.split(text, regex, -1)
+    def place(found: Sql) -> Sql:
+        gaps = f"split({text}, {regex}, -1)"
         if group == 0:
-            return let(gaps, lambda g: walk(g, found))
-        parts = F.regexp_extract_all(text, regex, F.lit(group))
-        return let(gaps, lambda g: let(parts, lambda p: walk(g, p)))
-
-    return let(
-        F.regexp_extract_all(text, regex, F.lit(0)),
-        lambda found: F.when(F.size(found) > 0, place(found)).otherwise(
-            empty_array(HIT_ARRAY)
-        ),
-    )
+            placed = let(gaps, lambda g: walk(found, g, found))
+        else:
+            parts = f"regexp_extract_all({text}, {regex}, {group})"
+            placed = let(gaps, lambda g: let(parts, lambda p: walk(found, g, p)))
+        return f"CASE WHEN size({found}) > 0 THEN {placed} ELSE {empty(HIT_ARRAY)} END"
+
+    return let(f"regexp_extract_all({text}, {regex}, 0)", place)
 
 
-def priority_of(pii_type: Column) -> Column:
-    chain = F.lit(0)
-    for name, value in TYPE_PRIORITY.items():
-        chain = F.when(pii_type == name, F.lit(value)).otherwise(chain)
-    return chain
+def priority_of(pii_type: Sql) -> Sql:
+    return case(pii_type, {k: str(v) for k, v in TYPE_PRIORITY.items()}, "0")
 
 
 def make_span(
-    start: Column,
-    end: Column,
-    text: Column,
-    pii_type: Column | str,
-    confidence: Column | float,
-    layer: Column | int,
-    seq: Column | int,
-    rule: Column | str,
-    status: Column,
-) -> Column:
-    def col(value):
-        return value if isinstance(value, Column) else F.lit(value)
-
-    if isinstance(pii_type, str):
-        priority = F.lit(TYPE_PRIORITY.get(pii_type, 0))
-    else:
-        priority = priority_of(pii_type)
-    return F.struct(
-        start.cast("int").alias("start"),
-        end.cast("int").alias("end"),
-        col(layer).cast("int").alias("layer"),
-        col(seq).cast("int").alias("seq"),
-        text.alias("text"),
-        col(pii_type).alias("pii_type"),
-        col(confidence).cast("double").alias("confidence"),
-        priority.alias("priority"),
-        col(rule).alias("rule"),
-        status.alias("status"),
+    start: Sql,
+    end: Sql,
+    text: Sql,
+    pii_type: Sql,
+    priority: Sql,
+    confidence: Sql,
+    layer: int,
+    seq: Sql,
+    rule: Sql,
+    status: Sql,
+) -> Sql:
+    """One span; the field order is that of ``schemas.SPAN_STRUCT``."""
+    return struct(
+        start=start,
+        end=end,
+        layer=str(layer),
+        seq=seq,
+        text=text,
+        pii_type=pii_type,
+        confidence=f"cast({confidence} AS double)",
+        priority=priority,
+        rule=rule,
+        status=status,
+    )
+
+
+def typed_span(
+    hit: Sql,
+    pii_type: str,
+    confidence: Sql,
+    layer: int,
+    seq: int,
+    rule: str,
+    status: str,
+) -> Sql:
+    """The span of a hit whose type is fixed."""
+    return make_span(
+        f"{hit}.start", f"{hit}.end", f"{hit}.text", text_literal(pii_type),
+        str(TYPE_PRIORITY.get(pii_type, 0)), confidence, layer, str(seq),
+        text_literal(rule), text_literal(status),
     )
 
 
-def no_spans() -> Column:
-    return empty_array(SPAN_ARRAY)
+def no_spans() -> Sql:
+    return empty(SPAN_ARRAY)
 
 
-def context_of(
-    text: Column, start: Column, end: Column, width: int = CONTEXT_CHARS
-) -> Column:
+def context_of(text: Sql, start: Sql, end: Sql, width: int = CONTEXT_CHARS) -> Sql:
     """The text around a span, with ``...`` where it is cut."""
-    left = F.greatest(start - F.lit(width), F.lit(0))
-    right = F.least(end + F.lit(width), F.length(text))
-    return F.concat(
-        F.when(left > 0, F.lit("...")).otherwise(F.lit("")),
-        F.substr(text, left + 1, right - left),
-        F.when(right < F.length(text), F.lit("...")).otherwise(F.lit("")),
+    left = f"greatest({start} - {width}, 0)"
+    right = f"least({end} + {width}, length({text}))"
+    return (
+        f"concat(if({left} > 0, '...', ''), "
+        f"substr({text}, {left} + 1, {right} - {left}), "
+        f"if({right} < length({text}), '...', ''))"
     )
 
 
-def splice(text: Column, edits: Column) -> Column:
+def splice(text: Sql, edits: Sql) -> Sql:
     """Replace non-overlapping ``edits`` (sorted by start) in one pass.
 
-    ``edits`` is ``array<struct<start, end, placeholder>>``.
+    ``edits`` is an array of structs with ``start, end, placeholder``.
     """
 
-    def join(items: Column) -> Column:
-        def piece(edit: Column, i: Column) -> Column:
-            before = F.coalesce(F.get(items, i - 1)["end"], F.lit(0))
-            gap = F.substr(text, before + 1, edit["start"] - before)
-            return F.concat(gap, edit["placeholder"])
+    def join(items: Sql) -> Sql:
+        def piece(edit: Sql, i: Sql) -> Sql:
+            before = f"coalesce(get({items}, {i} - 1).end, 0)"
+            return (
+                f"concat(substr({text}, {before} + 1, {edit}.start - {before}), "
+                f"{edit}.placeholder)"
+            )
 
-        tail = F.substr(
-            text,
-            F.get(items, F.size(items) - 1)["end"] + 1,
-            F.length(text),
+        tail = f"substr({text}, get({items}, size({items}) - 1).end + 1)"
+        pieces = transform(items, piece, arity=2)
+        return (
+            f"CASE WHEN size({items}) > 0 "
+            f"THEN concat(array_join({pieces}, ''), {tail}) ELSE {text} END"
         )
-        return F.concat(F.array_join(F.transform(items, piece), ""), tail)
 
-    return let(
-        edits,
-        lambda items: F.when(F.size(items) > 0, join(items)).otherwise(text),
-    )
+    return let(edits, join)
 
 
-def splice_from_right(text: Column, edits: Column) -> Column:
+def splice_from_right(text: Sql, edits: Sql) -> Sql:
     """Replace edits one after the other from the last start to the first on
     the changing text.  Overlapping edits cut into each other, as in the
     compatibility mode's source behaviour."""
 
-    def step(out: Column, edit: Column) -> Column:
-        return F.concat(
-            F.substr(out, F.lit(1), edit["start"]),
-            edit["placeholder"],
-            F.substr(out, edit["end"] + 1, F.length(out)),
+    def step(out: Sql, edit: Sql) -> Sql:
+        return (
+            f"concat(substr({out}, 1, {edit}.start), {edit}.placeholder, "
+            f"substr({out}, {edit}.end + 1))"
         )
 
-    return F.aggregate(edits, text, step)
+    return fold(edits, text, step)
 
 
-def count_by_type(spans: Column) -> Column:
+def count_by_type(spans: Sql) -> Sql:
     """``map<type, count>`` of an array of spans."""
 
-    def entries(kinds: Column) -> Column:
-        return F.map_from_entries(
-            F.transform(
-                F.array_sort(F.array_distinct(kinds)),
-                lambda kind: F.struct(
-                    kind,
-                    F.size(F.filter(kinds, lambda other: other == kind)).cast("long"),
-                ),
-            )
+    def entries(kinds: Sql) -> Sql:
+        each = transform(
+            f"array_sort(array_distinct({kinds}))",
+            lambda kind: struct(
+                key=kind,
+                value=f"cast(size({keep(kinds, lambda k: f'{k} = {kind}')}) AS bigint)",
+            ),
         )
+        return f"map_from_entries({each})"
 
-    return let(F.transform(spans, lambda s: s["pii_type"]), entries)
+    return let(transform(spans, lambda s: f"{s}.pii_type"), entries)

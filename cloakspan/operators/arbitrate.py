@@ -7,13 +7,10 @@ compares spans of one cluster.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .. import rules as R
-from ..functions.expr import let
+from ..functions.expr import Sql, empty, exists, fold, keep, let, struct, transform
 from ..functions.spans import no_spans
-from ..schemas import SPAN_ARRAY, SPAN_STRUCT
+from ..schemas import SPAN_ARRAY
 
 
 def status_of(layer: int, confidence: float, threshold: float) -> str:
@@ -24,124 +21,103 @@ def status_of(layer: int, confidence: float, threshold: float) -> str:
     return "match" if confidence >= threshold else "uncertain"
 
 
-def first_claims(spans: Column) -> Column:
+def first_claims(spans: Sql) -> Sql:
     """Keep the first claim of each (start, end), by layer then rule order."""
 
-    def keep(ordered: Column) -> Column:
-        def is_first(span: Column, i: Column) -> Column:
-            before = F.get(ordered, i - 1)
+    def firsts(ordered: Sql) -> Sql:
+        def is_first(span: Sql, i: Sql) -> Sql:
+            before = f"get({ordered}, {i} - 1)"
             return (
-                (i == 0)
-                | (before["start"] != span["start"])
-                | (before["end"] != span["end"])
+                f"({i} = 0 OR {before}.start != {span}.start "
+                f"OR {before}.end != {span}.end)"
             )
 
-        return F.filter(ordered, is_first)
+        return keep(ordered, is_first, arity=2)
 
-    return let(F.array_sort(spans), keep)
+    return let(f"array_sort({spans})", firsts)
 
 
-def of_status(spans: Column, status: str) -> Column:
-    return F.filter(spans, lambda s: s["status"] == status)
+def of_status(spans: Sql, status: str) -> Sql:
+    return keep(spans, lambda s: f"{s}.status = '{status}'")
 
 
-def _rank(span: Column, order: str) -> list[Column]:
-    confidence = -span["confidence"]
-    priority = -span["priority"]
-    length = F.length(span["text"])
+def _rank(span: Sql, order: str) -> dict[str, Sql]:
+    """Sort key of the greedy choice; the field order is the policy."""
+    confidence = f"-{span}.confidence"
+    priority = f"-{span}.priority"
+    length = f"length({span}.text)"
     if order == "reference":
         head = [confidence, priority, length]
     elif order == "longest":
-        head = [-length, confidence, priority, span["start"]]
+        head = [f"-{length}", confidence, priority, f"{span}.start"]
     else:
         raise ValueError(f"unknown order policy: {order}")
-    return [*head, span["layer"], span["seq"], span["start"], span["end"]]
-
-
-def _ranked(spans: Column, order: str) -> Column:
-    def key(span: Column) -> Column:
-        parts = [c.alias(f"k{i}") for i, c in enumerate(_rank(span, order))]
-        return F.struct(*parts, span.alias("span"))
-
-    return F.transform(
-        F.array_sort(F.transform(spans, key)), lambda k: k["span"]
-    )
+    parts = [*head, f"{span}.layer", f"{span}.seq", f"{span}.start", f"{span}.end"]
+    return {f"k{i}": part for i, part in enumerate(parts)}
 
 
-def _overlaps(a: Column, b: Column) -> Column:
-    return (a["end"] > b["start"]) & (a["start"] < b["end"])
+def _ranked(spans: Sql, order: str) -> Sql:
+    keyed = transform(spans, lambda s: struct(**_rank(s, order), span=s))
+    return transform(f"array_sort({keyed})", lambda k: f"{k}.span")
 
 
-def _greedy(spans: Column, order: str, same_text: bool) -> Column:
-    def clash(span: Column, kept: Column) -> Column:
-        test = _overlaps(span, kept)
-        return test | (span["text"] == kept["text"]) if same_text else test
+def _greedy(spans: Sql, order: str, same_text: bool) -> Sql:
+    def step(kept: Sql, span: Sql) -> Sql:
+        def clash(k: Sql) -> Sql:
+            test = f"({span}.end > {k}.start AND {span}.start < {k}.end)"
+            return f"({test} OR {span}.text = {k}.text)" if same_text else test
 
-    def step(kept: Column, span: Column) -> Column:
-        return F.when(
-            F.exists(kept, lambda k: clash(span, k)), kept
-        ).otherwise(F.concat(kept, F.array(span)))
+        return f"if({exists(kept, clash)}, {kept}, concat({kept}, array({span})))"
 
-    return F.aggregate(_ranked(spans, order), no_spans(), step)
+    return fold(_ranked(spans, order), no_spans(), step)
 
 
-def _clusters(ordered: Column) -> Column:
+def _clusters(ordered: Sql) -> Sql:
     """Cut spans sorted by start into runs that overlap."""
-    start = F.struct(
-        F.lit(-1).alias("reach"),
-        F.array().cast(f"array<{SPAN_ARRAY}>").alias("done"),
-        no_spans().alias("open"),
-    )
-
-    def step(acc: Column, span: Column) -> Column:
-        joins = span["start"] < acc["reach"]
-        return F.struct(
-            F.greatest(acc["reach"], span["end"]).alias("reach"),
-            F.when(joins, acc["done"])
-            .otherwise(F.concat(acc["done"], F.array(acc["open"])))
-            .alias("done"),
-            F.when(joins, F.concat(acc["open"], F.array(span)))
-            .otherwise(F.array(span))
-            .alias("open"),
+    start = struct(reach="-1", done=empty(f"array<{SPAN_ARRAY}>"), open=no_spans())
+
+    def step(acc: Sql, span: Sql) -> Sql:
+        joins = f"{span}.start < {acc}.reach"
+        return struct(
+            reach=f"greatest({acc}.reach, {span}.end)",
+            done=f"if({joins}, {acc}.done, concat({acc}.done, array({acc}.open)))",
+            open=f"if({joins}, concat({acc}.open, array({span})), array({span}))",
         )
 
-    return F.aggregate(
-        ordered, start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"]))
+    return fold(
+        ordered, start, step, lambda acc: f"concat({acc}.done, array({acc}.open))"
     )
 
 
-def _touching(ordered: Column) -> Column:
+def _touching(ordered: Sql) -> Sql:
     """True if any span starts before the one in front of it has ended."""
-    return F.exists(
-        F.sequence(F.lit(0), F.size(ordered) - 1),
-        lambda i: F.coalesce(
-            F.get(ordered, i)["start"] < F.get(ordered, i - 1)["end"], F.lit(False)
-        ),
+    return exists(
+        f"sequence(0, size({ordered}) - 1)",
+        lambda i: f"coalesce(get({ordered}, {i}).start "
+        f"< get({ordered}, {i} - 1).end, false)",
     )
 
 
-def _first_per_text(spans: Column, order: str) -> Column:
+def _first_per_text(spans: Sql, order: str) -> Sql:
     """Of spans with the same text keep the best ranked one."""
+    keyed = transform(
+        spans, lambda s: struct(text=f"{s}.text", **_rank(s, order), span=s)
+    )
 
-    def key(span: Column) -> Column:
-        parts = [c.alias(f"k{i}") for i, c in enumerate(_rank(span, order))]
-        return F.struct(span["text"].alias("text"), *parts, span.alias("span"))
-
-    def keep(ordered: Column) -> Column:
-        return F.transform(
-            F.filter(
-                ordered,
-                lambda k, i: (i == 0) | (F.get(ordered, i - 1)["text"] != k["text"]),
-            ),
-            lambda k: k["span"],
+    def firsts(ordered: Sql) -> Sql:
+        kept = keep(
+            ordered,
+            lambda k, i: f"({i} = 0 OR get({ordered}, {i} - 1).text != {k}.text)",
+            arity=2,
         )
+        return transform(kept, lambda k: f"{k}.span")
 
-    return let(F.array_sort(F.transform(spans, key)), keep)
+    return let(f"array_sort({keyed})", firsts)
 
 
 def resolve_overlaps(
-    spans: Column, order: str = "longest", repeats: str = "all"
-) -> Column:
+    spans: Sql, order: str = "longest", repeats: str = "all"
+) -> Sql:
     """Greedy choice among overlapping spans; result sorted by start.
 
     ``order``: ``longest`` (a containing span wins) or ``reference``
@@ -151,49 +127,31 @@ def resolve_overlaps(
     if repeats not in ("all", "first"):
         raise ValueError(f"unknown repeat policy: {repeats}")
 
-    def resolve(ordered: Column) -> Column:
+    def resolve(ordered: Sql) -> Sql:
         if repeats == "all":
-            clustered = F.flatten(
-                F.transform(
-                    _clusters(ordered),
-                    lambda group: F.when(F.size(group) < 2, group).otherwise(
-                        _greedy(group, order, same_text=False)
-                    ),
-                )
+            grouped = transform(
+                _clusters(ordered),
+                lambda g: f"if(size({g}) < 2, {g}, {_greedy(g, order, False)})",
             )
-            chosen, plain = clustered, ordered
+            chosen, plain = f"flatten({grouped})", ordered
         else:
             chosen = _greedy(ordered, order, same_text=True)
-            plain = F.array_sort(_first_per_text(ordered, order))
+            plain = f"array_sort({_first_per_text(ordered, order)})"
         return (
-            F.when(F.size(ordered) < 2, ordered)
-            .when(_touching(ordered), F.array_sort(chosen))
-            .otherwise(plain)
+            f"CASE WHEN size({ordered}) < 2 THEN {ordered} "
+            f"WHEN {_touching(ordered)} THEN array_sort({chosen}) "
+            f"ELSE {plain} END"
         )
 
-    return let(F.array_sort(spans), resolve)
+    return let(f"array_sort({spans})", resolve)
 
 
-def arbitrate(
-    claimed: Column, order: str = "longest", repeats: str = "all"
-) -> Column:
+def arbitrate(claimed: Sql, order: str = "longest", repeats: str = "all") -> Sql:
     """Resolve matches and uncertain spans apart and return both, by start."""
-    return let(
-        claimed,
-        lambda c: F.array_sort(
-            F.concat(
-                resolve_overlaps(of_status(c, "match"), order, repeats),
-                resolve_overlaps(of_status(c, "uncertain"), order, repeats),
-            )
-        ),
-    )
 
+    def both(c: Sql) -> Sql:
+        matches = resolve_overlaps(of_status(c, "match"), order, repeats)
+        uncertain = resolve_overlaps(of_status(c, "uncertain"), order, repeats)
+        return f"array_sort(concat({matches}, {uncertain}))"
 
-__all__ = [
-    "SPAN_STRUCT",
-    "arbitrate",
-    "first_claims",
-    "of_status",
-    "resolve_overlaps",
-    "status_of",
-]
+    return let(claimed, both)

@@ -1,4 +1,4 @@
-"""Detection layers as one Column expression per text.
+"""Detection layers as one Spark SQL expression per text.
 
 ``detect_spans`` keeps a text in its row: the layers append to one array of
 span structs, so detection needs no shuffle and no Python worker.  Tables that
@@ -11,12 +11,19 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
 from .. import rules as R
-from ..functions.expr import empty_array, flat, let
-from ..functions.spans import context_of, make_span, no_spans, regex_hits
+from ..functions.expr import (
+    Sql,
+    concat,
+    empty,
+    keep,
+    let,
+    struct,
+    text_list,
+    text_literal,
+    transform,
+)
+from ..functions.spans import make_span, no_spans, regex_hits, typed_span
 from ..schemas import HIT_ARRAY
 from .arbitrate import first_claims, status_of
 from .entities import entity_spans
@@ -24,7 +31,12 @@ from .entities import entity_spans
 # Largest dictionary that is tested value by value inside the row.
 SMALL_DICTIONARY = 500
 # Largest safe list that is inlined as a hash set.
-SMALL_SAFE_LIST = 50_000
+SMALL_SAFE_LIST = 10_000
+
+SPAN_FIELDS = (
+    "start", "end", "layer", "seq", "text", "pii_type",
+    "confidence", "priority", "rule", "status",
+)
 
 
 @dataclass(frozen=True)
@@ -50,7 +62,7 @@ class Detector:
         """Add a case-sensitive pattern (Java regex syntax)."""
         seq = len(self.custom_patterns)
         rule = R.Rule(
-            name or f"custom_{seq}", pii_type, pattern, confidence,
+            name or f"custom_{seq}", known_type(pii_type), pattern, confidence,
             R.LAYER_CUSTOM, seq, ignore_case=False,
         )
         return replace(self, custom_patterns=self.custom_patterns + (rule,))
@@ -66,6 +78,7 @@ class Detector:
 
 
 def known_type(pii_type: str) -> str:
+    """Unknown types become ``custom``."""
     return pii_type if pii_type in R.TYPE_PRIORITY else "custom"
 
 
@@ -74,11 +87,6 @@ def escape_regex(value: str) -> str:
     return "".join(c if c.isalnum() or c == "_" else "\\" + c for c in value)
 
 
-def fold_case(text: Column) -> Column:
-    """A coarse case fold: texts equal under case-blind matching fold alike."""
-    return F.replace(F.lower(F.upper(text)), F.lit("̇"), F.lit(""))
-
-
 def literal_regex(value: str, boundary: bool) -> str:
     body = escape_regex(value)
     if boundary:
@@ -86,36 +94,38 @@ def literal_regex(value: str, boundary: bool) -> str:
     return R.java_regex(body, ignore_case=True)
 
 
-def rule_hits(text: Column, rule: R.Rule) -> Column:
+def fold_case(text: Sql) -> Sql:
+    """A coarse case fold: texts equal under case-blind matching fold alike."""
+    return f"replace(lower(upper({text})), '\\u0307', '')"
+
+
+def rule_hits(text: Sql, rule: R.Rule) -> Sql:
     """Hits of one rule; the rule's gate keeps clean texts off the pattern."""
-    hits = regex_hits(text, F.lit(rule.regex))
+    hits = regex_hits(text, text_literal(rule.regex))
     gates = []
     if rule.gate_literal is not None:
-        gates.append(text.contains(rule.gate_literal))
+        gates.append(f"contains({text}, {text_literal(rule.gate_literal)})")
     if rule.gate_regex is not None:
-        gates.append(text.rlike(rule.gate_regex))
+        gates.append(f"{text} RLIKE {text_literal(rule.gate_regex)}")
     if not gates:
         return hits
-    gate = gates[0]
-    for extra in gates[1:]:
-        gate = gate & extra
-    return F.when(gate, hits).otherwise(empty_array(HIT_ARRAY))
+    return f"CASE WHEN {' AND '.join(gates)} THEN {hits} ELSE {empty(HIT_ARRAY)} END"
 
 
-def rule_spans(text: Column, rule: R.Rule, threshold: float) -> Column:
-    status = F.lit(status_of(rule.layer, rule.confidence, threshold))
-    return F.transform(
+def rule_spans(text: Sql, rule: R.Rule, threshold: float) -> Sql:
+    status = status_of(rule.layer, rule.confidence, threshold)
+    return transform(
         rule_hits(text, rule),
-        lambda h: make_span(
-            h["start"], h["end"], h["text"], rule.pii_type, rule.confidence,
-            rule.layer, rule.seq, rule.name, status,
+        lambda h: typed_span(
+            h, rule.pii_type, str(rule.confidence), rule.layer, rule.seq,
+            rule.name, status,
         ),
     )
 
 
 def learned_spans(
-    text: Column, pii: Iterable[tuple[str, str]], boundary: bool = False
-) -> Column:
+    text: Sql, pii: Iterable[tuple[str, str]], boundary: bool = False
+) -> Sql:
     """Literal values, anywhere in the text, case-blind, always matches."""
     entries = [(known_type(t), v) for t, v in pii if v]
     if len(entries) > SMALL_DICTIONARY:
@@ -124,47 +134,37 @@ def learned_spans(
         )
     if not entries:
         return no_spans()
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("seq"),
-                F.lit(t).alias("pii_type"),
-                F.lit(R.TYPE_PRIORITY[t]).alias("priority"),
-                fold_case(F.lit(v)).alias("folded"),
-                F.lit(literal_regex(v, boundary)).alias("regex"),
-            )
-            for i, (t, v) in enumerate(entries)
-        ]
-    )
+    rows = [
+        struct(
+            seq=str(i),
+            pii_type=text_literal(t),
+            priority=str(R.TYPE_PRIORITY[t]),
+            folded=fold_case(text_literal(v)),
+            regex=text_literal(literal_regex(v, boundary)),
+        )
+        for i, (t, v) in enumerate(entries)
+    ]
 
-    def expand(entry: Column) -> Column:
-        return F.transform(
-            regex_hits(text, entry["regex"]),
-            lambda h: F.struct(
-                h["start"].alias("start"),
-                h["end"].alias("end"),
-                F.lit(R.LAYER_LEARNED).alias("layer"),
-                entry["seq"].alias("seq"),
-                h["text"].alias("text"),
-                entry["pii_type"].alias("pii_type"),
-                F.lit(R.LEARNED_CONFIDENCE).alias("confidence"),
-                entry["priority"].alias("priority"),
-                F.lit("learned").alias("rule"),
-                F.lit("match").alias("status"),
+    def expand(entry: Sql) -> Sql:
+        return transform(
+            regex_hits(text, f"{entry}.regex"),
+            lambda h: make_span(
+                f"{h}.start", f"{h}.end", f"{h}.text", f"{entry}.pii_type",
+                f"{entry}.priority", str(R.LEARNED_CONFIDENCE), R.LAYER_LEARNED,
+                f"{entry}.seq", "'learned'", "'match'",
             ),
         )
 
-    return let(
-        fold_case(text),
-        lambda folded: F.flatten(
-            F.transform(
-                F.filter(table, lambda e: F.contains(folded, e["folded"])), expand
-            )
-        ),
-    )
+    def search(folded: Sql) -> Sql:
+        present = keep(
+            f"array({', '.join(rows)})", lambda e: f"contains({folded}, {e}.folded)"
+        )
+        return f"flatten({transform(present, expand)})"
 
+    return let(fold_case(text), search)
 
-def drop_safe(spans: Column, safe: Iterable[str]) -> Column:
+
+def drop_safe(spans: Sql, safe: Iterable[str]) -> Sql:
     """Drop hits whose lower text is known safe; learned values stay."""
     values = sorted({v.lower() for v in safe})
     if not values:
@@ -173,51 +173,49 @@ def drop_safe(spans: Column, safe: Iterable[str]) -> Column:
         raise ValueError(
             f"{len(values)} safe values: use drop_safe_table() on span rows"
         )
-    return F.filter(
+    return keep(
         spans,
-        lambda s: (s["layer"] == R.LAYER_LEARNED)
-        | ~F.lower(s["text"]).isin(values),
+        lambda s: f"({s}.layer = {R.LAYER_LEARNED} "
+        f"OR lower({s}.text) NOT IN ({text_list(values)}))",
     )
 
 
-def name_spans(text: Column) -> Column:
+def name_spans(text: Sql) -> Sql:
     """Two capitalised words; the name lists only set the confidence."""
     regex = R.java_regex(R.NAME_PATTERN, ignore_case=False)
+    spaces = text_literal(r"(?U)\s+")
 
-    def score(words: Column) -> Column:
-        first = F.get(words, 0).isin(list(R.FIRST_NAMES))
-        last = F.get(words, 1).isin(list(R.LAST_NAMES))
+    def score(words: Sql) -> Sql:
+        first = f"get({words}, 0) IN ({text_list(R.FIRST_NAMES)})"
+        last = f"get({words}, 1) IN ({text_list(R.LAST_NAMES)})"
         return (
-            F.when(first & last, F.lit(R.NAME_BOTH_KNOWN))
-            .when(first | last, F.lit(R.NAME_ONE_KNOWN))
-            .otherwise(F.lit(R.NAME_NONE_KNOWN))
+            f"CASE WHEN {first} AND {last} THEN {R.NAME_BOTH_KNOWN} "
+            f"WHEN {first} OR {last} THEN {R.NAME_ONE_KNOWN} "
+            f"ELSE {R.NAME_NONE_KNOWN} END"
         )
 
-    return F.transform(
-        regex_hits(text, F.lit(regex)),
-        lambda h: make_span(
-            h["start"], h["end"], h["text"], "person_name",
-            let(F.split(F.lower(h["text"]), r"(?U)\s+"), score),
-            R.LAYER_NAMES, 0, "name_bigram", F.lit("uncertain"),
+    return transform(
+        regex_hits(text, text_literal(regex)),
+        lambda h: typed_span(
+            h, "person_name", let(f"split(lower({h}.text), {spaces})", score),
+            R.LAYER_NAMES, 0, "name_bigram", "uncertain",
         ),
     )
 
 
-def contextual_spans(text: Column, pii_type: str, seq: int = 0) -> Column:
+def contextual_spans(text: Sql, pii_type: str, seq: int = 0) -> Sql:
     """Capitalised phrases after a keyword of the type (opt-in layer)."""
     regex = R.java_regex(R.contextual_pattern(pii_type), ignore_case=True)
-    return F.transform(
-        regex_hits(text, F.lit(regex), group=2),
-        lambda h: make_span(
-            h["start"], h["end"], h["text"], pii_type, R.CONTEXTUAL_CONFIDENCE,
-            R.LAYER_CONTEXTUAL, seq, "contextual", F.lit("uncertain"),
+    return transform(
+        regex_hits(text, text_literal(regex), group=2),
+        lambda h: typed_span(
+            h, pii_type, str(R.CONTEXTUAL_CONFIDENCE), R.LAYER_CONTEXTUAL, seq,
+            "contextual", "uncertain",
         ),
     )
 
 
-def raw_spans(
-    text: Column, detector: Detector, entities: Column | None = None
-) -> Column:
+def raw_spans(text: Sql, detector: Detector, entities: Sql | None = None) -> Sql:
     """Spans of all layers before arbitration."""
     layers = []
     if detector.learned_pii:
@@ -226,12 +224,12 @@ def raw_spans(
         )
     for rule in (*detector.rules, *detector.custom_patterns):
         layers.append(rule_spans(text, rule, detector.threshold))
-    found = flat(layers) if layers else no_spans()
+    found = concat(layers) if layers else no_spans()
     if entities is not None:
         found = let(
             drop_safe(found, detector.learned_safe),
-            lambda earlier: F.concat(
-                earlier, entity_spans(text, entities, earlier, detector.threshold)
+            lambda earlier: concat(
+                [earlier, entity_spans(text, entities, earlier, detector.threshold)]
             ),
         )
     late = []
@@ -239,41 +237,9 @@ def raw_spans(
         late.append(name_spans(text))
     for seq, pii_type in enumerate(detector.contextual):
         late.append(contextual_spans(text, pii_type, seq))
-    if late:
-        found = flat([found, *late])
-    return drop_safe(found, detector.learned_safe)
+    return drop_safe(concat([found, *late]), detector.learned_safe)
 
 
-def detect_spans(
-    text: Column, detector: Detector, entities: Column | None = None
-) -> Column:
+def detect_spans(text: Sql, detector: Detector, entities: Sql | None = None) -> Sql:
     """All claimed spans of a text, one per (start, end), sorted by start."""
     return first_claims(raw_spans(text, detector, entities))
-
-
-def spans_table(
-    units: DataFrame,
-    spans: Column,
-    keys: list[str],
-    text: str = "text",
-    context: bool = True,
-) -> DataFrame:
-    """One row per span.  ``spans`` is evaluated once, inside the generator."""
-    exploded = units.select(*keys, text, F.inline(spans).alias(*SPAN_FIELDS))
-    out = [
-        *keys,
-        *[F.col(f) for f in SPAN_FIELDS],
-    ]
-    if context:
-        out.append(
-            context_of(F.col(text), F.col("start"), F.col("end")).alias("context")
-        )
-    if text in SPAN_FIELDS:
-        raise ValueError("rename the text column before calling spans_table")
-    return exploded.select(*out)
-
-
-SPAN_FIELDS = (
-    "start", "end", "layer", "seq", "text", "pii_type",
-    "confidence", "priority", "rule", "status",
-)

@@ -9,45 +9,47 @@ in-row dictionary: substrings, case-blind, each value on its own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import make_span, regex_hits
+from ..functions.expr import Sql, let, text_list, text_literal, transform
+from ..functions.spans import make_span, priority_of, regex_hits
 from ..rules import LAYER_LEARNED, LEARNED_CONFIDENCE, TYPE_PRIORITY
 from .detect import SPAN_FIELDS, Detector, fold_case, raw_spans
-from .redact import SAFE, Policy, arbitrate_table
+from .redact import SAFE, SKIP_UNCERTAIN, Policy, arbitrate_table
 
 UNIT = ["scope_id", "doc_id", "unit_no"]
 GRAM = 5
 
 
-def known_types(pii_type: Column) -> Column:
+def known_types(pii_type: Sql) -> Sql:
     """Unknown types become ``custom``."""
-    return F.when(pii_type.isin(list(TYPE_PRIORITY)), pii_type).otherwise("custom")
+    return f"if({pii_type} IN ({text_list(TYPE_PRIORITY)}), {pii_type}, 'custom')"
 
 
-def quote_regex(value: Column) -> Column:
+def quote_regex(value: Sql) -> Sql:
     """Quote a literal: every character but letters and digits is escaped."""
-    return F.regexp_replace(value, r"([^\p{L}\p{N}_])", r"\\$1")
+    special = text_literal(r"([^\p{L}\p{N}_])")
+    return f"regexp_replace({value}, {special}, {text_literal(chr(92) * 2 + '$1')})"
 
 
-def grams(folded: Column, size: int) -> Column:
+def grams(folded: Sql, size: int) -> Sql:
     """Distinct grams of ``size`` characters.
 
     The text is cut into characters once and the shifted arrays are zipped;
     cutting every gram out of the string would walk it from the start.
     """
-    chars = F.split(folded, "", -1)
-    joined = chars
-    for shift in range(1, size):
-        joined = F.zip_with(
-            joined,
-            F.slice(chars, F.lit(shift + 1), F.size(chars)),
-            lambda head, char: F.concat(head, char),
-        )
-    return F.filter(
-        F.array_distinct(F.array_compact(joined)), lambda g: F.length(g) == size
-    )
+
+    def build(chars: Sql) -> Sql:
+        joined = chars
+        for shift in range(1, size):
+            joined = (
+                f"zip_with({joined}, slice({chars}, {shift + 1}, size({chars})), "
+                f"(head, char) -> head || char)"
+            )
+        return f"array_distinct(array_compact({joined}))"
+
+    return let(f"split({folded}, '', -1)", build)
 
 
 def file_under_gram(dictionary: DataFrame, size: int = GRAM) -> DataFrame:
@@ -59,20 +61,19 @@ def file_under_gram(dictionary: DataFrame, size: int = GRAM) -> DataFrame:
     entries = (
         dictionary.where(F.length("value") > 0)
         .select(
-            known_types(F.col("pii_type")).alias("pii_type"),
+            F.expr(known_types("pii_type")).alias("pii_type"),
             "value",
-            fold_case(F.col("value")).alias("folded"),
+            F.expr(fold_case("value")).alias("folded"),
         )
         .distinct()
         .withColumn("gram_size", F.least(F.length("folded"), F.lit(size)))
     )
-    chosen_size = F.lit(None).cast("array<string>")
-    for n in range(1, size + 1):
-        chosen_size = F.when(
-            F.col("gram_size") == n, grams(F.col("folded"), n)
-        ).otherwise(chosen_size)
+    arms = " ".join(f"WHEN {n} THEN {grams('folded', n)}" for n in range(1, size + 1))
     exploded = entries.select(
-        "pii_type", "value", "gram_size", F.explode(chosen_size).alias("gram")
+        "pii_type",
+        "value",
+        "gram_size",
+        F.expr(f"explode(CASE gram_size {arms} END)").alias("gram"),
     )
     shared = exploded.groupBy("gram").agg(F.count("*").alias("sharing"))
     return (
@@ -98,34 +99,33 @@ def dictionary_spans(
     sizes = sorted(r[0] for r in filed.select("gram_size").distinct().collect())
     if not sizes:
         sizes = [gram]
-    folded = units.select(*UNIT, fold_case(F.col("text")).alias("folded"))
-    cut = F.concat(*[grams(F.col("folded"), n) for n in sizes])
-    text_grams = folded.select(*UNIT, F.explode(cut).alias("gram"))
+    folded = units.select(*UNIT, F.expr(fold_case("text")).alias("folded"))
+    cut = ", ".join(grams("folded", n) for n in sizes)
+    text_grams = folded.select(*UNIT, F.expr(f"explode(concat({cut}))").alias("gram"))
     found = (
         text_grams.join(filed, "gram")
         .groupBy(*UNIT)
         .agg(F.collect_set(F.struct("pii_type", "value")).alias("entries"))
     )
 
-    def expand(entry: Column) -> Column:
-        body = quote_regex(entry["value"])
+    def expand(entry: Sql) -> Sql:
+        body = quote_regex(f"{entry}.value")
+        left = right = "''"
         if boundary:
-            body = F.concat(
-                F.lit(r"(?<![\p{L}\p{N}_])"), body, F.lit(r"(?![\p{L}\p{N}_])")
-            )
-        return F.transform(
-            regex_hits(F.col("text"), F.concat(F.lit("(?iuU)"), body)),
+            left = text_literal(r"(?<![\p{L}\p{N}_])")
+            right = text_literal(r"(?![\p{L}\p{N}_])")
+        return transform(
+            regex_hits("text", f"concat('(?iuU)', {left}, {body}, {right})"),
             lambda h: make_span(
-                h["start"], h["end"], h["text"], entry["pii_type"],
-                LEARNED_CONFIDENCE, LAYER_LEARNED, 0, "learned", F.lit("match"),
+                f"{h}.start", f"{h}.end", f"{h}.text", f"{entry}.pii_type",
+                priority_of(f"{entry}.pii_type"), str(LEARNED_CONFIDENCE),
+                LAYER_LEARNED, "0", "'learned'", "'match'",
             ),
         )
 
-    spans = F.flatten(F.transform(F.col("entries"), expand))
-    return (
-        units.join(found, UNIT)
-        .select(*UNIT, F.inline(spans).alias(*[f"_{f}" for f in SPAN_FIELDS]))
-        .select(*UNIT, *[F.col(f"_{f}").alias(f) for f in SPAN_FIELDS])
+    spans = f"flatten({transform('entries', expand)})"
+    return units.join(found, UNIT).select(
+        *UNIT, F.expr(f"inline({spans})").alias(*SPAN_FIELDS)
     )
 
 
@@ -145,16 +145,16 @@ def table_spans(
     dictionary: DataFrame | None = None,
     safe: DataFrame | None = None,
     policy: Policy = SAFE,
+    mode: str = SKIP_UNCERTAIN,
     entities: str | None = None,
 ) -> DataFrame:
     """Arbitrated spans when the dictionary or the safe list is a table."""
-    body = units.withColumnRenamed("text", "_body")
-    found = raw_spans(
-        F.col("_body"), detector, F.col(entities) if entities else None
+    found = raw_spans("_body", detector, entities)
+    raw = units.withColumnRenamed("text", "_body").select(
+        *UNIT, F.expr(f"inline({found})").alias(*SPAN_FIELDS)
     )
-    raw = body.select(*UNIT, F.inline(found).alias(*SPAN_FIELDS))
     if dictionary is not None:
         raw = raw.unionByName(dictionary_spans(units.select(*UNIT, "text"), dictionary))
     if safe is not None:
         raw = drop_safe_table(raw, safe)
-    return arbitrate_table(raw, policy)
+    return arbitrate_table(raw, policy, mode)

@@ -2,158 +2,143 @@
 
 The model runs outside (for example in the user's ``mapInPandas``) and hands in
 rows ``(doc_id, unit_no, label, start, end)``; here they are cleaned, typed and
-anchored with Column expressions.
+anchored with Spark SQL expressions.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.expr import let, python_strip
-from ..functions.spans import priority_of
-
-_SPACES = r"(?U)[\s\x1c-\x1f]+"
+from ..functions.expr import (
+    Sql,
+    case,
+    keep,
+    let,
+    strip,
+    text_list,
+    text_literal,
+    transform,
+)
+from ..functions.spans import make_span, priority_of
 
 
-def _words(text: Column) -> Column:
-    return F.split(text, _SPACES)
+def _words(text: Sql) -> Sql:
+    spaces = text_literal(r"(?U)[\s\x1c-\x1f]+")
+    return f"split({text}, {spaces})"
 
 
-def clean_person(text: Column) -> Column:
+def clean_person(text: Sql) -> Sql:
     """The leading run of capitalised words; NULL if it is over three words."""
-    run = F.regexp_extract(text, "(?U)" + R.ENTITY_PERSON_RUN, 1)
-    kept = F.when(run != "", run).otherwise(text)
+    pattern = text_literal("(?U)" + R.ENTITY_PERSON_RUN)
+    run = f"coalesce(nullif(regexp_extract({text}, {pattern}, 1), ''), {text})"
     return let(
-        kept,
-        lambda k: F.when(
-            F.size(_words(python_strip(k))) <= R.ENTITY_PERSON_MAX_WORDS, k
-        ),
+        run,
+        lambda k: f"if(size({_words(strip(k))}) <= {R.ENTITY_PERSON_MAX_WORDS}, "
+        f"{k}, NULL)",
     )
 
 
-def clean_org(text: Column) -> Column:
+def clean_org(text: Sql) -> Sql:
     """The first line; a leading document word goes if a company name follows,
     else the entity is dropped (NULL)."""
+    prefixes = text_list(R.ENTITY_ORG_PREFIXES)
 
-    def rest(line: Column) -> Column:
-        lowered = F.lower(line)
-        prefixed = reduce(
-            or_, [lowered.startswith(p) for p in R.ENTITY_ORG_PREFIXES]
-        )
-        tail = F.array_join(F.slice(_words(line), F.lit(2), F.size(_words(line))), " ")
-        company = reduce(
-            or_, [F.lower(tail).contains(m) for m in R.ENTITY_ORG_MARKERS]
+    def company(tail: Sql) -> Sql:
+        return " OR ".join(
+            f"contains(lower({tail}), {text_literal(m)})" for m in R.ENTITY_ORG_MARKERS
         )
-        return F.when(~prefixed, line).when(company, tail)
 
-    return let(python_strip(F.substring_index(text, "\n", 1)), rest)
+    def rest(line: Sql) -> Sql:
+        prefixed = f"exists(array({prefixes}), p -> startswith(lower({line}), p))"
+        tail = f"array_join(slice({_words(line)}, 2, size({_words(line)})), ' ')"
+        named = let(tail, lambda t: f"if({company(t)}, {t}, NULL)")
+        return f"if({prefixed}, {named}, {line})"
 
+    return let(strip(f"substring_index({text}, '\\n', 1)"), rest)
 
-def clean_entity(label: Column, text: Column) -> Column:
+
+def clean_entity(label: Sql, text: Sql) -> Sql:
     """Cleaned entity text, or NULL where the entity is a false positive."""
-    stripped = python_strip(text)
-    cleaned = (
-        F.when(label == "PERSON", clean_person(stripped))
-        .when(label == "ORG", clean_org(stripped))
-        .otherwise(stripped)
+    stripped = strip(text)
+    cleaned = case(
+        label,
+        {
+            "PERSON": let(stripped, clean_person),
+            "ORG": let(stripped, clean_org),
+        },
+        stripped,
     )
-    false_positive = python_strip(F.lower(text)).isin(list(R.ENTITY_STOP_WORDS))
+    stop_word = f"{strip(f'lower({text})')} IN ({text_list(R.ENTITY_STOP_WORDS)})"
+    holds_ip = f"{text} RLIKE {text_literal('(?U)' + R.ENTITY_IP)}"
     return let(
         cleaned,
-        lambda c: F.when(
-            label.isin(list(R.ENTITY_LABELS))
-            & ~false_positive
-            & ~text.rlike("(?U)" + R.ENTITY_IP)
-            & (F.length(c) >= 2),
-            c,
-        ),
+        lambda c: f"if({label} IN ({text_list(R.ENTITY_LABELS)}) "
+        f"AND NOT {stop_word} AND NOT {holds_ip} AND length({c}) >= 2, {c}, NULL)",
     )
 
 
-def anchor(text: Column, cleaned: Column, start: Column) -> Column:
+def anchor(text: Sql, cleaned: Sql, start: Sql) -> Sql:
     """First occurrence of the cleaned text at or after the entity's start."""
-    found = F.position(cleaned, text, start + 1) - 1
-    return F.when(found >= 0, found).otherwise(start)
-
-
-def _label_value(label: Column, index: int) -> Column:
-    chain = F.lit(None)
-    for name, value in R.ENTITY_LABELS.items():
-        chain = F.when(label == name, F.lit(value[index])).otherwise(chain)
-    return chain
+    return let(
+        f"locate({cleaned}, {text}, {start} + 1) - 1",
+        lambda at: f"if({at} >= 0, {at}, {start})",
+    )
 
 
-def entity_spans(
-    text: Column, entities: Column, earlier: Column, threshold: float
-) -> Column:
-    """Spans of one text's entities (``array<struct<label,start,end>>``).
+def entity_spans(text: Sql, entities: Sql, earlier: Sql, threshold: float) -> Sql:
+    """Spans of one text's entities (``array<struct<start,end,label>>``).
 
     An entity whose raw span is already claimed by an earlier layer is dropped
     before the clean-up moves its borders.
     """
 
-    def build(entity: Column, i: Column) -> Column:
-        raw = F.substr(text, entity["start"] + 1, entity["end"] - entity["start"])
+    def build(entity: Sql, i: Sql) -> Sql:
+        label = f"{entity}.label"
+        raw = (
+            f"substr({text}, {entity}.start + 1, {entity}.end - {entity}.start)"
+        )
+        pii_type = case(label, {k: f"'{t}'" for k, (t, _) in R.ENTITY_LABELS.items()})
+        confidence = case(label, {k: str(c) for k, (_, c) in R.ENTITY_LABELS.items()})
 
-        def place(cleaned: Column) -> Column:
-            confidence = _label_value(entity["label"], 1)
-            pii_type = _label_value(entity["label"], 0)
+        def place(cleaned: Sql) -> Sql:
             return let(
-                anchor(text, cleaned, entity["start"]),
-                lambda at: F.struct(
-                    at.cast("int").alias("start"),
-                    (at + F.length(cleaned)).cast("int").alias("end"),
-                    F.lit(R.LAYER_ENTITY).alias("layer"),
-                    i.cast("int").alias("seq"),
-                    cleaned.alias("text"),
-                    pii_type.alias("pii_type"),
-                    confidence.alias("confidence"),
-                    priority_of(pii_type).alias("priority"),
-                    F.lit("entity").alias("rule"),
-                    F.when(confidence >= threshold, F.lit("match"))
-                    .otherwise(F.lit("uncertain"))
-                    .alias("status"),
+                anchor(text, cleaned, f"{entity}.start"),
+                lambda at: make_span(
+                    at, f"{at} + length({cleaned})", cleaned, pii_type,
+                    priority_of(pii_type), confidence, R.LAYER_ENTITY, i,
+                    "'entity'",
+                    f"if({confidence} >= {threshold}, 'match', 'uncertain')",
                 ),
             )
 
-        return let(clean_entity(entity["label"], raw), place)
+        return let(raw, lambda r: let(clean_entity(label, r), place))
 
-    def unclaimed(claims: Column) -> Column:
-        return F.filter(
+    def unclaimed(claims: Sql) -> Sql:
+        return keep(
             entities,
-            lambda e: ~F.array_contains(
-                claims, F.struct(e["start"].cast("int"), e["end"].cast("int"))
-            ),
+            lambda e: f"NOT array_contains({claims}, struct({e}.start, {e}.end))",
         )
 
-    claims = F.transform(earlier, lambda s: F.struct(s["start"], s["end"]))
-    built = F.transform(let(claims, unclaimed), build)
-    return F.filter(built, lambda s: s["text"].isNotNull())
+    claims = transform(earlier, lambda s: f"struct({s}.start, {s}.end)")
+    built = transform(let(claims, unclaimed), build, arity=2)
+    return keep(built, lambda s: f"{s}.text IS NOT NULL")
 
 
-def with_entities(
-    units: DataFrame, entities: DataFrame, keys: list[str]
-) -> DataFrame:
+def with_entities(units: DataFrame, entities: DataFrame, keys: list[str]) -> DataFrame:
     """Attach each unit's entities as an array column ``entities``.
 
     A unit's entities are bounded by its text; units without any keep an empty
     array.  A unit key is unique, so no key is hot.
     """
     grouped = entities.groupBy(*keys).agg(
-        F.array_sort(
-            F.collect_list(F.struct("start", "end", "label"))
-        ).alias("entities")
+        F.expr(
+            "array_sort(collect_list(struct(cast(start AS int) AS start, "
+            "cast(end AS int) AS end, label))) AS entities"
+        )
     )
-    joined = units.join(grouped, keys, "left")
-    return joined.withColumn(
-        "entities",
-        F.coalesce(
-            "entities",
-            F.array().cast("array<struct<start:int,end:int,label:string>>"),
-        ),
+    none = F.expr("cast(array() AS array<struct<start:int,end:int,label:string>>)")
+    return units.join(grouped, keys, "left").withColumn(
+        "entities", F.coalesce("entities", none)
     )

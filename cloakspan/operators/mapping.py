@@ -82,7 +82,7 @@ def assign_placeholders(
             .drop("last_n")
         )
     out = numbered.withColumn(
-        "placeholder", render_placeholder(F.col("pii_type"), F.col("n"))
+        "placeholder", F.expr(render_placeholder("pii_type", "n"))
     )
     if has_custom:
         chosen = values.where(F.col("custom").isNotNull())

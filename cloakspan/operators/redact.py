@@ -11,10 +11,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import compute_once, is_blank, let
+from ..functions.expr import (
+    Sql,
+    compute_once,
+    is_blank,
+    keep,
+    let,
+    struct,
+    transform,
+)
 from ..functions.placeholders import number_in_row
 from ..functions.spans import (
     context_of,
@@ -24,9 +32,8 @@ from ..functions.spans import (
     splice_from_right,
 )
 from ..functions.staging import stage
-from ..rules import LAYER_ENTITY
 from ..schemas import SPAN_ARRAY
-from .arbitrate import arbitrate, of_status, resolve_overlaps
+from .arbitrate import arbitrate, first_claims, of_status, resolve_overlaps
 from .detect import SPAN_FIELDS, Detector, detect_spans
 from .mapping import assign_placeholders, extend_mapping
 
@@ -61,19 +68,19 @@ REVIEWED = "reviewed"
 
 
 def found_spans(
-    text: Column,
+    text: Sql,
     detector: Detector,
     policy: Policy = SAFE,
-    entities: Column | None = None,
-) -> Column:
+    entities: Sql | None = None,
+) -> Sql:
     """Detected and arbitrated spans of a text; none for blank texts."""
     claimed = detect_spans(text, detector, entities)
     if detector.learned_pii or detector.custom_patterns:
-        claimed = F.when(is_blank(text), no_spans()).otherwise(claimed)
+        claimed = f"if({is_blank(text)}, {no_spans()}, {claimed})"
     return arbitrate(claimed, policy.order, policy.repeats)
 
 
-def accepted_spans(spans: Column, mode: str, policy: Policy) -> Column:
+def accepted_spans(spans: Sql, mode: str, policy: Policy) -> Sql:
     """The spans to redact when no review table takes part."""
     if mode == SKIP_UNCERTAIN:
         return of_status(spans, "match")
@@ -84,32 +91,25 @@ def accepted_spans(spans: Column, mode: str, policy: Policy) -> Column:
     return resolve_overlaps(spans, policy.order, "all")
 
 
-def _numbering_order(spans: Column, policy: Policy) -> Column:
-    """Spans in the order in which they take their numbers."""
-    if policy.numbering == "reading":
-        return spans
-    # last start first; at an equal start the match before the uncertain span
-    return F.transform(
-        F.array_sort(
-            F.transform(
-                spans,
-                lambda s: F.struct(
-                    (-s["start"]).alias("k0"),
-                    s["status"].alias("k1"),
-                    s.alias("span"),
-                ),
-            )
-        ),
-        lambda k: k["span"],
+def _last_first(spans: Sql) -> Sql:
+    """Last start first; at an equal start the match before the uncertain."""
+    keyed = transform(
+        spans, lambda s: struct(k0=f"-{s}.start", k1=f"{s}.status", span=s)
     )
+    return transform(f"array_sort({keyed})", lambda k: f"{k}.span")
+
 
+def _numbering_order(spans: Sql, policy: Policy) -> Sql:
+    """Spans in the order in which they take their numbers."""
+    return spans if policy.numbering == "reading" else _last_first(spans)
 
-def _apply(text: Column, numbered: Column, policy: Policy) -> Column:
+
+def _apply(text: Sql, numbered: Sql, policy: Policy) -> Sql:
     if policy.sequential_splice:
         return splice_from_right(text, numbered)
     if policy.numbering == "reading":
         return splice(text, numbered)
-    return splice(text, F.array_sort(numbered))
+    return splice(text, f"array_sort({numbered})")
 
 
 def redact_rows(
@@ -125,28 +125,25 @@ def redact_rows(
     Adds ``redacted``, ``total``, ``uncertain``, ``by_type`` and ``spans`` (the
     replaced spans with their placeholder, in numbering order).
     """
-    detector = detector or Detector()
-    body = F.col(text)
-    found = found_spans(
-        body, detector, policy, F.col(entities) if entities else None
-    )
+    found = found_spans(text, detector or Detector(), policy, entities)
 
-    def result(spans: Column) -> Column:
+    def result(spans: Sql) -> Sql:
         chosen = _numbering_order(accepted_spans(spans, mode, policy), policy)
-        return F.struct(
-            number_in_row(chosen).alias("spans"),
-            F.size(of_status(spans, "uncertain")).cast("long").alias("uncertain"),
+        return struct(
+            spans=number_in_row(chosen),
+            uncertain=f"cast(size({of_status(spans, 'uncertain')}) AS bigint)",
         )
 
     worked = compute_once(df, _work=let(found, result))
+    edited = _apply(text, "_work.spans", policy)
     return worked.select(
         *df.columns,
-        F.when(F.size("_work.spans") == 0, body)
-        .otherwise(_apply(body, F.col("_work.spans"), policy))
-        .alias("redacted"),
-        F.size("_work.spans").cast("long").alias("total"),
+        F.expr(
+            f"CASE WHEN size(_work.spans) = 0 THEN {text} ELSE {edited} END"
+        ).alias("redacted"),
+        F.expr("cast(size(_work.spans) AS bigint)").alias("total"),
         F.col("_work.uncertain").alias("uncertain"),
-        count_by_type(F.col("_work.spans")).alias("by_type"),
+        F.expr(count_by_type("_work.spans")).alias("by_type"),
         F.col("_work.spans").alias("spans"),
     )
 
@@ -157,32 +154,27 @@ def row_mapping(redacted: DataFrame, keys: list[str]) -> DataFrame:
     The rows of a text are told apart inside its own array, so this does not
     shuffle either.
     """
-    ranked = F.array_sort(
-        F.transform(
-            F.col("spans"),
-            lambda s, i: F.struct(
-                s["pii_type"].alias("pii_type"),
-                s["n"].alias("n"),
-                i.alias("i"),
-                s["value_lc"].alias("value_lc"),
-                s["text"].alias("original"),
-                s["placeholder"].alias("placeholder"),
-            ),
-        )
+    ranked = transform(
+        "spans",
+        lambda s, i: struct(
+            pii_type=f"{s}.pii_type", n=f"{s}.n", i=i, value_lc=f"{s}.value_lc",
+            original=f"{s}.text", placeholder=f"{s}.placeholder",
+        ),
+        arity=2,
     )
 
-    def keep_first(ordered: Column) -> Column:
-        def is_first(s: Column, i: Column) -> Column:
-            before = F.get(ordered, i - 1)
+    def firsts(ordered: Sql) -> Sql:
+        def is_first(s: Sql, i: Sql) -> Sql:
+            before = f"get({ordered}, {i} - 1)"
             return (
-                (i == 0)
-                | (before["pii_type"] != s["pii_type"])
-                | (before["n"] != s["n"])
+                f"({i} = 0 OR {before}.pii_type != {s}.pii_type "
+                f"OR {before}.n != {s}.n)"
             )
 
-        return F.filter(ordered, is_first)
+        return keep(ordered, is_first, arity=2)
 
-    return redacted.select(*keys, F.inline(let(ranked, keep_first))).select(
+    rows = F.expr(f"inline({let(f'array_sort({ranked})', firsts)})")
+    return redacted.select(*keys, rows).select(
         *keys, "pii_type", "value_lc", "original", "n", "placeholder"
     )
 
@@ -190,49 +182,72 @@ def row_mapping(redacted: DataFrame, keys: list[str]) -> DataFrame:
 # -- units ---------------------------------------------------------------------
 
 
+def _flag_accepted(spans: Sql, mode: str, policy: Policy) -> Sql:
+    """Spans with ``accepted``: whether the mode redacts them.
+
+    A review happens later, in a table; until then only matches are accepted.
+    """
+
+    def flag(span: Sql, value: Sql) -> Sql:
+        fields = {name: f"{span}.{name}" for name in SPAN_FIELDS}
+        return struct(**fields, accepted=value)
+
+    if mode in (SKIP_UNCERTAIN, REVIEWED):
+        return transform(spans, lambda s: flag(s, f"{s}.status = 'match'"))
+    if policy.sequential_splice:
+        return transform(spans, lambda s: flag(s, "true"))
+
+    def flag_all(found: Sql) -> Sql:
+        chosen = transform(
+            accepted_spans(found, mode, policy), lambda k: f"struct({k}.start, {k}.end)"
+        )
+        return let(
+            chosen,
+            lambda c: transform(
+                found,
+                lambda s: flag(s, f"array_contains({c}, struct({s}.start, {s}.end))"),
+            ),
+        )
+
+    return let(spans, flag_all)
+
+
 def unit_spans(
     units: DataFrame,
     detector: Detector | None = None,
     policy: Policy = SAFE,
+    mode: str = SKIP_UNCERTAIN,
     entities: str | None = None,
     context: bool = False,
 ) -> DataFrame:
-    """Arbitrated spans of every unit as rows (narrow: no shuffle)."""
-    body = "_body"
-    found = found_spans(
-        F.col(body),
-        detector or Detector(),
-        policy,
-        F.col(entities) if entities else None,
+    """Arbitrated spans of every unit as rows, each with the flag ``accepted``
+    (narrow: no shuffle)."""
+    found = found_spans("_body", detector or Detector(), policy, entities)
+    flagged = _flag_accepted(found, mode, policy)
+    rows = units.withColumnRenamed("text", "_body").select(
+        *UNIT, "_body", F.expr(f"inline({flagged})").alias(*SPAN_FIELDS, "accepted")
     )
-    source = units.withColumnRenamed("text", body)
-    rows = source.select(*UNIT, body, F.inline(found).alias(*SPAN_FIELDS))
-    columns = [*UNIT, *SPAN_FIELDS]
+    columns = [*UNIT, *SPAN_FIELDS, "accepted"]
     if context:
-        rows = rows.withColumn(
-            "context", context_of(F.col(body), F.col("start"), F.col("end"))
-        )
+        rows = rows.withColumn("context", F.expr(context_of("_body", "start", "end")))
         columns.append("context")
     return rows.select(*columns)
 
 
-def arbitrate_table(spans: DataFrame, policy: Policy = SAFE) -> DataFrame:
+def arbitrate_table(
+    spans: DataFrame, policy: Policy = SAFE, mode: str = SKIP_UNCERTAIN
+) -> DataFrame:
     """Claims and overlaps for span rows from several sources.
 
     A unit's spans come together in one array, which its text bounds.
     """
-    from .arbitrate import first_claims
-
     claims = F.collect_list(F.struct(*SPAN_FIELDS)).cast(SPAN_ARRAY)
+    chosen = arbitrate(first_claims("claims"), policy.order, policy.repeats)
+    flagged = _flag_accepted(chosen, mode, policy)
     return (
         spans.groupBy(*UNIT)
         .agg(claims.alias("claims"))
-        .select(
-            *UNIT,
-            F.inline(
-                arbitrate(first_claims(F.col("claims")), policy.order, policy.repeats)
-            ).alias(*SPAN_FIELDS),
-        )
+        .select(*UNIT, F.expr(f"inline({flagged})").alias(*SPAN_FIELDS, "accepted"))
     )
 
 
@@ -244,31 +259,24 @@ def decide(
 ) -> DataFrame:
     """The spans to redact.
 
-    ``decisions`` rows are ``(scope_id, pii_type, value, decision,
-    type_override)``; ``yes`` accepts an uncertain span (under the override
-    type, if given), ``no`` and ``skip`` leave it in the text.  A span without
-    a decision is left as well.
+    Outside a review these are the accepted rows.  ``decisions`` rows are
+    ``(scope_id, pii_type, value, decision, type_override)``; ``yes`` accepts an
+    uncertain span (under the override type, if given), ``no`` and ``skip``
+    leave it in the text, and so does a missing decision.
     """
-    if mode == SKIP_UNCERTAIN:
-        return spans.where(F.col("status") == "match")
-    if mode == REVIEWED:
-        if decisions is None:
-            raise ValueError("reviewed mode needs a decisions table")
-        spans = apply_decisions(spans, decisions)
-    elif mode != ACCEPT_ALL:
-        raise ValueError(f"unknown mode: {mode}")
+    if mode != REVIEWED:
+        return spans.where("accepted").select(*UNIT, *SPAN_FIELDS)
+    if decisions is None:
+        raise ValueError("reviewed mode needs a decisions table")
+    reviewed = apply_decisions(spans, decisions)
     if policy.sequential_splice:
-        return spans
+        return reviewed
     chosen = F.collect_list(F.struct(*SPAN_FIELDS)).cast(SPAN_ARRAY)
+    resolved = resolve_overlaps("chosen", policy.order, "all")
     return (
-        spans.groupBy(*UNIT)
+        reviewed.groupBy(*UNIT)
         .agg(chosen.alias("chosen"))
-        .select(
-            *UNIT,
-            F.inline(resolve_overlaps(F.col("chosen"), policy.order, "all")).alias(
-                *SPAN_FIELDS
-            ),
-        )
+        .select(*UNIT, F.expr(f"inline({resolved})").alias(*SPAN_FIELDS))
     )
 
 
@@ -288,7 +296,7 @@ def apply_decisions(spans: DataFrame, decisions: DataFrame) -> DataFrame:
         F.when(uncertain, F.coalesce("type_override", "pii_type")).otherwise(
             F.col("pii_type")
         ),
-    ).select(*spans.columns)
+    ).select(*UNIT, *SPAN_FIELDS)
 
 
 def edits_of(accepted: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -307,15 +315,13 @@ def splice_units(
             F.struct("start", "end", "placeholder", "status")
         ).alias("edits")
     )
-    body = F.col("text")
     if policy.sequential_splice:
-        ordered = _numbering_order(F.col("edits"), Policy(numbering="reference"))
-        spliced = splice_from_right(body, ordered)
+        spliced = splice_from_right("text", _last_first("edits"))
     else:
-        spliced = splice(body, F.array_sort(F.col("edits")))
+        spliced = splice("text", "array_sort(edits)")
     return (
         units.join(per_unit, UNIT, "left")
-        .withColumn("redacted", F.when(F.col("edits").isNull(), body).otherwise(spliced))
+        .withColumn("redacted", F.expr(f"if(edits IS NULL, text, {spliced})"))
         .drop("edits")
     )
 
@@ -341,28 +347,31 @@ def redact_units(
 ) -> Redaction:
     """Redact units whose scope spans many rows.
 
-    ``units``: ``scope_id, doc_id, unit_no, text``.  The spans are written once
-    and read by the mapping, the splice and the reports; the texts are read a
-    second time only for the splice.  ``existing`` is a plain mapping to
-    continue.
+    ``units``: ``scope_id, doc_id, unit_no, text``.  The spans and the mapping
+    are written once; the texts are read a second time only for the splice.
+    ``existing`` is a plain mapping to continue.  ``spans`` are staged spans of
+    an earlier run over the same units.
     """
     if spans is None:
-        spans = unit_spans(units, detector, policy)
-    spans = stage(spans, "spans")
+        spans = stage(unit_spans(units, detector, policy, mode), "spans")
     accepted = decide(spans, mode, policy, decisions)
+    if mode == REVIEWED:
+        accepted = stage(accepted, "accepted")
     if existing is None:
-        mapping = known = assign_placeholders(accepted, policy.numbering)
+        mapping = assign_placeholders(accepted, policy.numbering)
     else:
         mapping = extend_mapping(existing, accepted, policy.numbering)
-        columns = ["scope_id", "pii_type", "value_lc", "original", "n", "placeholder"]
-        known = existing.select(*columns).unionByName(mapping.select(*columns))
+    mapping = known = stage(mapping, "mapping")
+    if existing is not None:
+        known = existing.select(*MAPPED).unionByName(mapping.select(*MAPPED))
     edits = edits_of(accepted, known)
     return Redaction(splice_units(units, edits, policy), spans, edits, mapping)
 
 
+MAPPED = ["scope_id", "pii_type", "value_lc", "original", "n", "placeholder"]
+
 __all__ = [
     "ACCEPT_ALL",
-    "LAYER_ENTITY",
     "REVIEWED",
     "SAFE",
     "SKIP_UNCERTAIN",

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import compute_once, let
+from ..functions.expr import Sql, compute_once, fold, struct, text_literal
 from ..functions.placeholders import placeholder_regex
 from ..functions.spans import regex_hits, splice
 from .crypto import Keyring
@@ -16,9 +16,9 @@ from .mapping import restorations
 UNIT = ["scope_id", "doc_id", "unit_no"]
 
 
-def placeholder_hits(text: Column, custom: Iterable[str] = ()) -> Column:
+def placeholder_hits(text: Sql, custom: Iterable[str] = ()) -> Sql:
     """Everything in a text that looks like a placeholder, with offsets."""
-    return regex_hits(text, F.lit(placeholder_regex(custom)))
+    return regex_hits(text, text_literal(placeholder_regex(custom)))
 
 
 def restore_units(
@@ -35,9 +35,10 @@ def restore_units(
     ``keyring`` the mapping is sealed, and only joined rows are decrypted.
     """
     candidates = units.select(
-        *UNIT, F.inline(placeholder_hits(F.col("text"), custom)).alias(
+        *UNIT,
+        F.expr(f"inline({placeholder_hits('text', custom)})").alias(
             "start", "end", "placeholder"
-        )
+        ),
     )
     value = "original" if keyring is None else "original_enc"
     known = restorations(mapping, value)
@@ -62,9 +63,7 @@ def restore_units(
         units.join(edits, UNIT, "left")
         .withColumn(
             "restored",
-            F.when(F.col("edits").isNull(), F.col("text")).otherwise(
-                splice(F.col("text"), F.col("edits"))
-            ),
+            F.expr(f"if(edits IS NULL, text, {splice('text', 'edits')})"),
         )
         .withColumn("restorations", F.coalesce(F.size("edits"), F.lit(0)).cast("long"))
         .drop("edits")
@@ -92,50 +91,34 @@ def scope_restorations(mapping: DataFrame) -> DataFrame:
     )
 
 
-def restore_sequential(text: Column, pairs: Column) -> Column:
+def restore_sequential(text: Sql, pairs: Sql) -> Sql:
     """Replace one placeholder after the other on the changing text.
 
-    Struct of ``text`` and ``count``; the compatibility mode, in which
+    Struct of ``text`` and ``hits``; the compatibility mode, in which
     ``@user1`` also rewrites the head of ``@user10``.
     """
 
-    def step(acc: Column, pair: Column) -> Column:
-        def swap(out: Column) -> Column:
-            size = F.length(pair["placeholder"])
-            gone = F.replace(acc["text"], pair["placeholder"], F.lit(""))
-            hits = (F.length(acc["text"]) - F.length(gone)) / size
-            return F.struct(
-                out.alias("text"),
-                (acc["count"] + hits.cast("long")).alias("count"),
-            )
-
-        return F.when(
-            F.contains(acc["text"], pair["placeholder"]),
-            let(
-                F.replace(acc["text"], pair["placeholder"], pair["original"]), swap
-            ),
-        ).otherwise(acc)
+    def step(acc: Sql, pair: Sql) -> Sql:
+        gone = f"length(replace({acc}.text, {pair}.placeholder, ''))"
+        hits = f"(length({acc}.text) - {gone}) div length({pair}.placeholder)"
+        swapped = struct(
+            text=f"replace({acc}.text, {pair}.placeholder, {pair}.original)",
+            hits=f"{acc}.hits + {hits}",
+        )
+        return f"if(contains({acc}.text, {pair}.placeholder), {swapped}, {acc})"
 
-    start = F.struct(text.alias("text"), F.lit(0).cast("long").alias("count"))
-    return F.aggregate(pairs, start, step)
+    return fold(pairs, struct(text=text, hits="0L"), step)
 
 
 def restore_units_sequential(units: DataFrame, mapping: DataFrame) -> DataFrame:
     """The compatibility mode over units; scopes without mapping stay as is."""
     joined = units.join(scope_restorations(mapping), "scope_id", "left")
-    worked = compute_once(
-        joined,
-        _out=F.when(
-            F.col("pairs").isNotNull(),
-            restore_sequential(F.col("text"), F.col("pairs")),
-        ).otherwise(
-            F.struct(F.col("text").alias("text"), F.lit(0).cast("long").alias("count"))
-        ),
-    )
-    return worked.select(
+    unchanged = struct(text="text", hits="0L")
+    out = f"if(pairs IS NULL, {unchanged}, {restore_sequential('text', 'pairs')})"
+    return compute_once(joined, _out=out).select(
         *units.columns,
         F.col("_out.text").alias("restored"),
-        F.col("_out.count").alias("restorations"),
+        F.col("_out.hits").alias("restorations"),
     )
 
 

@@ -57,9 +57,7 @@ def start_sessions(
     """Redact the certain spans and queue the uncertain ones."""
     found = unit_spans(units, detector, policy, context=True)
     spans = stage(found, "sessions")
-    redaction = redact_units(
-        units, policy=policy, mode=SKIP_UNCERTAIN, spans=spans.drop("context")
-    )
+    redaction = redact_units(units, policy=policy, mode=SKIP_UNCERTAIN, spans=spans)
     return SessionRun(redaction, review_queue(spans))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.expr import is_blank
+from ..functions.expr import is_blank, keep
 from ..functions.spans import splice
 from ..functions.staging import stage
 from ..operators.detect import Detector
@@ -52,7 +52,7 @@ def cell_units(df: DataFrame, row_id: str, scope: Column | None = None) -> DataF
         F.col(row_id).alias("doc_id"),
         F.inline(cells),
     )
-    return rows.where(F.col("text").isNotNull() & ~is_blank(F.col("text"))).select(
+    return rows.where(f"text IS NOT NULL AND NOT ({is_blank('text')})").select(
         "scope_id", "doc_id", "part", "unit_no", "text"
     )
 
@@ -68,10 +68,9 @@ def _put_back(df: DataFrame, row_id: str, edits: DataFrame) -> DataFrame:
     )
 
     def cell(i: int, name: str) -> Column:
-        mine = F.filter(F.col("_edits"), lambda e: e["unit_no"] == i)
-        return F.when(F.col("_edits").isNull(), F.col(name)).otherwise(
-            splice(F.col(name), mine)
-        )
+        mine = keep("_edits", lambda e: f"{e}.unit_no = {i}")
+        spliced = splice(f"`{name}`", mine)
+        return F.expr(f"if(_edits IS NULL, `{name}`, {spliced})")
 
     changed = {name: cell(i, name) for i, name in enumerate(names)}
     return (
@@ -92,9 +91,9 @@ def redact_table(
     Returns the table with schema and column order kept, and the mapping.  The
     placeholders count through the whole table, in row then column order.
     """
-    spans = stage(unit_spans(cell_units(df, row_id), detector, policy), "cells")
+    spans = stage(unit_spans(cell_units(df, row_id), detector, policy, mode), "cells")
     accepted = decide(spans, mode, policy)
-    mapping = assign_placeholders(accepted, policy.numbering)
+    mapping = stage(assign_placeholders(accepted, policy.numbering), "mapping")
     edits = edits_of(accepted, mapping)
     return _put_back(df, row_id, edits), mapping
 

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
 
 from ..functions.staging import stage
 from ..operators.crypto import Keyring
@@ -106,7 +107,7 @@ def batch_writer(
             "known",
         )
         spans = stage(
-            decide(unit_spans(units, detector, policy), mode, policy), "spans"
+            decide(unit_spans(units, detector, policy, mode), mode, policy), "spans"
         )
         values = distinct_values(spans, policy.numbering).withColumn(
             "value_key", keyring.digest(F.col("value_lc"))
@@ -115,7 +116,13 @@ def batch_writer(
         numbered = assign_placeholders(
             spans, policy.numbering, last_numbers(known), values=fresh
         )
-        opened = units.groupBy("scope_id").agg(F.min("ts").alias("opened_at"))
+        since = known.groupBy("scope_id").agg(F.min("created_at").alias("since"))
+        opened = (
+            units.groupBy("scope_id")
+            .agg(F.min("ts").alias("first_ts"))
+            .join(since, "scope_id", "left")
+            .select("scope_id", F.coalesce("since", "first_ts").alias("opened_at"))
+        )
         sealed = (
             seal(numbered, keyring)
             .drop("created_at")
