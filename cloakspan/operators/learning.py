@@ -207,21 +207,10 @@ def learning_stats(
 
 
 def export_learned(
-    pii: DataFrame,
-    safe: DataFrame,
-    path: str,
-    patterns: DataFrame | None = None,
-    single_file: bool = False,
+    pii: DataFrame, safe: DataFrame, path: str, patterns: DataFrame | None = None
 ):
-    """Write the learned tables as JSON lines.
-
-    The rows go out in parallel as ``{kind, pii_type, value, ...}``.  With
-    ``single_file`` a small dictionary is written as one version-1 object
-    ``{version, pii, safe, custom_patterns, metadata}`` instead.
-    """
-    if single_file:
-        _as_object(pii, safe, patterns).coalesce(1).write.json(path)
-        return
+    """Write the learned tables as JSON rows ``{version, kind, pii_type, value,
+    name, created_at}``; the rows go out in parallel."""
     blank = F.lit(None).cast("string")
     rows = pii.select(
         F.lit(LEARNED_VERSION).alias("version"),
@@ -243,41 +232,11 @@ def export_learned(
     rows.write.json(path)
 
 
-def _as_object(
-    pii: DataFrame, safe: DataFrame, patterns: DataFrame | None
-) -> DataFrame:
-    by_type = (
-        pii.groupBy("pii_type")
-        .agg(F.array_sort(F.collect_set("value")).alias("values"))
-        .agg(
-            F.map_from_entries(
-                F.array_sort(F.collect_list(F.struct("pii_type", "values")))
-            ).alias("pii")
-        )
-    )
-    listed = safe.agg(F.array_sort(F.collect_set("value_lc")).alias("safe"))
-    columns = {
-        "version": F.lit(LEARNED_VERSION),
-        "pii": by_type.scalar(),
-        "safe": listed.scalar(),
-        "metadata": F.create_map(
-            F.lit("exported_at"), F.current_timestamp().cast("string")
-        ),
-    }
-    if patterns is not None:
-        row = F.struct("pattern", "pii_type", F.col("created_at").cast("string"))
-        columns["custom_patterns"] = patterns.agg(
-            F.map_from_entries(F.collect_list(F.struct("name", row)))
-        ).scalar()
-    return pii.sparkSession.range(1).select(
-        *[value.alias(name) for name, value in columns.items()]
-    )
-
-
 def read_learned_object(
     spark: SparkSession, path: str
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Read a version-1 object into ``(pii, safe, patterns)`` tables."""
+    """Read version-1 objects ``{version, pii, safe, custom_patterns, metadata}``,
+    one per file, into ``(pii, safe, patterns)`` tables."""
     data = spark.read.schema(LEARNED_FILE).json(path, multiLine=True)
     pii = data.select(F.explode("pii").alias("pii_type", "values")).select(
         "pii_type", F.explode("values").alias("value")

@@ -286,10 +286,10 @@ def apply_decisions(spans: DataFrame, decisions: DataFrame) -> DataFrame:
         decisions.where(F.col("decision") == "yes")
         .select("scope_id", "pii_type", F.col("value").alias("text"), "type_override")
         .dropDuplicates(["scope_id", "pii_type", "text"])
-        .withColumn("accepted", F.lit(True))
+        .withColumn("_yes", F.lit(True))
     )
     joined = spans.join(yes, ["scope_id", "pii_type", "text"], "left")
-    kept = joined.where((F.col("status") == "match") | F.col("accepted"))
+    kept = joined.where((F.col("status") == "match") | F.col("_yes"))
     uncertain = F.col("status") == "uncertain"
     return kept.withColumn(
         "pii_type",
