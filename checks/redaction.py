@@ -149,7 +149,9 @@ def decide_reviewed(spark, sf_dir):
 )
 def redact_reviewed(spark, sf_dir):
     units = whole_units(rich_documents(spark, sf_dir))
-    run = redact_units(units, mode=REVIEWED, decisions=_decisions(spark, sf_dir))
+    run = redact_units(
+        units, mode=REVIEWED, decisions=_decisions(spark, sf_dir), document_scopes=True
+    )
     return run.texts.select("doc_id", "redacted")
 
 
@@ -228,7 +230,9 @@ def mapping_with_custom_placeholders(spark, sf_dir):
         F.concat(F.lit("<link "), F.length("text").cast("string"), F.lit(">")),
     )
     accepted = decide(spans, SKIP_UNCERTAIN).withColumn("custom", custom)
-    return assign_placeholders(stage(accepted, "spans")).select(*_MAP_COLUMNS)
+    return assign_placeholders(
+        stage(accepted, "spans"), document_scopes=True
+    ).select(*_MAP_COLUMNS)
 
 
 def _turn_spans(half: str) -> str:
@@ -259,8 +263,9 @@ def mapping_incremental(spark, sf_dir):
     """Odd turns continue the mapping of the even turns."""
     units = session_units(conversations(spark, sf_dir), "conv_id", "turn")
     spans = stage(decide(unit_spans(units), SKIP_UNCERTAIN), "spans")
-    known = assign_placeholders(spans.where("unit_no % 2 = 0"))
-    return extend_mapping(known, spans.where("unit_no % 2 = 1")).select(*_MAP_COLUMNS)
+    known = assign_placeholders(spans.where("unit_no % 2 = 0"), document_scopes=True)
+    added = extend_mapping(known, spans.where("unit_no % 2 = 1"), document_scopes=True)
+    return added.select(*_MAP_COLUMNS)
 
 
 # -- sealing -------------------------------------------------------------------------------
@@ -360,7 +365,7 @@ def _shared_mapping(spark, sf_dir):
     accepted = decide(spans, SKIP_UNCERTAIN).withColumn(
         "custom", F.concat(F.lit("<"), "pii_type", F.lit(">"))
     )
-    return assign_placeholders(stage(accepted, "spans"))
+    return assign_placeholders(stage(accepted, "spans"), document_scopes=True)
 
 
 @query(
@@ -508,7 +513,7 @@ _LINE_RUN = [
 
 def _line_run(spark, sf_dir):
     units = split_units(rich_documents(spark, sf_dir))
-    return units, redact_units(units, mode=ACCEPT_ALL)
+    return units, redact_units(units, mode=ACCEPT_ALL, document_scopes=True)
 
 
 @query(
@@ -651,7 +656,8 @@ def _as_units(texts, column: str):
 )
 def restore_documents(spark, sf_dir):
     """Redact, then restore: the source text in the first-seen casing."""
-    run = redact_units(whole_units(rich_documents(spark, sf_dir)), mode=ACCEPT_ALL)
+    units = whole_units(rich_documents(spark, sf_dir))
+    run = redact_units(units, mode=ACCEPT_ALL, document_scopes=True)
     restored = restore_units(_as_units(run.texts, "redacted"), run.mapping)
     return restored.select("doc_id", "restored", "restorations")
 
@@ -669,7 +675,7 @@ def restore_documents(spark, sf_dir):
 def restore_documents_sealed(spark, sf_dir):
     """Restore from a sealed mapping; only joined rows are decrypted."""
     keyring = Keyring.from_key(spark, TEST_KEY)
-    run = redact_units(whole_units(rich_documents(spark, sf_dir)))
+    run = redact_units(whole_units(rich_documents(spark, sf_dir)), document_scopes=True)
     sealed = seal(run.mapping, keyring)
     restored = restore_units(_as_units(run.texts, "redacted"), sealed, keyring=keyring)
     return restored.select("doc_id", "restored")
@@ -747,7 +753,7 @@ def restore_answers_sequential(spark, sf_dir):
     units = whole_units(rich_documents(spark, sf_dir))
     spans = stage(decide(unit_spans(units), SKIP_UNCERTAIN), "spans")
     restored = restore_units_sequential(
-        _plain_answers(spark, sf_dir), assign_placeholders(spans)
+        _plain_answers(spark, sf_dir), assign_placeholders(spans, document_scopes=True)
     )
     return restored.select("doc_id", "restored", "restorations")
 
@@ -815,7 +821,7 @@ def redact_sessions(spark, sf_dir):
     ),
 )
 def queue_of_sessions(spark, sf_dir):
-    queue = review_queue(unit_spans(_session_units(spark, sf_dir)))
+    queue = review_queue(stage(unit_spans(_session_units(spark, sf_dir)), "spans"))
     return queue.select(
         "scope_id", F.col("idx").cast("long").alias("idx"), "text", "pii_type", "confidence",
         F.col("unit_no").cast("long").alias("unit_no"),

@@ -31,11 +31,25 @@ def placeholder_regex(custom: Iterable[str] = ()) -> str:
     """One pattern for every generated placeholder, longest literals first.
 
     A placeholder number is read to its last digit, so ``@user10`` is never
-    taken for ``@user1``.
+    taken for ``@user1``.  The alternatives are grouped by the kind of their
+    first character, so that most positions of a text are left after a look at
+    that character.
     """
     literals = [w for words in PLACEHOLDER_LISTS.values() for w in words]
-    literals = sorted({*literals, *custom}, key=lambda w: (-len(w), w))
-    parts = [re.escape(w) for w in literals]
+    literals = sorted({*literals, *(c for c in custom if c)}, key=lambda w: (-len(w), w))
+    groups: dict[str, list[str]] = {}
+
+    def add(first: str, part: str) -> None:
+        if first.isascii() and first.isupper():
+            kind = "[A-Z]"
+        elif first.isascii() and first.isdigit():
+            kind = "[0-9]"
+        else:
+            kind = re.escape(first)
+        groups.setdefault(kind, []).append(part)
+
+    for word in literals:
+        add(word[0], re.escape(word))
     for template in PLACEHOLDER_TEMPLATES.values():
         field = _FIELD.search(template)
         width = f"{{{field[1]},}}" if field[1] else "+"
@@ -45,8 +59,10 @@ def placeholder_regex(custom: Iterable[str] = ()) -> str:
             digits = "(?<![0-9])" + digits
         if not tail:
             digits += "(?![0-9])"
-        parts.append(re.escape(head) + digits + re.escape(tail))
-    return "|".join(parts)
+        add(head[:1] or "0", re.escape(head) + digits + re.escape(tail))
+    return "|".join(
+        f"(?={kind})(?:{'|'.join(parts)})" for kind, parts in groups.items()
+    )
 
 
 def number_in_row(ordered: Sql) -> Sql:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from ..rules import CONTEXT_CHARS, TYPE_PRIORITY
 from ..schemas import HIT_ARRAY, SPAN_ARRAY
 from .expr import (
@@ -17,50 +19,92 @@ from .expr import (
 )
 
 
-def regex_hits(text: Sql, regex: Sql, group: int = 0) -> Sql:
-    """All non-overlapping hits of ``regex`` with code-point offsets.
+# A noncharacter that valid text never holds; it fences the hits of one pass.
+FENCE = "\ufdd0"
 
-    The hits and the gaps between them interleave, so a running sum of their
-    lengths gives every offset.  The second pass over the text (the gaps) only
-    runs where there is a hit.  With ``group`` the offsets are those of that
-    group, which has to sit at the end of the hit.
-    """
 
-    def walk(found: Sql, gaps: Sql, parts: Sql) -> Sql:
-        def step(acc: Sql, i: Sql) -> Sql:
-            def add(end: Sql) -> Sql:
-                hit = struct(
-                    start=f"{end} - length(get({parts}, {i}))",
-                    end=end,
-                    text=f"get({parts}, {i})",
-                )
-                return struct(pos=end, hits=f"concat({acc}.hits, array({hit}))")
-
-            width = f"length(get({gaps}, {i})) + length(get({found}, {i}))"
-            return let(f"{acc}.pos + {width}", add)
-
-        start = struct(pos="0", hits=empty(HIT_ARRAY))
-        placed = fold(
-            f"sequence(0, size({found}) - 1)", start, step, lambda acc: f"{acc}.hits"
+def _walk(count: Sql, gap: Callable[[Sql], Sql], hit: Callable[[Sql], Sql],
+          part: Callable[[Sql], Sql]) -> Sql:
+    """Offsets from the running length of gaps and hits."""
+
+    def step(acc: Sql, i: Sql) -> Sql:
+        def add(end: Sql) -> Sql:
+            found = struct(start=f"{end} - length({part(i)})", end=end, text=part(i))
+            return struct(pos=end, hits=f"concat({acc}.hits, array({found}))")
+
+        return let(f"{acc}.pos + length({gap(i)}) + length({hit(i)})", add)
+
+    start = struct(pos="0", hits=empty(HIT_ARRAY))
+    return fold(f"sequence(0, {count} - 1)", start, step, lambda acc: f"{acc}.hits")
+
+
+def _fenced_hits(text: Sql, regex: Sql) -> Sql:
+    """Hits of one regex pass: fence every hit, then cut at the fences, which
+    leaves gap, hit, gap, hit ... gap."""
+    fence = text_literal(FENCE)
+
+    def cut(parts: Sql) -> Sql:
+        return _walk(
+            f"(size({parts}) div 2)",
+            lambda i: f"get({parts}, 2 * {i})",
+            lambda i: f"get({parts}, 2 * {i} + 1)",
+            lambda i: f"get({parts}, 2 * {i} + 1)",
         )
-        failed = "raise_error('a pattern matches the empty string')"
+
+    def place(marked: Sql) -> Sql:
         return (
-            f"CASE WHEN size({gaps}) = size({found}) + 1 THEN {placed} "
-            f"ELSE cast({failed} AS {HIT_ARRAY}) END"
+            f"CASE WHEN contains({marked}, {fence}) "
+            f"THEN {let(f'split({marked}, {fence}, -1)', cut)} "
+            f"ELSE {empty(HIT_ARRAY)} END"
         )
 
+    replacement = text_literal(f"{FENCE}$0{FENCE}")
+    return let(f"regexp_replace({text}, {regex}, {replacement})", place)
+
+
+def _two_pass_hits(text: Sql, regex: Sql, group: int) -> Sql:
+    """Hits and gaps from two regex passes, for text that holds the fence and for
+    hits of a group."""
+
     def place(found: Sql) -> Sql:
+        def walk(gaps: Sql, parts: Sql) -> Sql:
+            placed = _walk(
+                f"size({found})",
+                lambda i: f"get({gaps}, {i})",
+                lambda i: f"get({found}, {i})",
+                lambda i: f"get({parts}, {i})",
+            )
+            failed = "raise_error('a pattern matches the empty string')"
+            return (
+                f"CASE WHEN size({gaps}) = size({found}) + 1 THEN {placed} "
+                f"ELSE cast({failed} AS {HIT_ARRAY}) END"
+            )
+
         gaps = f"split({text}, {regex}, -1)"
         if group == 0:
-            placed = let(gaps, lambda g: walk(found, g, found))
+            placed = let(gaps, lambda g: walk(g, found))
         else:
             parts = f"regexp_extract_all({text}, {regex}, {group})"
-            placed = let(gaps, lambda g: let(parts, lambda p: walk(found, g, p)))
+            placed = let(gaps, lambda g: let(parts, lambda p: walk(g, p)))
         return f"CASE WHEN size({found}) > 0 THEN {placed} ELSE {empty(HIT_ARRAY)} END"
 
     return let(f"regexp_extract_all({text}, {regex}, 0)", place)
 
 
+def regex_hits(text: Sql, regex: Sql, group: int = 0) -> Sql:
+    """All non-overlapping hits of ``regex`` with code-point offsets.
+
+    With ``group`` the offsets are those of that group, which has to sit at the
+    end of the hit.
+    """
+    if group:
+        return _two_pass_hits(text, regex, group)
+    return (
+        f"CASE WHEN contains({text}, {text_literal(FENCE)}) "
+        f"THEN {_two_pass_hits(text, regex, 0)} ELSE {_fenced_hits(text, regex)} END"
+    )
+
+
 def priority_of(pii_type: Sql) -> Sql:
     return case(pii_type, {k: str(v) for k, v in TYPE_PRIORITY.items()}, "0")
 

@@ -182,8 +182,8 @@ def drop_safe(spans: Sql, safe: Iterable[str]) -> Sql:
 
 def name_spans(text: Sql) -> Sql:
     """Two capitalised words; the name lists only set the confidence."""
-    regex = R.java_regex(R.NAME_PATTERN, ignore_case=False)
-    spaces = text_literal(r"(?U)\s+")
+    regex = R.java_regex(R.NAME_PATTERN, ignore_case=False, guard=R.NAME_GUARD)
+    spaces = text_literal(R.java_regex(r"\s+", ignore_case=False))
 
     def score(words: Sql) -> Sql:
         first = f"get({words}, 0) IN ({text_list(R.FIRST_NAMES)})"

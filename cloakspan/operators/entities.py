@@ -31,7 +31,7 @@ def _words(text: Sql) -> Sql:
 
 def clean_person(text: Sql) -> Sql:
     """The leading run of capitalised words; NULL if it is over three words."""
-    pattern = text_literal("(?U)" + R.ENTITY_PERSON_RUN)
+    pattern = text_literal(R.java_regex(R.ENTITY_PERSON_RUN, False))
     run = f"coalesce(nullif(regexp_extract({text}, {pattern}, 1), ''), {text})"
     return let(
         run,
@@ -71,7 +71,7 @@ def clean_entity(label: Sql, text: Sql) -> Sql:
         stripped,
     )
     stop_word = f"{strip(f'lower({text})')} IN ({text_list(R.ENTITY_STOP_WORDS)})"
-    holds_ip = f"{text} RLIKE {text_literal('(?U)' + R.ENTITY_IP)}"
+    holds_ip = f"{text} RLIKE {text_literal(R.java_regex(R.ENTITY_IP, False))}"
     return let(
         cleaned,
         lambda c: f"if({label} IN ({text_list(R.ENTITY_LABELS)}) "

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.placeholders import render_placeholder
+from ..functions.staging import stage
 from ..rules import MAPPING_VERSION, SESSION_HOURS
 from .crypto import Keyring
 from .numbering import document_order, number_in_scope
@@ -63,15 +64,19 @@ def assign_placeholders(
     counters: DataFrame | None = None,
     doc_id: str = "doc_id",
     values: DataFrame | None = None,
+    document_scopes: bool = False,
 ) -> DataFrame:
     """Number the distinct values of every scope and render placeholders.
 
     ``counters`` (``scope_id, pii_type, last_n``) continues earlier numbers.
-    Rows with a custom placeholder take no number.
+    Rows with a custom placeholder take no number.  ``document_scopes`` says
+    that a scope is one document, which saves the sums over documents.  The
+    distinct values are staged, because numbering reads them per level.
     """
     if values is None:
         values = distinct_values(spans, numbering, doc_id)
-    _, blocks = document_order(spans, doc_id)
+    values = stage(values, "values")
+    blocks = () if document_scopes else document_order(spans, doc_id)[1]
     has_custom = "custom" in spans.columns
     plain = values.where(F.col("custom").isNull()) if has_custom else values
     numbered = number_in_scope(plain, ["scope_id", "pii_type"], doc_blocks=blocks)
@@ -109,6 +114,7 @@ def extend_mapping(
     numbering: str = "reading",
     doc_id: str = "doc_id",
     keyring: Keyring | None = None,
+    document_scopes: bool = False,
 ) -> DataFrame:
     """New mapping rows for values the existing mapping does not hold yet.
 
@@ -122,7 +128,7 @@ def extend_mapping(
         on = KEY
     fresh = values.join(existing.select(*on), on, "left_anti")
     return assign_placeholders(
-        spans, numbering, last_numbers(existing), doc_id, values=fresh
+        spans, numbering, last_numbers(existing), doc_id, fresh, document_scopes
     )
 
 

@@ -41,8 +41,10 @@ def number_in_scope(
 ) -> DataFrame:
     """Add ``out``: 1, 2, 3 ... per group in (document, unit, position) order.
 
-    The rows shuffle once.  What follows works on one row per (group,
-    document, block of units), then on one row per block.
+    The rows shuffle once, by block.  The offsets come from counts, which are
+    summed on the map side; only blocks with something in front of them are
+    joined back.  A group that is one document needs no ``doc_blocks``.  Stage
+    ``rows`` first: they are read once per level.
     """
     doc, unit, pos = order
 
@@ -58,36 +60,36 @@ def number_in_scope(
             "_units": block(unit, unit_block),
         }
     )
-    ranked = cut.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*fine).orderBy(unit, pos))
+    numbered = cut.withColumn(
+        out,
+        F.row_number()
+        .over(Window.partitionBy(*fine).orderBy(unit, pos))
+        .cast("long"),
     )
-
-    # sizes of the finest blocks, and each one's offset inside its parent
-    sizes = ranked.groupBy(*fine).agg(F.max("_rank").cast("long").alias("_size"))
     parents = [[*group, *reversed(levels[i:])] for i in range(len(levels) + 1)]
-    offsets = _running(sizes, parents[0], [doc, "_units"], "_off0").drop("_size")
-    for i in range(len(levels)):
-        sizes = sizes.groupBy(*parents[i]).agg(F.sum("_size").alias("_size"))
-        summed = _running(sizes, parents[i + 1], [levels[i]], f"_off{i + 1}")
-        offsets = offsets.join(summed.drop("_size"), parents[i])
-
-    total = F.col("_rank").cast("long")
-    extra = [f"_off{i}" for i in range(len(levels) + 1)]
-    for name in extra:
-        total = total + F.col(name)
-    return (
-        ranked.join(offsets, fine)
-        .withColumn(out, total)
-        .drop(*levels, "_units", "_rank", *extra)
-    )
-
-
-def _running(
-    sizes: DataFrame, parent: list[str], order: list[str], out: str
+    steps = [(fine, parents[0], [doc, "_units"])]
+    steps += [(parents[i], parents[i + 1], [levels[i]]) for i in range(len(levels))]
+    for keys, parent, along in steps:
+        numbered = (
+            numbered.join(_offsets(cut, keys, parent, along), keys, "left")
+            .withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0)))
+            .drop("_before")
+        )
+    return numbered.drop(*levels, "_units")
+
+
+def _offsets(
+    rows: DataFrame, keys: list[str], parent: list[str], along: list[str]
 ) -> DataFrame:
-    window = (
+    """Rows in front of each block inside its parent, where there are any."""
+    before = (
         Window.partitionBy(*parent)
-        .orderBy(*order)
+        .orderBy(*along)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return sizes.withColumn(out, F.coalesce(F.sum("_size").over(window), F.lit(0)))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size"))
+    return (
+        sizes.withColumn("_before", F.sum("_size").over(before))
+        .where(F.col("_before") > 0)
+        .drop("_size")
+    )

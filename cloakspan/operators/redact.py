@@ -344,13 +344,15 @@ def redact_units(
     decisions: DataFrame | None = None,
     existing: DataFrame | None = None,
     spans: DataFrame | None = None,
+    document_scopes: bool = False,
 ) -> Redaction:
     """Redact units whose scope spans many rows.
 
     ``units``: ``scope_id, doc_id, unit_no, text``.  The spans and the mapping
     are written once; the texts are read a second time only for the splice.
     ``existing`` is a plain mapping to continue.  ``spans`` are staged spans of
-    an earlier run over the same units.
+    an earlier run over the same units.  ``document_scopes`` says that every
+    scope is one document or session.
     """
     if spans is None:
         spans = stage(unit_spans(units, detector, policy, mode), "spans")
@@ -358,9 +360,13 @@ def redact_units(
     if mode == REVIEWED:
         accepted = stage(accepted, "accepted")
     if existing is None:
-        mapping = assign_placeholders(accepted, policy.numbering)
+        mapping = assign_placeholders(
+            accepted, policy.numbering, document_scopes=document_scopes
+        )
     else:
-        mapping = extend_mapping(existing, accepted, policy.numbering)
+        mapping = extend_mapping(
+            existing, accepted, policy.numbering, document_scopes=document_scopes
+        )
     mapping = known = stage(mapping, "mapping")
     if existing is not None:
         known = existing.select(*MAPPED).unionByName(mapping.select(*MAPPED))
@@ -369,14 +375,3 @@ def redact_units(
 
 
 MAPPED = ["scope_id", "pii_type", "value_lc", "original", "n", "placeholder"]
-
-__all__ = [
-    "ACCEPT_ALL",
-    "REVIEWED",
-    "SAFE",
-    "SKIP_UNCERTAIN",
-    "Policy",
-    "Redaction",
-    "redact_rows",
-    "redact_units",
-]

@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from .numbering import document_order, number_in_scope
 
 
-def review_queue(spans: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def review_queue(
+    spans: DataFrame, doc_id: str = "doc_id", document_scopes: bool = False
+) -> DataFrame:
     """Uncertain spans with their index inside the scope, from 0, in text order.
 
-    A scope may be a session or a whole corpus; it is numbered in blocks.
+    A scope may be a session or a whole corpus; it is numbered in blocks.  Pass
+    staged spans: they are read once per level.
     """
     doc_ord, blocks = document_order(spans, doc_id)
+    if document_scopes:
+        blocks = ()
     uncertain = spans.where(F.col("status") == "uncertain").withColumn(
         "doc_ord", doc_ord
     )

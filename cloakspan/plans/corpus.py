@@ -52,7 +52,9 @@ def redact_corpus(
         units = whole_units(docs, scope=scope_id)
     else:
         units = split_units(docs, separator, scope=scope_id)
-    run = redact_units(units, detector, policy, mode)
+    run = redact_units(
+        units, detector, policy, mode, document_scopes=scope != "corpus"
+    )
     redacted = run.texts.select("doc_id", "unit_no", F.col("redacted").alias("text"))
     join_units(redacted, separator or "").write.parquet(f"{out}/texts")
     save_mapping(seal(run.mapping, keyring), f"{out}/mapping", keyring)

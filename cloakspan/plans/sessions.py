@@ -57,8 +57,10 @@ def start_sessions(
     """Redact the certain spans and queue the uncertain ones."""
     found = unit_spans(units, detector, policy, context=True)
     spans = stage(found, "sessions")
-    redaction = redact_units(units, policy=policy, mode=SKIP_UNCERTAIN, spans=spans)
-    return SessionRun(redaction, review_queue(spans))
+    redaction = redact_units(
+        units, policy=policy, mode=SKIP_UNCERTAIN, spans=spans, document_scopes=True
+    )
+    return SessionRun(redaction, review_queue(spans, document_scopes=True))
 
 
 def confirm(
@@ -77,6 +79,7 @@ def confirm(
         decisions=decisions,
         existing=run.redaction.mapping,
         spans=run.redaction.spans,
+        document_scopes=True,
     )
     return SessionRun(redaction, remaining(run.queue, answers))
 

@@ -86,9 +86,35 @@ LAYER_NAMES = 5
 LAYER_CONTEXTUAL = 6  # opt-in, uncertain like the name layer
 
 
-def java_regex(pattern: str, ignore_case: bool) -> str:
-    """Prefix the flags that give Spark's regex engine Unicode classes and case."""
-    return ("(?iuU)" if ignore_case else "(?U)") + pattern
+# Word characters are letters, numbers and '_' (marks and joiners are not), and
+# white space includes the separators U+001C to U+001F.  The letter U+1D400 makes
+# a look-behind read whole code points.
+_WORD = "[\\p{L}\\p{N}_\U0001d400]"
+_BORDER = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+_SPACE = r"\s\x1c-\x1f"
+
+
+def java_regex(pattern: str, ignore_case: bool, guard: str = "") -> str:
+    """The pattern for Spark's regex engine: flags for Unicode classes and case,
+    and the word border and white space of the pattern's definition.
+
+    ``guard`` is a condition that every start of a hit meets; it is tested first
+    because it is cheaper than a word border.
+    """
+    out, in_class, i = [], False, 0
+    while i < len(pattern):
+        pair = pattern[i : i + 2]
+        if pair == r"\b" and not in_class:
+            out.append(_BORDER)
+        elif pair == r"\s":
+            out.append(_SPACE if in_class else f"[{_SPACE}]")
+        elif pair[0] == "\\":
+            out.append(pair)
+        else:
+            in_class = pair[0] == "[" or (in_class and pair[0] != "]")
+            out.append(pair[0])
+        i += 2 if pair[0] == "\\" else 1
+    return ("(?iuU)" if ignore_case else "(?U)") + guard + "".join(out)
 
 
 @dataclass(frozen=True)
@@ -96,7 +122,8 @@ class Rule:
     """One pattern of a detection layer.
 
     ``gate`` is a cheap necessary condition (a literal that must occur, or a
-    short regex) which keeps clean text away from the full pattern.
+    short regex) which keeps clean text away from the full pattern; ``guard`` is
+    one for the position of a hit.
     """
 
     name: str
@@ -108,10 +135,11 @@ class Rule:
     ignore_case: bool = True
     gate_literal: str | None = None
     gate_regex: str | None = None
+    guard: str = ""
 
     @property
     def regex(self) -> str:
-        return java_regex(self.pattern, self.ignore_case)
+        return java_regex(self.pattern, self.ignore_case, self.guard)
 
 
 _THREE_DIGITS = r"(?U)\d{3}"
@@ -120,7 +148,8 @@ _THREE_DIGITS = r"(?U)\d{3}"
 REGEX_RULES = (
     Rule("email", "email",
          r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
-         0.95, LAYER_REGEX, 0, gate_literal="@"),
+         0.95, LAYER_REGEX, 0, gate_literal="@",
+         guard=r"(?:(?<![A-Za-z0-9_])|(?=[.%+-]))"),
     Rule("phone", "phone",
          r"(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}\b",
          0.85, LAYER_REGEX, 1, gate_regex=_THREE_DIGITS),
@@ -129,13 +158,13 @@ REGEX_RULES = (
          0.80, LAYER_REGEX, 2, gate_literal="@"),
     Rule("ssn", "ssn",
          r"\b\d{3}[-.\s]?\d{2}[-.\s]?\d{4}\b",
-         0.90, LAYER_REGEX, 3, gate_regex=_THREE_DIGITS),
+         0.90, LAYER_REGEX, 3, gate_regex=_THREE_DIGITS, guard=r"(?=\d)"),
     Rule("credit_card", "credit_card",
          r"\b(?:\d{4}[-.\s]?){3}\d{4}\b",
-         0.85, LAYER_REGEX, 4, gate_regex=_THREE_DIGITS),
+         0.85, LAYER_REGEX, 4, gate_regex=_THREE_DIGITS, guard=r"(?=\d)"),
     Rule("ip_address", "ip_address",
          r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
-         0.90, LAYER_REGEX, 5, gate_regex=r"(?U)\d\.\d"),
+         0.90, LAYER_REGEX, 5, gate_regex=r"(?U)\d\.\d", guard=r"(?=\d)"),
     Rule("url", "url",
          r"https?://[^\s<>\"{}|\\^`\[\]]+",
          0.95, LAYER_REGEX, 6, gate_literal="://"),
@@ -147,6 +176,7 @@ RULES_BY_NAME = {rule.name: rule for rule in REGEX_RULES}
 NAME_PATTERN = (
     r"\b([A-ZА-ЯҐЄІЇ][a-zа-яґєії']+)\s+([A-ZА-ЯҐЄІЇ][a-zа-яґєії']+)\b"
 )
+NAME_GUARD = "(?=[A-ZА-ЯҐЄІЇ])"
 NAME_BOTH_KNOWN = 0.70
 NAME_ONE_KNOWN = 0.60
 NAME_NONE_KNOWN = 0.50

@@ -114,7 +114,7 @@ def batch_writer(
         )
         fresh = values.join(known.select(*KEYED), KEYED, "left_anti")
         numbered = assign_placeholders(
-            spans, policy.numbering, last_numbers(known), values=fresh
+            spans, policy.numbering, last_numbers(known), values=fresh, document_scopes=True
         )
         since = known.groupBy("scope_id").agg(F.min("created_at").alias("since"))
         opened = (
