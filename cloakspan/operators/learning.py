@@ -33,7 +33,8 @@ def learn_safe(
     """Add ``new(value)`` to the safe list and drop the value, and its lower
     form, from every type."""
     listed = safe.select("value_lc").union(new.select(F.lower("value")))
-    return pii.join(_removals(new), "value", "left_anti"), listed.distinct()
+    kept = pii.join(_removals(new), "value", "left_anti")
+    return kept.select("pii_type", "value"), listed.distinct()
 
 
 def _removals(values: DataFrame) -> DataFrame:

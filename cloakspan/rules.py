@@ -149,7 +149,7 @@ REGEX_RULES = (
     Rule("email", "email",
          r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
          0.95, LAYER_REGEX, 0, gate_literal="@",
-         guard=r"(?:(?<![A-Za-z0-9_])|(?=[.%+-]))"),
+         guard=r"(?:\b|(?<=[^\x00-\x7f]))(?=[A-Za-z0-9._%+-]++@)"),
     Rule("phone", "phone",
          r"(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}\b",
          0.85, LAYER_REGEX, 1, gate_regex=_THREE_DIGITS),
