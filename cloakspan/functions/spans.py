@@ -38,23 +38,36 @@ def _walk(count: Sql, gap: Callable[[Sql], Sql], hit: Callable[[Sql], Sql],
     return fold(f"sequence(0, {count} - 1)", start, step, lambda acc: f"{acc}.hits")
 
 
-def _fenced_hits(text: Sql, regex: Sql) -> Sql:
+def _fenced_hits(text: Sql, regex: Sql, group: int) -> Sql:
     """Hits of one regex pass: fence every hit, then cut at the fences, which
     leaves gap, hit, gap, hit ... gap."""
     fence = text_literal(FENCE)
 
-    def cut(parts: Sql) -> Sql:
-        return _walk(
-            f"(size({parts}) div 2)",
-            lambda i: f"get({parts}, 2 * {i})",
-            lambda i: f"get({parts}, 2 * {i} + 1)",
-            lambda i: f"get({parts}, 2 * {i} + 1)",
-        )
-
     def place(marked: Sql) -> Sql:
+        def cut(pieces: Sql, part: Callable[[Sql], Sql] | None = None) -> Sql:
+            def hit(i: Sql) -> Sql:
+                return f"get({pieces}, 2 * {i} + 1)"
+
+            return _walk(
+                f"(size({pieces}) div 2)",
+                lambda i: f"get({pieces}, 2 * {i})",
+                hit,
+                part or hit,
+            )
+
+        pieces = f"split({marked}, {fence}, -1)"
+        if group == 0:
+            placed = let(pieces, cut)
+        else:
+            parts = f"regexp_extract_all({text}, {regex}, {group})"
+            placed = let(
+                pieces,
+                lambda c: let(
+                    parts, lambda p: cut(c, lambda i: f"get({p}, cast({i} AS int))")
+                ),
+            )
         return (
-            f"CASE WHEN contains({marked}, {fence}) "
-            f"THEN {let(f'split({marked}, {fence}, -1)', cut)} "
+            f"CASE WHEN contains({marked}, {fence}) THEN {placed} "
             f"ELSE {empty(HIT_ARRAY)} END"
         )
 
@@ -63,8 +76,7 @@ def _fenced_hits(text: Sql, regex: Sql) -> Sql:
 
 
 def _two_pass_hits(text: Sql, regex: Sql, group: int) -> Sql:
-    """Hits and gaps from two regex passes, for text that holds the fence and for
-    hits of a group."""
+    """Hits and gaps from two regex passes, for text that holds the fence."""
 
     def place(found: Sql) -> Sql:
         def walk(gaps: Sql, parts: Sql) -> Sql:
@@ -97,11 +109,10 @@ def regex_hits(text: Sql, regex: Sql, group: int = 0) -> Sql:
     With ``group`` the offsets are those of that group, which has to sit at the
     end of the hit.
     """
-    if group:
-        return _two_pass_hits(text, regex, group)
     return (
         f"CASE WHEN contains({text}, {text_literal(FENCE)}) "
-        f"THEN {_two_pass_hits(text, regex, 0)} ELSE {_fenced_hits(text, regex)} END"
+        f"THEN {_two_pass_hits(text, regex, group)} "
+        f"ELSE {_fenced_hits(text, regex, group)} END"
     )
 
 

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 
 
+REBALANCE_ABOVE_CORES = 64
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -33,10 +36,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     work nor depend on executors that may be gone.
 
     Staged spans hold original values: guard the folder like the source data.
+    On a large cluster the rows are first brought into partitions of an even
+    size; a scan in a million tasks would leave a million small files.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    large = spark.sparkContext.defaultParallelism > REBALANCE_ABOVE_CORES
+    (df.hint("rebalance") if large else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

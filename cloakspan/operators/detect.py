@@ -102,14 +102,39 @@ def fold_case(text: Sql) -> Sql:
 def rule_hits(text: Sql, rule: R.Rule) -> Sql:
     """Hits of one rule; the rule's gate keeps clean texts off the pattern."""
     hits = regex_hits(text, text_literal(rule.regex))
-    gates = []
+    gate = _gate(text, rule)
+    if gate is None:
+        return hits
+    return f"CASE WHEN {gate} THEN {hits} ELSE {empty(HIT_ARRAY)} END"
+
+
+def _gate(text: Sql, rule: R.Rule) -> Sql | None:
     if rule.gate_literal is not None:
-        gates.append(f"contains({text}, {text_literal(rule.gate_literal)})")
+        return f"contains({text}, {text_literal(rule.gate_literal)})"
     if rule.gate_regex is not None:
-        gates.append(f"{text} RLIKE {text_literal(rule.gate_regex)}")
-    if not gates:
-        return hits
-    return f"CASE WHEN {' AND '.join(gates)} THEN {hits} ELSE {empty(HIT_ARRAY)} END"
+        return f"{text} RLIKE {text_literal(rule.gate_regex)}"
+    return None
+
+
+def may_match(text: Sql, detector: Detector, uncertain: bool) -> Sql:
+    """A cheap condition that every text with a span meets; clean texts mostly
+    do not.  ``uncertain`` includes the layers that only give uncertain spans."""
+    tests = []
+    for rule in (*detector.rules, *detector.custom_patterns):
+        tests.append(_gate(text, rule) or f"{text} RLIKE {text_literal(rule.regex)}")
+    for _, value in detector.learned_pii:
+        if value:
+            tests.append(
+                f"contains({fold_case(text)}, {fold_case(text_literal(value))})"
+            )
+    if uncertain and detector.names:
+        regex = R.java_regex(R.NAME_PATTERN, False, R.NAME_GUARD)
+        tests.append(f"{text} RLIKE {text_literal(regex)}")
+    if uncertain:
+        for pii_type in detector.contextual:
+            regex = R.java_regex(R.contextual_pattern(pii_type), ignore_case=True)
+            tests.append(f"{text} RLIKE {text_literal(regex)}")
+    return " OR ".join(dict.fromkeys(tests)) or "false"
 
 
 def rule_spans(text: Sql, rule: R.Rule, threshold: float) -> Sql:

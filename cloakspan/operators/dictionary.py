@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import Sql, let, text_list, text_literal, transform
+from ..functions.expr import Sql, text_list, text_literal, transform
 from ..functions.spans import make_span, priority_of, regex_hits
 from ..rules import LAYER_LEARNED, LEARNED_CONFIDENCE, TYPE_PRIORITY
 from .detect import SPAN_FIELDS, Detector, fold_case, raw_spans
@@ -34,22 +34,10 @@ def quote_regex(value: Sql) -> Sql:
 
 
 def grams(folded: Sql, size: int) -> Sql:
-    """Distinct grams of ``size`` characters.
-
-    The text is cut into characters once and the shifted arrays are zipped;
-    cutting every gram out of the string would walk it from the start.
-    """
-
-    def build(chars: Sql) -> Sql:
-        joined = chars
-        for shift in range(1, size):
-            joined = (
-                f"zip_with({joined}, slice({chars}, {shift + 1}, size({chars})), "
-                f"(head, char) -> head || char)"
-            )
-        return f"array_distinct(array_compact({joined}))"
-
-    return let(f"split({folded}, '', -1)", build)
+    """Distinct grams of ``size`` characters, cut out by one regex pass: a
+    look-ahead captures the characters at every position."""
+    every = text_literal(f"(?s)(?=(.{{{size}}}))")
+    return f"array_distinct(regexp_extract_all({folded}, {every}, 1))"
 
 
 def file_under_gram(dictionary: DataFrame, size: int = GRAM) -> DataFrame:

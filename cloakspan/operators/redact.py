@@ -34,7 +34,7 @@ from ..functions.spans import (
 from ..functions.staging import stage
 from ..schemas import SPAN_ARRAY
 from .arbitrate import arbitrate, first_claims, of_status, resolve_overlaps
-from .detect import SPAN_FIELDS, Detector, detect_spans
+from .detect import SPAN_FIELDS, Detector, detect_spans, may_match
 from .mapping import assign_placeholders, extend_mapping
 
 UNIT = ["scope_id", "doc_id", "unit_no"]
@@ -307,9 +307,16 @@ def edits_of(accepted: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def splice_units(
-    units: DataFrame, edits: DataFrame, policy: Policy = SAFE
+    units: DataFrame,
+    edits: DataFrame,
+    policy: Policy = SAFE,
+    gate: Sql | None = None,
 ) -> DataFrame:
-    """Put the placeholders into the units' texts; the texts shuffle once."""
+    """Put the placeholders into the units' texts.
+
+    Texts shuffle once, to meet their edits.  With ``gate`` (a condition that
+    every text with edits meets) the other texts do not shuffle at all.
+    """
     per_unit = edits.groupBy(*UNIT).agg(
         F.collect_list(
             F.struct("start", "end", "placeholder", "status")
@@ -319,11 +326,29 @@ def splice_units(
         spliced = splice_from_right("text", _last_first("edits"))
     else:
         spliced = splice("text", "array_sort(edits)")
-    return (
-        units.join(per_unit, UNIT, "left")
-        .withColumn("redacted", F.expr(f"if(edits IS NULL, text, {spliced})"))
-        .drop("edits")
+    return join_edits(units, per_unit, spliced, "redacted", gate)
+
+
+def join_edits(
+    units: DataFrame,
+    per_unit: DataFrame,
+    changed: Sql,
+    out: str,
+    gate: Sql | None = None,
+    unchanged: Sql = "text",
+) -> DataFrame:
+    """``units`` with the column ``out``: ``changed`` where the unit has
+    ``edits``, else ``unchanged``."""
+    touched = units if gate is None else units.where(gate)
+    done = (
+        touched.join(per_unit, UNIT, "left")
+        .withColumn(out, F.expr(f"if(edits IS NULL, {unchanged}, {changed})"))
+        .drop(*(c for c in per_unit.columns if c not in units.columns))
     )
+    if gate is None:
+        return done
+    clean = units.where(f"NOT coalesce({gate}, false)")
+    return done.unionByName(clean.withColumn(out, F.expr(unchanged)))
 
 
 @dataclass(frozen=True)
@@ -354,7 +379,9 @@ def redact_units(
     an earlier run over the same units.  ``document_scopes`` says that every
     scope is one document or session.
     """
+    gate = None
     if spans is None:
+        gate = may_match("text", detector or Detector(), mode != SKIP_UNCERTAIN)
         spans = stage(unit_spans(units, detector, policy, mode), "spans")
     accepted = decide(spans, mode, policy, decisions)
     if mode == REVIEWED:
@@ -371,7 +398,7 @@ def redact_units(
     if existing is not None:
         known = existing.select(*MAPPED).unionByName(mapping.select(*MAPPED))
     edits = edits_of(accepted, known)
-    return Redaction(splice_units(units, edits, policy), spans, edits, mapping)
+    return Redaction(splice_units(units, edits, policy, gate), spans, edits, mapping)
 
 
 MAPPED = ["scope_id", "pii_type", "value_lc", "original", "n", "placeholder"]

@@ -12,6 +12,7 @@ from ..functions.placeholders import placeholder_regex
 from ..functions.spans import regex_hits, splice
 from .crypto import Keyring
 from .mapping import restorations
+from .redact import join_edits
 
 UNIT = ["scope_id", "doc_id", "unit_no"]
 
@@ -59,14 +60,13 @@ def restore_units(
             )
         ).alias("edits")
     )
-    return (
-        units.join(edits, UNIT, "left")
-        .withColumn(
-            "restored",
-            F.expr(f"if(edits IS NULL, text, {splice('text', 'edits')})"),
-        )
-        .withColumn("restorations", F.coalesce(F.size("edits"), F.lit(0)).cast("long"))
-        .drop("edits")
+    gate = f"text RLIKE {text_literal(placeholder_regex(custom))}"
+    changed = struct(text=splice("text", "edits"), hits="cast(size(edits) AS bigint)")
+    done = join_edits(units, edits, changed, "_out", gate, struct(text="text", hits="0L"))
+    return done.select(
+        *units.columns,
+        F.col("_out.text").alias("restored"),
+        F.col("_out.hits").alias("restorations"),
     )
 
 

@@ -153,11 +153,11 @@ def test_entity_of_a_claimed_span_is_dropped(spark):
         "doc_id long, unit_no int, label string, start int, end int",
     )
     attached = with_entities(units, entities, ["doc_id", "unit_no"])
-    got = unit_spans(attached, entities="entities").orderBy("start").collect()
+    got = unit_spans(attached, entities="entities").orderBy("start", "end").collect()
     assert [(r["text"], r["rule"], r["status"]) for r in got] == [
         ("ann@corp.io", "email", "match"),
-        ("Mary Baker Jones", "entity", "match"),
         ("Mary Baker", "name_bigram", "uncertain"),
+        ("Mary Baker Jones", "entity", "match"),
     ]
 
 
