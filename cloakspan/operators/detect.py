@@ -95,8 +95,13 @@ def literal_regex(value: str, boundary: bool) -> str:
 
 
 def fold_case(text: Sql) -> Sql:
-    """A coarse case fold: texts equal under case-blind matching fold alike."""
-    return f"replace(lower(upper({text})), '\\u0307', '')"
+    """A coarse case fold: texts equal under case-blind matching fold alike.
+
+    Upper case does not depend on the neighbours of a letter, lower case does
+    (final sigma).  The signs that have no upper case of their own are replaced.
+    """
+    signs = r"translate(upper(%s), '\u0130\u212a\u212b\u2126\u03f4', 'IK\u00c5\u03a9\u0398')"
+    return f"replace({signs % text}, '\\u1e9e', 'SS')"
 
 
 def rule_hits(text: Sql, rule: R.Rule) -> Sql:
@@ -122,11 +127,15 @@ def may_match(text: Sql, detector: Detector, uncertain: bool) -> Sql:
     tests = []
     for rule in (*detector.rules, *detector.custom_patterns):
         tests.append(_gate(text, rule) or f"{text} RLIKE {text_literal(rule.regex)}")
-    for _, value in detector.learned_pii:
-        if value:
-            tests.append(
-                f"contains({fold_case(text)}, {fold_case(text_literal(value))})"
+    learned = sorted({value for _, value in detector.learned_pii if value})
+    if learned:
+        folds = ", ".join(fold_case(text_literal(value)) for value in learned)
+        tests.append(
+            let(
+                fold_case(text),
+                lambda folded: f"exists(array({folds}), e -> contains({folded}, e))",
             )
+        )
     if uncertain and detector.names:
         regex = R.java_regex(R.NAME_PATTERN, False, R.NAME_GUARD)
         tests.append(f"{text} RLIKE {text_literal(regex)}")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import Sql, text_list, text_literal, transform
 from ..functions.spans import make_span, priority_of, regex_hits
+from ..functions.staging import stage
 from ..rules import LAYER_LEARNED, LEARNED_CONFIDENCE, TYPE_PRIORITY
 from .detect import SPAN_FIELDS, Detector, fold_case, raw_spans
 from .redact import SAFE, SKIP_UNCERTAIN, Policy, arbitrate_table
@@ -82,7 +83,7 @@ def dictionary_spans(
     The planner broadcasts the filed dictionary while it is small and shuffles
     by gram beyond that.  Texts shuffle once, to the values found for them.
     """
-    filed = file_under_gram(dictionary, gram)
+    filed = stage(file_under_gram(dictionary, gram), "dictionary")
     # at most ``gram`` rows: which gram sizes the dictionary needs
     sizes = sorted(r[0] for r in filed.select("gram_size").distinct().collect())
     if not sizes:

@@ -1,6 +1,7 @@
 """Sources, tables, entities, learning, sessions and streams."""
 
 import json
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -106,6 +107,25 @@ def test_dictionary_table_equals_the_small_dictionary(spark):
     assert len(got) > 8
 
 
+def test_case_blind_values_equal_python(spark):
+    values = ["mask", "\u039f\u0394\u039f\u03a3", "Istanbul", "gro\u00df", "\u2126hm", "\u00b5m"]
+    texts = ["MA\u017f\u212a Mask", "\u03bf\u03b4\u03bf\u03c3\u03b1 \u03bf\u03b4\u03bf\u03c2",
+             "\u0131stanbul \u0130STANBUL", "GRO\u1e9e GROSS", "\u03c9hm \u03a9HM", "\u03bcM \u039cm"]
+    table = spark.createDataFrame([("custom", v) for v in values], "pii_type string, value string")
+    units = units_of(spark, *texts)
+    want = {
+        (i, *m.span()) for i, t in enumerate(texts) for v in values
+        for m in re.finditer(re.escape(v), t, re.I)
+    }
+    got = dictionary_spans(units, table).select("doc_id", "start", "end")
+    assert {tuple(r) for r in got.collect()} == want
+    detector = Detector(rules=(), names=False).with_learned(pii=[("custom", v) for v in values])
+    small = units.withColumnRenamed("text", "body").select(
+        "doc_id", F.expr(f"inline({raw_spans('body', detector)})")
+    )
+    assert {tuple(r) for r in small.select("doc_id", "start", "end").collect()} == want
+
+
 def test_learned_values_ignore_the_safe_table(spark):
     units = units_of(spark, "Ann Lee met ann@x.io and Bo Ray")
     learned = spark.createDataFrame([("person_name", "Ann Lee")], "pii_type string, value string")

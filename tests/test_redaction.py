@@ -11,6 +11,7 @@ from cloakspan.functions.expr import text_literal
 from cloakspan.functions.placeholders import placeholder_regex, render_placeholder
 from cloakspan.operators import crypto
 from cloakspan.operators.crypto import Keyring
+from cloakspan.operators.detect import Detector
 from cloakspan.operators.mapping import (
     assign_placeholders,
     extend_mapping,
@@ -85,6 +86,18 @@ def test_units_equal_rows(rich):
     assert by_row.exceptAll(run.texts.select("doc_id", "redacted")).count() == 0
 
 
+def test_gate_keeps_every_text_with_a_span(spark):
+    """Custom, learned and name layers: no text with an edit takes the short way."""
+    detector = Detector().with_learned(pii=[("person_name", "ann")]).with_custom_pattern("z+")
+    texts = random_texts(600, seed=9) + ["ANN", "zz", "", "Zork Quux", "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for mode in (SKIP_UNCERTAIN, ACCEPT_ALL):
+        want = redact_rows(df, detector, mode=mode).select("doc_id", "redacted")
+        got = redact_units(whole_units(df), detector, mode=mode).texts
+        assert want.exceptAll(got.select("doc_id", "redacted")).count() == 0
+        assert got.count() == len(texts)
+
+
 def test_corpus_scope_equals_model(rich):
     run = redact_units(whole_units(rich, scope=F.lit("corpus")), mode=ACCEPT_ALL)
     got = {r["doc_id"]: r["redacted"] for r in run.texts.collect()}
