@@ -31,9 +31,8 @@ def placeholder_regex(custom: Iterable[str] = ()) -> str:
     """One pattern for every generated placeholder, longest literals first.
 
     A placeholder number is read to its last digit, so ``@user10`` is never
-    taken for ``@user1``.  The alternatives are grouped by the kind of their
-    first character, so that most positions of a text are left after a look at
-    that character.
+    taken for ``@user1``.  One look at a character leaves most positions of a
+    text, and the alternatives are grouped by the kind of their first character.
     """
     literals = [w for words in PLACEHOLDER_LISTS.values() for w in words]
     literals = sorted({*literals, *(c for c in custom if c)}, key=lambda w: (-len(w), w))
@@ -45,7 +44,7 @@ def placeholder_regex(custom: Iterable[str] = ()) -> str:
         elif first.isascii() and first.isdigit():
             kind = "[0-9]"
         else:
-            kind = re.escape(first)
+            kind = first if first.isalnum() else "\\" + first
         groups.setdefault(kind, []).append(part)
 
     for word in literals:
@@ -60,9 +59,11 @@ def placeholder_regex(custom: Iterable[str] = ()) -> str:
         if not tail:
             digits += "(?![0-9])"
         add(head[:1] or "0", re.escape(head) + digits + re.escape(tail))
-    return "|".join(
+    firsts = "".join(kind.strip("[]") if len(kind) > 2 else kind for kind in groups)
+    choices = "|".join(
         f"(?={kind})(?:{'|'.join(parts)})" for kind, parts in groups.items()
     )
+    return f"(?=[{firsts}])(?:{choices})"
 
 
 def number_in_row(ordered: Sql) -> Sql:
