@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, simhash_dedup, token_counts
+from . import byte_bpe, quality, simhash_dedup, token_counts, topk, toxicity, url_filter
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -27,3 +28,58 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op3_topk",
+    """
+    WITH v AS (
+      SELECT vec_id AS id,
+             list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS w
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT q.id AS query_id, c.id AS vec_id,
+             CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.id % 20 = 0 AND q.id <> c.id),
+    r AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+    SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+    """,
+)
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
+    return topk.search(vectors, F.col("id") % 20 == 0, k=20)
+
+
+RULES = (
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+)
+
+
+@query("op4_url_filter")
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled URLs are those that a rule decides."""
+    pages = table(spark, sf_dir, "pages")
+    labelled = url_filter.with_rule(pages.select("url"), RULES).where("rule IS NOT NULL")
+    model = url_filter.train(
+        labelled.select("host", "path", F.col("rule_verdict").alias("verdict"))
+    )
+    return url_filter.judge(pages, RULES, model)
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score(docs, quality.train(docs, labels))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.train(docs, labels))
