@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, quality, simhash_dedup, token_counts, topk, toxicity, url_filter
+from . import byte_bpe, quality, simhash_dedup, token_counts, topk, toxicity, url_filter, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -83,3 +83,39 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.score(docs, toxicity.train(docs, labels))
+
+
+@query(
+    "op1_warc",
+    """
+    WITH p AS (
+      SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h
+      FROM pages),
+    b AS (  -- 40 hexadecimal digits as bits, read five at a time
+      SELECT *, list_aggregate(list_transform(range(0, 40), lambda i:
+               lpad(bin(CAST(instr('0123456789abcdef', h[i + 1]) - 1 AS BIGINT)), 4, '0')),
+             'string_agg', '') AS bits
+      FROM p),
+    d AS (
+      SELECT page_id, n, h,
+             list_aggregate(list_transform(range(0, 32), lambda i:
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(0, 5), lambda k:
+                 CAST(bits[i * 5 + k + 1] AS INTEGER) * CAST(pow(2, 4 - k) AS INTEGER)))::INTEGER]),
+             'string_agg', '') AS payload_digest
+      FROM b),
+    m AS (SELECT h, n, max(page_id) AS top FROM p GROUP BY h, n)
+    SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.payload_digest,
+           CASE WHEN d.page_id = m.top THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN d.page_id <> m.top THEN m.top END AS refers_to
+    FROM d JOIN m USING (h, n)
+    """,
+)
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives and index are written, then every page is looked up in them."""
+    pages = table(spark, sf_dir, "pages")
+    archives = warc.new_folder(pages, "warc")
+    index = warc.write_index(
+        warc.write_archives(pages, archives), warc.new_folder(pages, "capture-index")
+    )
+    keys = pages.select(warc.capture_key("url", "page_id").alias("key"))
+    return warc.look_up(keys, index, archives, payloads=False).drop("payload")
