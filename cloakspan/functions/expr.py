@@ -70,6 +70,65 @@ def fold(
     return f"aggregate({array}, {start}, {fn(step, 2)}{tail})"
 
 
+def running(
+    values: Sql, combine: Callable[[Sql, Sql], Sql], start: Sql, levels: int = 3
+) -> Sql:
+    """For each element, ``combine`` over all elements up to it.
+
+    ``combine`` is associative and ``start`` its neutral value.  Blocks of
+    elements are folded first, then the blocks' results, so a long array costs
+    little more per element than a short one.
+    """
+    width = 32
+
+    def upto(block: Sql, base: Sql) -> Sql:
+        return transform(
+            block,
+            lambda _, i: fold(f"slice({block}, 1, {i} + 1)", base, combine),
+            arity=2,
+        )
+
+    def blocked(array: Sql) -> Sql:
+        blocks = transform(
+            f"sequence(0, (size({array}) - 1) div {width})",
+            lambda b: f"slice({array}, cast({b} * {width} + 1 AS int), {width})",
+        )
+
+        def joined(parts: Sql) -> Sql:
+            results = transform(parts, lambda x: fold(x, start, combine))
+            reached = running(results, combine, start, levels - 1)
+
+            def offset(bases: Sql) -> Sql:
+                each = transform(
+                    parts,
+                    lambda x, b: let(
+                        f"if({b} = 0, {start}, get({bases}, {b} - 1))",
+                        lambda base: upto(x, base),
+                    ),
+                    arity=2,
+                )
+                return f"flatten({each})"
+
+            return let(reached, offset)
+
+        return let(blocks, joined)
+
+    def choose(array: Sql) -> Sql:
+        if levels == 1:
+            return upto(array, start)
+        return (
+            f"CASE WHEN size({array}) <= {width} THEN {upto(array, start)} "
+            f"ELSE {blocked(array)} END"
+        )
+
+    return let(values, choose)
+
+
+def running_totals(values: Sql) -> Sql:
+    """The sum of the elements (longs) up to each one."""
+    return running(values, lambda a, b: f"({a} + {b})", "0L")
+
+
 def empty(ddl: str) -> Sql:
     return f"cast(array() AS {ddl})"
 

@@ -13,6 +13,7 @@ from .expr import (
     fold,
     keep,
     let,
+    running_totals,
     struct,
     text_literal,
     transform,
@@ -26,16 +27,19 @@ FENCE = "\ufdd0"
 def _walk(count: Sql, gap: Callable[[Sql], Sql], hit: Callable[[Sql], Sql],
           part: Callable[[Sql], Sql]) -> Sql:
     """Offsets from the running length of gaps and hits."""
+    index = f"sequence(0, {count} - 1)"
+    lengths = transform(
+        index, lambda i: f"cast(length({gap(i)}) + length({hit(i)}) AS bigint)"
+    )
 
-    def step(acc: Sql, i: Sql) -> Sql:
-        def add(end: Sql) -> Sql:
-            found = struct(start=f"{end} - length({part(i)})", end=end, text=part(i))
-            return struct(pos=end, hits=f"concat({acc}.hits, array({found}))")
+    def place(ends: Sql) -> Sql:
+        def found(i: Sql) -> Sql:
+            end = f"cast(get({ends}, cast({i} AS int)) AS int)"
+            return struct(start=f"{end} - length({part(i)})", end=end, text=part(i))
 
-        return let(f"{acc}.pos + length({gap(i)}) + length({hit(i)})", add)
+        return transform(index, found)
 
-    start = struct(pos="0", hits=empty(HIT_ARRAY))
-    return fold(f"sequence(0, {count} - 1)", start, step, lambda acc: f"{acc}.hits")
+    return let(running_totals(lengths), place)
 
 
 def _fenced_hits(text: Sql, regex: Sql, group: int) -> Sql:
