@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, quality, simhash_dedup, token_counts, topk, toxicity, url_filter, warc
+from . import byte_bpe, quality, secrets, simhash_dedup, token_counts, topk, toxicity, url_filter, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -119,3 +119,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     keys = pages.select(warc.capture_key("url", "page_id").alias("key"))
     return warc.look_up(keys, index, archives, payloads=False).drop("payload")
+
+
+@query("op2_secrets")
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
