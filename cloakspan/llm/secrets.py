@@ -63,8 +63,8 @@ _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHI
 #: Encodings in the order of inference: pattern of the token, alphabet, and the
 #: chance that two symbols of ordinary text in this encoding are equal.
 ENCODINGS = (
-    ("hex", "^[0-9]*[a-f][0-9a-f]*$", _DIGITS + "abcdef", 0.10),
-    ("HEX", "^[0-9]*[A-F][0-9A-F]*$", _DIGITS + "ABCDEF", 0.10),
+    ("hex", "^[0-9]*[a-f][0-9a-f]*$", _DIGITS + "abcdef", 0.13),
+    ("HEX", "^[0-9]*[A-F][0-9A-F]*$", _DIGITS + "ABCDEF", 0.13),
     ("base32", "^[A-Z2-7]*[A-Z][A-Z2-7]*$", _UPPER + "234567", 0.065),
     ("alnum", "^[0-9]*[A-Za-z][A-Za-z0-9]*$", _UPPER + _LOWER + _DIGITS, 0.055),
     ("base64", "^[A-Za-z0-9+/]*[A-Za-z][A-Za-z0-9+/]*$", _UPPER + _LOWER + _DIGITS + "+/", 0.055),
