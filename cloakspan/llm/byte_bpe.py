@@ -19,13 +19,15 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 #: Pre-tokens remembered by a Python worker; beyond it the memory starts anew.
 REMEMBERED = 300_000
-
-ENCODED = "ids array<int>, decoded binary"
+#: Rows whose ids a worker holds at a time.
+ROWS = 256
 
 
 def byte_characters() -> list[str]:
@@ -142,26 +144,53 @@ def byte_bpe(path: str, pattern: str) -> ByteBpe:
 
 
 def encode_texts(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``df`` without its text, with ``ids array<int>`` and their ``decoded``
-    bytes.  One narrow pass; a worker holds one batch of rows at a time."""
-    kept = [f for f in df.schema.fields if f.name != text]
+    """``df`` with ``ids array<int>`` in place of its text (a column ``ids`` is
+    replaced).  Every text is decoded again and must come back unchanged.  One
+    narrow pass; a worker holds the ids of some rows at a time."""
+    kept = [f for f in df.schema.fields if f.name not in (text, "ids")]
     source = df.select(*[f"`{f.name}`" for f in kept], f"`{text}`")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path, pattern)
         for batch in batches:
-            ids = [bpe.encode(t) for t in _strings(batch.column(len(kept)))]
-            columns = [batch.column(i) for i in range(len(kept))]
-            columns.append(pa.array(ids, pa.list_(pa.int32())))
-            columns.append(pa.array([bpe.decode(i) for i in ids], pa.binary()))
+            for rows in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+                found = []
+                for value in _strings(rows.column(len(kept))):
+                    ids = bpe.encode(value)
+                    if bpe.decode(ids) != (value or "").encode():
+                        raise ValueError("a text does not survive its encoding")
+                    found.append(np.array(ids, dtype=np.int32))
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                flat = np.concatenate(found) if found else np.empty(0, np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns[: len(kept)], pa.ListArray.from_arrays(ends, pa.array(flat))],
+                    [*[f.name for f in kept], "ids"],
+                )
+
+    return source.mapInArrow(encode, StructType([*kept, StructField("ids", ArrayType(IntegerType()))]))
+
+
+def decode_ids(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
+    """``df`` with ``decoded``, the bytes that its ids stand for; null for null
+    (a column ``decoded`` is replaced)."""
+    kept = [f for f in df.schema.fields if f.name != "decoded"]
+    at = [f.name for f in kept].index(ids)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = byte_bpe(path, pattern)
+        for batch in batches:
+            found = [
+                None if value is None else bpe.decode(value)
+                for value in _strings(batch.column(at))
+            ]
             yield pa.RecordBatch.from_arrays(
-                columns, [*[f.name for f in kept], "ids", "decoded"]
+                [*batch.columns, pa.array(found, pa.binary())],
+                [*[f.name for f in kept], "decoded"],
             )
 
-    schema = ", ".join(
-        [*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], ENCODED]
+    return df.select(*[f"`{f.name}`" for f in kept]).mapInArrow(
+        decode, StructType([*kept, StructField("decoded", BinaryType())])
     )
-    return source.mapInArrow(encode, schema)
 
 
 def digest_texts(df: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
@@ -196,6 +225,6 @@ def digest_texts(df: DataFrame, path: str, pattern: str, key: str = "doc_id") ->
     )
 
 
-def _strings(column: pa.Array) -> Iterator[str | None]:
-    """One text at a time, so a batch is never held twice."""
+def _strings(column: pa.Array) -> Iterator:
+    """One value at a time, so a batch is never held twice."""
     return map(lambda i, c: c[i].as_py(), range(len(column)), repeat(column))

@@ -200,19 +200,16 @@ def score(df: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     )
 
 
-def with_score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` with its ``score`` beside its own columns, in one narrow pass."""
-    names = [f.name for f in df.schema.fields]
-    at = names.index(text)
+def keep(df: DataFrame, model: Model, text: str = "text", least: float = CUT) -> DataFrame:
+    """The rows of ``df`` whose score is ``least`` or more, with its columns as
+    they are; one narrow pass."""
+    at = df.columns.index(text)
 
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at)
             vectors = [measures(texts[i].as_py()) for i in range(len(texts))]
             scores = model.score(np.array(vectors).reshape(-1, len(MEASURES)))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores, pa.float64())], [*names, "quality_score"]
-            )
+            yield batch.filter(pa.array(scores >= least))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return df.mapInArrow(compute, ", ".join([*fields, "quality_score double"]))
+    return df.mapInArrow(choose, df.schema)

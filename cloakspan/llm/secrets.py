@@ -316,16 +316,17 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def redact(df: DataFrame, text: str = "text", mark: str = MARK) -> DataFrame:
     """``df`` with every span (overlapping ones together) replaced by ``mark``;
     null texts stay null."""
-    found = with_spans(df, discovery_steps(df, text), text)
+    steps = discovery_steps(df, text)
+    row = F.struct(*[F.col(f"`{name}`") for name in df.columns])  # no name can clash
+    found = with_spans(df.select(row.alias("row")), steps, f"row`.`{text}")
+    body = f"row.`{text}`"
 
     def cut(reach: Sql) -> Sql:
         """The gap before each span that begins a new cluster, and the mark."""
-        body = f"`{text}`"
 
         def piece(span: Sql, i: Sql) -> Sql:
-            before = f"if({i} = 0, 0, get({reach}, {i} - 1))"
             return let(
-                before,
+                f"if({i} = 0, 0, get({reach}, {i} - 1))",
                 lambda b: f"if({i} = 0 OR {span}.start >= {b}, concat(substr({body}, "
                 f"{b} + 1, {span}.start - {b}), {text_literal(mark)}), '')",
             )
@@ -336,5 +337,10 @@ def redact(df: DataFrame, text: str = "text", mark: str = MARK) -> DataFrame:
 
     ends = transform("secret_spans", lambda s: f"{s}.end")
     reach = running(ends, lambda a, b: f"greatest({a}, {b})", "0")
-    clean = f"CASE WHEN size(secret_spans) > 0 THEN {let(reach, cut)} ELSE `{text}` END"
-    return found.withColumn(text, F.expr(clean)).drop("secret_spans")
+    clean = f"CASE WHEN size(secret_spans) > 0 THEN {let(reach, cut)} ELSE {body} END"
+    return found.select(
+        *[
+            F.expr(clean).alias(name) if name == text else F.col(f"row.`{name}`")
+            for name in df.columns
+        ]
+    )
