@@ -27,7 +27,7 @@ from .ngrams import buckets
 SIZES = (4, 5, 6)
 BITS = 20
 #: Labelled documents of each class learned from, and n-grams kept.
-PER_CLASS, KEPT = 4_000, 6_000
+PER_CLASS, KEPT = 4_000, 4_000
 
 
 @dataclass(frozen=True)
@@ -134,7 +134,7 @@ def train(
         targets,
         len(order),
         weights=np.where(targets == 1, share / documents[1], (1 - share) / documents[0]),
-        penalty=1e-5,
+        penalty=1e-3,
     )
     return Model(slot, weight * ratio, intercept, sizes, bits)
 
