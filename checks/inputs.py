@@ -6,7 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakspan.functions.staging import spread
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal out a table that is a single split of a file, the size of which is
+    bounded by ``spark.sql.files.maxPartitionBytes``; others stay as they are."""
+    if df.rdd.getNumPartitions() > 1:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:

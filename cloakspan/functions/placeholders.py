@@ -3,10 +3,20 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from ..rules import PLACEHOLDER_LISTS, PLACEHOLDER_TEMPLATES
-from .expr import Sql, case, keep, let, struct, text_list, text_literal, transform
+from .expr import (
+    Sql,
+    case,
+    keep,
+    let,
+    running_totals,
+    struct,
+    text_list,
+    text_literal,
+    transform,
+)
 
 _FIELD = re.compile(r"\{n(?::0(\d)d)?\}")
 
@@ -71,54 +81,92 @@ def number_in_row(ordered: Sql) -> Sql:
 
     Equal (type, lower-cased text) share a number; every type counts from 1.
     Returns the spans with ``value_lc``, ``n`` and ``placeholder`` added.
+    Sorts take the place of searches, so long arrays cost little more per span.
     """
 
-    def values_by_type(keys: Sql) -> Sql:
-        def lists(kinds: Sql) -> Sql:
-            of_kind = transform(
-                kinds,
-                lambda kind: transform(
-                    keep(keys, lambda k: f"{k}.pii_type = {kind}"),
-                    lambda k: f"{k}.value",
-                ),
+    def first_of_run(items: Sql, *fields: str) -> Callable[[Sql, Sql], Sql]:
+        """Whether an item differs from the one before in one of the fields."""
+
+        def differs(item: Sql, i: Sql) -> Sql:
+            tests = " OR ".join(
+                f"get({items}, {i} - 1).{f} != {item}.{f}" for f in fields
             )
-            return f"map_from_arrays({kinds}, {of_kind})"
-
-        kinds = transform(keys, lambda k: f"{k}.pii_type")
-        return let(f"array_distinct({kinds})", lists)
-
-    def number(values: Sql) -> Sql:
-        def one(span: Sql) -> Sql:
-            def numbered(n: Sql) -> Sql:
-                return struct(
-                    start=f"{span}.start",
-                    end=f"{span}.end",
-                    text=f"{span}.text",
-                    pii_type=f"{span}.pii_type",
-                    value_lc=f"lower({span}.text)",
-                    n=n,
-                    placeholder=render_placeholder(f"{span}.pii_type", n),
-                    status=f"{span}.status",
-                )
+            return f"({i} = 0 OR {tests})"
+
+        return differs
+
+    def numbers(keyed: Sql) -> Sql:
+        """The number of each span, from spans sorted by type, value, place."""
+        is_first = first_of_run(keyed, "kind", "value")
+        flags = transform(keyed, lambda k, j: f"if({is_first(k, j)}, 1L, 0L)", arity=2)
 
-            position = (
-                f"array_position(element_at({values}, {span}.pii_type), "
-                f"lower({span}.text))"
+        def ranked(runs: Sql) -> Sql:
+            # the first place of each value, sorted by type and place
+            places = transform(
+                keep(keyed, is_first, arity=2),
+                lambda k, j: struct(kind=f"{k}.kind", place=f"{k}.place", run=j),
+                arity=2,
             )
-            return let(position, numbered)
 
-        return transform(spans_name, one)
+            def by_run(sorted_places: Sql) -> Sql:
+                kinds = transform(sorted_places, lambda x: f"{x}.kind")
+                return let(
+                    kinds,
+                    lambda names: transform(
+                        "array_sort({})".format(
+                            transform(
+                                sorted_places,
+                                lambda x, at: struct(
+                                    run=f"{x}.run",
+                                    n=f"{at} + 2 - array_position({names}, {x}.kind)",
+                                ),
+                                arity=2,
+                            )
+                        ),
+                        lambda x: f"{x}.n",
+                    ),
+                )
+
+            def spread(counted: Sql) -> Sql:
+                each = transform(
+                    keyed,
+                    lambda k, j: struct(
+                        place=f"{k}.place",
+                        n=f"get({counted}, cast(get({runs}, {j}) - 1 AS int))",
+                    ),
+                    arity=2,
+                )
+                return transform(f"array_sort({each})", lambda x: f"{x}.n")
+
+            return let(let(f"array_sort({places})", by_run), spread)
+
+        return let(running_totals(flags), ranked)
 
     def body(spans: Sql) -> Sql:
-        nonlocal spans_name
-        spans_name = spans
-        keys = transform(
+        keyed = transform(
             spans,
-            lambda s: struct(pii_type=f"{s}.pii_type", value=f"lower({s}.text)"),
-        )
-        return let(
-            f"array_distinct({keys})", lambda k: let(values_by_type(k), number)
+            lambda s, i: struct(kind=f"{s}.pii_type", value=f"lower({s}.text)", place=i),
+            arity=2,
         )
 
-    spans_name = ordered
+        def numbered(found: Sql) -> Sql:
+            def one(span: Sql, i: Sql) -> Sql:
+                return let(
+                    f"cast(get({found}, {i}) AS bigint)",
+                    lambda n: struct(
+                        start=f"{span}.start",
+                        end=f"{span}.end",
+                        text=f"{span}.text",
+                        pii_type=f"{span}.pii_type",
+                        value_lc=f"lower({span}.text)",
+                        n=n,
+                        placeholder=render_placeholder(f"{span}.pii_type", n),
+                        status=f"{span}.status",
+                    ),
+                )
+
+            return transform(spans, one, arity=2)
+
+        return let(let(f"array_sort({keyed})", numbers), numbered)
+
     return let(ordered, body)

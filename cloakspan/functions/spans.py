@@ -10,6 +10,7 @@ from .expr import (
     Sql,
     case,
     empty,
+    exists,
     fold,
     keep,
     let,
@@ -186,31 +187,53 @@ def context_of(text: Sql, start: Sql, end: Sql, width: int = CONTEXT_CHARS) -> S
 def splice(text: Sql, edits: Sql) -> Sql:
     """Replace non-overlapping ``edits`` (sorted by start) in one pass.
 
-    ``edits`` is an array of structs with ``start, end, placeholder``.
+    ``edits`` is an array of structs with ``start, end, placeholder``.  Long
+    arrays are put in section by section, as finding a place in a text takes as
+    long as the text in front of it.
     """
+    width = 128
+
+    def joined(body: Sql, items: Sql, begin: Sql) -> Sql:
+        """``body``, which starts at ``begin``, up to the last edit's end."""
 
-    def join(items: Sql) -> Sql:
         def piece(edit: Sql, i: Sql) -> Sql:
-            before = f"coalesce(get({items}, {i} - 1).end, 0)"
+            before = f"coalesce(get({items}, {i} - 1).end, {begin})"
             return (
-                f"concat(substr({text}, {before} + 1, {edit}.start - {before}), "
+                f"concat(substr({body}, {before} - {begin} + 1, {edit}.start - {before}), "
                 f"{edit}.placeholder)"
             )
 
+        return f"array_join({transform(items, piece, arity=2)}, '')"
+
+    def sections(items: Sql) -> Sql:
+        def section(g: Sql) -> Sql:
+            part = f"slice({items}, {g} * {width} + 1, {width})"
+            begin = f"coalesce(get({items}, {g} * {width} - 1).end, 0)"
+            stop = f"get({items}, least(({g} + 1) * {width}, size({items})) - 1).end"
+            body = f"substr({text}, {begin} + 1, {stop} - {begin})"
+            return let(
+                struct(part=part, begin=begin, body=body),
+                lambda x: joined(f"{x}.body", f"{x}.part", f"{x}.begin"),
+            )
+
+        count = f"cast((size({items}) - 1) div {width} AS int)"
+        return f"array_join({transform(f'sequence(0, {count})', section)}, '')"
+
+    def join(items: Sql) -> Sql:
         tail = f"substr({text}, get({items}, size({items}) - 1).end + 1)"
-        pieces = transform(items, piece, arity=2)
         return (
-            f"CASE WHEN size({items}) > 0 "
-            f"THEN concat(array_join({pieces}, ''), {tail}) ELSE {text} END"
+            f"CASE WHEN size({items}) = 0 THEN {text} "
+            f"WHEN size({items}) <= {width} THEN concat({joined(text, items, '0')}, {tail}) "
+            f"ELSE concat({sections(items)}, {tail}) END"
         )
 
     return let(edits, join)
 
 
 def splice_from_right(text: Sql, edits: Sql) -> Sql:
-    """Replace edits one after the other from the last start to the first on
+    """Replace edits, given by their last start first, one after the other on
     the changing text.  Overlapping edits cut into each other, as in the
-    compatibility mode's source behaviour."""
+    compatibility mode's source behaviour; others are put in by one pass."""
 
     def step(out: Sql, edit: Sql) -> Sql:
         return (
@@ -218,7 +241,17 @@ def splice_from_right(text: Sql, edits: Sql) -> Sql:
             f"substr({out}, {edit}.end + 1))"
         )
 
-    return fold(edits, text, step)
+    def choose(items: Sql) -> Sql:
+        cut = exists(
+            f"sequence(1, greatest(size({items}) - 1, 1))",
+            lambda i: f"coalesce(get({items}, {i}).end > get({items}, {i} - 1).start, false)",
+        )
+        return (
+            f"CASE WHEN {cut} THEN {fold(items, text, step)} "
+            f"ELSE {splice(text, f'reverse({items})')} END"
+        )
+
+    return let(edits, choose)
 
 
 def count_by_type(spans: Sql) -> Sql:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-
-REBALANCE_ABOVE_CORES = 64
+_open_scratch: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,24 +36,34 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back, so later passes neither repeat the
     work nor depend on executors that may be gone.
 
-    Staged spans hold original values: guard the folder like the source data.
-    On a large cluster the rows are first brought into partitions of an even
-    size; a scan in a million tasks would leave a million small files.
+    Staged spans hold original values: guard the folder like the source data,
+    and run jobs inside :func:`scratch`, which deletes what they staged.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    large = spark.sparkContext.defaultParallelism > REBALANCE_ABOVE_CORES
-    (df.hint("rebalance") if large else df).write.parquet(path)
+    if _open_scratch:
+        _open_scratch[-1].append(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
-    """Spread a scan that has fewer splits than the session has cores.
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, every table staged inside the block.
 
-    A table in many files is returned as it is; a single small file would
-    leave the regex work to one task.
+    For jobs that write their outputs before they return; a table that is
+    handed on must not be staged inside.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *keys)
+    _open_scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _open_scratch.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this engine, in whichever file system it is."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    system.delete(jvm_path, True)

@@ -8,9 +8,8 @@ compares spans of one cluster.
 from __future__ import annotations
 
 from .. import rules as R
-from ..functions.expr import Sql, empty, exists, fold, keep, let, struct, transform
+from ..functions.expr import Sql, exists, fold, keep, let, running, struct, transform
 from ..functions.spans import no_spans
-from ..schemas import SPAN_ARRAY
 
 
 def status_of(layer: int, confidence: float, threshold: float) -> str:
@@ -73,20 +72,30 @@ def _greedy(spans: Sql, order: str, same_text: bool) -> Sql:
 
 
 def _clusters(ordered: Sql) -> Sql:
-    """Cut spans sorted by start into runs that overlap."""
-    start = struct(reach="-1", done=empty(f"array<{SPAN_ARRAY}>"), open=no_spans())
-
-    def step(acc: Sql, span: Sql) -> Sql:
-        joins = f"{span}.start < {acc}.reach"
-        return struct(
-            reach=f"greatest({acc}.reach, {span}.end)",
-            done=f"if({joins}, {acc}.done, concat({acc}.done, array({acc}.open)))",
-            open=f"if({joins}, concat({acc}.open, array({span})), array({span}))",
+    """Cut spans sorted by start into runs that overlap: a run begins where a
+    span starts after all earlier ones have ended."""
+    reach = running(
+        transform(ordered, lambda s: f"{s}.end"),
+        lambda a, b: f"greatest({a}, {b})",
+        "-1",
+    )
+
+    def cut(reached: Sql) -> Sql:
+        begins = keep(
+            f"sequence(0, size({ordered}) - 1)",
+            lambda i: f"({i} = 0 OR get({ordered}, {i}).start >= get({reached}, {i} - 1))",
+        )
+        return let(
+            begins,
+            lambda at: transform(
+                at,
+                lambda b, k: f"slice({ordered}, {b} + 1, "
+                f"coalesce(get({at}, {k} + 1), size({ordered})) - {b})",
+                arity=2,
+            ),
         )
 
-    return fold(
-        ordered, start, step, lambda acc: f"concat({acc}.done, array({acc}.open))"
-    )
+    return let(reach, cut)
 
 
 def _touching(ordered: Sql) -> Sql:

@@ -125,26 +125,22 @@ def redact_rows(
     Adds ``redacted``, ``total``, ``uncertain``, ``by_type`` and ``spans`` (the
     replaced spans with their placeholder, in numbering order).
     """
+    # one step at a time: a nest of all of them is too deep for the analyzer
     found = found_spans(text, detector or Detector(), policy, entities)
-
-    def result(spans: Sql) -> Sql:
-        chosen = _numbering_order(accepted_spans(spans, mode, policy), policy)
-        return struct(
-            spans=number_in_row(chosen),
-            uncertain=f"cast(size({of_status(spans, 'uncertain')}) AS bigint)",
-        )
-
-    worked = compute_once(df, _work=let(found, result))
-    edited = _apply(text, "_work.spans", policy)
+    worked = compute_once(df, _found=found)
+    accepted = accepted_spans("_found", mode, policy)
+    worked = compute_once(worked, _chosen=_numbering_order(accepted, policy))
+    worked = compute_once(worked, _spans=number_in_row("_chosen"))
+    edited = _apply(text, "_spans", policy)
     return worked.select(
         *df.columns,
         F.expr(
-            f"CASE WHEN size(_work.spans) = 0 THEN {text} ELSE {edited} END"
+            f"CASE WHEN size(_spans) = 0 THEN {text} ELSE {edited} END"
         ).alias("redacted"),
-        F.expr("cast(size(_work.spans) AS bigint)").alias("total"),
-        F.col("_work.uncertain").alias("uncertain"),
-        F.expr(count_by_type("_work.spans")).alias("by_type"),
-        F.col("_work.spans").alias("spans"),
+        F.expr("cast(size(_spans) AS bigint)").alias("total"),
+        F.expr(f"cast(size({of_status('_found', 'uncertain')}) AS bigint)").alias("uncertain"),
+        F.expr(count_by_type("_spans")).alias("by_type"),
+        F.col("_spans").alias("spans"),
     )
 
 
@@ -222,9 +218,10 @@ def unit_spans(
 ) -> DataFrame:
     """Arbitrated spans of every unit as rows, each with the flag ``accepted``
     (narrow: no shuffle)."""
+    body = units.select(*UNIT, F.col("text").alias("_body"), *([entities] if entities else []))
     found = found_spans("_body", detector or Detector(), policy, entities)
-    flagged = _flag_accepted(found, mode, policy)
-    rows = units.withColumnRenamed("text", "_body").select(
+    flagged = _flag_accepted("_found", mode, policy)
+    rows = compute_once(body, _found=found).select(
         *UNIT, "_body", F.expr(f"inline({flagged})").alias(*SPAN_FIELDS, "accepted")
     )
     columns = [*UNIT, *SPAN_FIELDS, "accepted"]
