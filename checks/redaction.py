@@ -136,6 +136,41 @@ def decide_reviewed(spark, sf_dir):
     return span_columns(decide(spans, REVIEWED, decisions=_decisions(spark, sf_dir)))
 
 
+# three decisions on each document's name, at times whose order differs by document
+_CONFLICTS = """SELECT doc_id AS scope_id, 'person_name' AS pii_type, 'Karl Wagner' AS value,
+  CASE (doc_id * 7 + k * k) % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'skip' END AS decision,
+  CASE (doc_id + k) % 3 WHEN 0 THEN 'company_name' WHEN 1 THEN 'team_name' END AS type_override,
+  (doc_id * 5 + k * 3) % 11 AS decided_at
+  FROM {documents} CROSS JOIN {times}"""
+
+
+@query(
+    "decide_reviewed_conflicts",
+    with_(
+        RICH, *raw("docs"), CLAIMS, *greedy("resolved", "claims", "longest", False),
+        "said AS ({})".format(
+            _CONFLICTS.format(documents="documents", times="(SELECT unnest([0, 1, 2]) AS k)")
+        ),
+        """decisions AS (SELECT * FROM (
+             SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY decided_at DESC,
+               decision DESC, type_override DESC NULLS LAST) AS back
+             FROM said WHERE decision <> 'skip') WHERE back = 1)""",
+        *_REVIEWED[-4:],
+        select=f"SELECT {SPAN_SQL} FROM accepted",
+    ),
+)
+def decide_reviewed_conflicts(spark, sf_dir):
+    """Yes, no and skip on the same value: the last yes or no counts."""
+    table(spark, sf_dir, "documents").select("doc_id").createOrReplaceTempView("review_documents")
+    said = spark.sql(
+        _CONFLICTS.format(
+            documents="review_documents", times="(SELECT explode(array(0, 1, 2)) AS k)"
+        )
+    )
+    spans = unit_spans(whole_units(rich_documents(spark, sf_dir)), mode=REVIEWED)
+    return span_columns(decide(spans, REVIEWED, decisions=said))
+
+
 @query(
     "redact_reviewed",
     with_(
@@ -392,6 +427,30 @@ def restorations_of_placeholders(spark, sf_dir):
     return restorations(_shared_mapping(spark, sf_dir))
 
 
+def _register_sealed(name: str, sql: str, look_up) -> None:
+    @query(name, with_(*_SHARED, select=sql))
+    def sealed_lookup(spark, sf_dir):
+        """The sealed mapping keeps the order in which values were mapped."""
+        keyring = Keyring.from_key(spark, TEST_KEY)
+        made_at = F.lit("2024-01-01").cast("timestamp")
+        sealed = seal(_shared_mapping(spark, sf_dir), keyring, made_at)
+        return unseal(look_up(sealed, "original_enc"), keyring)
+
+
+_register_sealed(
+    "original_of_sealed",
+    """SELECT scope AS scope_id, '<' || typ || '>' AS placeholder,
+       arg_min(original, ord) AS original, typ AS pii_type FROM vals GROUP BY scope, typ""",
+    original_of,
+)
+_register_sealed(
+    "restorations_of_sealed",
+    """SELECT scope AS scope_id, '<' || typ || '>' AS placeholder,
+       arg_max(original, ord) AS original FROM vals GROUP BY scope, typ""",
+    restorations,
+)
+
+
 @query(
     "save_and_load_mapping",
     with_(*_DOC_MAP, select=f"SELECT {_MAP} FROM mapping").replace("key AS value_lc, ", ""),
@@ -725,6 +784,38 @@ def restore_answers(spark, sf_dir):
     return restored.select("doc_id", "restored", "restorations")
 
 
+# custom placeholders of the document, beside and inside generated ones
+_CUSTOM_ANSWER = """concat(text, ' <email> and <email>1, <phone>; <ssn', '> @user1<url>')"""
+
+
+@query(
+    "restore_custom_placeholders",
+    with_(
+        *_SHARED,
+        f"answers AS (SELECT doc_id, {_CUSTOM_ANSWER} AS text FROM documents)",
+        "last AS (SELECT scope, '<' || typ || '>' AS ph, arg_max(original, ord) AS original "
+        "FROM vals GROUP BY scope, typ)",
+        """words AS (SELECT doc_id, unnest(string_split(text, '<')) AS w,
+             generate_subscripts(string_split(text, '<'), 1) AS i FROM answers)""",
+        """parts AS (SELECT doc_id, i, CASE WHEN i = 1 THEN w
+               WHEN l.ph IS NULL THEN '<' || w
+               ELSE l.original || substr(w, instr(w, '>') + 1) END AS part,
+             CAST(l.ph IS NOT NULL AS BIGINT) AS hit
+             FROM words LEFT JOIN last l ON l.scope = doc_id AND i > 1
+               AND l.ph = '<' || substr(w, 1, CAST(instr(w, '>') AS BIGINT)))""",
+        select="SELECT doc_id, string_agg(part, '' ORDER BY i) AS restored, "
+        "CAST(sum(hit) AS BIGINT) AS restorations FROM parts GROUP BY doc_id",
+    ),
+)
+def restore_custom_placeholders(spark, sf_dir):
+    """Placeholders that no template gives are found through the mapping."""
+    from .inputs import documents
+
+    texts = documents(spark, sf_dir).withColumn("text", F.expr(_CUSTOM_ANSWER))
+    restored = restore_units(whole_units(texts), _shared_mapping(spark, sf_dir))
+    return restored.select("doc_id", "restored", "restorations")
+
+
 def _sequential_sql() -> list[str]:
     """One replacement per step, in the order in which the values were mapped."""
     return [
@@ -871,9 +962,11 @@ def remaining_of_sessions(spark, sf_dir):
     "confirm_sessions",
     with_(
         *_SESSION_RUN, *_QUEUE, _ANSWERED_SQL,
-        """said AS (SELECT DISTINCT a.scope_id AS conv, q.typ, q.t, a.type_override
+        """said AS (SELECT conv, typ, t, type_override FROM (
+             SELECT a.scope_id AS conv, q.typ, q.t, a.type_override, a.decision,
+               row_number() OVER (PARTITION BY a.scope_id, q.typ, q.t ORDER BY a.idx DESC) AS back
              FROM queue q JOIN answered a ON a.scope_id = q.doc_id // 1000 AND a.idx = q.idx
-             WHERE a.decision = 'yes')""",
+             WHERE a.decision <> 'skip') WHERE back = 1 AND decision = 'yes')""",
         """confirmed AS (SELECT r.doc_id, r.s, r.e, r.t, coalesce(type_override, r.typ) AS typ,
              conf, layer, seq, prio, status FROM resolved r JOIN said
              ON said.conv = r.doc_id // 1000 AND said.typ = r.typ AND said.t = r.t

@@ -28,11 +28,6 @@ from ..schemas import HIT_ARRAY
 from .arbitrate import first_claims, status_of
 from .entities import entity_spans
 
-# Largest dictionary that is tested value by value inside the row.
-SMALL_DICTIONARY = 500
-# Largest safe list that is inlined as a hash set.
-SMALL_SAFE_LIST = 10_000
-
 SPAN_FIELDS = (
     "start", "end", "layer", "seq", "text", "pii_type",
     "confidence", "priority", "rule", "status",
@@ -160,12 +155,12 @@ def rule_spans(text: Sql, rule: R.Rule, threshold: float) -> Sql:
 def learned_spans(
     text: Sql, pii: Iterable[tuple[str, str]], boundary: bool = False
 ) -> Sql:
-    """Literal values, anywhere in the text, case-blind, always matches."""
+    """Literal values, anywhere in the text, case-blind, always matches.
+
+    Every value is tried on every text; :func:`dictionary.dictionary_spans`
+    finds the same spans of a table of values by a join.
+    """
     entries = [(known_type(t), v) for t, v in pii if v]
-    if len(entries) > SMALL_DICTIONARY:
-        raise ValueError(
-            f"{len(entries)} learned values: use dictionary_spans() with a table"
-        )
     if not entries:
         return no_spans()
     rows = [
@@ -203,10 +198,6 @@ def drop_safe(spans: Sql, safe: Iterable[str]) -> Sql:
     values = sorted({v.lower() for v in safe})
     if not values:
         return spans
-    if len(values) > SMALL_SAFE_LIST:
-        raise ValueError(
-            f"{len(values)} safe values: use drop_safe_table() on span rows"
-        )
     return keep(
         spans,
         lambda s: f"({s}.layer = {R.LAYER_LEARNED} "

@@ -9,14 +9,18 @@ in-row dictionary: substrings, case-blind, each value on its own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import Sql, text_list, text_literal, transform
+from ..functions.bitmap import Bitmap
+from ..functions.expr import Sql, compute_once, keep, text_list, text_literal, transform
 from ..functions.spans import make_span, priority_of, regex_hits
 from ..functions.staging import stage
 from ..rules import LAYER_LEARNED, LEARNED_CONFIDENCE, TYPE_PRIORITY
 from .detect import SPAN_FIELDS, Detector, fold_case, raw_spans
+from .learning import type_rank
 from .redact import SAFE, SKIP_UNCERTAIN, Policy, arbitrate_table
 
 UNIT = ["scope_id", "doc_id", "unit_no"]
@@ -41,35 +45,69 @@ def grams(folded: Sql, size: int) -> Sql:
     return f"array_distinct(regexp_extract_all({folded}, {every}, 1))"
 
 
-def file_under_gram(dictionary: DataFrame, size: int = GRAM) -> DataFrame:
-    """Give every value the gram that the fewest dictionary values share.
+def file_under_gram(values: DataFrame, size: int = GRAM) -> DataFrame:
+    """Rows (``value``, ``folded`` and more) with the ``gram`` of their folded
+    value that the fewest values share.
 
     Values that share a long head, such as numbered accounts, are told apart by
-    their tails instead of meeting under one hot gram.
+    their tails instead of meeting under one hot gram.  A gram's values are
+    counted before the shuffle, and the counts meet the values by a join that
+    adaptive execution splits.
     """
-    entries = (
-        dictionary.where(F.length("value") > 0)
-        .select(
-            F.expr(known_types("pii_type")).alias("pii_type"),
-            "value",
-            F.expr(fold_case("value")).alias("folded"),
-        )
-        .distinct()
-        .withColumn("gram_size", F.least(F.length("folded"), F.lit(size)))
+    sized = values.where(F.length("folded") > 0).withColumn(
+        "gram_size", F.least(F.length("folded"), F.lit(size))
     )
     arms = " ".join(f"WHEN {n} THEN {grams('folded', n)}" for n in range(1, size + 1))
-    exploded = entries.select(
-        "pii_type",
-        "value",
-        "gram_size",
-        F.expr(f"explode(CASE gram_size {arms} END)").alias("gram"),
-    )
+    exploded = sized.select("folded", "gram_size", F.expr(f"CASE gram_size {arms} END").alias("cut"))
+    exploded = exploded.distinct().select("folded", F.explode("cut").alias("gram"))
     shared = exploded.groupBy("gram").agg(F.count("*").alias("sharing"))
-    return (
+    chosen = (
         exploded.join(shared, "gram")
-        .groupBy("pii_type", "value", "gram_size")
+        .groupBy("folded")
         .agg(F.min_by("gram", F.struct("sharing", "gram")).alias("gram"))
     )
+    return sized.join(chosen, "folded")
+
+
+def present_values(
+    units: DataFrame, filed: DataFrame, fold: Callable[[Sql], Sql], payload: list[str],
+    on: list[str] | None = None,
+) -> DataFrame:
+    """Per unit ``entries``: the filed values (their ``payload`` columns) whose
+    gram occurs in the unit's text.
+
+    Grams that no value is filed under do not leave their text: a bitmap of the
+    filed grams is tested in the row.  ``on`` names columns that a unit and a
+    value must share beside the gram.
+    """
+    # at most as many rows as a gram has characters
+    sizes = sorted(r[0] for r in filed.select(F.length("gram")).distinct().collect())
+    known = Bitmap(filed.select(F.xxhash64("gram").alias("h")))
+    cut = ", ".join(grams("folded", n) for n in sizes) or "array('')"
+    wanted = keep(f"concat({cut})", lambda g: known.may_hold(f"xxhash64({g})"))
+    folded = compute_once(units.select(*UNIT, "text"), folded=fold("text"))
+    text_grams = folded.select(*UNIT, F.expr(f"explode({wanted})").alias("gram"))
+    return (
+        text_grams.join(filed.select("gram", *payload, *(c for c in on or [] if c not in payload)), ["gram", *(on or [])])
+        .groupBy(*UNIT)
+        .agg(F.collect_set(F.struct(*payload)).alias("entries"))
+    )
+
+
+def ranked_dictionary(dictionary: DataFrame) -> DataFrame:
+    """``pii_type, value, rank, folded`` of a learned dictionary.
+
+    ``rank`` decides between types that hold the same value: the given column,
+    else the fixed order of the types.
+    """
+    rank = F.col("rank").cast("int") if "rank" in dictionary.columns else type_rank(F.col("pii_type"))
+    return (
+        dictionary.where(F.length("value") > 0)
+        .select(F.expr(known_types("pii_type")).alias("pii_type"), "value", rank.cast("int").alias("rank"))
+        .groupBy("pii_type", "value")
+        .agg(F.min("rank").alias("rank"))
+        .withColumn("folded", F.expr(fold_case("value")))
+    )
 
 
 def dictionary_spans(
@@ -78,24 +116,13 @@ def dictionary_spans(
     boundary: bool = False,
     gram: int = GRAM,
 ) -> DataFrame:
-    """Raw layer-1 spans of a learned dictionary ``(pii_type, value)``.
+    """Raw layer-1 spans of a learned dictionary ``(pii_type, value[, rank])``.
 
     The planner broadcasts the filed dictionary while it is small and shuffles
     by gram beyond that.  Texts shuffle once, to the values found for them.
     """
-    filed = stage(file_under_gram(dictionary, gram), "dictionary")
-    # at most ``gram`` rows: which gram sizes the dictionary needs
-    sizes = sorted(r[0] for r in filed.select("gram_size").distinct().collect())
-    if not sizes:
-        sizes = [gram]
-    folded = units.select(*UNIT, F.expr(fold_case("text")).alias("folded"))
-    cut = ", ".join(grams("folded", n) for n in sizes)
-    text_grams = folded.select(*UNIT, F.expr(f"explode(concat({cut}))").alias("gram"))
-    found = (
-        text_grams.join(filed, "gram")
-        .groupBy(*UNIT)
-        .agg(F.collect_set(F.struct("pii_type", "value")).alias("entries"))
-    )
+    filed = stage(file_under_gram(ranked_dictionary(dictionary), gram), "dictionary")
+    found = present_values(units, filed, fold_case, ["pii_type", "value", "rank"])
 
     def expand(entry: Sql) -> Sql:
         body = quote_regex(f"{entry}.value")
@@ -108,7 +135,7 @@ def dictionary_spans(
             lambda h: make_span(
                 f"{h}.start", f"{h}.end", f"{h}.text", f"{entry}.pii_type",
                 priority_of(f"{entry}.pii_type"), str(LEARNED_CONFIDENCE),
-                LAYER_LEARNED, "0", "'learned'", "'match'",
+                LAYER_LEARNED, f"{entry}.rank", "'learned'", "'match'",
             ),
         )
 

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..rules import (
     CUSTOM_CONFIDENCE,
     LAYER_CUSTOM,
+    LEARNED_ROWS_VERSION,
     LEARNED_VERSION,
     PII_TYPES,
     Rule,
 )
 from ..schemas import LEARNED_FILE
 
-# Largest set of custom patterns a detector takes (they are configuration).
-MAX_PATTERNS = 1_000
+_EXPORT = (
+    "version int, kind string, pii_type string, value string, name string, "
+    "confidence double, created_at timestamp"
+)
 
 
 def learn_pii(
@@ -156,16 +160,13 @@ def remove_patterns(patterns: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def pattern_rules(patterns: DataFrame) -> tuple[Rule, ...]:
-    """Read the pattern table into detector rules (it is configuration, and its
-    size is checked)."""
+    """Read the pattern table into detector rules: configuration, of which
+    every row is searched in every text."""
     rows = (
         patterns.select("name", "pattern", "pii_type", "confidence")
         .orderBy("created_at", "name")
-        .limit(MAX_PATTERNS + 1)
         .collect()
     )
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} custom patterns")
     return tuple(
         Rule(
             r["name"],
@@ -211,26 +212,55 @@ def export_learned(
     pii: DataFrame, safe: DataFrame, path: str, patterns: DataFrame | None = None
 ):
     """Write the learned tables as JSON rows ``{version, kind, pii_type, value,
-    name, created_at}``; the rows go out in parallel."""
-    blank = F.lit(None).cast("string")
-    rows = pii.select(
-        F.lit(LEARNED_VERSION).alias("version"),
-        F.lit("pii").alias("kind"),
-        "pii_type",
-        "value",
-        blank.alias("name"),
-        blank.alias("created_at"),
-    ).union(
-        safe.select(F.lit(LEARNED_VERSION), F.lit("safe"), blank, "value_lc", blank, blank)
+    name, confidence, created_at}``; the rows go out in parallel."""
+
+    def rows(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
+        return df.select(
+            F.lit(LEARNED_ROWS_VERSION).alias("version"),
+            F.lit(kind).alias("kind"),
+            *[
+                columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in StructType.fromDDL(_EXPORT).fields[2:]
+            ],
+        )
+
+    out = rows(pii, "pii", pii_type=F.col("pii_type"), value=F.col("value")).union(
+        rows(safe, "safe", value=F.col("value_lc"))
     )
     if patterns is not None:
-        rows = rows.union(
-            patterns.select(
-                F.lit(LEARNED_VERSION), F.lit("custom_pattern"), "pii_type",
-                "pattern", "name", F.col("created_at").cast("string"),
+        out = out.union(
+            rows(
+                patterns, "custom_pattern", pii_type=F.col("pii_type"), value=F.col("pattern"),
+                name=F.col("name"), confidence=F.col("confidence"), created_at=F.col("created_at"),
+            )
+        )
+    out.write.json(path)
+
+
+def learned_object(
+    pii: DataFrame, safe: DataFrame, patterns: DataFrame | None = None
+) -> DataFrame:
+    """One row ``value``: the version-1 object, as :func:`read_learned_object`
+    reads it.  The form is one document, so it suits stores that one machine can hold."""
+    values = pii.groupBy("pii_type").agg(F.array_sort(F.collect_set("value")).alias("v"))
+    parts = {
+        "pii": values.agg(
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("pii_type", "v")))).alias("pii")
+        ),
+        "safe": safe.agg(F.array_sort(F.collect_set("value_lc")).alias("safe")),
+    }
+    if patterns is not None:
+        row = F.struct("pattern", "pii_type", F.col("created_at").cast("string").alias("created_at"))
+        parts["custom_patterns"] = patterns.agg(
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", row.alias("row"))))).alias(
+                "custom_patterns"
             )
         )
-    rows.write.json(path)
+    whole = None
+    for part in parts.values():  # one row each
+        part = part.withColumn("version", F.lit(LEARNED_VERSION))
+        whole = part if whole is None else whole.join(part, "version")
+    return whole.select(F.to_json(F.struct("version", *parts)).alias("value"))
 
 
 def read_learned_object(
@@ -257,19 +287,15 @@ def read_learned(
     spark: SparkSession, path: str
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Read what :func:`export_learned` wrote as rows."""
-    schema = (
-        "version int, kind string, pii_type string, value string, name string, "
-        "created_at string"
-    )
-    rows = spark.read.schema(schema).json(path)
+    rows = spark.read.schema(_EXPORT).json(path)
     pii = rows.where(F.col("kind") == "pii").select("pii_type", "value")
     safe = rows.where(F.col("kind") == "safe").select(F.col("value").alias("value_lc"))
     patterns = rows.where(F.col("kind") == "custom_pattern").select(
         "name",
         F.col("value").alias("pattern"),
         "pii_type",
-        F.lit(CUSTOM_CONFIDENCE).alias("confidence"),
-        F.col("created_at").cast("timestamp").alias("created_at"),
+        F.coalesce("confidence", F.lit(CUSTOM_CONFIDENCE)).alias("confidence"),
+        "created_at",
     )
     return pii, safe, patterns
 
@@ -293,5 +319,18 @@ def import_learned(
     )
 
 
+def import_patterns(patterns: DataFrame, new: DataFrame, merge: bool = True) -> DataFrame:
+    """Imported custom patterns, which take the place of present ones of their
+    name; without ``merge`` of all."""
+    new = upsert_patterns(new.limit(0), new)
+    if not merge:
+        return new
+    return remove_patterns(patterns, new).select(*new.columns).union(new)
+
+
 def clear_learned(pii: DataFrame, safe: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pii.limit(0), safe.limit(0)
+
+
+def clear_patterns(patterns: DataFrame) -> DataFrame:
+    return patterns.limit(0)

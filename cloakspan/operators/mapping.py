@@ -3,7 +3,7 @@
 Plain mapping: ``scope_id, pii_type, value_lc, original, n, placeholder`` and
 the order columns of the first occurrence.  Sealed mapping (what is stored):
 ``scope_id, mapping_id, pii_type, value_key, original_enc, placeholder, n,
-created_at``.
+created_at`` and the order columns.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .crypto import Keyring
 from .numbering import document_order, number_in_scope
 
 KEY = ["scope_id", "pii_type", "value_lc"]
+# where a value first occurred: the order in which mappings are made
+CREATED = ["doc_ord", "unit_no", "pos"]
 
 
 def position(numbering: str) -> Column:
@@ -135,7 +137,11 @@ def extend_mapping(
 def seal(
     mapping: DataFrame, keyring: Keyring, created_at: Column | None = None
 ) -> DataFrame:
-    """Replace the originals by ciphertext and keyed digests."""
+    """Replace the originals by ciphertext and keyed digests.
+
+    The place of the first occurrence is kept, because it is the order in which
+    the mappings were made.
+    """
     value_key = keyring.digest(F.col("value_lc"))
     return mapping.select(
         "scope_id",
@@ -148,6 +154,7 @@ def seal(
         (created_at if created_at is not None else F.current_timestamp()).alias(
             "created_at"
         ),
+        *[c for c in CREATED if c in mapping.columns],
     )
 
 
@@ -185,15 +192,16 @@ def placeholder_of(values: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def _creation(mapping: DataFrame) -> Column:
-    order = [c for c in ("created_at", "doc_ord", "unit_no", "pos") if c in mapping.columns]
+    order = [c for c in ("created_at", *CREATED) if c in mapping.columns]
     return F.struct(*order, "pii_type", "n")
 
 
-def original_of(mapping: DataFrame) -> DataFrame:
-    """Per placeholder the first mapping that made it: original and type."""
+def original_of(mapping: DataFrame, value: str = "original") -> DataFrame:
+    """Per placeholder the first mapping that made it: original (in a sealed
+    mapping ``value`` is ``original_enc``) and type."""
     order = _creation(mapping)
     return mapping.groupBy("scope_id", "placeholder").agg(
-        F.min_by("original", order).alias("original"),
+        F.min_by(value, order).alias(value),
         F.min_by("pii_type", order).alias("pii_type"),
     )
 

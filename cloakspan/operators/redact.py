@@ -257,9 +257,10 @@ def decide(
     """The spans to redact.
 
     Outside a review these are the accepted rows.  ``decisions`` rows are
-    ``(scope_id, pii_type, value, decision, type_override)``; ``yes`` accepts an
-    uncertain span (under the override type, if given), ``no`` and ``skip``
-    leave it in the text, and so does a missing decision.
+    ``(scope_id, pii_type, value, decision, type_override, decided_at)``; the last
+    ``yes`` or ``no`` of a value counts: ``yes`` accepts an uncertain span (under
+    the override type, if given), ``no`` leaves it in the text, and so does a
+    missing decision.
     """
     if mode != REVIEWED:
         return spans.where("accepted").select(*UNIT, *SPAN_FIELDS)
@@ -277,14 +278,29 @@ def decide(
     )
 
 
-def apply_decisions(spans: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Matches, and the uncertain spans that a review accepted."""
-    yes = (
-        decisions.where(F.col("decision") == "yes")
-        .select("scope_id", "pii_type", F.col("value").alias("text"), "type_override")
-        .dropDuplicates(["scope_id", "pii_type", "text"])
-        .withColumn("_yes", F.lit(True))
+def last_decisions(decisions: DataFrame) -> DataFrame:
+    """The last ``yes`` or ``no`` of each (scope, type, value), with its override
+    type; a ``skip`` changes nothing, as in the learned tables.
+
+    Of decisions made at one time ``yes`` counts, then the later override type
+    in the alphabet.
+    """
+    at = F.col("decided_at") if "decided_at" in decisions.columns else F.lit(0)
+    said = F.struct("decision", "type_override")
+    return (
+        decisions.where(F.col("decision").isin("yes", "no"))
+        .groupBy("scope_id", "pii_type", "value")
+        .agg(F.max_by(said, F.struct(at, "decision", "type_override")).alias("said"))
+        .select("scope_id", "pii_type", "value", "said.*")
     )
+
+
+def apply_decisions(spans: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Matches, and the uncertain spans that a review accepted at last."""
+    yes = last_decisions(decisions).where(F.col("decision") == "yes").select(
+        "scope_id", "pii_type", F.col("value").alias("text"), "type_override",
+        F.lit(True).alias("_yes"),
+    )
     joined = spans.join(yes, ["scope_id", "pii_type", "text"], "left")
     kept = joined.where((F.col("status") == "match") | F.col("_yes"))
     uncertain = F.col("status") == "uncertain"

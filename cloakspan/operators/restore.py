@@ -2,47 +2,115 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import Sql, compute_once, fold, struct, text_literal
+from ..functions.expr import (
+    Sql,
+    compute_once,
+    empty,
+    exists,
+    fold,
+    let,
+    struct,
+    text_literal,
+    transform,
+)
 from ..functions.placeholders import placeholder_regex
 from ..functions.spans import regex_hits, splice
+from ..functions.staging import stage
 from .crypto import Keyring
+from .dictionary import file_under_gram, present_values, quote_regex
 from .mapping import restorations
 from .redact import join_edits
 
 UNIT = ["scope_id", "doc_id", "unit_no"]
 
 
-def placeholder_hits(text: Sql, custom: Iterable[str] = ()) -> Sql:
-    """Everything in a text that looks like a placeholder, with offsets."""
-    return regex_hits(text, text_literal(placeholder_regex(custom)))
+EDIT = "struct<start:int,end:int,placeholder:string>"
+
+
+def placeholder_hits(text: Sql) -> Sql:
+    """Everything in a text that looks like a generated placeholder, with
+    offsets."""
+    return regex_hits(text, text_literal(placeholder_regex()))
+
+
+def _custom(known: DataFrame) -> DataFrame:
+    """Placeholders of a mapping that no template or list gives."""
+    generated = text_literal(rf"\A(?:{placeholder_regex()})\z")
+    return known.where(f"placeholder != '' AND NOT placeholder RLIKE {generated}").select(
+        "scope_id", "placeholder"
+    )
+
+
+def _custom_hits(units: DataFrame, custom: DataFrame) -> DataFrame:
+    """Where the custom placeholders of its scope stand in a unit."""
+    values = custom.select("scope_id", "placeholder", F.col("placeholder").alias("value"))
+    filed = stage(file_under_gram(values.withColumn("folded", F.col("value"))), "custom")
+    present = present_values(units, filed, lambda text: text, ["placeholder"], ["scope_id"])
+    each = transform(
+        "entries",
+        lambda e: transform(
+            regex_hits("text", quote_regex(f"{e}.placeholder")),
+            lambda h: struct(start=f"{h}.start", end=f"{h}.end", placeholder=f"{h}.text"),
+        ),
+    )
+    return units.join(present, UNIT).select(
+        *UNIT, F.expr(f"inline(flatten({each}))").alias("start", "end", "placeholder")
+    )
+
+
+def _apart(edits: Sql) -> Sql:
+    """Edits by start; of those that overlap the longest, then the first, stay."""
+
+    def choose(ordered: Sql) -> Sql:
+        ranked = transform(
+            ordered,
+            lambda e: struct(k0=f"{e}.start - {e}.end", k1=f"{e}.start", edit=e),
+        )
+
+        def step(kept: Sql, item: Sql) -> Sql:
+            clash = exists(
+                kept,
+                lambda k: f"({item}.edit.end > {k}.start AND {item}.edit.start < {k}.end)",
+            )
+            return f"if({clash}, {kept}, concat({kept}, array({item}.edit)))"
+
+        touching = exists(
+            f"sequence(1, greatest(size({ordered}) - 1, 1))",
+            lambda i: f"coalesce(get({ordered}, {i}).start < get({ordered}, {i} - 1).end, false)",
+        )
+        greedy = fold(f"array_sort({ranked})", empty(f"array<{EDIT}>"), step)
+        return f"CASE WHEN {touching} THEN array_sort({greedy}) ELSE {ordered} END"
+
+    return let(f"array_sort({edits})", choose)
 
 
 def restore_units(
-    units: DataFrame,
-    mapping: DataFrame,
-    custom: Iterable[str] = (),
-    keyring: Keyring | None = None,
+    units: DataFrame, mapping: DataFrame, keyring: Keyring | None = None
 ) -> DataFrame:
     """Restore in one pass: find candidates, look them up by (scope,
     placeholder), put the originals in.
 
-    Restored text is never searched again, and a longer placeholder is never
-    taken for a shorter one.  Adds ``restored`` and ``restorations``.  With a
-    ``keyring`` the mapping is sealed, and only joined rows are decrypted.
+    Every placeholder that the mapping holds is found: generated ones by their
+    pattern, custom ones by a join.  Restored text is never searched again, and
+    a longer placeholder is never taken for a shorter one.  Adds ``restored``
+    and ``restorations``.  With a ``keyring`` the mapping is sealed, and only
+    joined rows are decrypted.  The units are read once and staged with their
+    candidates.
     """
+    value = "original" if keyring is None else "original_enc"
+    known = stage(restorations(mapping, value), "restorations")
+    columns = units.columns
+    units = stage(compute_once(units, _hits=placeholder_hits("text")), "candidates")
     candidates = units.select(
-        *UNIT,
-        F.expr(f"inline({placeholder_hits('text', custom)})").alias(
-            "start", "end", "placeholder"
-        ),
+        *UNIT, F.expr("inline(_hits)").alias("start", "end", "placeholder")
     )
-    value = "original" if keyring is None else "original_enc"
-    known = restorations(mapping, value)
+    custom = _custom(known)
+    has_custom = not custom.isEmpty()
+    if has_custom:
+        candidates = candidates.unionByName(_custom_hits(units, custom))
     found = candidates.join(known, ["scope_id", "placeholder"])
     if keyring is not None:
         opened = keyring.decrypt(F.col("original_enc"))
@@ -54,17 +122,19 @@ def restore_units(
             ),
         )
     edits = found.groupBy(*UNIT).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("start", "end", F.col("original").alias("placeholder"))
-            )
+        F.collect_list(
+            F.struct("start", "end", F.col("original").alias("placeholder"))
         ).alias("edits")
     )
-    gate = f"text RLIKE {text_literal(placeholder_regex(custom))}"
+    if has_custom:
+        edits = edits.withColumn("edits", F.expr(_apart("edits")))
+    else:
+        edits = edits.withColumn("edits", F.array_sort("edits"))
+    gate = None if has_custom else "size(_hits) > 0"
     changed = struct(text=splice("text", "edits"), hits="cast(size(edits) AS bigint)")
     done = join_edits(units, edits, changed, "_out", gate, struct(text="text", hits="0L"))
     return done.select(
-        *units.columns,
+        *columns,
         F.col("_out.text").alias("restored"),
         F.col("_out.hits").alias("restorations"),
     )

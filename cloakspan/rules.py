@@ -328,3 +328,5 @@ KDF_SALT_BYTES = 16
 KDF_KEY_BYTES = 32
 MAPPING_VERSION = 1
 LEARNED_VERSION = 1
+# the engine's own form, a row for each value
+LEARNED_ROWS_VERSION = 2
