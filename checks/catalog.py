@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import detection, learning, redaction, sources  # noqa: F401
+from . import detection, layers, learning, redaction, sources  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

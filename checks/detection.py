@@ -15,10 +15,10 @@ from cloakspan.operators.detect import (
     rule_spans,
 )
 from cloakspan.functions.spans import context_of
-from cloakspan.operators.dictionary import dictionary_spans, table_spans
+from cloakspan.operators.dictionary import dictionary_spans
 from cloakspan.operators.entities import with_entities
 from cloakspan.operators.learning import pattern_rules
-from cloakspan.operators.redact import ACCEPT_ALL, Policy, unit_spans
+from cloakspan.operators.redact import ACCEPT_ALL, Policy, table_spans, unit_spans
 from cloakspan.operators.report import leftovers, scan_counts, scan_summary
 from cloakspan.sources.units import whole_units
 

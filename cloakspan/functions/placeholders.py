@@ -76,12 +76,51 @@ def placeholder_regex(custom: Iterable[str] = ()) -> str:
     return f"(?=[{firsts}])(?:{choices})"
 
 
-def number_in_row(ordered: Sql) -> Sql:
+def taken_numbers(text: Sql) -> Sql:
+    """The generated placeholders that stand in a text, as a sorted array of
+    ``struct<kind, n>``; these numbers must not be given out for it."""
+
+    def numbers(hit: Sql) -> Sql:
+        found = []
+        for name, template in PLACEHOLDER_TEMPLATES.items():
+            field = _FIELD.search(template)
+            head, tail = template[: field.start()], template[field.end() :]
+            pattern = text_literal(f"\\A{re.escape(head)}([0-9]+){re.escape(tail)}\\z")
+            n = f"try_cast(regexp_extract({hit}, {pattern}, 1) AS bigint)"
+            if name in PLACEHOLDER_LISTS:
+                words = f"array({text_list(PLACEHOLDER_LISTS[name])})"
+                n = f"coalesce(nullif(array_position({words}, {hit}), 0L), {n})"
+            kind = text_literal(name)
+            found.append(
+                let(
+                    n,
+                    lambda v, kind=kind: f"if({render_placeholder(kind, v)} = {hit}, "
+                    f"{struct(kind=kind, n=v)}, NULL)",
+                )
+            )
+        return f"array_compact(array({', '.join(found)}))"
+
+    regex = text_literal(placeholder_regex())
+    hits = f"array_distinct(regexp_extract_all({text}, {regex}, 0))"
+    return f"array_sort(flatten({transform(hits, numbers)}))"
+
+
+def around_taken(n: Sql, kind: Sql, taken: Sql) -> Sql:
+    """``n`` moved up by the taken numbers of its type, t0 < t1 < ..., for which
+    t_i - i <= n."""
+    own = keep(taken, lambda t: f"{t}.kind = {kind}")
+    lowered = transform(own, lambda t, i: f"{t}.n - {i}", arity=2)
+    moved = f"size({keep(lowered, lambda a: f'{a} <= {n}')})"
+    return f"if(size({taken}) = 0, {n}, {n} + {moved})"
+
+
+def number_in_row(ordered: Sql, taken: Sql | None = None) -> Sql:
     """Number the values of one text's spans, given in numbering order.
 
-    Equal (type, lower-cased text) share a number; every type counts from 1.
-    Returns the spans with ``value_lc``, ``n`` and ``placeholder`` added.
-    Sorts take the place of searches, so long arrays cost little more per span.
+    Equal (type, lower-cased text) share a number; every type counts from 1 and
+    leaves the numbers in ``taken`` out.  Returns the spans with ``value_lc``,
+    ``n`` and ``placeholder`` added.  Sorts take the place of searches, so long
+    arrays cost little more per span.
     """
 
     def first_of_run(items: Sql, *fields: str) -> Callable[[Sql, Sql], Sql]:
@@ -151,8 +190,11 @@ def number_in_row(ordered: Sql) -> Sql:
 
         def numbered(found: Sql) -> Sql:
             def one(span: Sql, i: Sql) -> Sql:
+                n = f"cast(get({found}, {i}) AS bigint)"
+                if taken is not None:
+                    n = let(n, lambda v: around_taken(v, f"{span}.pii_type", taken))
                 return let(
-                    f"cast(get({found}, {i}) AS bigint)",
+                    n,
                     lambda n: struct(
                         start=f"{span}.start",
                         end=f"{span}.end",

@@ -116,31 +116,6 @@ def _gate(text: Sql, rule: R.Rule) -> Sql | None:
     return None
 
 
-def may_match(text: Sql, detector: Detector, uncertain: bool) -> Sql:
-    """A cheap condition that every text with a span meets; clean texts mostly
-    do not.  ``uncertain`` includes the layers that only give uncertain spans."""
-    tests = []
-    for rule in (*detector.rules, *detector.custom_patterns):
-        tests.append(_gate(text, rule) or f"{text} RLIKE {text_literal(rule.regex)}")
-    learned = sorted({value for _, value in detector.learned_pii if value})
-    if learned:
-        folds = ", ".join(fold_case(text_literal(value)) for value in learned)
-        tests.append(
-            let(
-                fold_case(text),
-                lambda folded: f"exists(array({folds}), e -> contains({folded}, e))",
-            )
-        )
-    if uncertain and detector.names:
-        regex = R.java_regex(R.NAME_PATTERN, False, R.NAME_GUARD)
-        tests.append(f"{text} RLIKE {text_literal(regex)}")
-    if uncertain:
-        for pii_type in detector.contextual:
-            regex = R.java_regex(R.contextual_pattern(pii_type), ignore_case=True)
-            tests.append(f"{text} RLIKE {text_literal(regex)}")
-    return " OR ".join(dict.fromkeys(tests)) or "false"
-
-
 def rule_spans(text: Sql, rule: R.Rule, threshold: float) -> Sql:
     status = status_of(rule.layer, rule.confidence, threshold)
     return transform(

@@ -19,9 +19,8 @@ from ..functions.expr import Sql, compute_once, keep, text_list, text_literal, t
 from ..functions.spans import make_span, priority_of, regex_hits
 from ..functions.staging import stage
 from ..rules import LAYER_LEARNED, LEARNED_CONFIDENCE, TYPE_PRIORITY
-from .detect import SPAN_FIELDS, Detector, fold_case, raw_spans
+from .detect import SPAN_FIELDS, fold_case
 from .learning import type_rank
-from .redact import SAFE, SKIP_UNCERTAIN, Policy, arbitrate_table
 
 UNIT = ["scope_id", "doc_id", "unit_no"]
 GRAM = 5
@@ -153,24 +152,3 @@ def drop_safe_table(spans: DataFrame, safe: DataFrame) -> DataFrame:
         spans["layer"] > LAYER_LEARNED
     )
     return spans.join(known, suppressed, "left_anti")
-
-
-def table_spans(
-    units: DataFrame,
-    detector: Detector,
-    dictionary: DataFrame | None = None,
-    safe: DataFrame | None = None,
-    policy: Policy = SAFE,
-    mode: str = SKIP_UNCERTAIN,
-    entities: str | None = None,
-) -> DataFrame:
-    """Arbitrated spans when the dictionary or the safe list is a table."""
-    found = raw_spans("_body", detector, entities)
-    raw = units.withColumnRenamed("text", "_body").select(
-        *UNIT, F.expr(f"inline({found})").alias(*SPAN_FIELDS)
-    )
-    if dictionary is not None:
-        raw = raw.unionByName(dictionary_spans(units.select(*UNIT, "text"), dictionary))
-    if safe is not None:
-        raw = drop_safe_table(raw, safe)
-    return arbitrate_table(raw, policy, mode)

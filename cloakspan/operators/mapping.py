@@ -17,7 +17,7 @@ from ..functions.placeholders import render_placeholder
 from ..functions.staging import stage
 from ..rules import MAPPING_VERSION, SESSION_HOURS
 from .crypto import Keyring
-from .numbering import document_order, number_in_scope
+from .numbering import number_in_scope
 
 KEY = ["scope_id", "pii_type", "value_lc"]
 # where a value first occurred: the order in which mappings are made
@@ -42,11 +42,10 @@ def distinct_values(
     of all spans sends one row per task.  An optional column ``custom`` holds a
     placeholder the caller chose; the one of the first occurrence counts.
     """
-    doc_ord, _ = document_order(spans, doc_id)
     custom = F.col("custom") if "custom" in spans.columns else F.lit(None)
     first = F.min(
         F.struct(
-            doc_ord.alias("doc_ord"),
+            F.col(doc_id).alias("doc_ord"),
             F.col("unit_no").cast("int").alias("unit_no"),
             position(numbering).cast("int").alias("pos"),
             F.col("text").alias("original"),
@@ -67,27 +66,36 @@ def assign_placeholders(
     doc_id: str = "doc_id",
     values: DataFrame | None = None,
     document_scopes: bool = False,
+    taken: DataFrame | None = None,
 ) -> DataFrame:
     """Number the distinct values of every scope and render placeholders.
 
     ``counters`` (``scope_id, pii_type, last_n``) continues earlier numbers.
-    Rows with a custom placeholder take no number.  ``document_scopes`` says
-    that a scope is one document, which saves the sums over documents.  The
-    distinct values are staged, because numbering reads them per level.
+    ``taken`` (``scope_id, pii_type, n``) are numbers that are not given out,
+    because their placeholder stands in the scope's texts.  Rows with a custom
+    placeholder take no number.  ``document_scopes`` says that a scope is one
+    document, which saves the sums over documents.  The distinct values are
+    staged, because numbering reads them per level.
     """
     if values is None:
         values = distinct_values(spans, numbering, doc_id)
     values = stage(values, "values")
-    blocks = () if document_scopes else document_order(spans, doc_id)[1]
     has_custom = "custom" in spans.columns
     plain = values.where(F.col("custom").isNull()) if has_custom else values
-    numbered = number_in_scope(plain, ["scope_id", "pii_type"], doc_blocks=blocks)
+    numbered = number_in_scope(
+        plain, ["scope_id", "pii_type"], document_scopes=document_scopes
+    )
     if counters is not None:
         numbered = (
             numbered.join(counters, ["scope_id", "pii_type"], "left")
-            .withColumn("n", F.col("n") + F.coalesce("last_n", F.lit(0)))
-            .drop("last_n")
+            .withColumn("last_n", F.coalesce("last_n", F.lit(0)))
+            .withColumn("n", F.col("n") + F.col("last_n"))
         )
+    else:
+        numbered = numbered.withColumn("last_n", F.lit(0))
+    if taken is not None:
+        numbered = _around_taken(numbered, taken)
+    numbered = numbered.drop("last_n")
     out = numbered.withColumn(
         "placeholder", F.expr(render_placeholder("pii_type", "n"))
     )
@@ -101,6 +109,24 @@ def assign_placeholders(
     return out.drop("custom")
 
 
+def _around_taken(numbered: DataFrame, taken: DataFrame) -> DataFrame:
+    """Numbers that leave the taken ones out.
+
+    The taken numbers of a scope and type, t0 < t1 < ..., move the number n up
+    by as many as there are with t_i - i <= n.
+    """
+    of_type = taken.groupBy("scope_id", "pii_type").agg(
+        F.sort_array(F.collect_set("n")).alias("_taken")
+    )
+    later = "filter(_taken, t -> t > last_n)"
+    moved = f"size(filter(transform({later}, (t, i) -> t - i), a -> a <= n))"
+    return (
+        numbered.join(of_type, ["scope_id", "pii_type"], "left")
+        .withColumn("n", F.expr(f"if(_taken IS NULL, n, n + {moved})"))
+        .drop("_taken")
+    )
+
+
 def last_numbers(mapping: DataFrame) -> DataFrame:
     """The counters of a mapping: highest number per scope and type."""
     return (
@@ -117,6 +143,7 @@ def extend_mapping(
     doc_id: str = "doc_id",
     keyring: Keyring | None = None,
     document_scopes: bool = False,
+    taken: DataFrame | None = None,
 ) -> DataFrame:
     """New mapping rows for values the existing mapping does not hold yet.
 
@@ -130,7 +157,7 @@ def extend_mapping(
         on = KEY
     fresh = values.join(existing.select(*on), on, "left_anti")
     return assign_placeholders(
-        spans, numbering, last_numbers(existing), doc_id, fresh, document_scopes
+        spans, numbering, last_numbers(existing), doc_id, fresh, document_scopes, taken
     )
 
 

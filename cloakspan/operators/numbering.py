@@ -1,10 +1,10 @@
 """Consecutive numbers inside a group of any size, without one task per group.
 
 A plain ``row_number`` over (scope, type) puts all values of a corpus-wide
-scope into one task per type.  Here the order is cut into blocks that follow
-it: rows are ranked inside their block, the block sizes are summed up level by
-level, and rank + offsets is the number.  The blocks depend on the row's order
-columns alone, so a retried task gives the same numbers.
+scope into one task per type.  Here the documents' order is cut into blocks at
+quantiles of the rows: rows are ranked inside their block, the block sizes are
+summed up, and rank + offset is the number.  The borders are literals of the
+plan, so a retried task gives the same numbers.
 """
 
 from __future__ import annotations
@@ -12,23 +12,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Width of the document blocks, inner to outer, for ids counted from 0 and for
-# ids spread over all 64-bit values.
-DENSE_BLOCKS = (2**12, 2**24)
-HASHED_BLOCKS = (2**40, 2**52)
+# Rows wanted in a block, the largest number of blocks, and the rows looked at
+# for each border.
+ROWS_PER_BLOCK, MOST_BLOCKS, SAMPLE_EACH = 50_000, 4_096, 8
 UNITS_PER_BLOCK = 1024
 
 
-def document_order(df: DataFrame, doc_id: str = "doc_id") -> tuple[Column, tuple]:
-    """A long that orders documents, and the block widths that suit it.
+def block_borders(rows: DataFrame, order: list[str], rows_per_block: int) -> list:
+    """Ascending documents at which a new block begins, for ids of any type.
 
-    Integer ids order as numbers; other ids order by their hash, which spreads
-    any id scheme evenly over the blocks.
+    They are quantiles of the rows that hash lowest, at most ``MOST_BLOCKS *
+    SAMPLE_EACH`` of them.
     """
-    kind = dict(df.dtypes)[doc_id]
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        return F.col(doc_id).cast("long"), DENSE_BLOCKS
-    return F.xxhash64(doc_id), HASHED_BLOCKS
+    blocks = min(MOST_BLOCKS, rows.count() // rows_per_block)
+    if blocks < 2:
+        return []
+    doc = order[0]
+    sample = (
+        rows.where(F.col(doc).isNotNull())
+        .orderBy(F.xxhash64(*order), *order)
+        .limit(blocks * SAMPLE_EACH)
+        .select(F.sort_array(F.collect_list(doc)).alias("docs"))
+        .first()["docs"]
+    )
+    at = [sample[i * len(sample) // blocks] for i in range(1, blocks)]
+    return list(dict.fromkeys(at))
+
+
+def block_of(value: Column, borders: list) -> Column:
+    """How many borders lie at or before a value, by binary search."""
+    listed = F.array(*map(F.lit, borders))
+    steps = F.sequence(F.lit(1), F.lit(len(borders).bit_length()))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        after = F.get(listed, middle) <= value
+        return F.when(
+            after, F.struct((middle + 1).alias("low"), acc["high"].alias("high"))
+        ).otherwise(F.struct(acc["low"].alias("low"), middle.alias("high")))
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(borders)).alias("high"))
+    return F.aggregate(steps, start, halve, lambda acc: acc["low"])
 
 
 def number_in_scope(
@@ -36,46 +60,41 @@ def number_in_scope(
     group: list[str],
     order: tuple[str, str, str] = ("doc_ord", "unit_no", "pos"),
     out: str = "n",
-    doc_blocks: tuple[int, ...] = DENSE_BLOCKS,
+    document_scopes: bool = False,
+    rows_per_block: int = ROWS_PER_BLOCK,
     unit_block: int = UNITS_PER_BLOCK,
 ) -> DataFrame:
     """Add ``out``: 1, 2, 3 ... per group in (document, unit, position) order.
 
     The rows shuffle once, by block.  The offsets come from counts, which are
     summed on the map side; only blocks with something in front of them are
-    joined back.  A group that is one document needs no ``doc_blocks``.  Stage
-    ``rows`` first: they are read once per level.
+    joined back.  ``document_scopes`` says that a group is one document, which
+    needs no document blocks.  Stage ``rows`` first: they are read several times.
     """
     doc, unit, pos = order
-
-    def block(column: str, width: int) -> Column:
-        value = F.col(column).cast("long")
-        return value - F.pmod(value, F.lit(width).cast("long"))
-
-    levels = [f"_block{i}" for i in range(len(doc_blocks))]
-    fine = [*group, *reversed(levels), doc, "_units"]
+    borders = [] if document_scopes else block_borders(rows, [*order], rows_per_block)
+    value = F.col(unit).cast("long")
     cut = rows.withColumns(
         {
-            **{name: block(doc, w) for name, w in zip(levels, doc_blocks)},
-            "_units": block(unit, unit_block),
+            "_block": block_of(F.col(doc), borders) if borders else F.lit(0),
+            "_units": value - F.pmod(value, F.lit(unit_block).cast("long")),
         }
     )
+    fine = [*group, "_block", doc, "_units"]
     numbered = cut.withColumn(
         out,
-        F.row_number()
-        .over(Window.partitionBy(*fine).orderBy(unit, pos))
-        .cast("long"),
+        F.row_number().over(Window.partitionBy(*fine).orderBy(unit, pos)).cast("long"),
     )
-    parents = [[*group, *reversed(levels[i:])] for i in range(len(levels) + 1)]
-    steps = [(fine, parents[0], [doc, "_units"])]
-    steps += [(parents[i], parents[i + 1], [levels[i]]) for i in range(len(levels))]
+    steps = [(fine, [*group, "_block"], [doc, "_units"])]
+    if borders:
+        steps.append(([*group, "_block"], group, ["_block"]))
     for keys, parent, along in steps:
         numbered = (
             numbered.join(_offsets(cut, keys, parent, along), keys, "left")
             .withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0)))
             .drop("_before")
         )
-    return numbered.drop(*levels, "_units")
+    return numbered.drop("_block", "_units")
 
 
 def _offsets(

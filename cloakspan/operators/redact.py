@@ -9,7 +9,7 @@ built from them, and each unit's edits come back to its text by one join.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from ..functions.expr import (
     Sql,
     compute_once,
+    empty,
+    exists,
     is_blank,
     keep,
     let,
     struct,
     transform,
 )
-from ..functions.placeholders import number_in_row
+from ..functions.placeholders import number_in_row, taken_numbers
 from ..functions.spans import (
     context_of,
     count_by_type,
@@ -32,9 +34,12 @@ from ..functions.spans import (
     splice_from_right,
 )
 from ..functions.staging import stage
-from ..schemas import SPAN_ARRAY
+from ..schemas import SPAN_ARRAY, TAKEN_ARRAY
 from .arbitrate import arbitrate, first_claims, of_status, resolve_overlaps
-from .detect import SPAN_FIELDS, Detector, detect_spans, may_match
+from .detect import SPAN_FIELDS, Detector, detect_spans, raw_spans
+from .dictionary import dictionary_spans, drop_safe_table
+from .entities import with_entities
+from .learning import pattern_rules
 from .mapping import assign_placeholders, extend_mapping
 
 UNIT = ["scope_id", "doc_id", "unit_no"]
@@ -53,10 +58,11 @@ class Policy:
     repeats: str = "all"
     numbering: str = "reading"
     sequential_splice: bool = False
+    avoid_taken: bool = True  # give out no placeholder that stands in the source
 
     @staticmethod
     def reference() -> "Policy":
-        return Policy("reference", "first", "reference", True)
+        return Policy("reference", "first", "reference", True, False)
 
 
 SAFE = Policy()
@@ -67,17 +73,36 @@ SKIP_UNCERTAIN = "skip"
 REVIEWED = "reviewed"
 
 
+def _claims(text: Sql, detector: Detector, entities: Sql | None) -> Sql:
+    """Detected spans before arbitration; none for blank texts."""
+    claimed = detect_spans(text, detector, entities)
+    if detector.learned_pii or detector.custom_patterns:
+        claimed = f"if({is_blank(text)}, {no_spans()}, {claimed})"
+    return claimed
+
+
 def found_spans(
     text: Sql,
     detector: Detector,
     policy: Policy = SAFE,
     entities: Sql | None = None,
 ) -> Sql:
-    """Detected and arbitrated spans of a text; none for blank texts."""
-    claimed = detect_spans(text, detector, entities)
-    if detector.learned_pii or detector.custom_patterns:
-        claimed = f"if({is_blank(text)}, {no_spans()}, {claimed})"
-    return arbitrate(claimed, policy.order, policy.repeats)
+    """Detected and arbitrated spans of a text."""
+    return arbitrate(_claims(text, detector, entities), policy.order, policy.repeats)
+
+
+def with_found_spans(
+    df: DataFrame,
+    detector: Detector,
+    policy: Policy = SAFE,
+    text: str = "text",
+    entities: str | None = None,
+) -> DataFrame:
+    """``df`` with ``_found``, the spans of :func:`found_spans`, one step at a
+    time: a nest of all steps of a redaction is too deep for the analyzer."""
+    worked = compute_once(df, _claimed=_claims(text, detector, entities))
+    chosen = arbitrate("_claimed", policy.order, policy.repeats)
+    return compute_once(worked, _found=chosen).drop("_claimed")
 
 
 def accepted_spans(spans: Sql, mode: str, policy: Policy) -> Sql:
@@ -125,12 +150,17 @@ def redact_rows(
     Adds ``redacted``, ``total``, ``uncertain``, ``by_type`` and ``spans`` (the
     replaced spans with their placeholder, in numbering order).
     """
-    # one step at a time: a nest of all of them is too deep for the analyzer
-    found = found_spans(text, detector or Detector(), policy, entities)
-    worked = compute_once(df, _found=found)
+    worked = with_found_spans(df, detector or Detector(), policy, text, entities)
     accepted = accepted_spans("_found", mode, policy)
     worked = compute_once(worked, _chosen=_numbering_order(accepted, policy))
-    worked = compute_once(worked, _spans=number_in_row("_chosen"))
+    taken = None
+    if policy.avoid_taken:
+        none = empty(TAKEN_ARRAY)
+        worked = compute_once(
+            worked, _taken=f"if(size(_chosen) = 0, {none}, {taken_numbers(text)})"
+        )
+        taken = "_taken"
+    worked = compute_once(worked, _spans=number_in_row("_chosen", taken))
     edited = _apply(text, "_spans", policy)
     return worked.select(
         *df.columns,
@@ -208,6 +238,61 @@ def _flag_accepted(spans: Sql, mode: str, policy: Policy) -> Sql:
     return let(spans, flag_all)
 
 
+@dataclass(frozen=True)
+class Layers:
+    """Detection layers that are tables.
+
+    ``dictionary`` (``pii_type, value[, rank]``) are learned values, ``safe``
+    (``value_lc``) values that are none, ``patterns`` custom patterns, and
+    ``entities`` (``scope_id, doc_id, unit_no, label, start, end``) what a
+    user's model has found.
+    """
+
+    dictionary: DataFrame | None = None
+    safe: DataFrame | None = None
+    patterns: DataFrame | None = None
+    entities: DataFrame | None = None
+
+    def detector(self, detector: Detector | None) -> Detector:
+        """``detector`` with the custom patterns (they are configuration)."""
+        detector = detector or Detector()
+        if self.patterns is None:
+            return detector
+        found = tuple(
+            replace(rule, seq=len(detector.custom_patterns) + i)
+            for i, rule in enumerate(pattern_rules(self.patterns))
+        )
+        return replace(detector, custom_patterns=detector.custom_patterns + found)
+
+    def attach(self, units: DataFrame) -> tuple[DataFrame, str | None]:
+        """Units with their entities, and the name of that column."""
+        if self.entities is None:
+            return units, None
+        return with_entities(units, self.entities, UNIT), "entities"
+
+
+NO_LAYERS = Layers()
+
+
+def spans_in_rows(
+    units: DataFrame,
+    detector: Detector | None = None,
+    policy: Policy = SAFE,
+    mode: str = SKIP_UNCERTAIN,
+    entities: str | None = None,
+) -> DataFrame:
+    """``units`` with ``_spans``, the arbitrated spans of each with the flag
+    ``accepted`` (narrow: no shuffle)."""
+    worked = with_found_spans(units, detector or Detector(), policy, "text", entities)
+    return compute_once(worked, _spans=_flag_accepted("_found", mode, policy)).drop("_found")
+
+
+def span_rows(spanned: DataFrame, *more: str) -> DataFrame:
+    """The spans of :func:`spans_in_rows` as rows."""
+    inside = F.expr("inline(_spans)").alias(*SPAN_FIELDS, "accepted")
+    return spanned.withColumnRenamed("text", "_body").select(*UNIT, *more, inside)
+
+
 def unit_spans(
     units: DataFrame,
     detector: Detector | None = None,
@@ -215,22 +300,55 @@ def unit_spans(
     mode: str = SKIP_UNCERTAIN,
     entities: str | None = None,
     context: bool = False,
+    layers: Layers = NO_LAYERS,
 ) -> DataFrame:
-    """Arbitrated spans of every unit as rows, each with the flag ``accepted``
-    (narrow: no shuffle)."""
-    body = units.select(*UNIT, F.col("text").alias("_body"), *([entities] if entities else []))
-    found = found_spans("_body", detector or Detector(), policy, entities)
-    flagged = _flag_accepted("_found", mode, policy)
-    rows = compute_once(body, _found=found).select(
-        *UNIT, "_body", F.expr(f"inline({flagged})").alias(*SPAN_FIELDS, "accepted")
-    )
+    """Arbitrated spans of every unit as rows, each with the flag ``accepted``.
+
+    Narrow, unless a dictionary or a safe list takes part.
+    """
+    detector = layers.detector(detector)
+    if layers.entities is not None:
+        units, entities = layers.attach(units)
     columns = [*UNIT, *SPAN_FIELDS, "accepted"]
+    if layers.dictionary is not None or layers.safe is not None:
+        rows = table_spans(
+            units, detector, layers.dictionary, layers.safe, policy, mode, entities
+        )
+        if context:
+            texts = units.select(*UNIT, F.col("text").alias("_body"))
+            rows = rows.join(texts, UNIT)
+    else:
+        spanned = spans_in_rows(units, detector, policy, mode, entities)
+        rows = span_rows(spanned, "_body")
     if context:
         rows = rows.withColumn("context", F.expr(context_of("_body", "start", "end")))
         columns.append("context")
     return rows.select(*columns)
 
 
+def table_spans(
+    units: DataFrame,
+    detector: Detector,
+    dictionary: DataFrame | None = None,
+    safe: DataFrame | None = None,
+    policy: Policy = SAFE,
+    mode: str = SKIP_UNCERTAIN,
+    entities: str | None = None,
+) -> DataFrame:
+    """Arbitrated spans when the dictionary or the safe list is a table."""
+    found = raw_spans("_body", detector, entities)
+    raw = units.withColumnRenamed("text", "_body").select(
+        *UNIT, F.expr(f"inline({found})").alias(*SPAN_FIELDS)
+    )
+    if dictionary is not None:
+        raw = raw.unionByName(
+            dictionary_spans(units.select(*UNIT, "text"), dictionary, detector.learned_boundary)
+        )
+    if safe is not None:
+        raw = drop_safe_table(raw, safe)
+    return arbitrate_table(raw, policy, mode)
+
+
 def arbitrate_table(
     spans: DataFrame, policy: Policy = SAFE, mode: str = SKIP_UNCERTAIN
 ) -> DataFrame:
@@ -383,35 +501,52 @@ def redact_units(
     existing: DataFrame | None = None,
     spans: DataFrame | None = None,
     document_scopes: bool = False,
+    layers: Layers = NO_LAYERS,
 ) -> Redaction:
     """Redact units whose scope spans many rows.
 
-    ``units``: ``scope_id, doc_id, unit_no, text``.  The spans and the mapping
-    are written once; the texts are read a second time only for the splice.
-    ``existing`` is a plain mapping to continue.  ``spans`` are staged spans of
-    an earlier run over the same units.  ``document_scopes`` says that every
-    scope is one document or session.
+    ``units``: ``scope_id, doc_id, unit_no, text``.  The source is read once and
+    staged with its spans; texts without a span that may be replaced do not
+    shuffle.  (With a dictionary or a safe list the units are read by each
+    layer, and all of them meet their edits by a join.)  ``existing`` is a plain
+    mapping to continue.  ``spans`` are staged spans of an earlier run over the
+    same units.  ``document_scopes`` says that every scope is one document or
+    session.
     """
+    columns = units.columns
     gate = None
-    if spans is None:
-        gate = may_match("text", detector or Detector(), mode != SKIP_UNCERTAIN)
-        spans = stage(unit_spans(units, detector, policy, mode), "spans")
+    in_rows = spans is None and layers.dictionary is None and layers.safe is None
+    if in_rows:
+        units, entities = layers.attach(units)
+        units = spans_in_rows(units, layers.detector(detector), policy, mode, entities)
+        gate = "size(_spans) > 0"
+        if mode != REVIEWED:
+            gate = exists("_spans", lambda s: f"{s}.accepted")
+    if policy.avoid_taken:
+        units = compute_once(units, _taken=taken_numbers("text"))
+    if in_rows:
+        units = stage(units, "units")
+        spans = span_rows(units)
+    elif spans is None:
+        spans = stage(unit_spans(units, detector, policy, mode, layers=layers), "spans")
+    taken = None
+    if policy.avoid_taken:
+        found = units.select("scope_id", F.expr("inline(_taken)").alias("pii_type", "n"))
+        taken = stage(found.distinct(), "taken")
     accepted = decide(spans, mode, policy, decisions)
     if mode == REVIEWED:
         accepted = stage(accepted, "accepted")
+    numbered = dict(document_scopes=document_scopes, taken=taken)
     if existing is None:
-        mapping = assign_placeholders(
-            accepted, policy.numbering, document_scopes=document_scopes
-        )
+        mapping = assign_placeholders(accepted, policy.numbering, **numbered)
     else:
-        mapping = extend_mapping(
-            existing, accepted, policy.numbering, document_scopes=document_scopes
-        )
+        mapping = extend_mapping(existing, accepted, policy.numbering, **numbered)
     mapping = known = stage(mapping, "mapping")
     if existing is not None:
         known = existing.select(*MAPPED).unionByName(mapping.select(*MAPPED))
     edits = edits_of(accepted, known)
-    return Redaction(splice_units(units, edits, policy, gate), spans, edits, mapping)
+    texts = splice_units(units, edits, policy, gate).select(*columns, "redacted")
+    return Redaction(texts, spans, edits, mapping)
 
 
 MAPPED = ["scope_id", "pii_type", "value_lc", "original", "n", "placeholder"]

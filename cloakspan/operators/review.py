@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .numbering import document_order, number_in_scope
+from .numbering import number_in_scope
 
 
 def review_queue(
@@ -16,14 +16,11 @@ def review_queue(
     A scope may be a session or a whole corpus; it is numbered in blocks.  Pass
     staged spans: they are read once per level.
     """
-    doc_ord, blocks = document_order(spans, doc_id)
-    if document_scopes:
-        blocks = ()
     uncertain = spans.where(F.col("status") == "uncertain").withColumn(
-        "doc_ord", doc_ord
+        "doc_ord", F.col(doc_id)
     )
     numbered = number_in_scope(
-        uncertain, ["scope_id"], ("doc_ord", "unit_no", "start"), "idx", blocks
+        uncertain, ["scope_id"], ("doc_ord", "unit_no", "start"), "idx", document_scopes
     )
     return numbered.withColumn("idx", (F.col("idx") - 1).cast("int")).drop("doc_ord")
 

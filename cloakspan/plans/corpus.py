@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import scratch
 from ..operators.crypto import Keyring
 from ..operators.detect import Detector
-from ..operators.mapping import load_mapping, save_mapping, seal
-from ..operators.redact import SAFE, SKIP_UNCERTAIN, Policy, redact_rows, redact_units
-from ..operators.redact import row_mapping
+from ..operators.mapping import clear_scopes, load_mapping, save_mapping, seal
+from ..operators.redact import (
+    NO_LAYERS,
+    SAFE,
+    SKIP_UNCERTAIN,
+    Layers,
+    Policy,
+    redact_rows,
+    redact_units,
+    row_mapping,
+)
 from ..operators.report import document_report
 from ..operators.restore import restore_units
-from ..sources.units import join_units, split_units
+from ..sources.units import join_units, split_units, whole_units
 
 
 def redact_documents(
@@ -39,31 +48,53 @@ def redact_corpus(
     mode: str = SKIP_UNCERTAIN,
     separator: str | None = "\n",
     scope: str = "document",
+    layers: Layers = NO_LAYERS,
 ) -> None:
     """Redact documents cut into units and write texts, mapping and report.
 
     ``scope='corpus'`` gives a value the same placeholder in every document.
-    Only ciphertext and digests of the originals are written below ``out``.
+    Only ciphertext and digests of the originals are written below ``out``;
+    what the run staged, originals included, is deleted at its end.
     """
+    with scratch(docs.sparkSession):
+        units = cut_units(docs, separator, scope)
+        run = redact_units(
+            units, detector, policy, mode, document_scopes=scope != "corpus", layers=layers
+        )
+        redacted = run.texts.select("doc_id", "unit_no", F.col("redacted").alias("text"))
+        join_units(redacted, separator or "").write.parquet(f"{out}/texts")
+        save_mapping(seal(run.mapping, keyring), f"{out}/mapping", keyring)
+        document_report(units, run.spans, run.edits).write.parquet(f"{out}/report")
+
+
+def cut_units(docs: DataFrame, separator: str | None, scope: str) -> DataFrame:
+    """Documents ``(doc_id, text)`` as units of a document or corpus scope."""
     scope_id = F.lit("corpus") if scope == "corpus" else F.col("doc_id").cast("string")
     if separator is None:
-        from ..sources.units import whole_units
-
-        units = whole_units(docs, scope=scope_id)
-    else:
-        units = split_units(docs, separator, scope=scope_id)
-    run = redact_units(
-        units, detector, policy, mode, document_scopes=scope != "corpus"
-    )
-    redacted = run.texts.select("doc_id", "unit_no", F.col("redacted").alias("text"))
-    join_units(redacted, separator or "").write.parquet(f"{out}/texts")
-    save_mapping(seal(run.mapping, keyring), f"{out}/mapping", keyring)
-    document_report(units, run.spans, run.edits).write.parquet(f"{out}/report")
+        return whole_units(docs, scope=scope_id)
+    return split_units(docs, separator, scope=scope_id)
 
 
 def restore_corpus(
-    texts: DataFrame, mapping_path: str, password: str, rounds: int | None = None
+    docs: DataFrame,
+    mapping_path: str,
+    out: str,
+    password: str,
+    rounds: int | None = None,
+    separator: str | None = "\n",
+    scope: str = "document",
 ) -> DataFrame:
-    """Restore units ``(scope_id, doc_id, unit_no, text)`` from a saved mapping."""
-    mapping, keyring = load_mapping(texts.sparkSession, mapping_path, password, rounds)
-    return restore_units(texts, mapping, keyring=keyring)
+    """Restore documents ``(doc_id, text)`` from a saved mapping: cut as they were
+    redacted, restore the units, join them and write the texts to ``out``.
+
+    Returns the stored mapping without the restored scopes, for a caller that
+    keeps a mapping no longer than it is needed.
+    """
+    spark = docs.sparkSession
+    mapping, keyring = load_mapping(spark, mapping_path, password, rounds)
+    with scratch(spark):
+        units = cut_units(docs, separator, scope)
+        restored = restore_units(units, mapping, keyring=keyring)
+        texts = restored.select("doc_id", "unit_no", F.col("restored").alias("text"))
+        join_units(texts, separator or "").write.parquet(out)
+    return clear_scopes(mapping, cut_units(docs, separator, scope))

@@ -12,9 +12,11 @@ from ..operators.detect import Detector
 from ..operators.learning import apply_feedback
 from ..operators.mapping import clear_scopes, live_sessions, open_session
 from ..operators.redact import (
+    NO_LAYERS,
     REVIEWED,
     SAFE,
     SKIP_UNCERTAIN,
+    Layers,
     Policy,
     Redaction,
     redact_units,
@@ -52,10 +54,13 @@ class SessionRun:
 
 
 def start_sessions(
-    units: DataFrame, detector: Detector | None = None, policy: Policy = SAFE
+    units: DataFrame,
+    detector: Detector | None = None,
+    policy: Policy = SAFE,
+    layers: Layers = NO_LAYERS,
 ) -> SessionRun:
     """Redact the certain spans and queue the uncertain ones."""
-    found = unit_spans(units, detector, policy, context=True)
+    found = unit_spans(units, detector, policy, context=True, layers=layers)
     spans = stage(found, "sessions")
     redaction = redact_units(
         units, policy=policy, mode=SKIP_UNCERTAIN, spans=spans, document_scopes=True

@@ -13,6 +13,7 @@ SPAN_STRUCT = (
 )
 SPAN_ARRAY = f"array<{SPAN_STRUCT}>"
 HIT_ARRAY = "array<struct<start:int,end:int,text:string>>"
+TAKEN_ARRAY = "array<struct<kind:string,n:bigint>>"
 
 UNITS = "scope_id string, doc_id string, part string, unit_no int, text string"
 ENTITIES = "doc_id string, unit_no int, label string, start int, end int"

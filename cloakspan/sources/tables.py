@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.expr import is_blank, keep
+from ..functions.placeholders import taken_numbers
 from ..functions.spans import splice
 from ..functions.staging import stage
 from ..operators.detect import Detector
 from ..operators.mapping import assign_placeholders
 from ..operators.redact import (
+    NO_LAYERS,
     SAFE,
     SKIP_UNCERTAIN,
+    Layers,
     Policy,
     decide,
     edits_of,
@@ -22,6 +25,13 @@ from ..operators.redact import (
 from ..operators.restore import restore_units
 
 
+def check_unique(df: DataFrame, row_id: str) -> None:
+    """Fail clearly where edits could not be told apart."""
+    again = df.groupBy(row_id).count().where("count > 1").first()
+    if again is not None:
+        raise ValueError(f"{row_id} is not unique: {again[0]!r} occurs {again[1]} times")
+
+
 def string_columns(df: DataFrame, row_id: str) -> list[str]:
     return [
         f.name
@@ -85,15 +95,23 @@ def redact_table(
     detector: Detector | None = None,
     policy: Policy = SAFE,
     mode: str = SKIP_UNCERTAIN,
+    layers: Layers = NO_LAYERS,
 ) -> tuple[DataFrame, DataFrame]:
     """Redact all string columns of a table whose ``row_id`` is unique.
 
     Returns the table with schema and column order kept, and the mapping.  The
-    placeholders count through the whole table, in row then column order.
+    placeholders count through the whole table, in row then column order; a row
+    id that occurs twice is an error.
     """
-    spans = stage(unit_spans(cell_units(df, row_id), detector, policy, mode), "cells")
+    check_unique(df, row_id)
+    cells = cell_units(df, row_id)
+    spans = stage(unit_spans(cells, detector, policy, mode, layers=layers), "cells")
     accepted = decide(spans, mode, policy)
-    mapping = stage(assign_placeholders(accepted, policy.numbering), "mapping")
+    taken = None
+    if policy.avoid_taken:
+        found = cells.select("scope_id", F.expr(f"inline({taken_numbers('text')})").alias("pii_type", "n"))
+        taken = stage(found.distinct(), "taken")
+    mapping = stage(assign_placeholders(accepted, policy.numbering, taken=taken), "mapping")
     edits = edits_of(accepted, mapping)
     return _put_back(df, row_id, edits), mapping
 
@@ -102,6 +120,7 @@ def restore_table(
     df: DataFrame, row_id: str, mapping: DataFrame, **options
 ) -> tuple[DataFrame, DataFrame]:
     """Restore all string cells; also returns the restorations per row."""
+    check_unique(df, row_id)
     names = string_columns(df, row_id)
     cells = restore_units(cell_units(df, row_id), mapping, **options).where(
         F.col("restorations") > 0

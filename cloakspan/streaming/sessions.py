@@ -39,7 +39,7 @@ KEYED = ["scope_id", "pii_type", "value_key"]
 _MAPPING = (
     "scope_id string, mapping_id string, pii_type string, value_key string, "
     "original_enc binary, placeholder string, n long, created_at timestamp, "
-    "batch_id long, hour timestamp"
+    "doc_ord string, unit_no int, pos int, batch_id long, hour timestamp"
 )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cloakspan.operators.crypto import Keyring
 from cloakspan.operators.detect import Detector, raw_spans
-from cloakspan.operators.dictionary import dictionary_spans, table_spans
+from cloakspan.operators.dictionary import dictionary_spans
 from cloakspan.operators.entities import clean_entity, with_entities
 from cloakspan.operators.learning import (
     apply_feedback,
@@ -20,7 +20,7 @@ from cloakspan.operators.learning import (
     read_learned,
     read_learned_object,
 )
-from cloakspan.operators.redact import unit_spans
+from cloakspan.operators.redact import Layers, table_spans, unit_spans
 from cloakspan.operators.review import as_decisions, review_queue, unknown_answers
 from cloakspan.plans.corpus import redact_corpus, restore_corpus
 from cloakspan.plans.sessions import drop_expired, open_sessions
@@ -134,10 +134,20 @@ def test_learned_values_ignore_the_safe_table(spark):
     assert [(r["text"], r["layer"]) for r in got] == [("Ann Lee", 1), ("ann@x.io", 2)]
 
 
-def test_too_many_inline_values_are_refused(spark):
-    detector = Detector().with_learned(pii=[("custom", f"v{i}") for i in range(501)])
-    with pytest.raises(ValueError, match="dictionary_spans"):
-        raw_spans("text", detector)
+def test_many_inline_values_equal_the_table(spark):
+    """No number of values is refused, and their order decides in both forms."""
+    pii = [("custom", f"v{i}v") for i in range(700)] + [("team_name", "Zorkon"), ("company_name", "zorkon")]
+    units = units_of(spark, "v1v V699V v700v", "ZORKON zorkon")
+    detector = Detector(rules=(), names=False).with_learned(
+        pii=pii, safe=[f"s{i}" for i in range(10_100)]
+    )
+    table = spark.createDataFrame([(*p, i) for i, p in enumerate(pii)], "pii_type string, value string, rank int")
+    keep = ["doc_id", "start", "end", "pii_type"]
+    inline = unit_spans(units, detector).select(*keep)
+    joined = unit_spans(units, Detector(rules=(), names=False), layers=Layers(dictionary=table)).select(*keep)
+    want = {(0, 0, 3, "custom"), (0, 4, 9, "custom"), (1, 0, 6, "team_name"), (1, 7, 13, "team_name")}
+    assert {tuple(r) for r in inline.collect()} == want
+    assert {tuple(r) for r in joined.collect()} == want
 
 
 # -- entities -----------------------------------------------------------------------------
@@ -283,10 +293,13 @@ def test_corpus_written_and_restored(spark, tmp_path):
     report = {r["doc_id"]: (r["total"], r["n_units"], r["by_type"]) for r in
               spark.read.parquet(f"{tmp_path}/out/report").collect()}
     assert report == {"d1": (2, 2, {"email": 1, "ip_address": 1}), "d2": (1, 3, {"email": 1})}
-    units = whole_units(texts, scope=F.lit("corpus"))
-    back = restore_corpus(units, f"{tmp_path}/out/mapping", "pw", rounds=100)
-    assert {r["doc_id"]: r["restored"] for r in back.collect()} == {
+    left = restore_corpus(
+        texts, f"{tmp_path}/out/mapping", f"{tmp_path}/back", "pw", rounds=100, scope="corpus"
+    )
+    back = spark.read.parquet(f"{tmp_path}/back")
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {
         r["doc_id"]: r["text"] for r in docs.collect()}
+    assert left.count() == 0
 
 
 def test_units_join_in_order(spark):

@@ -20,7 +20,7 @@ from cloakspan.operators.mapping import (
     seal,
     unseal,
 )
-from cloakspan.operators.numbering import number_in_scope
+from cloakspan.operators.numbering import block_borders, block_of, number_in_scope
 from cloakspan.operators.redact import (
     ACCEPT_ALL,
     SKIP_UNCERTAIN,
@@ -149,23 +149,35 @@ def test_incremental_mapping_covers_the_same_values(rich):
     assert both.groupBy("placeholder").count().where("count > 1").count() == 0
 
 
-@pytest.mark.parametrize("blocks,unit_block", [((4, 32), 2), ((1,), 1), ((2**12, 2**24), 1024)])
-def test_numbers_equal_a_plain_window(spark, blocks, unit_block):
+@pytest.mark.parametrize("per_block,unit_block", [(40, 2), (1, 1), (1500, 64), (50_000, 1024)])
+@pytest.mark.parametrize("ids", ["long", "string"])
+def test_numbers_equal_a_plain_window(spark, per_block, unit_block, ids):
     """One scope, one type and one document hold most of the rows."""
     rows = spark.range(4000).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5).alias("scope_id"),
         F.when(F.col("id") % 2 == 0, "email").otherwise("url").alias("pii_type"),
-        F.when(F.col("id") % 3 < 2, 7).otherwise(F.col("id") % 91 - 40).alias("doc_ord"),
+        F.when(F.col("id") % 3 < 2, 7).otherwise(F.col("id") % 91 - 40).cast(ids).alias("doc_ord"),
         (F.col("id") * 7919 % 13).cast("int").alias("unit_no"),
         F.col("id").cast("int").alias("pos"),
     )
-    got = number_in_scope(rows, ["scope_id", "pii_type"], doc_blocks=blocks, unit_block=unit_block)
+    got = number_in_scope(
+        rows, ["scope_id", "pii_type"], rows_per_block=per_block, unit_block=unit_block
+    )
     plain = Window.partitionBy("scope_id", "pii_type").orderBy("doc_ord", "unit_no", "pos")
     want = rows.withColumn("n", F.row_number().over(plain).cast("long"))
     assert want.exceptAll(got.select(*want.columns)).count() == 0
     assert got.count() == 4000
 
 
+def test_blocks_are_even_for_ids_of_any_spread(spark):
+    """Hashed ids and ids with a long tail fall in blocks of about one size."""
+    for doc in (F.xxhash64("id"), F.pow(F.col("id"), 4).cast("long"), F.md5(F.col("id").cast("string"))):
+        rows = spark.range(20_000).select(doc.alias("d"), F.lit(0).alias("u"), F.col("id").alias("p"))
+        borders = block_borders(rows, ["d", "u", "p"], 1_000)
+        sizes = rows.groupBy(block_of(F.col("d"), borders)).count().select("count").collect()
+        assert len(sizes) == 20 and max(r[0] for r in sizes) < 2_500
+
+
 def test_numbers_of_one_document_scopes(spark):
     rows = spark.range(3000).select(
         (F.col("id") % 3).alias("scope_id"), F.lit("url").alias("pii_type"),
@@ -173,7 +185,7 @@ def test_numbers_of_one_document_scopes(spark):
         F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(0).cast("int").alias("unit_no"),
         F.col("id").cast("int").alias("pos"),
     )
-    got = number_in_scope(rows, ["scope_id", "pii_type"], doc_blocks=(), unit_block=16)
+    got = number_in_scope(rows, ["scope_id", "pii_type"], document_scopes=True, unit_block=16)
     plain = Window.partitionBy("scope_id").orderBy("unit_no", "pos")
     want = rows.withColumn("n", F.row_number().over(plain).cast("long"))
     assert want.exceptAll(got.select(*want.columns)).count() == 0
@@ -229,9 +241,57 @@ def test_custom_placeholders_are_restored(spark):
     mapping = handle_mapping(spark).withColumn(
         "placeholder", F.when(F.col("n") == 1, "<A>").otherwise("éx+")
     )
-    units = unit_rows(spark, "see <A>, éx+.")
-    got = restore_units(units, mapping, custom=["<A>", "éx+"]).first()
-    assert (got["restored"], got["restorations"]) == ("see @ann, @bob.", 2)
+    units = unit_rows(spark, "see <A>, éx+.", "nothing", "<A", "éx+<A>éx+")
+    got = restore_units(units, mapping).orderBy("doc_id").collect()
+    assert [(r["restored"], r["restorations"]) for r in got] == [
+        ("see @ann, @bob.", 2), ("nothing", 0), ("<A", 0), ("@bob@ann@bob", 3),
+    ]
+
+
+def test_the_longest_custom_placeholder_is_restored(spark):
+    mapping = handle_mapping(spark).withColumn(
+        "placeholder", F.when(F.col("n") == 1, "@user7").otherwise("to @user7x")
+    )
+    units = unit_rows(spark, "hand to @user7x or @user7")
+    got = restore_units(units, mapping).first()
+    assert (got["restored"], got["restorations"]) == ("hand @bob or @ann", 2)
+
+
+def test_staged_tables_of_a_finished_job_are_deleted(spark):
+    from cloakspan.functions.staging import scratch, shared_folder, stage
+
+    def staged():
+        path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+        system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        return len(system.listStatus(path))
+
+    kept = stage(spark.range(3), "kept")
+    before = staged()
+    with scratch(spark):
+        assert stage(spark.range(5), "gone").count() == 5
+    assert staged() == before and kept.count() == 3
+
+
+def test_units_are_read_once(spark, rich, tmp_path):
+    """The plans of the results hold the staged copy, not the source."""
+    rich.select("doc_id", "text").write.parquet(f"{tmp_path}/source")
+    units = whole_units(spark.read.parquet(f"{tmp_path}/source"))
+    run = redact_units(units, document_scopes=True)
+    restored = restore_units(
+        run.texts.drop("text").withColumnRenamed("redacted", "text"), run.mapping
+    )
+    for df in (run.texts, run.edits, restored):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert df.inputFiles() and not any("/source/" in f for f in df.inputFiles()), plan
+
+
+def test_taken_numbers_are_moved_around(spark):
+    texts = ["a@b.io c@d.io e@f.io person2@example.comx user1 555-000-0001"]
+    df = spark.createDataFrame([(0, t) for t in texts], "doc_id long, text string")
+    row = redact_rows(df).first()
+    assert [s["placeholder"] for s in row["spans"]][:3] == [
+        "person1@example.com", "person3@example.com", "person4@example.com",
+    ]
 
 
 def test_strict_restore_fails_without_mapping(spark):
