@@ -11,13 +11,17 @@ from cloakspan.functions.staging import shared_folder
 from cloakspan.operators.learning import (
     apply_feedback,
     clear_learned,
+    clear_patterns,
     export_learned,
     import_learned,
+    import_patterns,
+    learned_object,
     learn_pii,
     learn_safe,
     learning_stats,
     look_up,
     read_learned,
+    read_learned_object,
     remove_patterns,
     upsert_patterns,
 )
@@ -31,8 +35,10 @@ from .registry import query
 _PII = """SELECT CASE WHEN c_custkey % 3 = 0 THEN 'project_name' ELSE 'company_name' END AS pii_type,
   CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE lower(c_name) END AS value FROM {customer}"""
 _SAFE = "SELECT lower(s_name) AS value_lc FROM {supplier}"
-_NEW_PII = "SELECT 'team_name' AS pii_type, s_name AS value FROM {supplier} WHERE s_nationkey < 12"
-_NEW_SAFE = "SELECT c_name AS value FROM {customer} WHERE c_nationkey < 12"
+_NEW_PII = """SELECT 'team_name' AS pii_type,
+  CASE WHEN s_nationkey < 12 THEN s_name ELSE s_name || ' & Co' END AS value FROM {supplier}"""
+_NEW_SAFE = """SELECT CASE WHEN c_nationkey < 12 THEN c_name ELSE c_name || ' & Co' END AS value
+  FROM {customer}"""
 _DECISIONS = """SELECT 'company_name' AS pii_type, c_name AS value,
   CASE c_custkey % 4 WHEN 0 THEN 'yes' WHEN 3 THEN 'skip' ELSE 'no' END AS decision,
   CASE WHEN c_nationkey = 3 THEN 'team_name' END AS type_override,
@@ -142,9 +148,12 @@ _ASKED = """SELECT DISTINCT value FROM (
   UNION ALL SELECT s_name FROM {supplier} UNION ALL SELECT lower(s_name) FROM {supplier})"""
 
 
+_MORE = "CASE WHEN c_nationkey = 5 THEN c_name ELSE c_name || '@corp.io' END"
+
+
 @query(
     "look_up_values",
-    f"""WITH pii AS ({_sql(_PII)} UNION SELECT 'email', c_name FROM customer WHERE c_nationkey = 5),
+    f"""WITH pii AS ({_sql(_PII)} UNION SELECT 'email', {_MORE} FROM customer),
     safe AS ({_sql(_SAFE)}), asked AS ({_sql(_ASKED)})
     SELECT value, (SELECT arg_min(pii_type, CASE pii_type {_RANKS} END) FROM pii p
                    WHERE p.value = a.value OR p.value = lower(a.value)) AS known_type,
@@ -154,7 +163,7 @@ def looked_up_values(spark, sf_dir):
     pii, safe = _state(spark, sf_dir)
     more = _frame(
         spark, sf_dir,
-        "SELECT 'email' AS pii_type, c_name AS value FROM {customer} WHERE c_nationkey = 5",
+        f"SELECT 'email' AS pii_type, {_MORE} AS value FROM {{customer}}",
     )
     asked = _frame(spark, sf_dir, _ASKED)
     return look_up(asked, pii.union(more).distinct(), safe)
@@ -172,9 +181,20 @@ def _patterns(spark, sf_dir):
     )
 
 
+def _other_patterns(patterns):
+    """The same names at other times: a third earlier, the others later."""
+    at = F.unix_seconds("created_at")
+    moved = at - F.when(at % 3 == 0, 1_000_000).otherwise(-1_000_000)
+    return patterns.withColumn("pattern", F.concat(F.lit("early"), "pattern")).withColumn(
+        "created_at", F.timestamp_seconds(moved)
+    )
+
+
 @query(
     "upsert_patterns",
-    f"""WITH p AS ({_PATTERNS.format(string='varchar', stamp='', supplier='supplier')})
+    f"""WITH q AS ({_PATTERNS.format(string='varchar', stamp='', supplier='supplier')}),
+    p AS (SELECT * FROM q UNION ALL SELECT name, 'early' || pattern, pii_type, confidence,
+          created_at - CASE WHEN created_at % 3 = 0 THEN 1000000 ELSE -1000000 END FROM q)
     SELECT name, arg_max(pattern, created_at) AS pattern, 'company_name' AS pii_type,
       CAST(max(created_at) AS BIGINT) AS seconds FROM p
     WHERE name NOT IN (SELECT 'p' || cast(n_nationkey AS varchar) FROM nation) GROUP BY name""",
@@ -182,7 +202,7 @@ def _patterns(spark, sf_dir):
 def upserted_patterns(spark, sf_dir):
     """Patterns by name, last write wins; those named by a nation are removed."""
     patterns = _patterns(spark, sf_dir)
-    kept = upsert_patterns(patterns.limit(0), patterns)
+    kept = upsert_patterns(upsert_patterns(patterns.limit(0), _other_patterns(patterns)), patterns)
     names = table(spark, sf_dir, "nation").select(
         F.expr("concat('p', cast(n_nationkey AS string)) AS name")
     )
@@ -201,7 +221,8 @@ def upserted_patterns(spark, sf_dir):
 def stats_of_learning(spark, sf_dir):
     pii, safe = _state(spark, sf_dir)
     patterns = _patterns(spark, sf_dir)
-    return learning_stats(pii, safe, upsert_patterns(patterns.limit(0), patterns))
+    store = upsert_patterns(patterns.limit(0), _other_patterns(patterns))
+    return learning_stats(pii, safe, upsert_patterns(store, patterns))
 
 
 @query(
@@ -231,3 +252,42 @@ def replaced_learned(spark, sf_dir):
     read_pii, read_safe, _ = read_learned(spark, path)
     own = clear_learned(_frame(spark, sf_dir, _NEW_PII), safe)
     return _merged(*import_learned(*own, read_pii, read_safe, merge=False))
+
+
+@query(
+    "import_patterns",
+    f"""WITH q AS ({_PATTERNS.format(string='varchar', stamp='', supplier='supplier')}),
+    own AS (SELECT name, arg_max(pattern, created_at) AS pattern, 0.9 AS confidence FROM q
+            GROUP BY name),
+    new AS (SELECT 'p' || n_nationkey AS name, n_name AS pattern,
+            0.5 + n_regionkey / 10.0 AS confidence FROM nation)
+    SELECT name, pattern, CAST(confidence AS DOUBLE) AS confidence FROM own
+    WHERE name NOT IN (SELECT name FROM new)
+    UNION ALL SELECT name, pattern, CAST(confidence AS DOUBLE) FROM new""",
+)
+def imported_patterns(spark, sf_dir):
+    """Patterns keep their confidence through a file; those imported win, also
+    after a clear of another store."""
+    patterns = _patterns(spark, sf_dir)
+    own = upsert_patterns(patterns.limit(0), patterns)
+    new = table(spark, sf_dir, "nation").selectExpr(
+        "concat('p', n_nationkey) AS name", "n_name AS pattern", "'custom' AS pii_type",
+        "0.5D + n_regionkey / 10.0D AS confidence", "timestamp_seconds(0) AS created_at",
+    )
+    path = f"{shared_folder(spark)}/patterns-{uuid.uuid4().hex}"
+    pii, safe = _state(spark, sf_dir)
+    export_learned(pii, safe, path, new)
+    _, _, read = read_learned(spark, path)
+    merged = import_patterns(own, import_patterns(clear_patterns(own), read))
+    return merged.select("name", "pattern", F.round("confidence", 6).alias("confidence"))
+
+
+@query("learned_object", _both(f"SELECT DISTINCT * FROM ({_sql(_PII)})", _sql(_SAFE)))
+def learned_object_round_trip(spark, sf_dir):
+    """The version-1 object, written and read as one."""
+    pii, safe = _state(spark, sf_dir)
+    path = f"{shared_folder(spark)}/object-{uuid.uuid4().hex}"
+    patterns = _patterns(spark, sf_dir)
+    learned_object(pii, safe, upsert_patterns(patterns.limit(0), patterns)).write.text(path)
+    read_pii, read_safe, _ = read_learned_object(spark, path)
+    return _merged(read_pii, read_safe)

@@ -497,15 +497,22 @@ _NOW = "2024-01-01 02:00:00"
 
 @query(
     "live_sessions",
-    f"""SELECT user_id AS session_id, min(ts) AS created_at, min(ts) + INTERVAL 1 HOUR AS expires_at
-    FROM events GROUP BY user_id HAVING min(ts) + INTERVAL 1 HOUR >= TIMESTAMP '{_NOW}'
-    OR min(ts) >= TIMESTAMP '{_NOW}'""",
+    f"""WITH s AS (SELECT user_id AS session_id, min(ts) AS created_at,
+           min(ts) + INTERVAL 1 HOUR AS expires_at FROM events GROUP BY user_id),
+         m AS (SELECT user_id, count(*) AS mappings FROM events GROUP BY user_id)
+    SELECT session_id, created_at, expires_at, mappings FROM s JOIN m ON user_id = session_id
+    WHERE expires_at >= TIMESTAMP '{_NOW}'""",
 )
 def live_sessions_of_events(spark, sf_dir):
-    sessions = open_sessions(table(spark, sf_dir, "events"), "user_id", F.col("ts"))
-    none = spark.createDataFrame([], "scope_id long")
-    live, _ = drop_expired(none, sessions, F.expr(f"timestamp '{_NOW}'"))
-    return live
+    """Live sessions, and what is left of a mapping with a row for each event."""
+    events = table(spark, sf_dir, "events")
+    sessions = open_sessions(events, "user_id", F.col("ts"))
+    mapping = events.select(F.col("user_id").alias("scope_id"), "event_id")
+    live, left = drop_expired(mapping, sessions, F.expr(f"timestamp '{_NOW}'"))
+    counts = left.groupBy(F.col("scope_id").alias("session_id")).agg(
+        F.count("*").alias("mappings")
+    )
+    return live.join(counts, "session_id", "full")
 
 
 # -- redaction ------------------------------------------------------------------------------
@@ -686,13 +693,24 @@ def redacted_table(spark, sf_dir):
     return redacted
 
 
-@query("restore_table", "SELECT page_id, url, html FROM pages")
+@query(
+    "restore_table",
+    with_(
+        *_CELL_RUN,
+        select="""SELECT p.page_id, p.url, p.html, u.redacted AS was_url,
+          (SELECT count(*) FROM accepted a WHERE a.doc_id // 10 = p.page_id) AS restorations
+          FROM pages p JOIN spliced u ON u.doc_id = p.page_id * 10""",
+    ),
+)
 def restored_table(spark, sf_dir):
     """Redact the table and restore it from its mapping."""
     pages = table(spark, sf_dir, "pages", "page_id")
     redacted, mapping = redact_table(pages, "page_id")
-    restored, _ = restore_table(redacted, "page_id", mapping)
-    return restored
+    restored, counts = restore_table(redacted, "page_id", mapping)
+    was = redacted.select("page_id", F.col("url").alias("was_url"))
+    return restored.join(was, "page_id").join(counts, "page_id", "left").withColumn(
+        "restorations", F.coalesce("restorations", F.lit(0).cast("long"))
+    )
 
 
 # -- restoration ------------------------------------------------------------------------------
@@ -1014,13 +1032,23 @@ def restore_sessions(spark, sf_dir):
     )
 
 
-# even turns arrive first, then the odd ones: two batches of one stream
+# Even turns arrive first, then the odd ones, which in every fifth session come
+# two hours later, when the session has ended and is opened anew.
 _STREAM = [
     _TURNS, *accepted_sql(SKIP_UNCERTAIN, SAFE),
-    "spans AS (SELECT *, doc_id // 1000 AS conv, doc_id % 1000 AS turn FROM accepted)",
-    *numbered("spans", "conv", "(turn % 2) * 100000000000 + turn * 10000000 + s"),
+    """opens AS (SELECT conv_id AS conv, min(turn) FILTER (turn % 2 = 0) AS even,
+         min(turn) FILTER (turn % 2 = 1) AS odd FROM conversations GROUP BY conv_id)""",
+    """keyed AS (SELECT doc_id, conv || '/' || (1700000000 + CASE
+           WHEN even IS NULL OR doc_id % 2 = 0 OR conv % 5 > 0 THEN coalesce(even, odd + late)
+           ELSE odd + late END) AS scope
+         FROM (SELECT *, CASE WHEN conv % 5 = 0 THEN 7200 ELSE 0 END AS late
+               FROM docs JOIN opens ON conv = doc_id // 1000))""",
+    "spans AS (SELECT * FROM accepted JOIN keyed USING (doc_id))",
+    *numbered(
+        "spans", "scope", "(doc_id % 2) * 1000000000000000 + (doc_id % 1000) * 10000000 + s"
+    ),
     "edits AS (SELECT a.doc_id, s, e, ph FROM spans a JOIN mapping m "
-    "ON m.scope = a.conv AND m.typ = a.typ AND m.key = lower(a.t))",
+    "ON m.scope = a.scope AND m.typ = a.typ AND m.key = lower(a.t))",
     *spliced("docs", "edits"),
 ]
 
@@ -1029,33 +1057,29 @@ _STREAM = [
     "stream_sessions",
     with_(
         *_STREAM,
-        select="SELECT cast(doc_id // 1000 AS varchar) AS scope_id, doc_id % 1000 AS unit_no, "
-        "redacted FROM spliced",
+        select="SELECT scope AS scope_id, doc_id % 1000 AS unit_no, redacted "
+        "FROM spliced JOIN keyed USING (doc_id)",
     ),
 )
 def stream_sessions(spark, sf_dir):
-    """Session texts as a stream of two files; the second continues the mapping."""
+    """Session texts as a stream of two runs over one progress log; the second
+    continues the mapping of the first."""
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    late = "if(conv_id % 5 = 0 AND turn % 2 = 1, 7200, 0)"
     texts = conversations(spark, sf_dir).select(
         F.col("conv_id").cast("string").alias("session_id"),
-        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn")).alias("ts"),
+        F.expr(f"timestamp_seconds(1700000000 + turn + {late})").alias("ts"),
         F.col("turn").cast("int").alias("unit_no"),
         "text",
     )
     for turn in (0, 1):
-        half = texts.where(F.col("unit_no") % 2 == turn).coalesce(1)
-        half.write.mode("append").parquet(f"{root}/in")
-    arriving = (
-        spark.readStream.schema(texts.schema)
-        .option("maxFilesPerTrigger", "1")
-        .parquet(f"{root}/in")
-    )
-    stream = redact_stream(
-        arriving, f"{root}/mapping", f"{root}/out", f"{root}/progress",
-        Keyring.from_key(spark, TEST_KEY), availableNow=True,
-    )
-    stream.awaitTermination()
+        texts.where(F.col("unit_no") % 2 == turn).write.mode("append").parquet(f"{root}/in")
+        arriving = spark.readStream.schema(texts.schema).parquet(f"{root}/in")
+        stream = redact_stream(
+            arriving, f"{root}/mapping", f"{root}/out", f"{root}/progress",
+            Keyring.from_key(spark, TEST_KEY), availableNow=True,
+        )
+        stream.awaitTermination()
     return spark.read.parquet(f"{root}/out").select(
         "scope_id", F.col("unit_no").cast("long").alias("unit_no"), "redacted"
     )
-

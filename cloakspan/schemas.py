@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-UNIT_KEY = ["scope_id", "doc_id", "unit_no"]
-
 # One detected span inside an array.  The field order is the claim order:
 # sorting an array of these structs puts equal (start, end) claims side by
 # side with the winning layer and rule first.
@@ -15,21 +13,12 @@ SPAN_ARRAY = f"array<{SPAN_STRUCT}>"
 HIT_ARRAY = "array<struct<start:int,end:int,text:string>>"
 TAKEN_ARRAY = "array<struct<kind:string,n:bigint>>"
 
-UNITS = "scope_id string, doc_id string, part string, unit_no int, text string"
-ENTITIES = "doc_id string, unit_no int, label string, start int, end int"
-DECISIONS = (
-    "scope_id string, pii_type string, value string, decision string, "
-    "type_override string, decided_at timestamp"
-)
-MAPPING = (
-    "scope_id string, mapping_id string, pii_type string, value_key string, "
-    "original_enc binary, placeholder string, n long, created_at timestamp"
-)
-LEARNED_PII = "pii_type string, value string"
-LEARNED_SAFE = "value_lc string"
-CUSTOM_PATTERNS = (
-    "name string, pattern string, pii_type string, confidence double, "
-    "created_at timestamp"
+# The mapping that a stream writes; ``hour`` and ``batch_id`` are folders.
+STREAM_MAPPING = (
+    "session_id string, scope_id string, mapping_id string, pii_type string, "
+    "value_key string, original_enc binary, placeholder string, n long, "
+    "created_at timestamp, doc_ord string, unit_no int, pos int, hour string, "
+    "batch_id long"
 )
 LEARNED_FILE = (
     "version int, pii map<string,array<string>>, safe array<string>, "

@@ -1,21 +1,24 @@
 """Arriving session texts, redacted batch by batch.
 
 Every micro-batch is one run of the batch plan.  What it adds to the mapping
-goes to a folder of its own, named by the batch id and written with overwrite:
-a batch that is repeated after a failure reads the same earlier folders and
-puts the same rows in the same place.
+goes to a folder for the hour in which its session opened and the batch's id,
+written with overwrite: a batch that is repeated after a failure reads the same
+earlier folders and puts the same rows in the same place.
+
+A session ends an hour after its first text.  One that comes back later is
+opened anew, and counts anew: the opening time is part of the scope's key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-from ..functions.staging import stage
+from ..functions.placeholders import taken_numbers
+from ..functions.staging import scratch, stage
 from ..operators.crypto import Keyring
 from ..operators.detect import Detector
 from ..operators.mapping import (
@@ -25,50 +28,64 @@ from ..operators.mapping import (
     seal,
 )
 from ..operators.redact import (
+    NO_LAYERS,
     SAFE,
     SKIP_UNCERTAIN,
+    Layers,
     Policy,
     decide,
     splice_units,
     unit_spans,
 )
 from ..rules import SESSION_HOURS
+from ..schemas import STREAM_MAPPING
 
 KEYED = ["scope_id", "pii_type", "value_key"]
+HOUR = "yyyy-MM-dd-HH"
 
-_MAPPING = (
-    "scope_id string, mapping_id string, pii_type string, value_key string, "
-    "original_enc binary, placeholder string, n long, created_at timestamp, "
-    "doc_ord string, unit_no int, pos int, batch_id long, hour timestamp"
-)
 
+def read_mapping(spark: SparkSession, path: str, hours: list[str] | None = None) -> DataFrame:
+    """The stored mapping, or the part whose sessions opened in given hours.
 
-def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(_MAPPING).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], _MAPPING)
+    Only those folders are looked at, so the history costs nothing.
+    """
+    system_path = spark._jvm.org.apache.hadoop.fs.Path
+    system = system_path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    folders = [path] if hours is None else [f"{path}/hour={h}" for h in hours]
+    there = [f for f in folders if system.exists(system_path(f))]
+    if not there:
+        return spark.createDataFrame([], STREAM_MAPPING)
+    return spark.read.schema(STREAM_MAPPING).option("basePath", path).parquet(*there)
+
+
+def live_hours(first: datetime, last: datetime) -> list[str]:
+    """The hours in which a session may have opened that is live at some time
+    from ``first`` to ``last``."""
+    hour = (first - timedelta(hours=SESSION_HOURS)).replace(minute=0, second=0, microsecond=0)
+    hours = []
+    while hour <= last:
+        hours.append(hour.strftime("%Y-%m-%d-%H"))
+        hour += timedelta(hours=1)
+    return hours
 
 
 def earlier_mapping(
-    spark: SparkSession, path: str, batch_id: int, batch: DataFrame
+    spark: SparkSession, path: str, batch_id: int, texts: DataFrame
 ) -> DataFrame:
     """Mapping rows of earlier batches that belong to sessions of this batch and
-    have not expired.
-
-    Folders carry the hour they were written for, so only the hours that can
-    still be live are listed and read.
-    """
-    first = batch.agg(F.min("ts").alias("t")).first()["t"]
-    stored = read_mapping(spark, path).where(F.col("batch_id") < batch_id)
-    if first is not None:
-        live = F.lit(first) - F.expr(f"INTERVAL {SESSION_HOURS} HOUR")
-        stored = stored.where(F.col("hour") >= F.date_trunc("hour", live))
-    opened = batch.groupBy(F.col("session_id").alias("scope_id")).agg(
-        F.min("ts").alias("first_ts")
-    )
+    have not expired."""
+    # as text: folders are named in the session's time zone, not in Python's
+    first, last = texts.agg(
+        F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss"),
+        F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss"),
+    ).first()
+    if first is None:
+        return spark.createDataFrame([], STREAM_MAPPING)
+    hours = live_hours(datetime.fromisoformat(first), datetime.fromisoformat(last))
+    stored = read_mapping(spark, path, hours).where(F.col("batch_id") < batch_id)
+    begun = texts.groupBy("session_id").agg(F.min("ts").alias("first_ts"))
     return (
-        stored.join(opened, "scope_id")
+        stored.join(begun, "session_id")
         .where(
             F.col("created_at") + F.expr(f"INTERVAL {SESSION_HOURS} HOUR")
             >= F.col("first_ts")
@@ -84,67 +101,91 @@ def batch_writer(
     detector: Detector | None = None,
     policy: Policy = SAFE,
     mode: str = SKIP_UNCERTAIN,
+    layers: Layers = NO_LAYERS,
 ) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` function for ``(session_id, ts, unit_no, text)``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession):
+            run(batch, batch_id)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        texts = stage(batch, "batch")
-        units = texts.select(
-            F.col("session_id").cast("string").alias("scope_id"),
-            F.col("session_id").cast("string").alias("doc_id"),
-            F.col("unit_no").cast("int").alias("unit_no"),
-            "ts",
-            "text",
+        texts = stage(
+            batch.withColumns(
+                {
+                    "session_id": F.col("session_id").cast("string"),
+                    "unit_no": F.col("unit_no").cast("int"),
+                }
+            ),
+            "batch",
         )
-        known = stage(
-            earlier_mapping(
-                spark,
-                mapping_path,
-                batch_id,
-                texts.withColumn("session_id", F.col("session_id").cast("string")),
+        # inside a batch the session is the scope; its key is put in when written
+        units = texts.select(
+            F.col("session_id").alias("scope_id"),
+            F.col("session_id").alias("doc_id"),
+            "unit_no", "ts", "text",
+        )
+        earlier = stage(earlier_mapping(spark, mapping_path, batch_id, texts), "earlier")
+        known = earlier.drop("scope_id").withColumnRenamed("session_id", "scope_id")
+        since = earlier.groupBy("session_id").agg(F.min("created_at").alias("since"))
+        begun = texts.groupBy("session_id").agg(F.min("ts").alias("first_ts"))
+        opened = stage(
+            begun.join(since, "session_id", "left")
+            .withColumn("opened_at", F.coalesce("since", "first_ts"))
+            .select(
+                "session_id",
+                "opened_at",
+                F.concat_ws("/", "session_id", F.unix_seconds("opened_at")).alias("key"),
             ),
-            "known",
+            "opened",
         )
+
         spans = stage(
-            decide(unit_spans(units, detector, policy, mode), mode, policy), "spans"
+            decide(unit_spans(units, detector, policy, mode, layers=layers), mode, policy),
+            "spans",
         )
+        taken = None
+        if policy.avoid_taken:
+            found = F.expr(f"inline({taken_numbers('text')})").alias("pii_type", "n")
+            taken = units.select("scope_id", found).distinct()
         values = distinct_values(spans, policy.numbering).withColumn(
             "value_key", keyring.digest(F.col("value_lc"))
         )
         fresh = values.join(known.select(*KEYED), KEYED, "left_anti")
         numbered = assign_placeholders(
-            spans, policy.numbering, last_numbers(known), values=fresh, document_scopes=True
-        )
-        since = known.groupBy("scope_id").agg(F.min("created_at").alias("since"))
-        opened = (
-            units.groupBy("scope_id")
-            .agg(F.min("ts").alias("first_ts"))
-            .join(since, "scope_id", "left")
-            .select("scope_id", F.coalesce("since", "first_ts").alias("opened_at"))
-        )
-        sealed = (
+            spans, policy.numbering, last_numbers(known), values=fresh,
+            document_scopes=True, taken=taken,
+        )
+        added = stage(
             seal(numbered, keyring)
             .drop("created_at")
-            .join(opened, "scope_id")
-            .withColumnRenamed("opened_at", "created_at")
-            .withColumn("batch_id", F.lit(batch_id).cast("long"))
-            .withColumn("hour", F.date_trunc("hour", F.col("created_at")))
+            .withColumnRenamed("scope_id", "session_id")
+            .join(opened, "session_id"),
+            "added",
         )
-        target = f"{mapping_path}/batch_id={batch_id}"
-        sealed.drop("batch_id").write.mode("overwrite").partitionBy("hour").parquet(
-            target
-        )
-        added = spark.read.schema(_MAPPING).option("basePath", mapping_path).parquet(
-            target
+        (
+            added.withColumnsRenamed({"key": "scope_id", "opened_at": "created_at"})
+            .withColumn("hour", F.date_format("created_at", HOUR))
+            .withColumn("batch_id", F.lit(batch_id).cast("long"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("hour", "batch_id")
+            .parquet(mapping_path)
         )
         columns = [*KEYED, "n", "placeholder"]
-        mapping = known.select(*columns).unionByName(added.select(*columns))
+        fresh_rows = added.withColumnRenamed("session_id", "scope_id")
+        mapping = known.select(*columns).unionByName(fresh_rows.select(*columns))
         keyed = spans.withColumn("value_key", keyring.digest(F.lower("text")))
         edits = keyed.join(mapping, KEYED)
-        splice_units(units, edits, policy).drop("text", "doc_id").write.mode(
-            "overwrite"
-        ).parquet(f"{out_path}/batch_id={batch_id}")
+        done = splice_units(units, edits, policy).select(
+            F.col("scope_id").alias("session_id"), "unit_no", "ts", "redacted"
+        )
+        (
+            done.join(opened.select("session_id", F.col("key").alias("scope_id")), "session_id")
+            .write.mode("overwrite")
+            .parquet(f"{out_path}/batch_id={batch_id}")
+        )
 
     return write
 
@@ -158,11 +199,12 @@ def redact_stream(
     detector: Detector | None = None,
     policy: Policy = SAFE,
     mode: str = SKIP_UNCERTAIN,
+    layers: Layers = NO_LAYERS,
     **trigger,
 ):
     """Start the stream over ``(session_id, ts, unit_no, text)``."""
     writer = texts.writeStream.foreachBatch(
-        batch_writer(mapping_path, out_path, keyring, detector, policy, mode)
+        batch_writer(mapping_path, out_path, keyring, detector, policy, mode, layers)
     ).option("checkpointLocation", checkpoint)
     if trigger:
         writer = writer.trigger(**trigger)

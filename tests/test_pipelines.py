@@ -34,7 +34,7 @@ from cloakspan.sources.files import (
 )
 from cloakspan.sources.tables import redact_table, restore_table
 from cloakspan.sources.units import join_units, whole_units
-from cloakspan.streaming.sessions import batch_writer, read_mapping
+from cloakspan.streaming.sessions import batch_writer, live_hours, read_mapping
 
 
 def units_of(spark, *texts):
@@ -354,7 +354,7 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     write(second, 1)
 
     def state():
-        out = spark.read.parquet(f"{tmp_path}/out").orderBy("scope_id", "unit_no")
+        out = spark.read.parquet(f"{tmp_path}/out").orderBy("session_id", "unit_no")
         marks = read_mapping(spark, f"{tmp_path}/map").select("scope_id", "placeholder")
         return [r["redacted"] for r in out.collect()], sorted(map(tuple, marks.collect()))
 
@@ -367,9 +367,22 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     assert state() == before
     # an hour after its first text a session is new again; one at the limit is not
     write(late, 2)
-    texts = {(r["scope_id"], r["unit_no"]): r["redacted"]
+    texts = {(r["session_id"], r["unit_no"]): (r["redacted"], r["scope_id"])
              for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert texts[("s", 2)] == "person1@example.com"
-    assert texts[("t", 1)] == "person1@example.com"
-    known = read_mapping(spark, f"{tmp_path}/map").where("scope_id = 't'")
-    assert known.count() == 1
+    assert texts[("s", 2)][0] == "person1@example.com"
+    assert texts[("t", 1)] == ("person1@example.com", texts[("t", 0)][1])
+    known = read_mapping(spark, f"{tmp_path}/map")
+    assert known.where("session_id = 't'").count() == 1
+    # the reopened session has a key of its own, so no placeholder stands twice
+    assert texts[("s", 2)][1] != texts[("s", 0)][1] == texts[("s", 1)][1]
+    assert known.groupBy("scope_id", "placeholder").count().where("count > 1").count() == 0
+
+
+def test_only_live_hours_are_read(spark, tmp_path):
+    from datetime import datetime
+
+    assert live_hours(datetime(2024, 1, 1, 0, 5), datetime(2024, 1, 1, 1, 0)) == [
+        "2023-12-31-23", "2024-01-01-00", "2024-01-01-01",
+    ]
+    assert read_mapping(spark, f"{tmp_path}/none").count() == 0
+    assert read_mapping(spark, f"{tmp_path}/none", ["2024-01-01-00"]).count() == 0
