@@ -13,7 +13,8 @@ one shingle, all their words).  Words are runs of letters and digits, lower-case
    document, and shares no less.  So nothing is lost here.
 2. Equal windows are one from here on, so a passage that a third of all
    documents share is compared once.  Each window has a SimHash fingerprint of
-   its counted shingles.
+   its counted words: a changed word moves one feature there, but five shingles,
+   so similar windows lie well within the radius.
 3. 64 bits cut into 16 blocks: fingerprints within 15 bits agree in a block, so
    an equi-join on (size, block, value) finds all items within the radius.
 4. What it finds is verified by the exact similarity.
@@ -30,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloakspan.functions.bitmap import Bitmap
 from cloakspan.functions.expr import Sql, compute_once, fold, keep, let, struct, transform
 from cloakspan.functions.staging import stage
 
@@ -37,8 +39,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Blocks of 4 bits, and the radius they guarantee.
 BLOCKS, RADIUS = 16, 15
-#: Bits of the bitmap: per item shingle, at least, and at most.
-BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 22
 
 
 def _words(text: Sql) -> Sql:
@@ -78,10 +78,12 @@ def _counted(shingles: Sql) -> Sql:
     )
 
 
-def _simhash(shingles: Sql) -> Sql:
+def _simhash(words: Sql) -> Sql:
+    """64 bits, each set if most of the words (repeats included) have it set."""
+
     def bit(acc: Sql, b: Sql) -> Sql:
-        ones = fold(shingles, "0L", lambda a, x: f"{a} + (shiftright({x}, {b}) & 1L)")
-        return f"{acc} | if(2 * {ones} > size({shingles}), shiftleft(1L, {b}), 0L)"
+        ones = fold(words, "0L", lambda a, x: f"{a} + (shiftright({x}, {b}) & 1L)")
+        return f"{acc} | if(2 * {ones} > size({words}), shiftleft(1L, {b}), 0L)"
 
     return fold("sequence(0, 63)", "0L", bit)
 
@@ -100,41 +102,15 @@ def prepared_items(items: DataFrame, key: str = "item_id", text: str = "text") -
         shingled.select(
             "item_id", "n", "width", "many", "shingles",
             F.expr(_counted("shingles")).alias("counted"),
-            F.expr(_simhash("shingles")).alias("fp"),
+            F.expr(_simhash("words")).alias("fp"),
         ),
         "items",
     )
 
 
-def _bitmap(items: DataFrame) -> tuple[Sql, int]:
-    """A literal array of 64-bit words in which two bits of every item shingle
-    are set, and the mask of a bit's number.  Its size is bounded."""
-    shingles = items.select(F.explode("shingles").alias("h")).distinct()
-    wanted = BITS_EACH * max(1, shingles.count())
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (wanted - 1).bit_length()))
-    places = shingles.select(
-        F.explode(F.expr(f"array(h & {bits - 1}L, shiftrightunsigned(h, 32) & {bits - 1}L)")).alias("p")
-    )
-    words = dict(
-        places.groupBy(F.expr("shiftright(p, 6)").alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("value"))
-        .collect()
-    )
-    listed = ",".join(str(words.get(i, 0)) for i in range(bits // 64))
-    return f"cast(split('{listed}', ',') AS array<bigint>)", bits - 1
-
-
-def _may_be_item(h: Sql, bitmap: Sql, mask: int) -> Sql:
-    def test(p: Sql) -> Sql:
-        word = f"get({bitmap}, cast(shiftright({p}, 6) AS int))"
-        return f"(shiftright({word}, cast({p} & 63 AS int)) & 1L) = 1L"
-
-    return f"{test(f'({h} & {mask}L)')} AND {test(f'(shiftrightunsigned({h}, 32) & {mask}L)')}"
-
-
 def _suspects(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
     """Documents that may hold an item: ``doc_id, mark, words, hits``."""
-    bitmap, mask = _bitmap(items)
+    bitmap = Bitmap(items.select(F.explode("shingles").alias("h")))
     least, widths = items.agg(
         F.min(F.ceil(F.col("many") * similarity - 1e-9)), F.collect_set("width")
     ).first()
@@ -144,7 +120,7 @@ def _suspects(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame
             f"if(size(words) >= {width}, sequence(0, size(words) - {width}), cast(array() AS array<int>))",
             lambda i: let(
                 _shingle("words", i, width),
-                lambda h: f"if({_may_be_item(h, bitmap, mask)}, {struct(p=i, h=h)}, NULL)",
+                lambda h: f"if({bitmap.may_hold(h)}, {struct(p=i, h=h)}, NULL)",
             ),
         )
         return f"array_compact({found})"
@@ -158,8 +134,8 @@ def _suspects(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame
 
 
 def _windows(suspects: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
-    """Windows that may reach the similarity: ``doc_id, mark, n, begin,
-    shingles, counted``."""
+    """Windows that may reach the similarity: ``doc_id, mark, n, begin, own``
+    (their words, sorted) and ``counted``."""
     sizes = items.select(
         "n", "width", "many", F.explode("shingles").alias("h")
     ).distinct()
@@ -185,15 +161,17 @@ def _windows(suspects: DataFrame, items: DataFrame, similarity: float) -> DataFr
     last = "if(size(filter(at, p -> p >= total - span)) >= need, array(total - span), cast(array() AS array<int>))"
     begins = f"if(size(at) >= need, array_union({from_hits}, {last}), cast(array() AS array<int>))"
     starts = placed.select(
-        "doc_id", "mark", "n", "width", "held", F.explode(F.expr(begins)).alias("begin")
+        "doc_id", "mark", "n", "width", "span", "held", F.explode(F.expr(begins)).alias("begin")
     )
     texts = suspects.select("doc_id", "mark", "words").dropDuplicates(["doc_id", "mark"])
     same = texts.select(F.col("doc_id").alias("id"), F.col("mark").alias("id_mark"), "words")
     joined = starts.join(same, F.expr("doc_id <=> id AND mark = id_mark"))
     shingled = compute_once(joined, shingles=_shingles("words", "begin", "held", "width"))
     return shingled.select(
-        "doc_id", "mark", "n", "begin", "shingles", F.expr(_counted("shingles")).alias("counted")
-    )
+        "doc_id", "mark", "n", "begin",
+        F.expr("array_sort(slice(words, begin + 1, span))").alias("own"),
+        F.expr(_counted("shingles")).alias("counted"),
+    )
 
 
 def contaminated(
@@ -217,14 +195,14 @@ def contaminated(
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     suspects = stage(_suspects(docs, items, similarity), "suspects")
     windows = stage(
-        _windows(suspects, items, similarity).withColumn("content", F.xxhash64("counted")),
+        _windows(suspects, items, similarity).withColumn("content", F.xxhash64("counted", "own")),
         "windows",
     )
     distinct = windows.groupBy("n", "content").agg(
-        F.first("shingles").alias("shingles"), F.first("counted").alias("counted")
+        F.first("own").alias("own"), F.first("counted").alias("counted")
     )
     distinct = stage(
-        distinct.select("n", "content", "counted", F.expr(_simhash("shingles")).alias("fp")),
+        distinct.select("n", "content", "counted", F.expr(_simhash("own")).alias("fp")),
         "distinct-windows",
     )
 
