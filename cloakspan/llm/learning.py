@@ -22,9 +22,10 @@ def labelled_sample(
     """At most ``per_class`` documents of each class (``key, text, label``),
     and the share of class 1 among all labelled rows that may be learned from.
 
-    A document labelled twice has its larger label; null labels and ids and
-    documents held out are left out.  The sample is the rows whose ids hash
-    lowest, so its ids have a fixed bound and are broadcast.
+    A document labelled twice has its larger label, one given twice its smaller
+    text; null labels and ids and documents held out are left out.  The sample
+    is the rows whose ids hash lowest, so its ids have a fixed bound and are
+    broadcast.
     """
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~is_held_out(key))
@@ -42,7 +43,9 @@ def labelled_sample(
         )
         chosen = lowest if chosen is None else chosen.union(lowest)
     texts = docs.select(key, F.coalesce("text", F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(chosen), key).repartition(12, key)
+    sample = (
+        texts.join(F.broadcast(chosen), key).groupBy(key, "label").agg(F.min("text").alias("text"))
+    )
     return stage(sample, "labelled-sample"), share
 
 

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloakspan.functions.staging import scratch
+
 from .learning import fit_logistic, is_held_out, labelled_sample, sigmoid
 
 #: Labelled documents of each class learned from; bad ones met by each good one.
@@ -121,7 +123,15 @@ def train(
     per_class: int = PER_CLASS,
     rivals: int = RIVALS,
 ) -> Model:
-    sample, share = labelled_sample(docs, labels, label, per_class, key)
+    """Weights and cut from at most ``per_class`` labelled documents a class."""
+    with scratch(docs.sparkSession):
+        sample, share = labelled_sample(docs, labels, label, per_class, key)
+        good, bad = _measured(sample, key)
+    return _ranked(good, bad, share, rivals)
+
+
+def _measured(sample: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of the good and of the bad documents, in the order of ids."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +152,13 @@ def train(
     width = len(MEASURES)
     vectors = np.array([np.frombuffer(r["vector"]) for r in rows]).reshape(-1, width)
     classes = np.array([r["label"] for r in rows])
-    good, bad = vectors[classes == 1], vectors[classes == 0]
+    return vectors[classes == 1], vectors[classes == 0]
+
+
+def _ranked(good: np.ndarray, bad: np.ndarray, share: float, rivals: int) -> Model:
+    """The Bradley-Terry model of pairs of a good and a bad document; ``share``
+    of all documents are good."""
+    width = len(MEASURES)
     if not len(good) or not len(bad):
         return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0)
     mean = (good.mean(axis=0) + bad.mean(axis=0)) / 2

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloakspan.functions.staging import scratch
+
 from .learning import fit_logistic, is_held_out, labelled_sample, sigmoid
 from .ngrams import buckets
 
@@ -68,7 +70,16 @@ def train(
     sizes: tuple[int, ...] = SIZES,
     bits: int = BITS,
 ) -> Model:
-    sample, share = labelled_sample(docs, labels, label, per_class, key)
+    """Weights of at most ``kept`` n-grams from at most ``per_class`` labelled
+    documents of each class."""
+    with scratch(docs.sparkSession):
+        sample, share = labelled_sample(docs, labels, label, per_class, key)
+        return _trained(sample, share, kept, sizes, bits)
+
+
+def _trained(
+    sample: DataFrame, share: float, kept: int, sizes: tuple[int, ...], bits: int
+) -> Model:
     width = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
