@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_open_scratch: list[list[str]] = []
+
+class _Open(threading.local):
+    """The paths staged inside each open :func:`scratch` of a thread."""
+
+    def __init__(self) -> None:
+        self.blocks: list[list[str]] = []
+
+
+_open = _Open()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,8 +50,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if _open_scratch:
-        _open_scratch[-1].append(path)
+    if _open.blocks:
+        _open.blocks[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,11 +63,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     For jobs that write their outputs before they return; a table that is
     handed on must not be staged inside.
     """
-    _open_scratch.append([])
+    _open.blocks.append([])
     try:
         yield
     finally:
-        for path in _open_scratch.pop():
+        for path in _open.blocks.pop():
             delete(spark, path)
 
 
