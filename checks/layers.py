@@ -249,6 +249,30 @@ def restore_with_taken_placeholders(spark, sf_dir):
     return restored.select("doc_id", "restored", "changed")
 
 
+# -- a value in a third of all spans -----------------------------------------------------------
+
+_COMMON_TEXT = RICH_TEXT.replace(
+    "concat(text,", "concat(text, ' office@corp.io, office@corp.io; OFFICE@corp.io or '," , 1
+)
+
+
+@query(
+    "redact_common_value",
+    with_(
+        source("docs", sql_text(_COMMON_TEXT)), *accepted_sql(SKIP_UNCERTAIN, SAFE),
+        *numbered("accepted", "'corpus'", "doc_id * 10000000 + s"),
+        "edits AS (SELECT a.doc_id, s, e, ph FROM accepted a JOIN mapping m "
+        "ON m.typ = a.typ AND m.key = lower(a.t))",
+        *spliced("docs", "edits"),
+        select="SELECT doc_id, redacted FROM spliced",
+    ),
+)
+def redact_common_value(spark, sf_dir):
+    """One corpus-wide value fills about a third of all spans."""
+    units = whole_units(derived(documents(spark, sf_dir), _COMMON_TEXT), scope=F.lit("corpus"))
+    return redact_units(units).texts.select("doc_id", "redacted")
+
+
 # -- ids of any kind ------------------------------------------------------------------------------
 
 _SPARSE = "((doc_id * 7919 + 13) % 1000003) * 1000000007"

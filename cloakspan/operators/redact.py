@@ -25,6 +25,7 @@ from ..functions.expr import (
     struct,
     transform,
 )
+from ..functions.joins import join_unique
 from ..functions.placeholders import number_in_row, taken_numbers
 from ..functions.spans import (
     context_of,
@@ -434,7 +435,9 @@ def edits_of(accepted: DataFrame, mapping: DataFrame) -> DataFrame:
     """Accepted spans with their placeholder."""
     keyed = accepted.withColumn("value_lc", F.lower("text"))
     on = ["scope_id", "pii_type", "value_lc"]
-    return keyed.join(mapping.select(*on, "n", "placeholder"), on)
+    return join_unique(
+        keyed, mapping.select(*on, "n", "placeholder"), on, ["doc_id", "unit_no", "start"]
+    )
 
 
 def splice_units(

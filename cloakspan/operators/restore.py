@@ -16,6 +16,7 @@ from ..functions.expr import (
     text_literal,
     transform,
 )
+from ..functions.joins import join_unique
 from ..functions.placeholders import placeholder_regex
 from ..functions.spans import regex_hits, splice
 from ..functions.staging import stage
@@ -111,7 +112,9 @@ def restore_units(
     has_custom = not custom.isEmpty()
     if has_custom:
         candidates = candidates.unionByName(_custom_hits(units, custom))
-    found = candidates.join(known, ["scope_id", "placeholder"])
+    found = join_unique(
+        candidates, known, ["scope_id", "placeholder"], ["doc_id", "unit_no", "start"]
+    )
     if keyring is not None:
         opened = keyring.decrypt(F.col("original_enc"))
         found = found.withColumn(

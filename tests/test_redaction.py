@@ -272,6 +272,20 @@ def test_staged_tables_of_a_finished_job_are_deleted(spark):
     assert staged() == before and kept.count() == 3
 
 
+def test_hot_keys_are_split(spark):
+    from cloakspan.functions.joins import join_unique
+
+    rows = spark.range(9_000).selectExpr("if(id % 3 = 0, 0, id) AS k", "id AS i", "id % 2 AS j")
+    rows = rows.withColumn("k", F.when(F.col("i") % 7 == 0, F.lit(None)).otherwise(F.col("k")))
+    unique = spark.range(5_000).selectExpr("id AS k", "id * 2 AS v")
+    want = rows.join(unique, "k")
+    got = join_unique(rows, unique, ["k"], ["i"], rows_per_part=300)
+    assert got.exceptAll(want.select(*got.columns)).count() == 0 and got.count() == want.count()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan
+    assert "_part" not in join_unique(rows, unique, ["k"], ["i"])._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_units_are_read_once(spark, rich, tmp_path):
     """The plans of the results hold the staged copy, not the source."""
     rich.select("doc_id", "text").write.parquet(f"{tmp_path}/source")
