@@ -32,7 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakspan.functions.bitmap import Bitmap
-from cloakspan.functions.expr import Sql, compute_once, fold, keep, let, struct, transform
+from cloakspan.functions.expr import (
+    Sql,
+    compute_once,
+    fold,
+    keep,
+    let,
+    running,
+    struct,
+    transform,
+)
 from cloakspan.functions.staging import stage
 
 SHINGLE = 5
@@ -70,12 +79,20 @@ def _shingles(words: Sql, begin: Sql, many: Sql, width: Sql) -> Sql:
 def _counted(shingles: Sql) -> Sql:
     """A set that stands for the counted shingles: the second, third ... equal
     one becomes a value of its own."""
-    return let(
-        f"array_sort({shingles})",
-        lambda s: transform(
-            s, lambda x, i: f"xxhash64({x}, {i} - array_position({s}, {x}))", arity=2
-        ),
-    )
+
+    def tagged(s: Sql) -> Sql:
+        begins = transform(
+            s, lambda x, i: f"if({i} = 0 OR get({s}, {i} - 1) != {x}, {i}, 0)", arity=2
+        )
+        begun = running(begins, lambda a, b: f"greatest({a}, {b})", "0")
+        repeated = let(
+            begun,
+            lambda at: transform(s, lambda x, i: f"xxhash64({x}, {i} - get({at}, {i}))", arity=2),
+        )
+        once = transform(s, lambda x: f"xxhash64({x}, 0)")
+        return f"if(size(array_distinct({s})) = size({s}), {once}, {repeated})"
+
+    return let(f"array_sort({shingles})", tagged)
 
 
 def _simhash(words: Sql) -> Sql:

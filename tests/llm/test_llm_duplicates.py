@@ -187,3 +187,11 @@ def test_decontamination_equals_brute_force(spark):
     for none in (documents.limit(0), documents):
         empty = benchmark if none is not documents else benchmark.limit(0)
         assert decontaminate.contaminated(none, empty).count() == 0
+
+
+def test_very_long_items_take_a_moment(spark):
+    long = "lorem ipsum " * 60_000
+    docs = spark.createDataFrame([(1, long + "end"), (2, "lorem ipsum"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, long), (8, "a b c d e f")], "item_id long, text string")
+    rows = decontaminate.contaminated(docs, items).collect()
+    assert [(r["doc_id"], r["item_id"], r["similarity"]) for r in rows] == [(1, 7, 1.0)]
