@@ -12,11 +12,12 @@ one shingle, all their words).  Words are runs of letters and digits, lower-case
    that reaches the similarity has one that begins at a hit, or ends the
    document, and shares no less.  So nothing is lost here.
 2. Equal windows are one from here on, so a passage that a third of all
-   documents share is compared once.  Each window has a SimHash fingerprint of
-   its counted words: a changed word moves one feature there, but five shingles,
-   so similar windows lie well within the radius.
-3. 64 bits cut into 16 blocks: fingerprints within 15 bits agree in a block, so
-   an equi-join on (size, block, value) finds all items within the radius.
+   documents share is compared once.
+3. Counted shingles are put in one order, that of their hashes.  Where a window
+   and an item share ``need`` of them, the first ``size - need + 1`` of the window
+   and of the item have one in common: else all shared ones would lie in what is
+   left of one of the two, which is less than ``need``.  So an equi-join on (size,
+   shingle) of these first ones finds all items within the similarity.
 4. What it finds is verified by the exact similarity.
 
 Only SQL functions are used.  Texts are read once and not shuffled.
@@ -35,7 +36,6 @@ from cloakspan.functions.bitmap import Bitmap
 from cloakspan.functions.expr import (
     Sql,
     compute_once,
-    fold,
     keep,
     let,
     running,
@@ -46,8 +46,6 @@ from cloakspan.functions.staging import stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Blocks of 4 bits, and the radius they guarantee.
-BLOCKS, RADIUS = 16, 15
 
 
 def _words(text: Sql) -> Sql:
@@ -95,18 +93,19 @@ def _counted(shingles: Sql) -> Sql:
     return let(f"array_sort({shingles})", tagged)
 
 
-def _simhash(words: Sql) -> Sql:
-    """64 bits, each set if most of the words (repeats included) have it set."""
+def _first(size: Sql, need: Sql) -> Sql:
+    """As many of a set's first shingles that one of them is shared, where
+    ``need`` of its ``size`` are."""
+    return f"slice(array_sort(counted), 1, cast({size} - {need} + 1 AS int))"
 
-    def bit(acc: Sql, b: Sql) -> Sql:
-        ones = fold(words, "0L", lambda a, x: f"{a} + (shiftright({x}, {b}) & 1L)")
-        return f"{acc} | if(2 * {ones} > size({words}), shiftleft(1L, {b}), 0L)"
 
-    return fold("sequence(0, 63)", "0L", bit)
+def _need(size: Sql, many: Sql, similarity: float) -> Sql:
+    """The least that ``size`` and ``many`` shingles share at the similarity."""
+    return f"cast(ceil(({size} + {many}) * {similarity / (1 + similarity)!r}D - 1e-9) AS int)"
 
 
 def prepared_items(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """Items with words: ``item_id, n, width, many, shingles, counted, fp``."""
+    """Items with words: ``item_id, n, width, many, shingles, counted``."""
     worded = compute_once(items.select(F.col(key).alias("item_id"), text), words=_words(f"`{text}`"))
     sized = worded.where("size(words) > 0").selectExpr(
         "item_id", "words", "size(words) AS n", f"least(size(words), {SHINGLE}) AS width"
@@ -119,7 +118,6 @@ def prepared_items(items: DataFrame, key: str = "item_id", text: str = "text") -
         shingled.select(
             "item_id", "n", "width", "many", "shingles",
             F.expr(_counted("shingles")).alias("counted"),
-            F.expr(_simhash("words")).alias("fp"),
         ),
         "items",
     )
@@ -151,8 +149,8 @@ def _suspects(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame
 
 
 def _windows(suspects: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
-    """Windows that may reach the similarity: ``doc_id, mark, n, begin, own``
-    (their words, sorted) and ``counted``."""
+    """Windows that may reach the similarity: ``doc_id, mark, n, begin,
+    counted`` and ``need``, the shingles they have to share with an item."""
     sizes = items.select(
         "n", "width", "many", F.explode("shingles").alias("h")
     ).distinct()
@@ -168,8 +166,7 @@ def _windows(suspects: DataFrame, items: DataFrame, similarity: float) -> DataFr
         "*",
         "least(n, total) AS span",
         "least(many, total - width + 1) AS held",
-        f"cast(ceil((least(many, total - width + 1) + many) * {similarity / (1 + similarity)!r}D"
-        " - 1e-9) AS int) AS need",
+        f"{_need('least(many, total - width + 1)', 'many', similarity)} AS need",
     )
     from_hits = (
         "transform(filter(sequence(0, size(at) - need), j -> get(at, j) <= total - span "
@@ -178,15 +175,14 @@ def _windows(suspects: DataFrame, items: DataFrame, similarity: float) -> DataFr
     last = "if(size(filter(at, p -> p >= total - span)) >= need, array(total - span), cast(array() AS array<int>))"
     begins = f"if(size(at) >= need, array_union({from_hits}, {last}), cast(array() AS array<int>))"
     starts = placed.select(
-        "doc_id", "mark", "n", "width", "span", "held", F.explode(F.expr(begins)).alias("begin")
+        "doc_id", "mark", "n", "width", "held", "need", F.explode(F.expr(begins)).alias("begin")
     )
     texts = suspects.select("doc_id", "mark", "words").dropDuplicates(["doc_id", "mark"])
     same = texts.select(F.col("doc_id").alias("id"), F.col("mark").alias("id_mark"), "words")
     joined = starts.join(same, F.expr("doc_id <=> id AND mark = id_mark"))
     shingled = compute_once(joined, shingles=_shingles("words", "begin", "held", "width"))
     return shingled.select(
-        "doc_id", "mark", "n", "begin",
-        F.expr("array_sort(slice(words, begin + 1, span))").alias("own"),
+        "doc_id", "mark", "n", "begin", "need",
         F.expr(_counted("shingles")).alias("counted"),
     )
 
@@ -212,26 +208,23 @@ def contaminated(
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     suspects = stage(_suspects(docs, items, similarity), "suspects")
     windows = stage(
-        _windows(suspects, items, similarity).withColumn("content", F.xxhash64("counted", "own")),
+        _windows(suspects, items, similarity).withColumn("content", F.xxhash64("counted")),
         "windows",
     )
-    distinct = windows.groupBy("n", "content").agg(
-        F.first("own").alias("own"), F.first("counted").alias("counted")
-    )
     distinct = stage(
-        distinct.select("n", "content", "counted", F.expr(_simhash("own")).alias("fp")),
+        windows.groupBy("n", "content").agg(
+            F.first("counted").alias("counted"), F.first("need").alias("need")
+        ),
         "distinct-windows",
     )
 
-    blocks = f"transform(sequence(0, {BLOCKS - 1}), b -> shiftleft(b, 4) | (shiftright(fp, 4 * b) & 15L))"
-    filed = items.select("n", "item_id", F.col("fp").alias("item_fp"), F.explode(F.expr(blocks)).alias("block"))
-    asked = distinct.select("n", "content", "fp", F.explode(F.expr(blocks)).alias("block"))
-    candidates = (
-        asked.join(filed, ["n", "block"])
-        .where(F.expr(f"bit_count(fp ^ item_fp) <= {RADIUS}"))
-        .select("n", "content", "item_id")
-        .distinct()
+    # a window that reaches the similarity has at least `similarity * many` shingles
+    least = f"ceil(many * {similarity!r}D - 1e-9)"
+    filed = items.select("n", "item_id", F.explode(F.expr(_first("many", least))).alias("shingle"))
+    asked = distinct.select(
+        "n", "content", F.explode(F.expr(_first("size(counted)", "need"))).alias("shingle")
     )
+    candidates = asked.join(filed, ["n", "shingle"]).select("n", "content", "item_id").distinct()
     shared = "cast(size(array_intersect(counted, item_counted)) AS double)"
     verified = (
         candidates.join(distinct.select("n", "content", "counted"), ["n", "content"])

@@ -189,6 +189,28 @@ def test_decontamination_equals_brute_force(spark):
         assert decontaminate.contaminated(none, empty).count() == 0
 
 
+def test_no_window_at_the_limit_is_lost(spark):
+    """The most words that may be replaced or cut off at an end, by item size."""
+    rng = random.Random(17)
+    items, docs, want = [], [], {}
+    for i in range(400):
+        n = rng.randrange(14, 90)
+        many = n - 4
+        item = [f"w{rng.randrange(5_000)}" for _ in range(n)]
+        items.append((i, " ".join(item)))
+        other, cut = many // 9, many // 5
+        replaced = ["lead"] * 6 + item[: n - other] + [f"x{j}" for j in range(20)]
+        want[3 * i, i] = (many - other) / (many + other)
+        want[3 * i + 1, i] = want[3 * i + 2, i] = (many - cut) / many
+        docs += [(3 * i, replaced), (3 * i + 1, item[: n - cut]), (3 * i + 2, item[cut:])]
+    documents = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.contaminated(documents, benchmark).collect()
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in rows}
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_very_long_items_take_a_moment(spark):
     long = "lorem ipsum " * 60_000
     docs = spark.createDataFrame([(1, long + "end"), (2, "lorem ipsum"), (3, None)], "doc_id long, text string")
