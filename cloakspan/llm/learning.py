@@ -16,6 +16,15 @@ def is_held_out(key: str = "doc_id"):
     return F.coalesce(rest == 2, F.lit(False))
 
 
+def known_labels(labels: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
+    """``key`` and ``label`` of all labelled rows that may be learned from."""
+    return (
+        labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~is_held_out(key))
+        .groupBy(key)
+        .agg(F.max(label).cast("int").alias("label"))
+    )
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, per_class: int, key: str = "doc_id"
 ) -> tuple[DataFrame, float]:
@@ -27,11 +36,7 @@ def labelled_sample(
     is the rows whose ids hash lowest, so its ids have a fixed bound and are
     broadcast.
     """
-    known = (
-        labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~is_held_out(key))
-        .groupBy(key)
-        .agg(F.max(label).cast("int").alias("label"))
-    )
+    known = known_labels(labels, label, key)
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     chosen = None

@@ -2,8 +2,9 @@
 
 A document is a vector of measures of its whole text.  Preference pairs put a
 labelled good document over a labelled bad one; logistic loss on the
-difference of their vectors gives the weights of a score.  The decision cuts
-the scores at a quantile: the share of bad documents among the labelled ones.
+difference of their vectors gives the weights of a score.  The weights are
+fitted on a bounded sample.  The decision cuts the scores of all labelled
+documents that are not held out at a quantile: the share of bad ones among them.
 The reported score is the logistic of the distance to that cut, shifted so that
 the cut stands at 0.7.
 
@@ -17,21 +18,24 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakspan.functions.staging import scratch
+from cloakspan.functions.staging import scratch, stage
 
-from .learning import fit_logistic, is_held_out, labelled_sample, sigmoid
+from .learning import fit_logistic, is_held_out, known_labels, labelled_sample, sigmoid
 
 #: Labelled documents of each class learned from; bad ones met by each good one.
 PER_CLASS, RIVALS = 4_000, 8
 CUT = 0.7
+#: Bins of a histogram of scores, and the scores the driver sorts itself.
+BINS, FEW = 4_096, 10_000
 
 MEASURES = (
     "log_chars", "log_words", "letters", "upper", "digits", "marks", "symbols",
@@ -123,11 +127,17 @@ def train(
     per_class: int = PER_CLASS,
     rivals: int = RIVALS,
 ) -> Model:
-    """Weights and cut from at most ``per_class`` labelled documents a class."""
+    """Weights from at most ``per_class`` labelled documents a class, and the
+    cut from all that may be learned from."""
     with scratch(docs.sparkSession):
         sample, share = labelled_sample(docs, labels, label, per_class, key)
         good, bad = _measured(sample, key)
-    return _ranked(good, bad, share, rivals)
+        model = _ranked(good, bad, rivals)
+        if not len(good) or not len(bad):
+            return model
+        known = known_labels(labels, label, key)
+        strengths = stage(_strengths(docs, known, model, key), "strengths")
+        return replace(model, cut=_quantile(strengths, 1 - share))
 
 
 def _measured(sample: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
@@ -155,9 +165,8 @@ def _measured(sample: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
     return vectors[classes == 1], vectors[classes == 0]
 
 
-def _ranked(good: np.ndarray, bad: np.ndarray, share: float, rivals: int) -> Model:
-    """The Bradley-Terry model of pairs of a good and a bad document; ``share``
-    of all documents are good."""
+def _ranked(good: np.ndarray, bad: np.ndarray, rivals: int) -> Model:
+    """The Bradley-Terry model of pairs of a good and a bad document, cut at 0."""
     width = len(MEASURES)
     if not len(good) or not len(bad):
         return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0)
@@ -181,14 +190,59 @@ def _ranked(good: np.ndarray, bad: np.ndarray, share: float, rivals: int) -> Mod
         steps=250,
     )
 
-    model = Model(mean, scale, weight, 0.0, 1.0)
-    strength = np.concatenate((model.strength(good), model.strength(bad)))
-    mass = np.repeat([share / len(good), (1 - share) / len(bad)], [len(good), len(bad)])
-    order = np.argsort(strength, kind="stable")
-    at = int(np.searchsorted(np.cumsum(mass[order]), 1 - share))
-    at = min(max(at, 0), len(order) - 2)
-    cut = float((strength[order[at]] + strength[order[at + 1]]) / 2)
-    return Model(mean, scale, weight, cut, 1.0)
+    return Model(mean, scale, weight, 0.0, 1.0)
+
+
+def _strengths(docs: DataFrame, known: DataFrame, model: Model, key: str) -> DataFrame:
+    """``strength`` of each document in ``known``; of one given twice the
+    smaller.  Texts are measured where they are and not shuffled."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1)
+            vectors = [measures(texts[i].as_py()) for i in range(len(texts))]
+            found = model.strength(np.array(vectors).reshape(-1, len(MEASURES)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found, pa.float64())], [key, "strength"]
+            )
+
+    kind = docs.schema[key].dataType.simpleString()
+    return (
+        docs.select(key, "text")
+        .where(F.col(key).isNotNull() & ~is_held_out(key))
+        .mapInArrow(compute, f"`{key}` {kind}, strength double")
+        .groupBy(key)
+        .agg(F.min("strength").alias("strength"))
+        .join(known.select(key), key)
+        .select("strength")
+    )
+
+
+def _quantile(strengths: DataFrame, share: float) -> float:
+    """The middle between the last strength of the lowest ``share`` and the next."""
+    n = strengths.count()
+    rank = min(max(ceil(share * n - 1e-9), 1), n - 1)
+    return (_of_rank(strengths, rank) + _of_rank(strengths, rank + 1)) / 2
+
+
+def _of_rank(strengths: DataFrame, rank: int) -> float:
+    """The strength of a rank from 1, exactly.  Histograms are summed before the
+    shuffle and narrowed down to a bin that the driver can sort."""
+    value = F.col("strength")
+    shape = [F.count("*").alias("many"), F.min(value).alias("low"), F.max(value).alias("high")]
+    within = strengths.agg(*shape).first()
+    while within["many"] > FEW and within["low"] < within["high"]:
+        low, high = within["low"], within["high"]
+        strengths = strengths.where(value.between(low, high))
+        bin_of = F.least(F.floor((value - low) / ((high - low) / BINS)), F.lit(BINS - 1))
+        for within in sorted(strengths.groupBy(bin_of).agg(*shape).collect(), key=lambda r: r["low"]):
+            if rank <= within["many"]:
+                break
+            rank -= within["many"]
+    if within["low"] == within["high"]:
+        return within["low"]
+    rows = strengths.where(value.between(within["low"], within["high"])).collect()
+    return sorted(r["strength"] for r in rows)[rank - 1]
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:

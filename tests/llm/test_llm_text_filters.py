@@ -5,7 +5,9 @@ import hashlib
 import random
 import re
 import string
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +133,25 @@ def test_held_out_accuracy(tables, module, label, least):
     assert low < high
 
 
+def test_quality_cut_covers_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FEW", 20, raising=False)
+    monkeypatch.setattr(quality, "BINS", 8, raising=False)
+    rng = random.Random(6)
+    rows = []
+    for i in range(1_200):
+        words = ["word" + "s" * rng.randrange(9) for _ in range(rng.randrange(5, 60))]
+        good = rng.random() < 0.3
+        marks = ["!!", "##", "7"] * rng.randrange(3 if good else 9)
+        rows.append((i, " ".join(words + marks), int(good)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    model = quality.train(docs, labels, per_class=30)
+    learned = [(t, q) for i, t, q in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    strengths = np.sort(model.strength(np.array([quality.measures(t) for t, _ in learned])))
+    bad = sum(1 - q for _, q in learned)
+    assert model.cut == pytest.approx((strengths[bad - 1] + strengths[bad]) / 2, abs=1e-12)
+
+
 @pytest.mark.parametrize("module, label", [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers_on_odd_tables(spark, module, label):
     texts = [None, "", "   ", "idiot", "a fine text. " * 9, "\x00\U0001f600" * 50, "word " * 50_000]
