@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_unique
 from ..functions.placeholders import render_placeholder
 from ..functions.staging import stage
 from ..rules import MAPPING_VERSION, SESSION_HOURS
 from .crypto import Keyring
-from .numbering import number_in_scope
+from .numbering import ROWS_PER_BLOCK, number_in_scope
 
 KEY = ["scope_id", "pii_type", "value_lc"]
 # where a value first occurred: the order in which mappings are made
@@ -94,7 +95,12 @@ def assign_placeholders(
     else:
         numbered = numbered.withColumn("last_n", F.lit(0))
     if taken is not None:
-        numbered = _around_taken(numbered, taken)
+        limits = plain.groupBy("scope_id", "pii_type").agg(F.count("*").alias("many"))
+        if counters is not None:
+            limits = limits.join(counters, ["scope_id", "pii_type"], "left")
+        else:
+            limits = limits.withColumn("last_n", F.lit(None).cast("long"))
+        numbered = _around_taken(numbered, taken, limits, document_scopes)
     numbered = numbered.drop("last_n")
     out = numbered.withColumn(
         "placeholder", F.expr(render_placeholder("pii_type", "n"))
@@ -109,21 +115,71 @@ def assign_placeholders(
     return out.drop("custom")
 
 
-def _around_taken(numbered: DataFrame, taken: DataFrame) -> DataFrame:
+def _around_taken(
+    numbered: DataFrame,
+    taken: DataFrame,
+    limits: DataFrame,
+    document_scopes: bool = False,
+    rows_per_block: int = ROWS_PER_BLOCK,
+) -> DataFrame:
     """Numbers that leave the taken ones out.
 
     The taken numbers of a scope and type, t0 < t1 < ..., move the number n up
-    by as many as there are with t_i - i <= n.
+    by as many as there are with t_i - i <= n.  They stay rows: they are ranked,
+    counted by t_i - i and summed up along the numbers, inside blocks of
+    ``rows_per_block`` numbers and over the blocks in front.  ``limits`` has how
+    ``many`` numbers a scope and type gives out after its ``last_n``.
     """
-    of_type = taken.groupBy("scope_id", "pii_type").agg(
-        F.sort_array(F.collect_set("n")).alias("_taken")
+    group = ["scope_id", "pii_type"]
+    limits = limits.select(
+        *group,
+        F.coalesce("last_n", F.lit(0)).alias("_last"),
+        (F.coalesce("last_n", F.lit(0)) + F.col("many")).alias("_top"),
+    )
+    distinct = taken.select(*group, "n").distinct()
+    if document_scopes:
+        later = distinct.join(limits, group).where(F.col("n") > F.col("_last"))
+        of_group = Window.partitionBy(*group).orderBy("n")
+        ranked = later.withColumn("_rank", F.row_number().over(of_group))
+    else:
+        limits = stage(limits, "limits")
+        later = join_unique(stage(distinct, "taken-numbers"), limits, group, ["n"])
+        later = later.where(F.col("n") > F.col("_last")).withColumn("_zero", F.lit(0))
+        ranked = number_in_scope(
+            stage(later, "later-numbers"), group, ("n", "_zero", "_zero"), "_rank",
+            rows_per_block=rows_per_block,
+        )
+    block = lambda n: F.floor(F.col(n) / rows_per_block).alias("_block")
+    steps = (
+        ranked.withColumn("_at", F.col("n") - F.col("_rank") + 1)
+        .where(F.col("_at") <= F.col("_top"))
+        .groupBy(*group, block("_at"), F.col("_at").alias("n"))
+        .agg(F.count("*").alias("_moved"))
+    )
+    # every block of numbers has a sum, also where no step is in it
+    blocks = limits.select(
+        *group,
+        F.explode(F.sequence(block("_last"), block("_top"))).alias("_block"),
+        F.lit(0).cast("long").alias("_moved"),
+    )
+    in_front = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        steps.select(*group, "_block", "_moved").unionByName(blocks)
+        .groupBy(*group, "_block").agg(F.sum("_moved").alias("_sum"))
+        .withColumn("_before", F.sum("_sum").over(in_front))
+        .where(F.col("_before") > 0)
+        .drop("_sum")
+    )
+    inside = Window.partitionBy(*group, "_block").orderBy("n")  # a step counts for its own n
+    both = numbered.select("*", block("n"), F.lit(True).alias("_value")).unionByName(
+        steps, allowMissingColumns=True
     )
-    later = "filter(_taken, t -> t > last_n)"
-    moved = f"size(filter(transform({later}, (t, i) -> t - i), a -> a <= n))"
     return (
-        numbered.join(of_type, ["scope_id", "pii_type"], "left")
-        .withColumn("n", F.expr(f"if(_taken IS NULL, n, n + {moved})"))
-        .drop("_taken")
+        both.withColumn("_moved", F.coalesce(F.sum("_moved").over(inside), F.lit(0)))
+        .where("_value")
+        .join(offsets, [*group, "_block"], "left")
+        .withColumn("n", F.col("n") + F.col("_moved") + F.coalesce("_before", F.lit(0)))
+        .select(*numbered.columns)
     )
 
 

@@ -308,6 +308,36 @@ def test_taken_numbers_are_moved_around(spark):
     ]
 
 
+def test_many_taken_numbers_stay_rows(spark):
+    """Next to plain counting, in small blocks; no row gathers taken numbers."""
+    import random
+
+    from cloakspan.operators import mapping
+
+    rng = random.Random(12)
+    kinds = {"a": (300, 0), "b": (200, 50), "c": (40, 0), "d": (0, 0)}
+    values, taken, want = [], [], {}
+    for kind, (many, last) in kinds.items():
+        used = {rng.randrange(1, 500) for _ in range(250)} | {10**12} if kind != "c" else set()
+        taken += [("s", kind, n) for n in used] * 2
+        free = (n for n in range(last + 1, 10**6) if n not in used)
+        for i in range(1, many + 1):
+            values.append(("s", kind, f"v{i}", last + i, last))
+            want[kind, f"v{i}"] = next(free)
+    numbered = spark.createDataFrame(values, "scope_id string, pii_type string, value_lc string, n long, last_n long")
+    used = spark.createDataFrame(taken, "scope_id string, pii_type string, n long")
+    spans = numbered.selectExpr("scope_id", "pii_type", "value_lc AS text", "n AS doc_id", "0 AS unit_no", "0 AS start")
+    given = mapping.assign_placeholders(spans.where("last_n = 0"), taken=used)
+    assert "collect_" not in given._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r["n"] == want[r["pii_type"], r["value_lc"]] for r in given.collect())
+    limits = numbered.groupBy("scope_id", "pii_type", "last_n").count().withColumnRenamed("count", "many")
+    for document_scopes in (False, True):
+        moved = mapping._around_taken(numbered, used, limits, document_scopes, rows_per_block=16)
+        assert moved.columns == numbered.columns
+        assert {(r["pii_type"], r["value_lc"]): r["n"] for r in moved.collect()} == want
+        assert "collect_" not in moved._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_strict_restore_fails_without_mapping(spark):
     units = unit_rows(spark, "x").withColumn("scope_id", F.lit("other"))
     with pytest.raises(PySparkException, match="no mappings"):
