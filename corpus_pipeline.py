@@ -29,7 +29,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document with the smallest id.  Rows that repeat an
-    id are one document; rows without one stay."""
+    id are one document; rows without one stay.  Groups are op9's links of 3 bits
+    and no looser, so near copies with more changes stay; the README has shares."""
     groups = simhash_dedup.near_duplicates(docs)
     others = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti")
