@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, quality, secrets, simhash_dedup, token_counts, topk, toxicity, url_filter, warc
+from . import byte_bpe, decontaminate, filter_audit, quality, secrets, simhash_dedup, token_counts, topk, toxicity, url_filter, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -133,6 +133,61 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op11_filter_audit",
+    r"""
+    WITH RECURSIVE t AS (
+      SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+    w AS (
+      SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+             min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+    l AS (
+      SELECT doc_id, max(CAST(quality IS NOT DISTINCT FROM 1 AS INTEGER)) AS good,
+             max(CAST(toxic IS NOT DISTINCT FROM 1 AS INTEGER)) AS toxic
+      FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    m AS (
+      SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             CAST(len(words) < 200 AS INTEGER)
+             + 2 * CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INTEGER)
+             + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS INTEGER)
+             + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER)
+             + 16 * CAST(coalesce(w.doc_id > least, false) AS INTEGER) AS mask
+      FROM w LEFT JOIN l USING (doc_id)),
+    c AS (
+      SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+    f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+    o(filter_order, used) AS (
+      SELECT '', 0
+      UNION ALL
+      SELECT filter_order || letter, used | bit FROM o JOIN f ON used & bit = 0),
+    s AS (
+      SELECT filter_order, step, f.letter, f.bit,
+             coalesce((SELECT sum(g.bit) FROM f g WHERE contains(filter_order[:step - 1], g.letter)), 0)::INTEGER AS applied
+      FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o WHERE len(filter_order) = 5)
+      JOIN f ON f.letter = filter_order[step]),
+    r AS (
+      SELECT part, filter_order, step, letter,
+             coalesce(sum(n) FILTER (mask & (applied | bit) = 0), 0) AS kept,
+             coalesce(sum(n) FILTER (mask & applied = 0 AND mask & bit <> 0), 0) AS removed,
+             coalesce(sum(n) FILTER (mask & applied <> 0 AND mask & bit <> 0), 0) AS redundant,
+             coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (mask & applied = 0 AND mask & bit <> 0), 0) AS good_lost,
+             coalesce(sum(toxic) FILTER (mask & applied = 0 AND mask & bit <> 0), 0) AS toxic_lost
+      FROM c CROSS JOIN s GROUP BY ALL)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+           CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+           CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+           CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+    FROM r
+    """,
+)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_texts(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
