@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, filter_audit, quality, secrets, simhash_dedup, token_counts, topk, toxicity, url_filter, warc
+from . import byte_bpe, decontaminate, filter_audit, quality, secrets, sharding, simhash_dedup, token_counts, topk, toxicity, url_filter, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -188,6 +188,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op13_sharding")
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
