@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, filter_audit, quality, secrets, sharding, simhash_dedup, token_counts, topk, toxicity, url_filter, warc
+from . import byte_bpe, decontaminate, filter_audit, prefix_trie, quality, secrets, sharding, simhash_dedup, token_counts, topk, toxicity, url_filter, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -188,6 +188,58 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op12_prefix_trie",
+    r"""
+    WITH t AS (
+      SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tid) AS pos,
+             tid, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS words
+      FROM (SELECT conv_id, turn, coalesce(text, '') AS text,
+                   md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS tid
+            FROM conversations WHERE conv_id IS NOT NULL)),
+    c AS (
+      SELECT conv_id, conv_id - conv_id % 20 AS base,
+             xor(list_reduce(list_prepend(4294967295::BIGINT,
+                   list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+                 lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]),
+                   lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 4 AS h
+      FROM t GROUP BY conv_id),
+    r AS (
+      SELECT c.conv_id, 0 AS own, pos, tid, words FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+      UNION ALL
+      SELECT c.conv_id, 1, pos, tid, words FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+    s AS (
+      SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS d, tid, words FROM r),
+    p AS (  -- conversations with each of their prefixes
+      SELECT conv_id, d, words,
+             string_agg(tid, '') OVER (PARTITION BY conv_id ORDER BY d) AS node,
+             coalesce(string_agg(tid, '') OVER (PARTITION BY conv_id ORDER BY d
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS parent
+      FROM s
+      UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c),
+    e AS (SELECT conv_id, max(d) AS len FROM p GROUP BY conv_id),
+    n AS (
+      SELECT node, any_value(parent) AS parent, d, min(p.conv_id) AS conv_id, count(*) AS n_convs,
+             any_value(words) AS words,
+             coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (d = len), '') AS ends
+      FROM p JOIN e USING (conv_id) GROUP BY node, d),
+    k AS (SELECT parent, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+    a AS (
+      SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.parent = n.node),
+    u AS (  -- sums over all nodes that begin with a node
+      SELECT x.node, sum(CAST(y.n_children = 0 AS INTEGER)) AS n_leaves, sum((y.n_convs - 1) * y.words) AS saved
+      FROM a x JOIN a y ON starts_with(y.node, x.node) GROUP BY x.node)
+    SELECT a.conv_id, CAST(a.d AS BIGINT) AS depth, b.conv_id AS parent_conv_id,
+           CAST(a.n_convs AS BIGINT) AS n_convs, CAST(a.n_children AS BIGINT) AS n_children,
+           CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+           sha256(a.ends) AS ends_sha256
+    FROM a JOIN u USING (node) LEFT JOIN n b ON b.node = a.parent
+    """,
+)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op13_sharding")
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
