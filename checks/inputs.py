@@ -6,23 +6,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal out a table that is a single split of a file, the size of which is
-    bounded by ``spark.sql.files.maxPartitionBytes``; others stay as they are."""
-    if df.rdd.getNumPartitions() > 1:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+from cloakspan.functions.dealing import deal_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, *keys) if keys else df
+    return deal_out(df, *keys) if keys else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return spread(docs, "doc_id")
+    return deal_out(docs, "doc_id")
 
 
 # Both engines read these expressions; they add one value of every pattern.

@@ -25,102 +25,98 @@ from .expr import (
 FENCE = "\ufdd0"
 
 
-def _walk(count: Sql, gap: Callable[[Sql], Sql], hit: Callable[[Sql], Sql],
-          part: Callable[[Sql], Sql]) -> Sql:
-    """Offsets from the running length of gaps and hits."""
-    index = f"sequence(0, {count} - 1)"
-    lengths = transform(
-        index, lambda i: f"cast(length({gap(i)}) + length({hit(i)}) AS bigint)"
+def _pieces(count: Sql, gap: Callable[[Sql], Sql], hit: Callable[[Sql], Sql], parts: Sql) -> Sql:
+    """The lengths of gaps with the hit behind each, and the hits' parts."""
+    lens = transform(
+        f"sequence(0, {count} - 1)",
+        lambda i: f"cast(length({gap(i)}) + length({hit(i)}) AS bigint)",
     )
+    return struct(lens=lens, parts=parts)
 
-    def place(ends: Sql) -> Sql:
-        def found(i: Sql) -> Sql:
-            end = f"cast(get({ends}, cast({i} AS int)) AS int)"
-            return struct(start=f"{end} - length({part(i)})", end=end, text=part(i))
-
-        return transform(index, found)
-
-    return let(running_totals(lengths), place)
 
-
-def _fenced_hits(text: Sql, regex: Sql, group: int) -> Sql:
-    """Hits of one regex pass: fence every hit, then cut at the fences, which
+def _fenced_pieces(text: Sql, regex: Sql, group: int) -> Sql:
+    """Pieces of one regex pass: fence every hit, then cut at the fences, which
     leaves gap, hit, gap, hit ... gap."""
     fence = text_literal(FENCE)
 
-    def place(marked: Sql) -> Sql:
-        def cut(pieces: Sql, part: Callable[[Sql], Sql] | None = None) -> Sql:
-            def hit(i: Sql) -> Sql:
-                return f"get({pieces}, 2 * {i} + 1)"
+    def cut(pieces: Sql) -> Sql:
+        def hit(i: Sql) -> Sql:
+            return f"get({pieces}, 2 * {i} + 1)"
 
-            return _walk(
-                f"(size({pieces}) div 2)",
-                lambda i: f"get({pieces}, 2 * {i})",
-                hit,
-                part or hit,
-            )
-
-        pieces = f"split({marked}, {fence}, -1)"
-        if group == 0:
-            placed = let(pieces, cut)
-        else:
+        count = f"(size({pieces}) div 2)"
+        parts = transform(f"sequence(0, cast({count} AS int) - 1)", hit)
+        if group:
             parts = f"regexp_extract_all({text}, {regex}, {group})"
-            placed = let(
-                pieces,
-                lambda c: let(
-                    parts, lambda p: cut(c, lambda i: f"get({p}, cast({i} AS int))")
-                ),
-            )
-        return (
-            f"CASE WHEN contains({marked}, {fence}) THEN {placed} "
-            f"ELSE {empty(HIT_ARRAY)} END"
-        )
+        return _pieces(f"cast({count} AS int)", lambda i: f"get({pieces}, 2 * {i})", hit, parts)
 
     replacement = text_literal(f"{FENCE}$0{FENCE}")
-    return let(f"regexp_replace({text}, {regex}, {replacement})", place)
+    return let(
+        f"regexp_replace({text}, {regex}, {replacement})",
+        lambda marked: f"CASE WHEN contains({marked}, {fence}) "
+        f"THEN {let(f'split({marked}, {fence}, -1)', cut)} END",
+    )
 
 
-def _two_pass_hits(text: Sql, regex: Sql, group: int) -> Sql:
-    """Hits and gaps from two regex passes, for text that holds the fence."""
+def _two_pass_pieces(text: Sql, regex: Sql, group: int) -> Sql:
+    """Pieces of two regex passes, for text that holds the fence."""
 
     def place(found: Sql) -> Sql:
-        def walk(gaps: Sql, parts: Sql) -> Sql:
-            placed = _walk(
-                f"size({found})",
-                lambda i: f"get({gaps}, {i})",
-                lambda i: f"get({found}, {i})",
-                lambda i: f"get({parts}, {i})",
-            )
+        def cut(gaps: Sql) -> Sql:
+            parts = f"regexp_extract_all({text}, {regex}, {group})" if group else found
             failed = "raise_error('a pattern matches the empty string')"
-            return (
-                f"CASE WHEN size({gaps}) = size({found}) + 1 THEN {placed} "
-                f"ELSE cast({failed} AS {HIT_ARRAY}) END"
-            )
+            count = f"if(size({gaps}) = size({found}) + 1, size({found}), cast({failed} AS int))"
+            return _pieces(count, lambda i: f"get({gaps}, {i})", lambda i: f"get({found}, {i})", parts)
 
-        gaps = f"split({text}, {regex}, -1)"
-        if group == 0:
-            placed = let(gaps, lambda g: walk(g, found))
-        else:
-            parts = f"regexp_extract_all({text}, {regex}, {group})"
-            placed = let(gaps, lambda g: let(parts, lambda p: walk(g, p)))
-        return f"CASE WHEN size({found}) > 0 THEN {placed} ELSE {empty(HIT_ARRAY)} END"
+        return f"CASE WHEN size({found}) > 0 THEN {let(f'split({text}, {regex}, -1)', cut)} END"
 
     return let(f"regexp_extract_all({text}, {regex}, 0)", place)
 
 
-def regex_hits(text: Sql, regex: Sql, group: int = 0) -> Sql:
-    """All non-overlapping hits of ``regex`` with code-point offsets.
+def hit_pieces(text: Sql, regex: Sql, group: int = 0) -> Sql:
+    """What :func:`place_pieces` needs to place the hits of ``regex``; null where
+    there are none.
 
-    With ``group`` the offsets are those of that group, which has to sit at the
-    end of the hit.
+    With ``group`` the hits are those of that group, which has to sit at the
+    end of the whole hit.
     """
     return (
         f"CASE WHEN contains({text}, {text_literal(FENCE)}) "
-        f"THEN {_two_pass_hits(text, regex, group)} "
-        f"ELSE {_fenced_hits(text, regex, group)} END"
+        f"THEN {_two_pass_pieces(text, regex, group)} "
+        f"ELSE {_fenced_pieces(text, regex, group)} END"
     )
 
 
+def place_pieces(pieces: Sql, make: Callable[[Sql, Sql, Sql], Sql]) -> Sql:
+    """``make(start, end, text)`` for every hit, with code-point offsets: the
+    running length of gaps and hits is where a hit ends.
+
+    This is the bulk of an expression; place the pieces of several patterns by
+    one call, inside a ``transform`` over them.
+    """
+
+    def place(ends: Sql) -> Sql:
+        def found(part: Sql, i: Sql) -> Sql:
+            return let(
+                f"cast(get({ends}, {i}) AS int)",
+                lambda end: make(f"({end} - length({part}))", end, part),
+            )
+
+        return transform(f"{pieces}.parts", found, arity=2)
+
+    return let(running_totals(f"{pieces}.lens"), place)
+
+
+def regex_hits(text: Sql, regex: Sql, group: int = 0) -> Sql:
+    """All non-overlapping hits of ``regex`` with code-point offsets, or those of
+    a ``group`` at the end of the hits."""
+
+    def hits(pieces: Sql) -> Sql:
+        placed = place_pieces(pieces, lambda start, end, part: struct(start=start, end=end, text=part))
+        return f"CASE WHEN {pieces} IS NULL THEN {empty(HIT_ARRAY)} ELSE {placed} END"
+
+    return let(hit_pieces(text, regex, group), hits)
+
+
 def priority_of(pii_type: Sql) -> Sql:
     return case(pii_type, {k: str(v) for k, v in TYPE_PRIORITY.items()}, "0")
 
@@ -132,7 +128,7 @@ def make_span(
     pii_type: Sql,
     priority: Sql,
     confidence: Sql,
-    layer: int,
+    layer: int | Sql,
     seq: Sql,
     rule: Sql,
     status: Sql,
@@ -152,23 +148,6 @@ def make_span(
     )
 
 
-def typed_span(
-    hit: Sql,
-    pii_type: str,
-    confidence: Sql,
-    layer: int,
-    seq: int,
-    rule: str,
-    status: str,
-) -> Sql:
-    """The span of a hit whose type is fixed."""
-    return make_span(
-        f"{hit}.start", f"{hit}.end", f"{hit}.text", text_literal(pii_type),
-        str(TYPE_PRIORITY.get(pii_type, 0)), confidence, layer, str(seq),
-        text_literal(rule), text_literal(status),
-    )
-
-
 def no_spans() -> Sql:
     return empty(SPAN_ARRAY)
 

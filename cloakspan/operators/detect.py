@@ -23,7 +23,7 @@ from ..functions.expr import (
     text_literal,
     transform,
 )
-from ..functions.spans import make_span, no_spans, regex_hits, typed_span
+from ..functions.spans import hit_pieces, make_span, no_spans, place_pieces, regex_hits
 from ..schemas import HIT_ARRAY
 from .arbitrate import first_claims, status_of
 from .entities import entity_spans
@@ -101,11 +101,8 @@ def fold_case(text: Sql) -> Sql:
 
 def rule_hits(text: Sql, rule: R.Rule) -> Sql:
     """Hits of one rule; the rule's gate keeps clean texts off the pattern."""
-    hits = regex_hits(text, text_literal(rule.regex))
-    gate = _gate(text, rule)
-    if gate is None:
-        return hits
-    return f"CASE WHEN {gate} THEN {hits} ELSE {empty(HIT_ARRAY)} END"
+    hits, gate = regex_hits(text, text_literal(rule.regex)), _gate(text, rule)
+    return hits if gate is None else f"CASE WHEN {gate} THEN {hits} ELSE {empty(HIT_ARRAY)} END"
 
 
 def _gate(text: Sql, rule: R.Rule) -> Sql | None:
@@ -116,17 +113,86 @@ def _gate(text: Sql, rule: R.Rule) -> Sql | None:
     return None
 
 
-def rule_spans(text: Sql, rule: R.Rule, threshold: float) -> Sql:
+def _entry(
+    pieces: Sql, pii_type: str, confidence: Sql, layer: int, seq: int, rule: str, status: str
+) -> Sql:
+    """The hits of one pattern, still without offsets, and what their spans share."""
+    return struct(
+        pieces=pieces,
+        pii_type=text_literal(pii_type),
+        priority=str(R.TYPE_PRIORITY.get(pii_type, 0)),
+        confidence=f"cast({confidence} AS double)",
+        layer=str(layer),
+        seq=str(seq),
+        rule=text_literal(rule),
+        status=text_literal(status),
+    )
+
+
+def rule_entry(text: Sql, rule: R.Rule, threshold: float) -> Sql:
+    """The entry of one rule, behind the rule's gate."""
+    pieces, gate = hit_pieces(text, text_literal(rule.regex)), _gate(text, rule)
+    if gate is not None:
+        pieces = f"CASE WHEN {gate} THEN {pieces} END"
     status = status_of(rule.layer, rule.confidence, threshold)
-    return transform(
-        rule_hits(text, rule),
-        lambda h: typed_span(
-            h, rule.pii_type, str(rule.confidence), rule.layer, rule.seq,
-            rule.name, status,
-        ),
+    return _entry(pieces, rule.pii_type, str(rule.confidence), rule.layer, rule.seq, rule.name, status)
+
+
+def name_entry(text: Sql) -> Sql:
+    """Two capitalised words; the name lists only set the confidence."""
+    regex = R.java_regex(R.NAME_PATTERN, ignore_case=False, guard=R.NAME_GUARD)
+    pieces = hit_pieces(text, text_literal(regex))
+    return _entry(pieces, "person_name", "NULL", R.LAYER_NAMES, 0, "name_bigram", "uncertain")
+
+
+def _name_confidence(value: Sql) -> Sql:
+    spaces = text_literal(R.java_regex(r"\s+", ignore_case=False))
+
+    def score(words: Sql) -> Sql:
+        first = f"get({words}, 0) IN ({text_list(R.FIRST_NAMES)})"
+        last = f"get({words}, 1) IN ({text_list(R.LAST_NAMES)})"
+        return (
+            f"CASE WHEN {first} AND {last} THEN {R.NAME_BOTH_KNOWN} "
+            f"WHEN {first} OR {last} THEN {R.NAME_ONE_KNOWN} "
+            f"ELSE {R.NAME_NONE_KNOWN} END"
+        )
+
+    return let(f"split(lower({value}), {spaces})", score)
+
+
+def contextual_entry(text: Sql, pii_type: str, seq: int = 0) -> Sql:
+    """Capitalised phrases after a keyword of the type (opt-in layer)."""
+    regex = R.java_regex(R.contextual_pattern(pii_type), ignore_case=True)
+    pieces = hit_pieces(text, text_literal(regex), group=2)
+    return _entry(
+        pieces, pii_type, str(R.CONTEXTUAL_CONFIDENCE), R.LAYER_CONTEXTUAL, seq, "contextual", "uncertain"
     )
 
 
+def spans_of(entries: list[Sql]) -> Sql:
+    """The spans of the entries; all hits are placed by one shared step."""
+    if not entries:
+        return no_spans()
+
+    def placed(e: Sql) -> Sql:
+        def span(start: Sql, end: Sql, part: Sql) -> Sql:
+            # only names have no confidence of their own
+            confidence = f"coalesce({e}.confidence, {_name_confidence(part)})"
+            return make_span(
+                start, end, part, f"{e}.pii_type", f"{e}.priority", confidence,
+                f"{e}.layer", f"{e}.seq", f"{e}.rule", f"{e}.status",
+            )
+
+        return place_pieces(f"{e}.pieces", span)
+
+    found = keep(f"array({', '.join(entries)})", lambda e: f"{e}.pieces IS NOT NULL")
+    return f"flatten({transform(found, placed)})"
+
+
+def rule_spans(text: Sql, rule: R.Rule, threshold: float) -> Sql:
+    return spans_of([rule_entry(text, rule, threshold)])
+
+
 def learned_spans(
     text: Sql, pii: Iterable[tuple[str, str]], boundary: bool = False
 ) -> Sql:
@@ -181,63 +247,34 @@ def drop_safe(spans: Sql, safe: Iterable[str]) -> Sql:
 
 
 def name_spans(text: Sql) -> Sql:
-    """Two capitalised words; the name lists only set the confidence."""
-    regex = R.java_regex(R.NAME_PATTERN, ignore_case=False, guard=R.NAME_GUARD)
-    spaces = text_literal(R.java_regex(r"\s+", ignore_case=False))
-
-    def score(words: Sql) -> Sql:
-        first = f"get({words}, 0) IN ({text_list(R.FIRST_NAMES)})"
-        last = f"get({words}, 1) IN ({text_list(R.LAST_NAMES)})"
-        return (
-            f"CASE WHEN {first} AND {last} THEN {R.NAME_BOTH_KNOWN} "
-            f"WHEN {first} OR {last} THEN {R.NAME_ONE_KNOWN} "
-            f"ELSE {R.NAME_NONE_KNOWN} END"
-        )
-
-    return transform(
-        regex_hits(text, text_literal(regex)),
-        lambda h: typed_span(
-            h, "person_name", let(f"split(lower({h}.text), {spaces})", score),
-            R.LAYER_NAMES, 0, "name_bigram", "uncertain",
-        ),
-    )
+    return spans_of([name_entry(text)])
 
 
 def contextual_spans(text: Sql, pii_type: str, seq: int = 0) -> Sql:
-    """Capitalised phrases after a keyword of the type (opt-in layer)."""
-    regex = R.java_regex(R.contextual_pattern(pii_type), ignore_case=True)
-    return transform(
-        regex_hits(text, text_literal(regex), group=2),
-        lambda h: typed_span(
-            h, pii_type, str(R.CONTEXTUAL_CONFIDENCE), R.LAYER_CONTEXTUAL, seq,
-            "contextual", "uncertain",
-        ),
-    )
+    return spans_of([contextual_entry(text, pii_type, seq)])
 
 
 def raw_spans(text: Sql, detector: Detector, entities: Sql | None = None) -> Sql:
     """Spans of all layers before arbitration."""
-    layers = []
+    learned = []
     if detector.learned_pii:
-        layers.append(
-            learned_spans(text, detector.learned_pii, detector.learned_boundary)
-        )
-    for rule in (*detector.rules, *detector.custom_patterns):
-        layers.append(rule_spans(text, rule, detector.threshold))
-    found = concat(layers) if layers else no_spans()
-    if entities is not None:
-        found = let(
-            drop_safe(found, detector.learned_safe),
-            lambda earlier: concat(
-                [earlier, entity_spans(text, entities, earlier, detector.threshold)]
-            ),
-        )
-    late = []
-    if detector.names:
-        late.append(name_spans(text))
-    for seq, pii_type in enumerate(detector.contextual):
-        late.append(contextual_spans(text, pii_type, seq))
-    return drop_safe(concat([found, *late]), detector.learned_safe)
+        learned.append(learned_spans(text, detector.learned_pii, detector.learned_boundary))
+    entries = [
+        rule_entry(text, rule, detector.threshold)
+        for rule in (*detector.rules, *detector.custom_patterns)
+    ]
+    late = [name_entry(text)] if detector.names else []
+    late += [contextual_entry(text, kind, seq) for seq, kind in enumerate(detector.contextual)]
+    if entities is None:
+        return drop_safe(concat([*learned, spans_of([*entries, *late])]), detector.learned_safe)
+    # entities look at what the earlier layers have found
+    found = let(
+        drop_safe(concat([*learned, spans_of(entries)]), detector.learned_safe),
+        lambda earlier: concat(
+            [earlier, entity_spans(text, entities, earlier, detector.threshold)]
+        ),
+    )
+    return drop_safe(concat([found, spans_of(late)]), detector.learned_safe)
 
 
 def detect_spans(text: Sql, detector: Detector, entities: Sql | None = None) -> Sql:
