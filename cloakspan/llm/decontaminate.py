@@ -13,12 +13,16 @@ one shingle, all their words).  Words are runs of letters and digits, lower-case
    document, and shares no less.  So nothing is lost here.
 2. Equal windows are one from here on, so a passage that a third of all
    documents share is compared once.
-3. Counted shingles are put in one order, that of their hashes.  Where a window
-   and an item share ``need`` of them, the first ``size - need + 1`` of the window
-   and of the item have one in common: else all shared ones would lie in what is
-   left of one of the two, which is less than ``need``.  So an equi-join on (size,
-   shingle) of these first ones finds all items within the similarity.
-4. What it finds is verified by the exact similarity.
+3. Windows and items get a SimHash of ``BITS`` bits: a bit is set where more than
+   half of the counted shingles' hashes have it.  Counted shingles that are similar
+   to s differ in a bit with probability arccos(2s / (1 + s)) / pi, so the bits that
+   differ are binomial, and the radius is the least that a pair at the very limit
+   exceeds with a probability of at most ``MISS``.
+4. Fingerprints within the radius are found by blocks: of ``radius // (NEAR + 1) + 1``
+   blocks or more, two such fingerprints differ by at most ``NEAR`` bits in one at least.
+   Items are filed under all values near their blocks, windows are looked up by
+   theirs, in an equi-join on (size, block, value).  This loses no pair of the radius.
+5. What lies within the radius is verified by the exact similarity.
 
 Only SQL functions are used.  Texts are read once and not shuffled.
 
@@ -29,6 +33,9 @@ null id; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from itertools import chain, combinations
+from math import acos, comb, pi
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +53,63 @@ from cloakspan.functions.staging import stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Bits of a fingerprint, in words of 64; the chance to miss a pair at the limit;
+#: and in how many bits a filed value may differ.
+BITS, MISS, NEAR = 128, 1e-6, 2
+
+
+def radius_of(similarity: float, bits: int = BITS, miss: float = MISS) -> int:
+    """The least radius that a pair at the similarity exceeds with a
+    probability of at most ``miss``."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    beyond = 1.0
+    for r in range(bits):
+        beyond -= comb(bits, r) * p**r * (1 - p) ** (bits - r)
+        if beyond <= miss:
+            return r
+    return bits
+
+
+def blocks_of(radius: int, bits: int = BITS, near: int = NEAR) -> list[tuple[int, int, int]]:
+    """(word, first bit, width) of the blocks, which cut every word alike."""
+    words = bits // 64
+    each = max(-(-(radius // (near + 1) + 1) // words), 2)
+    borders = [64 * i // each for i in range(each + 1)]
+    return [(w, lo, hi - lo) for w in range(words) for lo, hi in zip(borders, borders[1:])]
+
+
+def _near_masks(width: int, near: int = NEAR) -> list[int]:
+    """What to combine a block's value with to get all values near it."""
+    flips = chain.from_iterable(combinations(range(width), n) for n in range(near + 1))
+    return [sum(1 << bit for bit in bits) for bits in flips]
+
+
+def _fingerprint(counted: Sql) -> Sql:
+    """The SimHash of a set of hashes, as an array of words."""
+
+    def word(number: int) -> Sql:
+        def bit(hashes: Sql, at: Sql) -> Sql:
+            ones = f"aggregate({hashes}, 0, (n, x) -> n + cast(shiftright(x, {at}) & 1L AS int))"
+            return f"if(2 * {ones} > size({hashes}), shiftleft(1L, {at}), 0L)"
+
+        return let(
+            transform(counted, lambda x: f"xxhash64({x}, {number})"),
+            lambda hashes: f"aggregate({transform('sequence(0, 63)', lambda at: bit(hashes, at))}, 0L, (w, b) -> w | b)",
+        )
+
+    return f"array({', '.join(word(i) for i in range(BITS // 64))})"
+
+
+def _block_values(blocks: list[tuple[int, int, int]], near: bool) -> Sql:
+    """Structs (block, value) of a fingerprint ``fp``, with all near values or
+    the own one only."""
+    each = []
+    for number, (word, low, width) in enumerate(blocks):
+        value = f"(shiftrightunsigned(get(fp, {word}), {low}) & {(1 << width) - 1}L)"
+        masks = ", ".join(f"{m}L" for m in (_near_masks(width) if near else [0]))
+        values = let(value, lambda v, m=masks: transform(f"array({m})", lambda x: f"{v} ^ {x}"))
+        each.append(transform(values, lambda v, n=number: struct(block=str(n), value=v)))
+    return f"concat({', '.join(each)})"
 
 
 def _words(text: Sql) -> Sql:
@@ -93,12 +157,6 @@ def _counted(shingles: Sql) -> Sql:
     return let(f"array_sort({shingles})", tagged)
 
 
-def _first(size: Sql, need: Sql) -> Sql:
-    """As many of a set's first shingles that one of them is shared, where
-    ``need`` of its ``size`` are."""
-    return f"slice(array_sort(counted), 1, cast({size} - {need} + 1 AS int))"
-
-
 def _need(size: Sql, many: Sql, similarity: float) -> Sql:
     """The least that ``size`` and ``many`` shingles share at the similarity."""
     return f"cast(ceil(({size} + {many}) * {similarity / (1 + similarity)!r}D - 1e-9) AS int)"
@@ -149,8 +207,7 @@ def _suspects(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame
 
 
 def _windows(suspects: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
-    """Windows that may reach the similarity: ``doc_id, mark, n, begin,
-    counted`` and ``need``, the shingles they have to share with an item."""
+    """Windows that may reach the similarity: ``doc_id, mark, n, begin, counted``."""
     sizes = items.select(
         "n", "width", "many", F.explode("shingles").alias("h")
     ).distinct()
@@ -182,11 +239,31 @@ def _windows(suspects: DataFrame, items: DataFrame, similarity: float) -> DataFr
     joined = starts.join(same, F.expr("doc_id <=> id AND mark = id_mark"))
     shingled = compute_once(joined, shingles=_shingles("words", "begin", "held", "width"))
     return shingled.select(
-        "doc_id", "mark", "n", "begin", "need",
+        "doc_id", "mark", "n", "begin",
         F.expr(_counted("shingles")).alias("counted"),
     )
 
 
+def near_pairs(windows: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(``n, content, item_id``) of windows and items of one size whose
+    fingerprints lie within the radius of the similarity."""
+    radius = radius_of(similarity)
+    blocks = blocks_of(radius)
+    filed = compute_once(items.select("n", "item_id", "counted"), fp=_fingerprint("counted")).select(
+        "n", "item_id", F.col("fp").alias("item_fp"), F.expr(f"inline({_block_values(blocks, True)})")
+    )
+    asked = compute_once(windows.select("n", "content", "counted"), fp=_fingerprint("counted")).select(
+        "n", "content", "fp", F.expr(f"inline({_block_values(blocks, False)})")
+    )
+    apart = " + ".join(f"bit_count(get(fp, {w}) ^ get(item_fp, {w}))" for w in range(BITS // 64))
+    return (
+        asked.join(filed, ["n", "block", "value"])
+        .where(f"{apart} <= {radius}")
+        .select("n", "content", "item_id")
+        .distinct()
+    )
+
+
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
@@ -212,19 +289,11 @@ def contaminated(
         "windows",
     )
     distinct = stage(
-        windows.groupBy("n", "content").agg(
-            F.first("counted").alias("counted"), F.first("need").alias("need")
-        ),
+        windows.groupBy("n", "content").agg(F.first("counted").alias("counted")),
         "distinct-windows",
     )
 
-    # a window that reaches the similarity has at least `similarity * many` shingles
-    least = f"ceil(many * {similarity!r}D - 1e-9)"
-    filed = items.select("n", "item_id", F.explode(F.expr(_first("many", least))).alias("shingle"))
-    asked = distinct.select(
-        "n", "content", F.explode(F.expr(_first("size(counted)", "need"))).alias("shingle")
-    )
-    candidates = asked.join(filed, ["n", "shingle"]).select("n", "content", "item_id").distinct()
+    candidates = near_pairs(distinct, items, similarity)
     shared = "cast(size(array_intersect(counted, item_counted)) AS double)"
     verified = (
         candidates.join(distinct.select("n", "content", "counted"), ["n", "content"])

@@ -1,5 +1,6 @@
 """Near-duplicates and decontamination next to brute force."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -211,6 +212,54 @@ def test_no_window_at_the_limit_is_lost(spark):
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_blocks_find_every_pair_within_the_radius():
+    """Two fingerprints within the radius are near in one block at least."""
+    radius = decontaminate.radius_of(0.8)
+    blocks = decontaminate.blocks_of(radius)
+    assert len(blocks) > radius // (decontaminate.NEAR + 1)
+    for word in range(decontaminate.BITS // 64):
+        covered = [b for w, low, width in blocks if w == word for b in range(low, low + width)]
+        assert covered == list(range(64))
+    assert len(decontaminate._near_masks(10)) == 1 + 10 + 45
+    # the radius against a plain sum of the binomial tail
+    p = math.acos(1.6 / 1.8) / math.pi
+    tail = lambda r: sum(
+        math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(r + 1, 129)
+    )
+    assert tail(radius) <= 1e-6 < tail(radius - 1)
+    assert decontaminate.radius_of(1.0) == 0
+
+
+def test_near_pairs_equal_brute_force(spark):
+    """Fingerprints and pairs next to plain Python, whatever their similarity."""
+    rng = random.Random(23)
+    sets = [[rng.randrange(-(2**63), 2**63) for _ in range(rng.choice([1, 2, 9, 30]))] for _ in range(60)]
+    sets += [s[: -(len(s) // 4) or None] + [rng.randrange(2**63)] * (len(s) // 8) for s in sets]
+    windows = spark.createDataFrame([(7, i, s) for i, s in enumerate(sets)], "n int, content long, counted array<long>")
+    items = windows.selectExpr("n", "content AS item_id", "counted").where("item_id % 3 > 0")
+    fps = {
+        r["content"]: sum((w % 2**64) << (64 * i) for i, w in enumerate(r["fp"]))
+        for r in windows.selectExpr("content", f"{decontaminate._fingerprint('counted')} AS fp").collect()
+    }
+    for i, s in enumerate(sets):
+        hashes = [
+            [r[0] % 2**64 for r in spark.createDataFrame([(x,) for x in s], "x long").selectExpr(f"xxhash64(x, {k})").collect()]
+            for k in (0, 1)
+        ] if i < 5 else None
+        if hashes:
+            want = sum(
+                (2 * sum(h >> b & 1 for h in hs) > len(hs)) << (64 * k + b)
+                for k, hs in enumerate(hashes) for b in range(64)
+            )
+            assert fps[i] == want
+    radius = decontaminate.radius_of(0.8)
+    want = {
+        (a, b) for a in fps for b in fps if b % 3 and (fps[a] ^ fps[b]).bit_count() <= radius
+    }
+    got = decontaminate.near_pairs(windows, items).collect()
+    assert {(r["content"], r["item_id"]) for r in got} == want and len(got) == len(want)
+
+
 def test_very_long_items_take_a_moment(spark):
     long = "lorem ipsum " * 60_000
     docs = spark.createDataFrame([(1, long + "end"), (2, "lorem ipsum"), (3, None)], "doc_id long, text string")
