@@ -18,6 +18,7 @@ from cloakspan.functions.spans import context_of
 from cloakspan.operators.dictionary import dictionary_spans
 from cloakspan.operators.entities import with_entities
 from cloakspan.operators.learning import pattern_rules
+from cloakspan.operators.patterns import pattern_spans
 from cloakspan.operators.redact import ACCEPT_ALL, Policy, table_spans, unit_spans
 from cloakspan.operators.report import leftovers, scan_counts, scan_summary
 from cloakspan.sources.units import whole_units
@@ -193,6 +194,31 @@ def learned_dictionary_whole_words(spark, sf_dir):
     return span_columns(dictionary_spans(units, names, boundary=True))
 
 
+@query(
+    "pattern_table",
+    with_(
+        _ACCOUNTS,
+        hits("found", "docs", "(?:[Cc]ustomer|CUSTOMER)#[0-9]{9}"),
+        select=_account_hits(
+            "JOIN docs USING (doc_id) WHERE NOT regexp_matches("
+            "substr(docs.text, CAST(e + 1 AS BIGINT), 1), '[A-Za-z0-9_]')"
+        ).replace("t AS text", "found.t AS text"),
+    ),
+)
+def pattern_table(spark, sf_dir):
+    """One pattern for each customer: a text meets those whose literal it holds."""
+    units = whole_units(derived(documents(spark, sf_dir), ACCOUNT_TEXT))
+    digits = F.substring_index("c_name", "#", -1)
+    patterns = table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("name"),
+        F.concat(F.lit("(?:[Cc]ustomer|CUSTOMER)#"), digits, F.lit(r"\b")).alias("pattern"),
+        F.lit("company_name").alias("pii_type"),
+        F.lit(0.9).alias("confidence"),
+        F.timestamp_seconds(F.lit(0)).alias("created_at"),
+    )
+    return span_columns(pattern_spans(units, patterns))
+
+
 # -- safe values -------------------------------------------------------------------
 
 _SAFE = ("Mary Baker", "10.0.7.7", "MARY.3@corp.io")

@@ -160,8 +160,8 @@ def remove_patterns(patterns: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def pattern_rules(patterns: DataFrame) -> tuple[Rule, ...]:
-    """Read the pattern table into detector rules: configuration, of which
-    every row is searched in every text."""
+    """Read a short pattern table into detector rules, each of which is searched
+    in every text; :func:`patterns.pattern_spans` joins tables of any size."""
     rows = (
         patterns.select("name", "pattern", "pii_type", "confidence")
         .orderBy("created_at", "name")

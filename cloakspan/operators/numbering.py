@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.staging import stage
+
 # Rows wanted in a block, the largest number of blocks, and the rows looked at
 # for each border.
 ROWS_PER_BLOCK, MOST_BLOCKS, SAMPLE_EACH = 50_000, 4_096, 8
@@ -112,3 +114,28 @@ def _offsets(
         .where(F.col("_before") > 0)
         .drop("_size")
     )
+
+
+def number_rows(rows: DataFrame, order: list[str], out: str = "n") -> DataFrame:
+    """Add ``out``: 1, 2, 3 ... over the whole table, without one task for it.
+
+    Rows are sorted by ranges and staged with the number of their range; a row's
+    number is its rank there and the sizes of the ranges before.
+    """
+    placed = stage(
+        rows.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_range", F.spark_partition_id()),
+        "ranges",
+    )
+    # one row for each range
+    sizes = placed.groupBy("_range").count()
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return (
+        placed.withColumn(out, within)
+        .join(F.broadcast(offsets), "_range")
+        .withColumn(out, F.col(out) + F.col("_before"))
+        .drop("_range", "_before")
+    )

@@ -42,6 +42,7 @@ from .dictionary import dictionary_spans, drop_safe_table
 from .entities import with_entities
 from .learning import pattern_rules
 from .mapping import assign_placeholders, extend_mapping
+from .patterns import pattern_spans
 
 UNIT = ["scope_id", "doc_id", "unit_no"]
 
@@ -255,9 +256,10 @@ class Layers:
     entities: DataFrame | None = None
 
     def detector(self, detector: Detector | None) -> Detector:
-        """``detector`` with the custom patterns (they are configuration)."""
+        """``detector``, with the custom patterns where entities need to know
+        what these find in a text's row; elsewhere patterns stay a table."""
         detector = detector or Detector()
-        if self.patterns is None:
+        if self.patterns is None or self.entities is None:
             return detector
         found = tuple(
             replace(rule, seq=len(detector.custom_patterns) + i)
@@ -265,6 +267,17 @@ class Layers:
         )
         return replace(detector, custom_patterns=detector.custom_patterns + found)
 
+    @property
+    def pattern_table(self) -> DataFrame | None:
+        """The custom patterns that are joined with the texts."""
+        return self.patterns if self.entities is None else None
+
+    @property
+    def joined(self) -> bool:
+        """Whether a table is joined with the texts to find spans."""
+        tables = (self.dictionary, self.safe, self.pattern_table)
+        return any(t is not None for t in tables)
+
     def attach(self, units: DataFrame) -> tuple[DataFrame, str | None]:
         """Units with their entities, and the name of that column."""
         if self.entities is None:
@@ -305,15 +318,16 @@ def unit_spans(
 ) -> DataFrame:
     """Arbitrated spans of every unit as rows, each with the flag ``accepted``.
 
-    Narrow, unless a dictionary or a safe list takes part.
+    Narrow, unless a dictionary, a safe list or a pattern table takes part.
     """
     detector = layers.detector(detector)
     if layers.entities is not None:
         units, entities = layers.attach(units)
     columns = [*UNIT, *SPAN_FIELDS, "accepted"]
-    if layers.dictionary is not None or layers.safe is not None:
+    if layers.joined:
         rows = table_spans(
-            units, detector, layers.dictionary, layers.safe, policy, mode, entities
+            units, detector, layers.dictionary, layers.safe, policy, mode, entities,
+            layers.pattern_table,
         )
         if context:
             texts = units.select(*UNIT, F.col("text").alias("_body"))
@@ -335,8 +349,10 @@ def table_spans(
     policy: Policy = SAFE,
     mode: str = SKIP_UNCERTAIN,
     entities: str | None = None,
+    patterns: DataFrame | None = None,
 ) -> DataFrame:
-    """Arbitrated spans when the dictionary or the safe list is a table."""
+    """Arbitrated spans when the dictionary, the safe list or the custom
+    patterns are tables."""
     found = raw_spans("_body", detector, entities)
     raw = units.withColumnRenamed("text", "_body").select(
         *UNIT, F.expr(f"inline({found})").alias(*SPAN_FIELDS)
@@ -345,6 +361,13 @@ def table_spans(
         raw = raw.unionByName(
             dictionary_spans(units.select(*UNIT, "text"), dictionary, detector.learned_boundary)
         )
+    if patterns is not None:
+        custom = pattern_spans(
+            units.select(*UNIT, "text"), patterns, len(detector.custom_patterns), detector.threshold
+        )
+        if detector.learned_safe:
+            custom = custom.where(~F.lower("text").isin(*detector.learned_safe))
+        raw = raw.unionByName(custom)
     if safe is not None:
         raw = drop_safe_table(raw, safe)
     return arbitrate_table(raw, policy, mode)
@@ -510,7 +533,7 @@ def redact_units(
 
     ``units``: ``scope_id, doc_id, unit_no, text``.  The source is read once and
     staged with its spans; texts without a span that may be replaced do not
-    shuffle.  (With a dictionary or a safe list the units are read by each
+    shuffle.  (With a dictionary, a safe list or patterns the units are read by each
     layer, and all of them meet their edits by a join.)  ``existing`` is a plain
     mapping to continue.  ``spans`` are staged spans of an earlier run over the
     same units.  ``document_scopes`` says that every scope is one document or
@@ -518,7 +541,7 @@ def redact_units(
     """
     columns = units.columns
     gate = None
-    in_rows = spans is None and layers.dictionary is None and layers.safe is None
+    in_rows = spans is None and not layers.joined
     if in_rows:
         units, entities = layers.attach(units)
         units = spans_in_rows(units, layers.detector(detector), policy, mode, entities)
