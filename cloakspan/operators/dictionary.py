@@ -1,9 +1,8 @@
 """Learned dictionaries and safe lists that are tables of any size.
 
 A dictionary of many values is not tried value by value on every text.  Each
-value is filed under one short gram; the grams of a text and the
-grams of the dictionary meet in an equi-join, and only the values whose gram
-occurs are searched in that text.  The hits are exactly those of the small
+value is filed under one short gram, and is compared with a text where that gram
+stands (:mod:`cloakspan.operators.occurrences`).  The hits are exactly those of the small
 in-row dictionary: substrings, case-blind, each value on its own.
 """
 
@@ -15,12 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bitmap import Bitmap
-from ..functions.expr import Sql, compute_once, keep, text_list, text_literal, transform
-from ..functions.spans import make_span, priority_of, regex_hits
-from ..functions.staging import stage
+from ..functions.expr import Sql, compute_once, keep, text_list, text_literal
+from ..functions.spans import make_span, priority_of
 from ..rules import LAYER_LEARNED, LEARNED_CONFIDENCE, TYPE_PRIORITY
 from .detect import SPAN_FIELDS, fold_case
 from .learning import type_rank
+from .occurrences import occurrences
 
 UNIT = ["scope_id", "doc_id", "unit_no"]
 GRAM = 5
@@ -31,12 +30,6 @@ def known_types(pii_type: Sql) -> Sql:
     return f"if({pii_type} IN ({text_list(TYPE_PRIORITY)}), {pii_type}, 'custom')"
 
 
-def quote_regex(value: Sql) -> Sql:
-    """Quote a literal: every character but letters and digits is escaped."""
-    special = text_literal(r"([^\p{L}\p{N}_])")
-    return f"regexp_replace({value}, {special}, {text_literal(chr(92) * 2 + '$1')})"
-
-
 def grams(folded: Sql, size: int) -> Sql:
     """Distinct grams of ``size`` characters, cut out by one regex pass: a
     look-ahead captures the characters at every position."""
@@ -117,31 +110,15 @@ def dictionary_spans(
 ) -> DataFrame:
     """Raw layer-1 spans of a learned dictionary ``(pii_type, value[, rank])``.
 
-    The planner broadcasts the filed dictionary while it is small and shuffles
-    by gram beyond that.  Texts shuffle once, to the values found for them.
+    Texts do not shuffle, only the places where a filed gram stands.
     """
-    filed = stage(file_under_gram(ranked_dictionary(dictionary), gram), "dictionary")
-    found = present_values(units, filed, fold_case, ["pii_type", "value", "rank"])
-
-    def expand(entry: Sql) -> Sql:
-        body = quote_regex(f"{entry}.value")
-        left = right = "''"
-        if boundary:
-            left = text_literal(r"(?<![\p{L}\p{N}_])")
-            right = text_literal(r"(?![\p{L}\p{N}_])")
-        return transform(
-            regex_hits("text", f"concat('(?iuU)', {left}, {body}, {right})"),
-            lambda h: make_span(
-                f"{h}.start", f"{h}.end", f"{h}.text", f"{entry}.pii_type",
-                priority_of(f"{entry}.pii_type"), str(LEARNED_CONFIDENCE),
-                LAYER_LEARNED, f"{entry}.rank", "'learned'", "'match'",
-            ),
-        )
-
-    spans = f"flatten({transform('entries', expand)})"
-    return units.join(found, UNIT).select(
-        *UNIT, F.expr(f"inline({spans})").alias(*SPAN_FIELDS)
-    )
+    known = ranked_dictionary(dictionary).drop("folded")
+    found = occurrences(units, known, ["pii_type", "rank"], boundary=boundary, gram=gram)
+    span = make_span(
+        "start", "start + length(text)", "text", "pii_type", priority_of("pii_type"),
+        str(LEARNED_CONFIDENCE), LAYER_LEARNED, "rank", "'learned'", "'match'",
+    )
+    return found.select(*UNIT, F.expr(span).alias("s")).select(*UNIT, *(f"s.{c}" for c in SPAN_FIELDS))
 
 
 def drop_safe_table(spans: DataFrame, safe: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ from ..functions.placeholders import placeholder_regex
 from ..functions.spans import regex_hits, splice
 from ..functions.staging import stage
 from .crypto import Keyring
-from .dictionary import file_under_gram, present_values, quote_regex
 from .mapping import restorations
+from .occurrences import occurrences
 from .redact import join_edits
 
 UNIT = ["scope_id", "doc_id", "unit_no"]
@@ -47,18 +47,10 @@ def _custom(known: DataFrame) -> DataFrame:
 
 def _custom_hits(units: DataFrame, custom: DataFrame) -> DataFrame:
     """Where the custom placeholders of its scope stand in a unit."""
-    values = custom.select("scope_id", "placeholder", F.col("placeholder").alias("value"))
-    filed = stage(file_under_gram(values.withColumn("folded", F.col("value"))), "custom")
-    present = present_values(units, filed, lambda text: text, ["placeholder"], ["scope_id"])
-    each = transform(
-        "entries",
-        lambda e: transform(
-            regex_hits("text", quote_regex(f"{e}.placeholder")),
-            lambda h: struct(start=f"{h}.start", end=f"{h}.end", placeholder=f"{h}.text"),
-        ),
-    )
-    return units.join(present, UNIT).select(
-        *UNIT, F.expr(f"inline(flatten({each}))").alias("start", "end", "placeholder")
+    values = custom.select("scope_id", F.col("placeholder").alias("value"))
+    found = occurrences(units, values, [], on=["scope_id"], case_blind=False)
+    return found.select(
+        *UNIT, "start", F.expr("start + length(text)").alias("end"), F.col("text").alias("placeholder")
     )
 
 
