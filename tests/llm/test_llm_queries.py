@@ -1,6 +1,8 @@
 """The registered queries and the pipeline."""
 
 import base64
+import random
+from collections import Counter
 
 import duckdb
 import public_tokenizers
@@ -106,3 +108,29 @@ def test_stages_on_odd_tables(spark, sf_dir):
                 assert made.count() == table.count()
             else:
                 assert made.count() <= table.count()
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    """Ids that repeat with other texts, and rows without an id."""
+    passage = " ".join(f"item{i}" for i in range(40))
+    rng = random.Random(2)
+    other = lambda: " ".join(f"w{rng.randrange(10_000)}" for _ in range(60))
+    own, copied, lone, hidden = other(), other(), other(), other()
+    rows = [
+        (1, own), (2, copied), (2, own), (3, copied), (None, lone), (None, lone.upper()), (None, copied),
+        (4, f"{hidden} {passage}"), (4, hidden), (None, passage), (5, None), (6, ""), (7, own), (7, own),
+    ]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, last string")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    kept = corpus_pipeline.without_near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    got = texts(kept)
+    one_of_two = [k for k in got if k[0] is None and k[1].lower() == lone]
+    assert len(one_of_two) == 1
+    del got[one_of_two[0]]
+    want = [(1, own), (2, copied), (4, f"{hidden} {passage}"), (4, hidden), (None, passage), (5, None)]
+    assert got == Counter(want)
+    clean = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert texts(clean) == Counter(r for r in rows if passage not in (r[1] or ""))
