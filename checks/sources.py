@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cloakspan import rules as R
 from cloakspan.functions.staging import shared_folder
+from cloakspan.operators.detect import Detector
 from cloakspan.plans.sessions import session_units
 from cloakspan.sources.files import (
     read_text_files,
@@ -16,6 +17,7 @@ from cloakspan.sources.files import (
     route_files,
     write_texts,
 )
+from cloakspan.sources.large_files import file_spans, read_file_units
 from cloakspan.sources.tables import cell_units
 from cloakspan.sources.units import (
     join_pages,
@@ -25,8 +27,8 @@ from cloakspan.sources.units import (
     split_units,
 )
 
-from .inputs import SESSION_TEXT, conversations, documents, sql_text, table
-from .oracle_parts import q
+from .inputs import RICH_TEXT, SESSION_TEXT, conversations, documents, rich_documents, sql_text, table
+from .oracle_parts import CLAIMS, q, rule_hits, span_rows, with_
 from .registry import query
 
 
@@ -44,6 +46,51 @@ def text_files(spark, sf_dir):
     )
 
 
+_FILE_RULES = tuple(R.RULES_BY_NAME[name] for name in ("email", "phone", "credit_card"))
+
+
+@query(
+    "detect_large_files",
+    with_(
+        f"""files AS (
+  SELECT coalesce(lang, 'none') AS doc_id,
+         regexp_replace(string_agg({sql_text(RICH_TEXT)}, chr(10) ORDER BY doc_id),
+                        '\r\n?', chr(10), 'g') AS text
+  FROM documents GROUP BY 1)""",
+        *(rule_hits(f"h_{r.name}", "files", r) for r in _FILE_RULES),
+        "raw AS ("
+        + " UNION ALL ".join(
+            span_rows(f"h_{r.name}", r.pii_type, str(r.confidence), 2, r.seq, "match")
+            for r in _FILE_RULES
+        )
+        + ")",
+        CLAIMS,
+        select="SELECT doc_id AS lang, s AS span_start, e AS span_end, t AS text, typ AS pii_type "
+        "FROM claims",
+    ),
+)
+def detect_large_files(spark, sf_dir):
+    """Write the documents of each language to one text file; spans of these files."""
+    docs = rich_documents(spark, sf_dir)
+    path = f"{shared_folder(spark)}/large-{uuid.uuid4().hex}"
+    (
+        docs.select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"), "text")
+        .repartition("lang")
+        .sortWithinPartitions("lang", "doc_id")
+        .select("lang", "text")
+        .write.partitionBy("lang")
+        .text(path)
+    )
+    spans = file_spans(read_file_units(spark, path), Detector(rules=_FILE_RULES, names=False))
+    return spans.select(
+        F.regexp_extract("doc_id", "lang=([^/]*)", 1).alias("lang"),
+        F.col("start").cast("long").alias("span_start"),
+        F.col("end").cast("long").alias("span_end"),
+        "text",
+        "pii_type",
+    )
+
+
 _SUFFIXES = [
     ".txt", ".MD", ".markdown", ".text", ".docx", ".pdf", ".xlsx", ".xlsm", ".pptx",
     ".csv", "", "_redacted.txt",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.staging import scratch
@@ -21,6 +23,7 @@ from ..operators.redact import (
 )
 from ..operators.report import document_report
 from ..operators.restore import restore_units
+from ..sources.large_files import UNIT_CHARS, read_file_units, seam_of, write_file_units
 from ..sources.units import join_units, split_units, whole_units
 
 
@@ -67,6 +70,35 @@ def redact_corpus(
         document_report(units, run.spans, run.edits).write.parquet(f"{out}/report")
 
 
+def redact_files(
+    spark: SparkSession,
+    paths: Sequence[str],
+    out: str,
+    keyring: Keyring,
+    detector: Detector | None = None,
+    policy: Policy = SAFE,
+    mode: str = SKIP_UNCERTAIN,
+    layers: Layers = NO_LAYERS,
+    seam: str | None = None,
+    unit_chars: int = UNIT_CHARS,
+) -> None:
+    """Redact text files of any size, each file its own scope; texts, mapping and
+    report as :func:`redact_corpus` writes them, the texts as text files.
+
+    Dictionaries and pattern tables need the ``seam`` their values may cross.
+    """
+    if seam is None:
+        if layers != NO_LAYERS:
+            raise ValueError("give a seam for the values of the layers")
+        seam = seam_of(detector or Detector())
+    with scratch(spark):
+        units = read_file_units(spark, *paths, seam=seam, unit_chars=unit_chars)
+        run = redact_units(units, detector, policy, mode, layers=layers)
+        write_file_units(run.texts, f"{out}/texts", "redacted")
+        save_mapping(seal(run.mapping, keyring), f"{out}/mapping", keyring)
+        document_report(units, run.spans, run.edits).write.parquet(f"{out}/report")
+
+
 def cut_units(docs: DataFrame, separator: str | None, scope: str) -> DataFrame:
     """Documents ``(doc_id, text)`` as units of a document or corpus scope."""
     scope_id = F.lit("corpus") if scope == "corpus" else F.col("doc_id").cast("string")
