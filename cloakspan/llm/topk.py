@@ -1,12 +1,13 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
 A vector is a sparse row: its dimensions are terms, its non-zero components
-integer weights.  Queries and candidates are dealt into blocks of bounded
-size; every pair of a query block and a candidate block is one cell.  In a
-cell the candidates become postings (term to rows and weights).  For one term
-after the other, the queries that hold it scatter their weight times the
-postings into dense score arrays; partition selection takes each query's best,
-and the cells' winners are merged by rank.
+integer weights.  Queries and candidates are dealt into blocks of bounded size, equal
+rows too; every pair of a query block and a candidate block is one cell.  A cell
+walks its candidates in strips, which become postings (term to rows and weights).
+For one term after the other, the queries that hold it scatter their weight times
+the postings into dense score arrays; partition selection takes each query's best,
+which are merged with the best of the strips before.  The cells' winners are
+merged by rank.
 
 Posting lists that cover a quarter of their block or more are held as dense
 arrays, so that adding them needs no index.
@@ -14,8 +15,9 @@ arrays, so that adding them needs no index.
 Defined cases: vectors that are null or hold a null or a non-finite component
 take no part, nor do rows without an id; an empty vector scores 0 with
 everything; shorter vectors lack their last terms.  Every repeated row is a
-candidate, but none is one for a query of the same id; a repeated query id
-asks once, with its smallest vector.  Scores are exact while they fit 64 bits.
+candidate, but none is one for a query of the same id; of a repeated query id
+every row asks, and the answers share the id's ranks.  Scores are exact while
+they fit 64 bits.
 """
 
 from __future__ import annotations
@@ -26,8 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a candidate block and of a query block, and queries scored at once.
-CANDIDATES, QUERIES, AT_ONCE = 2_048, 4_096, 256
+from ..functions.staging import stage
+
+#: Rows of a candidate block and of a query block; candidates and queries scored
+#: at once.
+CANDIDATES, QUERIES, STRIP, AT_ONCE = 8_192, 2_048, 2_048, 256
 DENSE_SHARE = 0.25
 
 
@@ -121,6 +126,15 @@ def best_of_cell(
     return np.concatenate(found_q), np.concatenate(found_c), np.concatenate(found_s)
 
 
+def best_of_ids(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int):
+    """The ``k`` best of each query id, ties to the smaller candidate."""
+    order = np.lexsort((c, ~s, q))
+    q, c, s = q[order], c[order], s[order]
+    at = np.arange(len(q))
+    kept = at - np.searchsorted(q, q) < k
+    return q[kept], c[kept], s[kept]
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """For each query among ``vectors`` (``id``, ``weights``): ``query_id``,
     ``rank``, ``vec_id``, ``score`` of the ``k`` best other rows, ties to the
@@ -129,16 +143,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     The work is the product of queries and rows, as asked.  A cell's input
     has a fixed size; only winners are shuffled afterwards.
     """
-    queries = vectors.where(is_query).groupBy("id").agg(F.min("weights").alias("weights"))
-    total, asked = vectors.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
+    # staged, so that a task run again finds every row at the same place
+    vectors = stage(vectors.withColumn("asks", F.coalesce(is_query, F.lit(False))), "vectors")
+    queries = vectors.where("asks")
+    total, asked = vectors.agg(F.count("*"), F.count_if("asks")).first()
     across, down = -(-total // CANDIDATES) or 1, -(-asked // QUERIES) or 1
 
     def dealt(df: DataFrame, own: int, other: int, query: bool) -> DataFrame:
-        block = F.pmod(F.xxhash64("id", "weights"), F.lit(own))
+        # by the place of a row too, or equal rows would share a block
+        block = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(own))
         cell = "block * {0} + other" if not query else "other * {0} + block"
-        return df.withColumns(
-            {"block": block, "other": F.explode(F.sequence(F.lit(0), F.lit(other - 1)))}
-        ).select(F.expr(cell.format(down)).alias("cell"), F.lit(query).alias("query"), "id", "weights")
+        # a row's block comes first: all its copies have it
+        copies = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        return (
+            df.withColumn("block", block)
+            .withColumn("other", copies)
+            .select(F.expr(cell.format(down)).alias("cell"), F.lit(query).alias("query"), "id", "weights")
+        )
 
     cells = dealt(vectors, across, down, False).union(dealt(queries, down, across, True))
 
@@ -147,13 +168,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         cell = cell.select(["id", "weights"])
         held = cell.filter(pa.array(~asks)).sort_by("id")
         asking = cell.filter(pa.array(asks))
-        q, c, s = best_of_cell(
-            asking.column("id").to_numpy(),
-            _postings(asking.column("weights")),
-            held.column("id").to_numpy(),
-            _postings(held.column("weights")),
-            k,
-        )
+        query_ids = asking.column("id").to_numpy()
+        queries, best = _postings(asking.column("weights")), None
+        for at in range(0, len(held), STRIP):
+            strip = held.slice(at, STRIP)
+            ids = strip.column("id").to_numpy()
+            found = best_of_cell(query_ids, queries, ids, _postings(strip.column("weights")), k)
+            if best is not None:
+                found = tuple(map(np.concatenate, zip(best, found)))
+            best = best_of_ids(*found, k)
+        q, c, s = best or (query_ids[:0],) * 3
         return pa.table({"query_id": q, "vec_id": c, "score": s})
 
     winners = cells.groupBy("cell").applyInArrow(

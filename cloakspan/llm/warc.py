@@ -45,6 +45,8 @@ from cloakspan.functions.staging import shared_folder, stage
 #: Bytes after which a new archive file begins, captures in an index block, and
 #: blocks and archive files that a reading task keeps open.
 FILE_BYTES, BLOCK_LINES, OPEN_BLOCKS, OPEN_FILES = 256 << 20, 512, 4, 64
+#: Compressed bytes that a look-up task reads.
+TASK_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -229,6 +231,8 @@ class Index:
     folder: str
     first_keys: list[str]
     names: list[str]
+    records: int = 0
+    record_bytes: int = 0
 
 
 def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> Index:
@@ -241,6 +245,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
         system.create_dir(path, recursive=True)
         name, first = uuid.uuid4().hex, None
         out, lines, directory, offset = None, [], [], 0
+        records = record_bytes = 0
 
         def close_block() -> None:
             nonlocal offset, lines
@@ -255,6 +260,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
                 if out is None:
                     first, out = key, system.open_output_stream(f"{path}/{name}.blocks")
                 lines.append(f"{key}\t{file}\t{at}\t{length}")
+                records, record_bytes = records + 1, record_bytes + length
                 if len(lines) == block_lines:
                     close_block()
         if out is not None:
@@ -263,17 +269,28 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
             out.close()
             with system.open_output_stream(f"{path}/{name}.directory") as listing:
                 listing.write("\n".join(directory).encode())
-            yield pa.RecordBatch.from_pydict({"first": [first], "last": [key], "name": [name]})
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "first": [first], "last": [key], "name": [name],
+                    "records": [records], "bytes": [record_bytes],
+                }
+            )
 
     ranges = (
         captures.select("key", "file", "offset", "length")
         .repartitionByRange("key", "file", "offset")
         .sortWithinPartitions("key", "file", "offset")
-        .mapInArrow(write, "first string, last string, name string")
+        .mapInArrow(write, "first string, last string, name string, records long, bytes long")
         .collect()
     )
     ranges.sort(key=lambda r: (r["first"].encode(), r["last"].encode()))
-    return Index(folder, [r["first"] for r in ranges], [r["name"] for r in ranges])
+    return Index(
+        folder,
+        [r["first"] for r in ranges],
+        [r["name"] for r in ranges],
+        sum(r["records"] for r in ranges),
+        sum(r["bytes"] for r in ranges),
+    )
 
 
 # --- reading --------------------------------------------------------------
@@ -340,7 +357,10 @@ def look_up(keys: DataFrame, index: Index, archives: str, payloads: bool = True)
     """The records (RECORDS) of all captures of the given ``key`` column; a key
     is looked up once, however often it is given.  Keys are sorted, so that a
     task reads each directory and block about once.  ``payloads=False`` leaves
-    the payload column null; every payload is read and verified all the same."""
+    the payload column null; every payload is read and verified all the same.
+
+    Tasks are cut by the bytes of the records they are likely to read, as keys
+    say nothing of them."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(index, archives)
@@ -357,9 +377,10 @@ def look_up(keys: DataFrame, index: Index, archives: str, payloads: bool = True)
             if rows:
                 yield _record_batch(rows)
 
+    wanted = keys.count() * index.record_bytes / max(1, index.records)
     return (
         keys.select("key").distinct()
-        .repartitionByRange("key").sortWithinPartitions("key")
+        .repartitionByRange(int(wanted // TASK_BYTES) + 1, "key").sortWithinPartitions("key")
         .mapInArrow(read, RECORDS)
     )
 

@@ -5,10 +5,13 @@ import gzip
 import hashlib
 import math
 import random
+from collections import defaultdict
 
+import duckdb
 import pytest
 
 from cloakspan.llm import topk, url_filter, warc
+from cloakspan.llm.queries import ORACLES, QUERIES
 
 
 @pytest.fixture
@@ -97,20 +100,20 @@ def brute_top(rows, k):
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             whole.append((i, [math.floor(64 * x) for x in v]))
-    asked = {}
-    for i, v in whole:
+    answers = defaultdict(list)
+    for i, q in whole:
         if i % 20 == 0:
-            asked[i] = min(asked.get(i, v), v)
+            answers[i] += [(-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != i]
     found = []
-    for i, q in asked.items():
-        scores = [(-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != i]
+    for i, scores in answers.items():
         found += [(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted(scores)[:k])]
     return sorted(found)
 
 
 @pytest.mark.parametrize("scale", [1.0, 1e7])
 def test_top_k_equals_brute_force(spark, monkeypatch, scale):
-    monkeypatch.setattr(topk, "CANDIDATES", 50)
+    monkeypatch.setattr(topk, "CANDIDATES", 150)
+    monkeypatch.setattr(topk, "STRIP", 40)
     monkeypatch.setattr(topk, "QUERIES", 7)
     monkeypatch.setattr(topk, "AT_ONCE", 3)
     rng = random.Random(2)
@@ -125,6 +128,34 @@ def test_top_k_equals_brute_force(spark, monkeypatch, scale):
     assert topk.search(vectors.limit(0), vectors.id % 20 == 0).count() == 0
 
 
+def test_repeated_queries_answer_as_the_sql(spark, tmp_path):
+    """Rows that share an id, some of them equal, all ask."""
+    rng = random.Random(5)
+    rows = [(i // 3, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(180)] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(base.execute(ORACLES["op3_topk"]).fetchall())
+    assert sorted(map(tuple, QUERIES["op3_topk"](spark, str(tmp_path)).collect())) == want
+
+
+def test_look_ups_are_cut_by_the_bytes_they_read(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 2_000)
+    html = [str(random.Random(i).getrandbits(4_000)) for i in range(60)]
+    rows = [(i, f"http://h{i}.org/", text) for i, text in enumerate(html)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archives = warc.new_folder(pages, "warc")
+    index = warc.write_index(
+        warc.write_archives(pages, archives), warc.new_folder(pages, "capture-index")
+    )
+    assert index.records == 60 and index.record_bytes > 20_000
+    keys = pages.select(warc.capture_key("url", "page_id").alias("key"))
+    found = warc.look_up(keys, index, archives)
+    assert found.rdd.getNumPartitions() >= 10 and found.count() == 60
+    assert warc.look_up(keys.limit(1), index, archives).rdd.getNumPartitions() == 1
+
+
 def test_fewer_candidates_than_asked_for(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<double>")
     vectors = topk.integer_vectors(df, "vec_id", "embedding", 64)
