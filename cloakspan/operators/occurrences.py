@@ -1,10 +1,11 @@
 """Where the values of a table of any size stand in texts.
 
 Values are filed under one short gram.  Each place of a text at which a filed gram
-begins becomes a row with the characters around it; it meets the gram's values in
-an equi-join, and each value is compared with the text at the place where it would have
-to stand.  So a text costs its length and what it holds, not its length times
-the values found in it.
+begins becomes a row with the characters around it; it meets the gram's *shapes* (how
+far into a value the gram begins, and how long the value is), each of which cuts one
+candidate out of the text, and the candidates meet the values in an equi-join on all
+their characters.  So a text costs its length and what it holds: a gram that
+thousands of values share brings a text as many candidates as these have shapes.
 
 * A text is cut into chunks with a margin on both sides, so every place has its
   surroundings and none is far from the start of its string.
@@ -193,14 +194,19 @@ def _class_of(
         "tangled", F.expr(f"if(len > 1, {border}, false)")
     )
     filed = stage(filed, "filed-values")
-    met = _places(units, filed, fold, width, chunk).join(filed, ["gram", *on])
+    shapes = filed.select("gram", *on, "gram_at", "len").distinct()
+    met = _places(units, filed, fold, width, chunk).join(shapes, ["gram", *on])
     met = met.withColumn("skip", F.expr("at - gram_at - near_at")).where("skip >= 0")
     met = met.withColumn("hit", F.expr("substr(near, skip + 1, len)"))
+    whole = "xxhash64(folded, gram, gram_at)"
+    known = Bitmap(filed.select(F.expr(whole).alias("h")))
+    met = compute_once(met, folded=fold("hit")).where(known.may_hold(whole))
+    met = met.join(filed, ["folded", "gram", "gram_at", "len", *on])
     if case_blind:
         special = text_literal(r"([^\p{L}\p{N}_])")
         quoted = f"regexp_replace(value, {special}, {text_literal(chr(92) * 2 + '$1')})"
         same = f"(hit = value OR hit RLIKE concat({text_literal(r'(?iuU)\A')}, {quoted}, {text_literal(r'\z')}))"
-        met = met.where(f"{fold('hit')} = folded AND {same}")
+        met = met.where(same)
     else:
         met = met.where("hit = value")
     if boundary:
