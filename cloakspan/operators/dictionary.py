@@ -8,13 +8,10 @@ in-row dictionary: substrings, case-blind, each value on its own.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bitmap import Bitmap
-from ..functions.expr import Sql, compute_once, keep, text_list, text_literal
+from ..functions.expr import Sql, text_list
 from ..functions.spans import make_span, priority_of
 from ..rules import LAYER_LEARNED, LEARNED_CONFIDENCE, TYPE_PRIORITY
 from .detect import SPAN_FIELDS, fold_case
@@ -30,62 +27,6 @@ def known_types(pii_type: Sql) -> Sql:
     return f"if({pii_type} IN ({text_list(TYPE_PRIORITY)}), {pii_type}, 'custom')"
 
 
-def grams(folded: Sql, size: int) -> Sql:
-    """Distinct grams of ``size`` characters, cut out by one regex pass: a
-    look-ahead captures the characters at every position."""
-    every = text_literal(f"(?s)(?=(.{{{size}}}))")
-    return f"array_distinct(regexp_extract_all({folded}, {every}, 1))"
-
-
-def file_under_gram(values: DataFrame, size: int = GRAM) -> DataFrame:
-    """Rows (``value``, ``folded`` and more) with the ``gram`` of their folded
-    value that the fewest values share.
-
-    Values that share a long head, such as numbered accounts, are told apart by
-    their tails instead of meeting under one hot gram.  A gram's values are
-    counted before the shuffle, and the counts meet the values by a join that
-    adaptive execution splits.
-    """
-    sized = values.where(F.length("folded") > 0).withColumn(
-        "gram_size", F.least(F.length("folded"), F.lit(size))
-    )
-    arms = " ".join(f"WHEN {n} THEN {grams('folded', n)}" for n in range(1, size + 1))
-    exploded = sized.select("folded", "gram_size", F.expr(f"CASE gram_size {arms} END").alias("cut"))
-    exploded = exploded.distinct().select("folded", F.explode("cut").alias("gram"))
-    shared = exploded.groupBy("gram").agg(F.count("*").alias("sharing"))
-    chosen = (
-        exploded.join(shared, "gram")
-        .groupBy("folded")
-        .agg(F.min_by("gram", F.struct("sharing", "gram")).alias("gram"))
-    )
-    return sized.join(chosen, "folded")
-
-
-def present_values(
-    units: DataFrame, filed: DataFrame, fold: Callable[[Sql], Sql], payload: list[str],
-    on: list[str] | None = None,
-) -> DataFrame:
-    """Per unit ``entries``: the filed values (their ``payload`` columns) whose
-    gram occurs in the unit's text.
-
-    Grams that no value is filed under do not leave their text: a bitmap of the
-    filed grams is tested in the row.  ``on`` names columns that a unit and a
-    value must share beside the gram.
-    """
-    # at most as many rows as a gram has characters
-    sizes = sorted(r[0] for r in filed.select(F.length("gram")).distinct().collect())
-    known = Bitmap(filed.select(F.xxhash64("gram").alias("h")))
-    cut = ", ".join(grams("folded", n) for n in sizes) or "array('')"
-    wanted = keep(f"concat({cut})", lambda g: known.may_hold(f"xxhash64({g})"))
-    folded = compute_once(units.select(*UNIT, "text"), folded=fold("text"))
-    text_grams = folded.select(*UNIT, F.expr(f"explode({wanted})").alias("gram"))
-    return (
-        text_grams.join(filed.select("gram", *payload, *(c for c in on or [] if c not in payload)), ["gram", *(on or [])])
-        .groupBy(*UNIT)
-        .agg(F.collect_set(F.struct(*payload)).alias("entries"))
-    )
-
-
 def ranked_dictionary(dictionary: DataFrame) -> DataFrame:
     """``pii_type, value, rank, folded`` of a learned dictionary.
 

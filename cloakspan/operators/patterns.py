@@ -1,13 +1,15 @@
 """Custom patterns that are a table of any size.
 
 A pattern is not tried on every text.  Its syntax tree shows literals of which each
-of its hits must hold one; the pattern is filed under a gram of them, like a
-value of a dictionary, and a text meets only the patterns whose literal it holds.
-The plan does not depend on the number of patterns, and none is collected.
+of its hits must hold one; the literals are looked up like the values of a
+dictionary (:mod:`cloakspan.operators.occurrences`), and a text meets only the patterns
+whose literal it holds.  Equal patterns are searched once.  The plan does not depend
+on the number of patterns, and none is collected.
 
 Patterns without such a literal (``\\d{4}-\\d{4}``, or syntax that is not understood
 here) have to be tried on every text.  They come to the texts in blocks of
-``BLOCK`` patterns, one pass a block.
+``BLOCK`` patterns, one pass a block.  So do all patterns of a table of at most
+``FEW``: their literals are looked for in the text's row.
 
 Literals are found on the pattern table only; texts never enter a Python worker.
 """
@@ -24,15 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.expr import Sql, is_blank, keep, struct, transform
+from ..functions.expr import Sql, compute_once, exists, is_blank, keep, struct, transform
 from ..functions.spans import make_span, priority_of, regex_hits
 from ..functions.staging import stage
 from .detect import SPAN_FIELDS, fold_case
-from .dictionary import UNIT, file_under_gram, known_types, present_values
+from .dictionary import UNIT, known_types
 from .numbering import number_rows
+from .occurrences import occurrences
 
-#: Patterns without a literal that one pass brings to the texts.
-BLOCK = 256
+#: Patterns that one pass brings to the texts, and the patterns of a table none of
+#: which is worth a join.
+BLOCK, FEW = 256, 8
 
 _GROUPS = (C.SUBPATTERN, C.ATOMIC_GROUP)
 _REPEATS = (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT)
@@ -108,27 +112,44 @@ def prepared_patterns(
 _PAYLOAD = ["seq", "name", "pii_type", "confidence", "status", "regex"]
 
 
+def _span(hit: Sql, entry: Sql) -> Sql:
+    return make_span(
+        f"{hit}.start", f"{hit}.end", f"{hit}.text", f"{entry}.pii_type", priority_of(f"{entry}.pii_type"),
+        f"{entry}.confidence", R.LAYER_CUSTOM, f"{entry}.seq", f"{entry}.name", f"{entry}.status",
+    )
+
+
 def _found(entries: Sql, text: Sql) -> Sql:
     """Spans of all patterns in ``entries``."""
 
     def spans(e: Sql) -> Sql:
-        return transform(
-            regex_hits(text, f"{e}.regex"),
-            lambda h: make_span(
-                f"{h}.start", f"{h}.end", f"{h}.text", f"{e}.pii_type", priority_of(f"{e}.pii_type"),
-                f"{e}.confidence", R.LAYER_CUSTOM, f"{e}.seq", f"{e}.name", f"{e}.status",
-            ),
-        )
+        return transform(regex_hits(text, f"{e}.regex"), lambda h: _span(h, e))
 
     return f"flatten({transform(entries, spans)})"
 
 
+def _filed_spans(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """Spans of the patterns with a literal, in the texts that hold it."""
+    literals = known.select("regex", F.explode("literals").alias("value"))
+    held = occurrences(texts, literals, ["regex"]).groupBy(*UNIT).agg(F.collect_set("regex").alias("regexes"))
+
+    def searched(regex: Sql) -> Sql:
+        return transform(regex_hits("text", regex), lambda h: struct(regex=regex, hit=h))
+
+    hits = F.expr(f"inline(flatten({transform('regexes', searched)}))")
+    found = texts.join(held, UNIT).select(*UNIT, hits)
+    entry = F.struct(*_PAYLOAD).alias("entry")
+    spans = found.join(known.where("size(literals) > 0").select("regex", entry), "regex")
+    return spans.select(*UNIT, F.expr(f"inline(array({_span('hit', 'entry')}))").alias(*SPAN_FIELDS))
+
+
 def pattern_spans(
     units: DataFrame,
     patterns: DataFrame,
     first_seq: int = 0,
     threshold: float = R.AUTO_THRESHOLD,
     block: int = BLOCK,
+    few: int = FEW,
 ) -> DataFrame:
     """Raw spans of ``patterns`` (``name, pattern, pii_type, confidence,
     created_at``) in ``units``.  Texts of white space have none.
@@ -137,27 +158,26 @@ def pattern_spans(
     """
     texts = units.where(f"NOT ({is_blank('text')})").select(*UNIT, "text")
     known = prepared_patterns(patterns, first_seq, threshold)
-    literals = known.select(*_PAYLOAD, F.explode("literals").alias("literal"))
-    literals = literals.withColumn("folded", F.expr(fold_case("literal")))
-    filed = stage(file_under_gram(literals), "filed-patterns")
-    held = present_values(texts, filed, fold_case, [*_PAYLOAD, "folded"])
-    met = texts.join(held, UNIT).withColumn("_folded", F.expr(fold_case("text")))
-    holding = keep("entries", lambda e: f"contains(_folded, {e}.folded)")
-    plain = transform(holding, lambda e: struct(**{c: f"{e}.{c}" for c in _PAYLOAD}))
-    searched = met.select(*UNIT, "text", F.expr(f"array_distinct({plain})").alias("entries"))
-    rows = searched.select(*UNIT, F.expr(f"inline({_found('entries', 'text')})").alias(*SPAN_FIELDS))
-
-    others = known.where("size(literals) = 0").select(*_PAYLOAD)
-    others = number_rows(others, ["seq"], "place").withColumn("block", F.expr(f"(place - 1) div {block}"))
+    filed = known.count() > few
+    others = known.where("size(literals) = 0") if filed else known
+    folded = F.expr(transform("literals", fold_case)).alias("folded")
+    others = number_rows(others.select(*_PAYLOAD, folded), ["seq"], "place")
+    others = others.withColumn("block", F.expr(f"(place - 1) div {block}"))
+    entry = F.struct(*_PAYLOAD, "folded")
     blocks = stage(
-        others.groupBy("block").agg(F.sort_array(F.collect_list(F.struct(*_PAYLOAD))).alias("entries")),
-        "unfiled-patterns",
+        others.groupBy("block").agg(F.sort_array(F.collect_list(entry)).alias("entries")), "unfiled-patterns"
     )
-    for number in range(blocks.count()):
+    rows = _filed_spans(texts, known) if filed else None
+    texts = compute_once(texts, _folded=fold_case("text"))
+    for number in range(max(0 if filed else 1, blocks.count())):
         # one row of at most `block` patterns
         one = F.broadcast(blocks.where(F.col("block") == number).select("entries"))
-        tried = texts.crossJoin(one)
-        rows = rows.union(
-            tried.select(*UNIT, F.expr(f"inline({_found('entries', 'text')})").alias(*SPAN_FIELDS))
+        holding = keep(
+            "entries",
+            lambda e: f"size({e}.folded) = 0 OR {exists(f'{e}.folded', lambda x: f'contains(_folded, {x})')}",
         )
+        tried = compute_once(texts.crossJoin(one), _held=holding)
+        spans = F.expr(f"inline({_found('_held', 'text')})").alias(*SPAN_FIELDS)
+        tried = tried.select(*UNIT, spans)
+        rows = tried if rows is None else rows.union(tried)
     return rows
