@@ -70,18 +70,20 @@ _FILE_RULES = tuple(R.RULES_BY_NAME[name] for name in ("email", "phone", "credit
     ),
 )
 def detect_large_files(spark, sf_dir):
-    """Write the documents of each language to one text file; spans of these files."""
+    """Write the documents of each language as one text, in part files that follow one
+    another, so no task writes a whole language; spans of these texts."""
     docs = rich_documents(spark, sf_dir)
     path = f"{shared_folder(spark)}/large-{uuid.uuid4().hex}"
     (
         docs.select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"), "text")
-        .repartition("lang")
+        .repartitionByRange("lang", "doc_id")
         .sortWithinPartitions("lang", "doc_id")
         .select("lang", "text")
         .write.partitionBy("lang")
         .text(path)
     )
-    spans = file_spans(read_file_units(spark, path), Detector(rules=_FILE_RULES, names=False))
+    units = read_file_units(spark, path, folders=True)
+    spans = file_spans(units, Detector(rules=_FILE_RULES, names=False))
     return spans.select(
         F.regexp_extract("doc_id", "lang=([^/]*)", 1).alias("lang"),
         F.col("start").cast("long").alias("span_start"),

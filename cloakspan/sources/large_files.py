@@ -48,12 +48,13 @@ def _solid(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, _SOLID, 1), F.lit(""))
 
 
-def _lines(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame:
+def _lines(spark: SparkSession, paths: tuple[str, ...], folders: bool) -> DataFrame:
     """Lines with the block of the file they were read from; ``line`` ascends
-    inside a block."""
+    inside a block.  With ``folders`` a folder's files, by name, are one file."""
+    path, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
     return spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("doc_id"),
-        F.col("_metadata.file_block_start").alias("block"),
+        (F.regexp_replace(path, "/[^/]*$", "") if folders else path).alias("doc_id"),
+        F.struct(path.alias("file"), start.alias("start")).alias("block"),
         F.monotonically_increasing_id().alias("line"),
         F.col("value").alias("text"),
     )
@@ -114,7 +115,11 @@ def _blocks(pieces: DataFrame, seam: str) -> DataFrame:
 
 
 def read_file_units(
-    spark: SparkSession, *paths: str, seam: str = SEAM, unit_chars: int = UNIT_CHARS
+    spark: SparkSession,
+    *paths: str,
+    seam: str = SEAM,
+    unit_chars: int = UNIT_CHARS,
+    folders: bool = False,
 ) -> DataFrame:
     """``scope_id, doc_id, part, unit_no, start, text``: text files cut into units.
 
@@ -122,8 +127,11 @@ def read_file_units(
     file, with gaps; ``start`` is that place in code points.  Between two units
     of a file there is one ``\\n``.  ``seam`` is a pattern for the two characters
     around white space that a hit may cross.
+
+    With ``folders`` the document is a folder, as :func:`write_file_units` writes it:
+    its part files, in the order of their names, are the file.
     """
-    pieces = stage(_pieces(_lines(spark, paths), seam, unit_chars), "pieces")
+    pieces = stage(_pieces(_lines(spark, paths, folders), seam, unit_chars), "pieces")
     # a row for each block, so the planner sees how small it is
     blocks = stage(_blocks(pieces, seam), "blocks")
     placed = pieces.join(blocks, ["doc_id", "block"])

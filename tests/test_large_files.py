@@ -133,3 +133,22 @@ def test_files_are_redacted_with_one_mapping_each(spark, tmp_path, small_blocks)
     ]
     report = spark.read.parquet(f"{out}/report")
     assert report.count() == 2
+
+
+def test_a_folder_of_part_files_is_one_file(spark, tmp_path):
+    docs = spark.range(200).selectExpr(
+        "id AS doc_id", "if(id < 150, 'a', 'b') AS lang",
+        "concat('mail x', id, '@corp.io', if(id % 3 = 0, ' call 415', ''), if(id % 3 = 1, '555-', '')) AS text",
+    )
+    path = str(tmp_path / "parts")
+    ordered = docs.repartitionByRange(7, "lang", "doc_id").sortWithinPartitions("lang", "doc_id")
+    ordered.select("lang", "text").write.partitionBy("lang").text(path)
+    units = read_file_units(spark, path, unit_chars=60, folders=True)
+    whole = {lang: "\n".join(r["text"] for r in docs.where(f"lang = '{lang}'").orderBy("doc_id").collect()) for lang in "ab"}
+    assert len(list((tmp_path / "parts" / "lang=a").glob("part-*"))) > 2
+    assert {r["doc_id"].rsplit("=")[-1] for r in units.select("doc_id").distinct().collect()} == {"a", "b"}
+    for r in units.collect():
+        text = whole[r["doc_id"].rsplit("=")[-1]]
+        assert text[r["start"]:].startswith(r["text"])
+    sizes = units.selectExpr("doc_id", "length(text) + 1 AS n").groupBy("doc_id").sum("n").collect()
+    assert {r[0].rsplit("=")[-1]: r[1] - 1 for r in sizes} == {k: len(v) for k, v in whole.items()}
