@@ -1,20 +1,20 @@
-"""Small tables over all cores."""
+"""Tables over all cores, in tasks of like size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+# Stored bytes of a table that one task takes, and the largest number of tasks.
+TASK_BYTES, MOST_TASKS = 8 << 20, 20_000
+
 
 def deal_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal a table of at most one split's bytes over the session's cores.
+    """Deal a table over the session's cores, in as many tasks as its bytes ask for.
 
-    Such a file may be one row group, all of whose rows one task reads, into however
-    many splits its bytes are cut.  The shuffle is bounded by
-    ``spark.sql.files.maxPartitionBytes``; larger tables stay as they are.
+    One task reads all rows of a row group, into however many splits its bytes are
+    cut: a small table may be one, and a large one a few that leave most cores idle
+    and the longest task with much of the work.  The shuffle writes the table once.
     """
-    spark = df.sparkSession
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    if int(size) > split:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism, *keys)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    tasks = min(MOST_TASKS, -(-size // TASK_BYTES))
+    return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism), *keys)

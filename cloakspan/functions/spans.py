@@ -46,7 +46,7 @@ def _fenced_pieces(text: Sql, regex: Sql, group: int) -> Sql:
         count = f"(size({pieces}) div 2)"
         parts = transform(f"sequence(0, cast({count} AS int) - 1)", hit)
         if group:
-            parts = f"regexp_extract_all({text}, {regex}, {group})"
+            parts = transform(parts, lambda h: f"regexp_extract({h}, {regex}, {group})")
         return _pieces(f"cast({count} AS int)", lambda i: f"get({pieces}, 2 * {i})", hit, parts)
 
     replacement = text_literal(f"{FENCE}$0{FENCE}")
@@ -77,7 +77,8 @@ def hit_pieces(text: Sql, regex: Sql, group: int = 0) -> Sql:
     there are none.
 
     With ``group`` the hits are those of that group, which has to sit at the
-    end of the whole hit.
+    end of the whole hit; the pattern has to match a whole hit on its own as it does
+    in the text.
     """
     return (
         f"CASE WHEN contains({text}, {text_literal(FENCE)}) "

@@ -162,7 +162,8 @@ def _name_confidence(value: Sql) -> Sql:
 
 def contextual_entry(text: Sql, pii_type: str, seq: int = 0) -> Sql:
     """Capitalised phrases after a keyword of the type (opt-in layer)."""
-    regex = R.java_regex(R.contextual_pattern(pii_type), ignore_case=True)
+    guard = R.contextual_guard(pii_type)
+    regex = R.java_regex(R.contextual_pattern(pii_type), ignore_case=True, guard=guard)
     pieces = hit_pieces(text, text_literal(regex), group=2)
     return _entry(
         pieces, pii_type, str(R.CONTEXTUAL_CONFIDENCE), R.LAYER_CONTEXTUAL, seq, "contextual", "uncertain"

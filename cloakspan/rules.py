@@ -6,7 +6,11 @@ regex subset and get their Spark (Java) flags from :func:`java_regex`.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cache
+from string import ascii_letters, digits
 
 # ---------------------------------------------------------------------------
 # The PII types, the arbitration priority of each and the
@@ -152,10 +156,11 @@ REGEX_RULES = (
          guard=r"(?:\b|(?<=[^\x00-\x7f]))(?=[A-Za-z0-9._%+-]++@)"),
     Rule("phone", "phone",
          r"(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}\b",
-         0.85, LAYER_REGEX, 1, gate_regex=_THREE_DIGITS),
+         0.85, LAYER_REGEX, 1, gate_regex=_THREE_DIGITS,
+         guard=r"(?=(?-iu:[+(0123456789]))"),
     Rule("slack_handle", "slack_handle",
          r"(?<![A-Za-z0-9._%+-])@[A-Za-z][A-Za-z0-9_-]{0,20}(?![A-Za-z0-9.])\b",
-         0.80, LAYER_REGEX, 2, gate_literal="@"),
+         0.80, LAYER_REGEX, 2, gate_literal="@", guard="(?=@)"),
     Rule("ssn", "ssn",
          r"\b\d{3}[-.\s]?\d{2}[-.\s]?\d{4}\b",
          0.90, LAYER_REGEX, 3, gate_regex=_THREE_DIGITS, guard=r"(?=\d)"),
@@ -226,6 +231,38 @@ def contextual_pattern(pii_type: str) -> str:
     return rf"\b({words})\b[:\s]+" + CONTEXT_PHRASE
 
 
+def _folded(char: str) -> str:
+    upper = char.upper() if len(char.upper()) == 1 else char
+    return upper.lower()[0]
+
+
+@cache
+def _cases() -> dict[str, str]:
+    """The characters that are equal under case-blind matching."""
+    out: dict[str, str] = {}
+    for char in map(chr, (*range(0xD800), *range(0xE000, 0x10000))):
+        out[_folded(char)] = out.get(_folded(char), "") + char
+    return out
+
+
+def any_case(chars: Iterable[str]) -> str:
+    """A class of ``chars`` in all their cases, to be read without regard to flags."""
+    found = {case for char in chars for case in _cases()[_folded(char)]}
+    return "[" + "".join(re.escape(c) for c in sorted(found)) + "]"
+
+
+@cache
+def contextual_guard(pii_type: str) -> str:
+    """What stands at the start of a keyword: its first two letters, and no letter
+    or digit before them.  The single characters are a table look-up."""
+    seconds: dict[str, set[str]] = {}
+    for word in CONTEXT_KEYWORDS[pii_type]:
+        seconds.setdefault(word[0], set()).add(word[1])
+    pairs = "|".join(any_case(first) + any_case(second) for first, second in seconds.items())
+    before = f"[{ascii_letters}{digits}_]"
+    return f"(?=(?-iu:{any_case(seconds)}))(?<!(?-iu:{before}))(?=(?-iu:{pairs}))"
+
+
 # Entity labels of a user's model -> (type, confidence).
 ENTITY_LABELS = {
     "PERSON": ("person_name", 0.90),

@@ -217,3 +217,36 @@ def test_detection_is_narrow_and_scans_once(spark, sf_dir):
     plan = unit_spans(whole_units(docs))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_guards_miss_no_hit(spark):
+    """A guard is a necessary condition of its pattern, in every case of a letter."""
+    points = spark.range(0x10000).where("id NOT BETWEEN 55296 AND 57343")
+    letters = points.select(F.udf(chr, "string")("id").alias("c")).cache()
+    first = sorted({word[0] for words in R.CONTEXT_KEYWORDS.values() for word in words})
+    for char in first:
+        cases = letters.where(F.col("c").rlike(f"(?iuU)^{char}$"))
+        assert not cases.where(~F.col("c").rlike(f"^{R.any_case(char)}$")).count()
+    heads = ["", "a", "1", "_", "é", "я", " ", "-", "\U00010400", "́"]
+    words = [w for words in R.CONTEXT_KEYWORDS.values() for w in words]
+    texts = [f"{h}{w}: Anna ſmith" for w in (*words, *map(str.upper, words), "Kolega", "sinKerely") for h in heads]
+    texts += [f"{h}{p}" for h in (*heads, "+", "+1 ", "1-", "(") for p in ("(415) 555-0199", "@user x", "@a.b", "٤١٥ 555 0199")]
+    df = spark.createDataFrame([(t,) for t in texts], "body string")
+    pairs = [(R.java_regex(R.contextual_pattern(k), True), R.java_regex(R.contextual_pattern(k), True, R.contextual_guard(k))) for k in R.CONTEXT_KEYWORDS]
+    pairs += [(R.java_regex(r.pattern, True), r.regex) for r in R.REGEX_RULES if r.name in ("phone", "slack_handle")]
+    for plain, guarded in pairs:
+        hits = [F.regexp_extract_all("body", F.lit(p), F.lit(0)) for p in (plain, guarded)]
+        assert not df.where(hits[0] != hits[1]).count()
+        assert df.where(F.size(hits[0]) > 0).count()
+
+
+def test_a_large_table_is_dealt_out_by_its_bytes(spark, tmp_path, monkeypatch):
+    from cloakspan.functions import dealing
+
+    path = str(tmp_path / "one-group")
+    spark.range(20_000).selectExpr("id", "uuid() AS u").coalesce(1).write.parquet(path)
+    monkeypatch.setattr(dealing, "TASK_BYTES", 50_000)
+    table = spark.read.parquet(path)
+    dealt = dealing.deal_out(table, "id")
+    assert dealt.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert dealt.exceptAll(table).isEmpty() and dealt.count() == 20_000
