@@ -198,9 +198,7 @@ def _class_of(
     met = _places(units, filed, fold, width, chunk).join(shapes, ["gram", *on])
     met = met.withColumn("skip", F.expr("at - gram_at - near_at")).where("skip >= 0")
     met = met.withColumn("hit", F.expr("substr(near, skip + 1, len)"))
-    whole = "xxhash64(folded, gram, gram_at)"
-    known = Bitmap(filed.select(F.expr(whole).alias("h")))
-    met = compute_once(met, folded=fold("hit")).where(known.may_hold(whole))
+    met = compute_once(met, folded=fold("hit"))
     met = met.join(filed, ["folded", "gram", "gram_at", "len", *on])
     if case_blind:
         special = text_literal(r"([^\p{L}\p{N}_])")
