@@ -17,6 +17,7 @@ from .expr import (
     text_literal,
     transform,
 )
+from .windows import in_one_text, window_bodies
 
 _FIELD = re.compile(r"\{n(?::0(\d)d)?\}")
 
@@ -76,9 +77,10 @@ def placeholder_regex(custom: Iterable[str] = ()) -> str:
     return f"(?=[{firsts}])(?:{choices})"
 
 
-def taken_numbers(text: Sql) -> Sql:
+def taken_numbers(text: Sql, parts: Sql | None = None) -> Sql:
     """The generated placeholders that stand in a text, as a sorted array of
-    ``struct<kind, n>``; these numbers must not be given out for it."""
+    ``struct<kind, n>``; these numbers must not be given out for it.  ``parts`` are
+    the text's windows, if they are at hand."""
 
     def numbers(hit: Sql) -> Sql:
         found = []
@@ -101,7 +103,8 @@ def taken_numbers(text: Sql) -> Sql:
         return f"array_compact(array({', '.join(found)}))"
 
     regex = text_literal(placeholder_regex())
-    hits = f"array_distinct(regexp_extract_all({text}, {regex}, 0))"
+    bodies = window_bodies(text) if parts is None else f"{parts}.body"
+    hits = f"array_distinct(regexp_extract_all({in_one_text(bodies)}, {regex}, 0))"
     return f"array_sort(flatten({transform(hits, numbers)}))"
 
 

@@ -170,8 +170,9 @@ def contextual_entry(text: Sql, pii_type: str, seq: int = 0) -> Sql:
     )
 
 
-def spans_of(entries: list[Sql]) -> Sql:
-    """The spans of the entries; all hits are placed by one shared step."""
+def spans_of(entries: list[Sql], at: Sql = "0") -> Sql:
+    """The spans of the entries; all hits are placed by one shared step.  ``at`` is
+    where the searched part begins in its text."""
     if not entries:
         return no_spans()
 
@@ -180,8 +181,8 @@ def spans_of(entries: list[Sql]) -> Sql:
             # only names have no confidence of their own
             confidence = f"coalesce({e}.confidence, {_name_confidence(part)})"
             return make_span(
-                start, end, part, f"{e}.pii_type", f"{e}.priority", confidence,
-                f"{e}.layer", f"{e}.seq", f"{e}.rule", f"{e}.status",
+                f"({at} + {start})", f"({at} + {end})", part, f"{e}.pii_type", f"{e}.priority",
+                confidence, f"{e}.layer", f"{e}.seq", f"{e}.rule", f"{e}.status",
             )
 
         return place_pieces(f"{e}.pieces", span)
@@ -255,29 +256,61 @@ def contextual_spans(text: Sql, pii_type: str, seq: int = 0) -> Sql:
     return spans_of([contextual_entry(text, pii_type, seq)])
 
 
-def raw_spans(text: Sql, detector: Detector, entities: Sql | None = None) -> Sql:
-    """Spans of all layers before arbitration."""
+def _layer_spans(
+    text: Sql,
+    parts: Sql | None,
+    rules: Iterable[R.Rule],
+    threshold: float,
+    names: bool = False,
+    contextual: tuple[str, ...] = (),
+) -> Sql:
+    """The spans of some layers: patterns that may be searched in windows in
+    ``parts``, the text's windows (if given), and all others in the whole text."""
+    rules = list(rules)
+    inside = [r for r in rules if parts is not None and r.in_windows]
+    whole = [rule_entry(text, r, threshold) for r in rules if r not in inside]
+    if names and parts is None:
+        whole.append(name_entry(text))
+    whole += [contextual_entry(text, kind, seq) for seq, kind in enumerate(contextual)]
+    if parts is None or not (inside or names):
+        return spans_of(whole)
+
+    def searched(w: Sql) -> Sql:
+        body = f"{w}.body"
+        entries = [rule_entry(body, r, threshold) for r in inside]
+        return spans_of(entries + ([name_entry(body)] if names else []), f"{w}.at")
+
+    found = [f"flatten({transform(parts, searched)})"]
+    return concat(found + ([spans_of(whole)] if whole else []))
+
+
+def raw_spans(
+    text: Sql, detector: Detector, entities: Sql | None = None, parts: Sql | None = None
+) -> Sql:
+    """Spans of all layers before arbitration; ``parts`` are the text's windows, in
+    which most patterns are searched if they are at hand."""
     learned = []
     if detector.learned_pii:
         learned.append(learned_spans(text, detector.learned_pii, detector.learned_boundary))
-    entries = [
-        rule_entry(text, rule, detector.threshold)
-        for rule in (*detector.rules, *detector.custom_patterns)
-    ]
-    late = [name_entry(text)] if detector.names else []
-    late += [contextual_entry(text, kind, seq) for seq, kind in enumerate(detector.contextual)]
+    rules = (*detector.rules, *detector.custom_patterns)
+    late = (detector.names, detector.contextual)
     if entities is None:
-        return drop_safe(concat([*learned, spans_of([*entries, *late])]), detector.learned_safe)
+        found = _layer_spans(text, parts, rules, detector.threshold, *late)
+        return drop_safe(concat([*learned, found]), detector.learned_safe)
     # entities look at what the earlier layers have found
+    early = _layer_spans(text, parts, rules, detector.threshold)
     found = let(
-        drop_safe(concat([*learned, spans_of(entries)]), detector.learned_safe),
+        drop_safe(concat([*learned, early]), detector.learned_safe),
         lambda earlier: concat(
             [earlier, entity_spans(text, entities, earlier, detector.threshold)]
         ),
     )
-    return drop_safe(concat([found, spans_of(late)]), detector.learned_safe)
+    last = _layer_spans(text, parts, (), detector.threshold, *late)
+    return drop_safe(concat([found, last]), detector.learned_safe)
 
 
-def detect_spans(text: Sql, detector: Detector, entities: Sql | None = None) -> Sql:
+def detect_spans(
+    text: Sql, detector: Detector, entities: Sql | None = None, parts: Sql | None = None
+) -> Sql:
     """All claimed spans of a text, one per (start, end), sorted by start."""
-    return first_claims(raw_spans(text, detector, entities))
+    return first_claims(raw_spans(text, detector, entities, parts))

@@ -35,6 +35,7 @@ from ..functions.spans import (
     splice_from_right,
 )
 from ..functions.staging import stage
+from ..functions.windows import windows
 from ..schemas import SPAN_ARRAY, TAKEN_ARRAY
 from .arbitrate import arbitrate, first_claims, of_status, resolve_overlaps
 from .detect import SPAN_FIELDS, Detector, detect_spans, raw_spans
@@ -75,9 +76,11 @@ SKIP_UNCERTAIN = "skip"
 REVIEWED = "reviewed"
 
 
-def _claims(text: Sql, detector: Detector, entities: Sql | None) -> Sql:
+def _claims(
+    text: Sql, detector: Detector, entities: Sql | None, parts: Sql | None = None
+) -> Sql:
     """Detected spans before arbitration; none for blank texts."""
-    claimed = detect_spans(text, detector, entities)
+    claimed = detect_spans(text, detector, entities, parts)
     if detector.learned_pii or detector.custom_patterns:
         claimed = f"if({is_blank(text)}, {no_spans()}, {claimed})"
     return claimed
@@ -100,9 +103,10 @@ def with_found_spans(
     text: str = "text",
     entities: str | None = None,
 ) -> DataFrame:
-    """``df`` with ``_found``, the spans of :func:`found_spans`, one step at a
-    time: a nest of all steps of a redaction is too deep for the analyzer."""
-    worked = compute_once(df, _claimed=_claims(text, detector, entities))
+    """``df`` with ``_found``, the spans of :func:`found_spans`, and ``_windows``, one
+    step at a time: a nest of all steps of a redaction is too deep for the analyzer."""
+    worked = compute_once(df, _windows=windows(text))
+    worked = compute_once(worked, _claimed=_claims(text, detector, entities, "_windows"))
     chosen = arbitrate("_claimed", policy.order, policy.repeats)
     return compute_once(worked, _found=chosen).drop("_claimed")
 
@@ -159,7 +163,7 @@ def redact_rows(
     if policy.avoid_taken:
         none = empty(TAKEN_ARRAY)
         worked = compute_once(
-            worked, _taken=f"if(size(_chosen) = 0, {none}, {taken_numbers(text)})"
+            worked, _taken=f"if(size(_chosen) = 0, {none}, {taken_numbers(text, '_windows')})"
         )
         taken = "_taken"
     worked = compute_once(worked, _spans=number_in_row("_chosen", taken))
@@ -296,7 +300,7 @@ def spans_in_rows(
     entities: str | None = None,
 ) -> DataFrame:
     """``units`` with ``_spans``, the arbitrated spans of each with the flag
-    ``accepted`` (narrow: no shuffle)."""
+    ``accepted``, and ``_windows`` (narrow: no shuffle)."""
     worked = with_found_spans(units, detector or Detector(), policy, "text", entities)
     return compute_once(worked, _spans=_flag_accepted("_found", mode, policy)).drop("_found")
 
@@ -353,8 +357,9 @@ def table_spans(
 ) -> DataFrame:
     """Arbitrated spans when the dictionary, the safe list or the custom
     patterns are tables."""
-    found = raw_spans("_body", detector, entities)
-    raw = units.withColumnRenamed("text", "_body").select(
+    found = raw_spans("_body", detector, entities, "_windows")
+    bodies = compute_once(units.withColumnRenamed("text", "_body"), _windows=windows("_body"))
+    raw = bodies.select(
         *UNIT, F.expr(f"inline({found})").alias(*SPAN_FIELDS)
     )
     if dictionary is not None:
@@ -549,9 +554,10 @@ def redact_units(
         if mode != REVIEWED:
             gate = exists("_spans", lambda s: f"{s}.accepted")
     if policy.avoid_taken:
-        units = compute_once(units, _taken=taken_numbers("text"))
+        parts = "_windows" if in_rows else None
+        units = compute_once(units, _taken=taken_numbers("text", parts))
     if in_rows:
-        units = stage(units, "units")
+        units = stage(units.drop("_windows"), "units")
         spans = span_rows(units)
     elif spans is None:
         spans = stage(unit_spans(units, detector, policy, mode, layers=layers), "spans")

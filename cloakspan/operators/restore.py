@@ -20,6 +20,7 @@ from ..functions.joins import join_unique
 from ..functions.placeholders import placeholder_regex
 from ..functions.spans import regex_hits, splice
 from ..functions.staging import stage
+from ..functions.windows import windows
 from .crypto import Keyring
 from .mapping import restorations
 from .occurrences import occurrences
@@ -31,10 +32,17 @@ UNIT = ["scope_id", "doc_id", "unit_no"]
 EDIT = "struct<start:int,end:int,placeholder:string>"
 
 
-def placeholder_hits(text: Sql) -> Sql:
-    """Everything in a text that looks like a generated placeholder, with
-    offsets."""
-    return regex_hits(text, text_literal(placeholder_regex()))
+def placeholder_hits(parts: Sql) -> Sql:
+    """Everything in a text, given by its windows, that looks like a generated
+    placeholder, with offsets."""
+
+    def search(w: Sql) -> Sql:
+        return transform(
+            regex_hits(f"{w}.body", text_literal(placeholder_regex())),
+            lambda h: struct(start=f"{w}.at + {h}.start", end=f"{w}.at + {h}.end", text=f"{h}.text"),
+        )
+
+    return f"flatten({transform(parts, search)})"
 
 
 def _custom(known: DataFrame) -> DataFrame:
@@ -96,7 +104,9 @@ def restore_units(
     value = "original" if keyring is None else "original_enc"
     known = stage(restorations(mapping, value), "restorations")
     columns = units.columns
-    units = stage(compute_once(units, _hits=placeholder_hits("text")), "candidates")
+    worked = compute_once(units, _windows=windows("text"))
+    worked = compute_once(worked, _hits=placeholder_hits("_windows")).drop("_windows")
+    units = stage(worked, "candidates")
     candidates = units.select(
         *UNIT, F.expr("inline(_hits)").alias("start", "end", "placeholder")
     )

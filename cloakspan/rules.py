@@ -127,7 +127,8 @@ class Rule:
 
     ``gate`` is a cheap necessary condition (a literal that must occur, or a
     short regex) which keeps clean text away from the full pattern; ``guard`` is
-    one for the position of a hit.
+    one for the position of a hit.  ``in_windows`` says that the pattern may be
+    searched in the windows of :mod:`cloakspan.functions.windows`.
     """
 
     name: str
@@ -140,6 +141,7 @@ class Rule:
     gate_literal: str | None = None
     gate_regex: str | None = None
     guard: str = ""
+    in_windows: bool = False
 
     @property
     def regex(self) -> str:
@@ -153,26 +155,26 @@ REGEX_RULES = (
     Rule("email", "email",
          r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
          0.95, LAYER_REGEX, 0, gate_literal="@",
-         guard=r"(?:\b|(?<=[^\x00-\x7f]))(?=[A-Za-z0-9._%+-]++@)"),
+         guard=r"(?:\b|(?<=[^\x00-\x7f]))(?=[A-Za-z0-9._%+-]++@)", in_windows=True),
     Rule("phone", "phone",
          r"(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}\b",
          0.85, LAYER_REGEX, 1, gate_regex=_THREE_DIGITS,
-         guard=r"(?=(?-iu:[+(0123456789]))"),
+         guard=r"(?=(?-iu:[+(0123456789]))", in_windows=True),
     Rule("slack_handle", "slack_handle",
          r"(?<![A-Za-z0-9._%+-])@[A-Za-z][A-Za-z0-9_-]{0,20}(?![A-Za-z0-9.])\b",
-         0.80, LAYER_REGEX, 2, gate_literal="@", guard="(?=@)"),
+         0.80, LAYER_REGEX, 2, gate_literal="@", guard="(?=@)", in_windows=True),
     Rule("ssn", "ssn",
          r"\b\d{3}[-.\s]?\d{2}[-.\s]?\d{4}\b",
-         0.90, LAYER_REGEX, 3, gate_regex=_THREE_DIGITS, guard=r"(?=\d)"),
+         0.90, LAYER_REGEX, 3, gate_regex=_THREE_DIGITS, guard=r"(?=\d)", in_windows=True),
     Rule("credit_card", "credit_card",
          r"\b(?:\d{4}[-.\s]?){3}\d{4}\b",
-         0.85, LAYER_REGEX, 4, gate_regex=_THREE_DIGITS, guard=r"(?=\d)"),
+         0.85, LAYER_REGEX, 4, gate_regex=_THREE_DIGITS, guard=r"(?=\d)", in_windows=True),
     Rule("ip_address", "ip_address",
          r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
-         0.90, LAYER_REGEX, 5, gate_regex=r"(?U)\d\.\d", guard=r"(?=\d)"),
+         0.90, LAYER_REGEX, 5, gate_regex=r"(?U)\d\.\d", guard=r"(?=\d)", in_windows=True),
     Rule("url", "url",
          r"https?://[^\s<>\"{}|\\^`\[\]]+",
-         0.95, LAYER_REGEX, 6, gate_literal="://"),
+         0.95, LAYER_REGEX, 6, gate_literal="://", in_windows=True),
 )
 
 RULES_BY_NAME = {rule.name: rule for rule in REGEX_RULES}
