@@ -89,17 +89,19 @@ def taken_numbers(text: Sql, parts: Sql | None = None) -> Sql:
             head, tail = template[: field.start()], template[field.end() :]
             pattern = text_literal(f"\\A{re.escape(head)}([0-9]+){re.escape(tail)}\\z")
             n = f"try_cast(regexp_extract({hit}, {pattern}, 1) AS bigint)"
+            # a cheap look first: most templates do not fit
+            fits = f"startswith({hit}, {text_literal(head)}) AND endswith({hit}, {text_literal(tail)})"
             if name in PLACEHOLDER_LISTS:
-                words = f"array({text_list(PLACEHOLDER_LISTS[name])})"
-                n = f"coalesce(nullif(array_position({words}, {hit}), 0L), {n})"
+                listed = text_list(PLACEHOLDER_LISTS[name])
+                n = f"coalesce(nullif(array_position(array({listed}), {hit}), 0L), {n})"
+                fits = f"({fits} OR {hit} IN ({listed}))"
             kind = text_literal(name)
-            found.append(
-                let(
-                    n,
-                    lambda v, kind=kind: f"if({render_placeholder(kind, v)} = {hit}, "
-                    f"{struct(kind=kind, n=v)}, NULL)",
-                )
+            number = let(
+                n,
+                lambda v, kind=kind: f"if({render_placeholder(kind, v)} = {hit}, "
+                f"{struct(kind=kind, n=v)}, NULL)",
             )
+            found.append(f"CASE WHEN {fits} THEN {number} END")
         return f"array_compact(array({', '.join(found)}))"
 
     regex = text_literal(placeholder_regex())
