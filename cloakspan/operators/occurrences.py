@@ -146,12 +146,20 @@ def _places(units: DataFrame, filed: DataFrame, fold, width: int, chunk: int) ->
         )
         return f"array_compact({tested})"
 
-    found = [hits(n) for n in sizes]
-    if not found:
-        found = ["cast(array() AS array<struct<at: int, gram: string>>)"]
-    each = folded.select(
-        *UNIT, "begin", "body", F.expr(f"inline(concat({', '.join(found)}))").alias("at", "gram")
-    )
+    if len(sizes) == 1:
+        # grams become rows and are tested in the same step, by compiled code
+        cut = F.posexplode(F.expr(every_gram("folded", sizes[0]))).alias("i", "gram")
+        each = (
+            folded.select(*UNIT, "begin", "own", "body", cut)
+            .where(f"begin + i >= own AND begin + i < own + {chunk}")
+            .where(known.may_hold("xxhash64(gram)"))
+            .selectExpr(*UNIT, "begin", "body", "begin + i AS at", "gram")
+        )
+    else:
+        found = [hits(n) for n in sizes] or ["cast(array() AS array<struct<at: int, gram: string>>)"]
+        each = folded.select(
+            *UNIT, "begin", "body", F.expr(f"inline(concat({', '.join(found)}))").alias("at", "gram")
+        )
     near = f"greatest(at - {width} - 1, begin)"
     return each.selectExpr(
         *UNIT, "gram", "at", f"{near} AS near_at",
@@ -211,6 +219,8 @@ def _class_of(
         )
     columns = [*UNIT, "start", "text", "value", *payload]
     rows = met.withColumn("start", F.expr("at - gram_at")).withColumn("text", F.col("hit"))
+    if filed.where("tangled").isEmpty():
+        return rows.select(columns)  # the other branch would cut the texts again
     plain = rows.where("NOT tangled").select(columns)
     return plain.union(_first_ones(rows.where("tangled").select(*columns, "len"), columns))
 
