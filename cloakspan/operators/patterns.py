@@ -1,9 +1,10 @@
 """Custom patterns that are a table of any size.
 
 A pattern is not tried on every text.  Its syntax tree shows literals of which each
-of its hits must hold one; the pattern is filed under a gram of them, like a
-value of a dictionary, and a text meets only the patterns whose literal it holds.
-The plan does not depend on the number of patterns, and none is collected.
+of its hits must hold one; the pattern is filed under a gram of them that is rare in
+the texts, like a value of a dictionary, and a text meets only the patterns whose
+literal it holds.  Equal patterns are analysed and searched once.  The plan does not
+depend on the number of patterns, and none is collected.
 
 Patterns without such a literal (``\\d{4}-\\d{4}``, or syntax that is not understood
 here) have to be tried on every text.  They come to the texts in blocks of
@@ -25,16 +26,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.expr import Sql, compute_once, exists, is_blank, keep, struct, transform
+from ..functions.bitmap import Bitmap
+from ..functions.dealing import MOST_TASKS
+from ..functions.expr import Sql, compute_once, empty, exists, is_blank, keep, struct, text_literal, transform
 from ..functions.spans import make_span, priority_of, regex_hits
 from ..functions.staging import stage
 from .detect import SPAN_FIELDS, fold_case
-from .dictionary import UNIT, file_under_gram, known_types, present_values
+from .dictionary import UNIT, known_types
 from .numbering import number_rows
+from .occurrences import file_by_texts
 
 #: Patterns that one pass brings to the texts, and the patterns of a table none of
 #: which is worth a join.
 BLOCK, FEW = 256, 8
+#: Patterns that one task analyses.
+EACH_TASK = 10_000
+#: Characters of the filed grams that are listed for a place, and their ranges beyond
+#: those that the regex engine looks up in a table.
+MOST_CHARS, MOST_RANGES = 512, 16
 
 _GROUPS = (C.SUBPATTERN, C.ATOMIC_GROUP)
 _REPEATS = (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT)
@@ -90,21 +99,22 @@ def prepared_patterns(
     patterns: DataFrame, first_seq: int = 0, threshold: float = R.AUTO_THRESHOLD
 ) -> DataFrame:
     """Patterns in the order of their claims, with their Java ``regex`` and their
-    ``literals``; rows without a pattern are left out."""
-    rows = number_rows(
-        patterns.where("pattern IS NOT NULL").select("name", "pattern", "pii_type", "confidence", "created_at"),
-        ["created_at", "name"],
-        "n",
-    )
-    typed = rows.selectExpr(
+    ``literals``; rows without a pattern are left out.
+
+    Equal patterns are analysed once, in tasks of like size.
+    """
+    given = patterns.where("pattern IS NOT NULL").select("name", "pattern", "pii_type", "confidence", "created_at")
+    typed = number_rows(given, ["created_at", "name"], "n").selectExpr(
         f"cast(n - 1 + {first_seq} AS int) AS seq", "name", "pattern",
         f"{known_types('pii_type')} AS pii_type",
         f"coalesce(confidence, {R.CUSTOM_CONFIDENCE}) AS confidence",
     )
-    schema = f"{typed._jdf.schema().toDDL()}, regex string, literals array<string>"
-    analysed = typed.mapInPandas(_analysed, schema)
+    distinct = stage(given.select("pattern").distinct(), "distinct-patterns")
+    dealt = distinct.repartition(min(MOST_TASKS, distinct.count() // EACH_TASK + 1), "pattern")
+    schema = "pattern string, regex string, literals array<string>"
+    analysed = stage(dealt.mapInPandas(_analysed, schema), "analysed-patterns")
     status = f"if(confidence >= {threshold}, 'match', 'uncertain')"
-    return stage(analysed.withColumn("status", F.expr(status)), "patterns")
+    return stage(typed.join(analysed, "pattern").withColumn("status", F.expr(status)), "patterns")
 
 
 _PAYLOAD = ["seq", "name", "pii_type", "confidence", "status", "regex"]
@@ -126,17 +136,85 @@ def _found(entries: Sql, text: Sql) -> Sql:
     return f"flatten({transform(entries, spans)})"
 
 
-def _filed_spans(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """Spans of the patterns with a literal, in the texts that hold it."""
-    literals = known.select(*_PAYLOAD, F.explode("literals").alias("literal"))
-    literals = literals.withColumn("folded", F.expr(fold_case("literal")))
-    filed = stage(file_under_gram(literals), "filed-patterns")
-    held = present_values(texts, filed, fold_case, [*_PAYLOAD, "folded"])
-    met = texts.join(held, UNIT).withColumn("_folded", F.expr(fold_case("text")))
+def _class(chars: list[str]) -> str:
+    """A regex for one of ``chars``, as cheap as the engine has it; any character
+    where it would be long, or there are none.
+
+    Halves of characters beyond the basic plane are cut out as question marks, so
+    these stand for any character too.
+    """
+    codes = sorted(map(ord, chars))
+    if not codes or "?" in chars or codes[-1] > 0xFFFF:
+        return "."
+    listed = [f"\\x{c:02x}" for c in codes if c < 256]
+    ranges: list[list[int]] = []
+    for c in (c for c in codes if c >= 256):
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    if len(ranges) > MOST_RANGES:
+        return "."
+    listed += [rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in ranges]
+    return f"[{''.join(listed)}]"
+
+
+def _folded(text: Sql) -> Sql:
+    """``fold_case``, which for ASCII is upper case."""
+    return f"if(length({text}) = octet_length({text}), upper({text}), {fold_case(text)})"
+
+
+def _like_grams(folded: Sql, filed: DataFrame) -> Sql:
+    """All grams of a text that have at each place a character which a filed gram of
+    their length has there, by one regex pass for each length.
+
+    The driver gets at most ``MOST_CHARS`` characters for a place.
+    """
+    grams = filed.select("gram").distinct().withColumn("size", F.length("gram"))
+    each = transform("sequence(1, size)", lambda i: struct(at=i, char=f"substr(gram, {i}, 1)"))
+    chars = grams.select("size", F.expr(f"inline({each})")).distinct()
+    some = F.when(F.count("*") <= MOST_CHARS, F.collect_list("char")).alias("chars")
+    places = {(r["size"], r["at"]): r["chars"] for r in chars.groupBy("size", "at").agg(some).collect()}
+    cut = []
+    for size in sorted({size for size, _ in places}):
+        pattern = "".join(_class(places[size, at] or []) for at in range(1, size + 1))
+        cut.append(f"regexp_extract_all({folded}, {text_literal(f'(?s)(?=({pattern}))')}, 1)")
+    return f"concat({', '.join(cut)})" if cut else empty("array<string>")
+
+
+def _candidates(texts: DataFrame, filed: DataFrame) -> DataFrame:
+    """Per unit ``entries``: the filed literals whose gram occurs in the unit's text.
+
+    Grams that no literal is filed under do not leave their step: they are cut out
+    only where their characters fit, and a bitmap of the filed grams is tested there.
+    """
+    known = Bitmap(filed.select(F.xxhash64("gram").alias("h")))
+    folded = compute_once(texts, _folded=_folded("text"))
+    held = folded.select(*UNIT, F.explode(F.expr(_like_grams("_folded", filed))).alias("gram"))
+    held = held.where(known.may_hold("xxhash64(gram)")).distinct()
+    entry = F.struct("folded", "regex")
+    return held.join(filed, "gram").groupBy(*UNIT).agg(F.collect_list(entry).alias("entries"))
+
+
+def _filed_spans(units: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
+    """Spans of the patterns with a literal, in the texts that hold it.
+
+    Equal patterns are searched once, and meet their names behind the search.
+    """
+    literals = known.select("regex", F.explode("literals").alias("literal"))
+    literals = literals.select("regex", F.expr(fold_case("literal")).alias("folded")).distinct()
+    filed = stage(file_by_texts(literals, units, fold_case).select("gram", "folded", "regex"), "filed-patterns")
+    met = compute_once(texts.join(_candidates(texts, filed), UNIT), _folded=_folded("text"))
     holding = keep("entries", lambda e: f"contains(_folded, {e}.folded)")
-    plain = transform(holding, lambda e: struct(**{c: f"{e}.{c}" for c in _PAYLOAD}))
-    searched = met.select(*UNIT, "text", F.expr(f"array_distinct({plain})").alias("entries"))
-    return searched.select(*UNIT, F.expr(f"inline({_found('entries', 'text')})").alias(*SPAN_FIELDS))
+    regexes = f"array_distinct({transform(holding, lambda e: f'{e}.regex')})"
+
+    def hits(regex: Sql) -> Sql:
+        return transform(regex_hits("text", regex), lambda h: struct(regex=regex, hit=h))
+
+    found = met.select(*UNIT, F.expr(f"inline(flatten({transform(regexes, hits)}))"))
+    entries = known.where("size(literals) > 0").select("regex", F.struct(*_PAYLOAD).alias("entry"))
+    spans = found.join(entries, "regex")
+    return spans.select(*UNIT, F.expr(f"inline(array({_span('hit', 'entry')}))").alias(*SPAN_FIELDS))
 
 
 def pattern_spans(
@@ -163,7 +241,7 @@ def pattern_spans(
     blocks = stage(
         others.groupBy("block").agg(F.sort_array(F.collect_list(entry)).alias("entries")), "unfiled-patterns"
     )
-    rows = _filed_spans(texts, known) if filed else None
+    rows = _filed_spans(units, texts, known) if filed else None
     texts = compute_once(texts, _folded=fold_case("text"))
     for number in range(max(0 if filed else 1, blocks.count())):
         # one row of at most `block` patterns

@@ -6,9 +6,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cloakspan.operators.detect import Detector, raw_spans
+from cloakspan.operators import patterns as patterns_module
+from cloakspan.operators.detect import Detector, fold_case, raw_spans
 from cloakspan.operators.learning import pattern_rules
 from cloakspan.operators.numbering import number_rows
+from cloakspan.operators.occurrences import file_by_texts
 from cloakspan.operators.patterns import pattern_spans, required_literals
 from cloakspan.operators.redact import Layers, redact_units
 from cloakspan.sources.units import whole_units
@@ -127,3 +129,52 @@ def test_filed_and_tried_patterns_find_the_same(spark, few):
     inside = F.expr(f"inline({raw_spans('body', detector)})")
     blank = units.withColumnRenamed("text", "body").where(r"body RLIKE '\\S'")
     assert got == spans_of(blank.select("doc_id", inside)) and got
+
+
+def test_a_text_meets_few_of_many_patterns_alike(spark):
+    """Numbered patterns share their grams; a text meets those filed under grams
+    that other texts lack, and none if its characters stand nowhere in a gram."""
+    rows = [(i, f"of letters only {'and more ' * i}") for i in range(20)]
+    rows += [(100 + i, f"paid by #{i:09d} and #{i * 37:09d}") for i in range(40)]
+    units = whole_units(spark.createDataFrame(rows, "doc_id long, text string"))
+    literals = spark.range(20_000).selectExpr("concat('#', lpad(cast(id AS string), 9, '0')) AS folded")
+    filed = file_by_texts(literals.withColumn("regex", F.col("folded")), units, fold_case)
+    met = patterns_module._candidates(units, filed.select("gram", "folded", "regex"))
+    sizes = {r["doc_id"]: r["n"] for r in met.select("doc_id", F.size("entries").alias("n")).collect()}
+    assert set(sizes) == set(range(100, 140)) and max(sizes.values()) <= 8
+    shown = patterns_module._like_grams("text", filed)
+    cut = units.select(F.expr(f"size({shown})").alias("n"), "doc_id").collect()
+    assert all((r["n"] > 0) == (r["doc_id"] >= 100) for r in cut)
+
+
+def test_equal_patterns_are_analysed_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    analysed = patterns_module._analysed
+
+    def counted(tables):
+        for table in tables:
+            seen.add(len(table))
+            yield from analysed([table])
+
+    monkeypatch.setattr(patterns_module, "_analysed", counted)
+    rows = [(f"n{i}", f"value{i % 10}x", "custom", 0.9, i) for i in range(300)]
+    patterns = spark.createDataFrame(rows, PATTERNS).withColumn("created_at", F.timestamp_seconds("at"))
+    known = patterns_module.prepared_patterns(patterns)
+    assert known.count() == 300 and known.select("regex").distinct().count() == 10
+    assert seen.value == 10
+
+
+@pytest.mark.parametrize("most", [0, 512])
+def test_grams_of_any_characters_are_found(spark, monkeypatch, most):
+    monkeypatch.setattr(patterns_module, "MOST_CHARS", most)
+    parts = ["a", "?", "]", "-", "^", " ", "\\", "é", "ж", "字", "😀", "😁", "ß", "\ufffd", "9"]
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice(parts) for _ in range(400))) for i in range(30)]
+    cut = [text[k : k + size] for _, text in rows for size in (1, 3, 5, 8) for k in (17, 230)]
+    table = [(f"n{i}", re.escape(x), "custom", 0.9, i) for i, x in enumerate(cut)]
+    patterns = spark.createDataFrame(table, PATTERNS).withColumn("created_at", F.timestamp_seconds("at"))
+    units = whole_units(spark.createDataFrame(rows, "doc_id long, text string"))
+    some = pattern_spans(units, patterns).select("doc_id", "start", "text", "rule").collect()
+    found = [(i, m.start(), x, f"n{n}") for i, text in rows for n, x in enumerate(cut)
+             for m in re.finditer(re.escape(x), text)]
+    assert sorted(map(tuple, some)) == sorted(found)
