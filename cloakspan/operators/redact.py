@@ -105,8 +105,10 @@ def with_found_spans(
 ) -> DataFrame:
     """``df`` with ``_found``, the spans of :func:`found_spans`, and ``_windows``, one
     step at a time: a nest of all steps of a redaction is too deep for the analyzer."""
-    worked = compute_once(df, _windows=windows(text))
-    worked = compute_once(worked, _claimed=_claims(text, detector, entities, "_windows"))
+    claimed = let(
+        windows(text), lambda w: struct(_windows=w, _claimed=_claims(text, detector, entities, w))
+    )
+    worked = df.select("*", F.expr(f"inline(array({claimed}))"))
     chosen = arbitrate("_claimed", policy.order, policy.repeats)
     return compute_once(worked, _found=chosen).drop("_claimed")
 
